@@ -51,11 +51,13 @@ def shares(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, budget_share: f
           SELECT *, CASE (row_number() OVER (ORDER BY _source ASC NULLS LAST) - 1) % {len(weights)} {pick} END AS weight FROM {{totals}}),
         filled AS (SELECT *, {epochs} * source_size AS cap, {epochs} * source_size / CAST(weight AS DOUBLE) AS full_at FROM ranked),
         sums AS (
-          SELECT *, coalesce(sum(cap) OVER (ORDER BY full_at, _source ASC NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS sent,
+          SELECT *, row_number() OVER (ORDER BY full_at, _source ASC NULLS LAST) AS place,
+            coalesce(sum(cap) OVER (ORDER BY full_at, _source ASC NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS sent,
             sum(weight) OVER (ORDER BY full_at, _source ASC NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS open_weight,
             {budget_share} * sum(source_size) OVER () AS budget FROM filled),
         ends AS (SELECT *, (CAST(budget AS DOUBLE) - sent) / open_weight AS end_at FROM sums),
-        ended AS (SELECT *, min(CASE WHEN end_at <= full_at THEN end_at END) OVER () AS mix_end FROM ends)
+        firsts AS (SELECT *, min(CASE WHEN end_at <= full_at THEN place END) OVER () AS first_place FROM ends),
+        ended AS (SELECT *, max(CASE WHEN place = first_place THEN end_at END) OVER () AS mix_end FROM firsts)
         SELECT _source, source_size, CAST(weight AS INT) AS weight, mix_end,
           CASE WHEN full_at <= mix_end THEN CAST(cap AS DOUBLE) ELSE weight * mix_end END AS target FROM ended
         """,

@@ -100,12 +100,14 @@ ranked AS (
   SELECT *, CASE (row_number() OVER (ORDER BY source ASC NULLS LAST) - 1) % 3 WHEN 0 THEN 5 WHEN 1 THEN 2 ELSE 1 END AS weight FROM totals),
 filled AS (SELECT *, 2 * source_size AS cap, 2 * source_size / CAST(weight AS DOUBLE) AS full_at FROM ranked),
 sums AS (
-  SELECT *, coalesce(sum(cap) OVER (ORDER BY full_at, source ASC NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS sent,
+  SELECT *, row_number() OVER (ORDER BY full_at, source ASC NULLS LAST) AS place,
+    coalesce(sum(cap) OVER (ORDER BY full_at, source ASC NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS sent,
     sum(weight) OVER (ORDER BY full_at, source ASC NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS open_weight,
     1.5 * sum(source_size) OVER () AS budget
   FROM filled),
 ends AS (SELECT *, (CAST(budget AS DOUBLE) - CAST(sent AS DOUBLE)) / CAST(open_weight AS DOUBLE) AS end_at FROM sums),
-ended AS (SELECT *, min(CASE WHEN end_at <= full_at THEN end_at END) OVER () AS mix_end FROM ends),
+firsts AS (SELECT *, min(CASE WHEN end_at <= full_at THEN place END) OVER () AS first_place FROM ends),
+ended AS (SELECT *, max(CASE WHEN place = first_place THEN end_at END) OVER () AS mix_end FROM firsts),
 plan AS (
   SELECT source, source_size, CASE WHEN full_at <= mix_end THEN CAST(cap AS DOUBLE) ELSE weight * mix_end END AS target FROM ended),
 placed AS (
