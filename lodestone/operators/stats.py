@@ -127,10 +127,10 @@ def _per_group(rows: DataFrame, by: list[str], needed: list[str], fn, fields: st
 
 def bootstrap_ci(rows: DataFrame, by: list[str], value: str, order: str, statistic: str = "mean", resamples: int = RESAMPLES, level: float = 0.95, seed: int = SEED) -> DataFrame:
     """Percentile interval of the mean or median; NaN below two values. Values are put in
-    the order of ``order`` first, so reruns agree."""
+    the order of ``order`` (ties by value) first, so reruns agree."""
 
     def fn(frame: pd.DataFrame) -> dict:
-        v = frame.sort_values(order)[value].dropna().to_numpy(float)
+        v = frame.sort_values([order, value])[value].dropna().to_numpy(float)
         if len(v) < 2:
             return {"n": len(v), "estimate": float(v[0]) if len(v) else math.nan, "low": math.nan, "high": math.nan}
         rng, f, out = np.random.default_rng(seed), getattr(np, statistic), []

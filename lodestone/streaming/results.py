@@ -18,8 +18,10 @@ def once(stream: DataFrame, key: list[str], ts: str, delay: str = "1 day") -> Da
     return stream.withWatermark(ts, delay).dropDuplicatesWithinWatermark(key)
 
 
-def windowed_counts(stream: DataFrame, ts: str, by: list[str], size: str, delay: str) -> DataFrame:
-    return stream.withWatermark(ts, delay).groupBy(F.window(ts, size).alias("w"), *by).agg(F.count("*").alias("n")).select(F.col("w.start").alias("window_start"), *by, "n")
+def windowed_counts(stream: DataFrame, ts: str, by: list[str], size: str, delay: str | None = None) -> DataFrame:
+    """Rows per window; ``delay`` None: the stream has its watermark already."""
+    marked = stream.withWatermark(ts, delay) if delay else stream
+    return marked.groupBy(F.window(ts, size).alias("w"), *by).agg(F.count("*").alias("n")).select(F.col("w.start").alias("window_start"), *by, "n")
 
 
 def append_stream(stream: DataFrame, path: str, checkpoint: str, key: list[str], scope: str) -> StreamingQuery:
