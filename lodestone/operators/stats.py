@@ -126,7 +126,7 @@ def _per_group(rows: DataFrame, by: list[str], needed: list[str], fn, fields: st
 
 
 def bootstrap_ci(rows: DataFrame, by: list[str], value: str, order: str, statistic: str = "mean", resamples: int = RESAMPLES, level: float = 0.95, seed: int = SEED) -> DataFrame:
-    """Percentile interval of the mean or median; NaN below two values. Values are put in
+    """Percentile interval of the mean or median; null below two values. Values are put in
     the order of ``order`` (ties by value) first, so reruns agree."""
 
     def fn(frame: pd.DataFrame) -> dict:
