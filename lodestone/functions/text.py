@@ -65,4 +65,6 @@ def source_hash(text: Column) -> Column:
 
 
 def file_role(path: Column) -> Column:
-    return F.when(path.rlike(r"(?i)\.c$"), "SOURCE").when(path.rlike(r"(?i)\.h$"), "HEADER").otherwise("OTHER")
+    """By the file name's suffix, in any case; a leading dot makes no suffix."""
+    base = F.lower(F.element_at(F.split(path, "/"), -1))
+    return F.when(base.rlike(r"^.+\.c$"), "C_UNIT").when(base.rlike(r"^.+\.h$"), "HEADER").otherwise("OTHER")

@@ -44,7 +44,8 @@ def test_query(spark, duck, name):
 def test_no_nested_loop_joins(spark):
     for name in ("J03_address_overlap", "J04_best_body", "J01_line_overlap", "J09_transitions"):
         plan = registry.queries()[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
-        assert "BroadcastNestedLoopJoin" not in plan or name == "J01_line_overlap"  # its small test projection has one
+        loops = [line for line in plan.splitlines() if "NestedLoopJoin" in line]
+        assert all("Cross" in line for line in loops)  # the projections' own, of a handful of rows
         assert "CartesianProduct" not in plan
 
 
