@@ -30,15 +30,20 @@ def exact_match(predicted: Column, truth: Column) -> Column:
     return flat(predicted) == flat(truth)
 
 
-def overlap_scores(predicted: Column, truth: Column) -> tuple[Column, Column, Column]:
-    """(precision, recall, F1) of the token sets; 0 where a set is empty."""
-    p, g = F.array_distinct(tokens(predicted)), F.array_distinct(tokens(truth))
+def token_scores(predicted: Column, truth: Column) -> tuple[Column, Column, Column]:
+    """(precision, recall, F1) of two token arrays as sets; 0 where a set is empty."""
+    p, g = F.array_distinct(predicted), F.array_distinct(truth)
     both = F.size(F.array_intersect(p, g))
     # F1 straight from the counts: 2pr / (p + r) = 2 both / (|p| + |g|)
     share = lambda n: F.when(n > 0, both / n).otherwise(F.lit(0.0))
     return share(F.size(p)), share(F.size(g)), F.when(both > 0, 2 * both / (F.size(p) + F.size(g))).otherwise(F.lit(0.0))
 
 
+def overlap_scores(predicted: Column, truth: Column) -> tuple[Column, Column, Column]:
+    """(precision, recall, F1) of two names' tokens."""
+    return token_scores(tokens(predicted), tokens(truth))
+
+
 def is_trivial(name: Column) -> Column:
     said = F.lower(strip(F.coalesce(name, F.lit(""))))
     shaped = F.lit(False)

@@ -13,7 +13,9 @@ SCORER_VERSION = "1"
 def score(rows: DataFrame, predicted: str = "predicted", truth: str = "ground_truth") -> DataFrame:
     """Add exact_match, token precision/recall/F1, trivial flag and tokens."""
     p, g = F.col(predicted), F.col(truth)
-    precision, recall, f1 = names.overlap_scores(p, g)
+    # tokens in a projection of their own: split once a row, whatever is made of them
+    rows = rows.withColumns({"predicted_tokens": names.tokens(p), "truth_tokens": names.tokens(g)})
+    precision, recall, f1 = names.token_scores(F.col("predicted_tokens"), F.col("truth_tokens"))
     return rows.withColumns(
         {
             "exact_match": names.exact_match(p, g),
@@ -21,8 +23,6 @@ def score(rows: DataFrame, predicted: str = "predicted", truth: str = "ground_tr
             "token_recall": recall,
             "token_f1": f1,
             "is_trivial": names.is_trivial(p),
-            "predicted_tokens": names.tokens(p),
-            "truth_tokens": names.tokens(g),
             "scorer_version": F.lit(SCORER_VERSION),
         }
     )
@@ -37,8 +37,8 @@ def token_differences(rows: DataFrame) -> DataFrame:
 def best_of_k(rows: DataFrame, candidates: str = "candidates", truth: str = "ground_truth") -> DataFrame:
     """Add the best F1 of the ranked names, where it first is (0-based), whether any name
     is exact, and the gain over the first name."""
-    scored = F.transform(F.col(candidates), lambda c: names.overlap_scores(c, F.col(truth))[2])
-    rows = rows.withColumn("_f1s", scored)
+    split = rows.withColumns({"_truth": names.tokens(F.col(truth)), "_each": F.transform(F.col(candidates), names.tokens)})
+    rows = split.withColumn("_f1s", F.transform("_each", lambda t: names.token_scores(t, F.col("_truth"))[2]))
     best = F.coalesce(F.array_max("_f1s"), F.lit(0.0))
     return rows.withColumns(
         {
@@ -47,7 +47,7 @@ def best_of_k(rows: DataFrame, candidates: str = "candidates", truth: str = "gro
             "best_index": F.greatest(F.array_position("_f1s", best) - 1, F.lit(0)),
             "uplift": best - F.coalesce(F.get("_f1s", F.lit(0)), F.lit(0.0)),
         }
-    ).drop("_f1s")
+    ).drop("_f1s", "_each", "_truth")
 
 
 def rollup_columns() -> list[Column]:
