@@ -2,14 +2,18 @@
 
 Each pass hashes a vector to the sign bits of random projections, sorts all
 vectors lexicographically by the concatenated bits, and compares each with the
-``window`` next ones by cosine in double precision. Links of all passes are
-united. The number of passes follows from the table's size so that a pair right
-at the threshold is met with probability ``recall``, and closer pairs more surely.
-
-Equal vectors are one node from the start. A node carries its rank in every
-pass, so a task sees whether an earlier pass has met a pair: links are counted
-once without a list of pairs ever being made or deduplicated. Of the links of a
-block only a spanning star forest leaves the task.
+``window`` next ones, and with all others that share its first bits however many
+they are, by cosine in double precision. Links of all passes are united. The
+number of passes follows from that number of bits so that a pair right at the
+threshold is met with probability ``recall``, and closer pairs more surely,
+whatever the distribution: dense stretches, longer than a window, are compared in
+full, block with block. If the passes would compare no fewer pairs than there are,
+all pairs are compared once and the result is exact.
+
+Equal vectors are one node from the start. A node carries its rank and its first
+bits in every pass, so a task sees whether an earlier pass has met a pair: links
+are counted once without a list of pairs ever being made or deduplicated. Of the
+links of two blocks only a spanning star forest leaves the task.
 
 Vectors that are null, empty or zero, or hold null or non-finite components, and
 rows without an id, link with nothing; so do vectors of different lengths. Rows
@@ -37,11 +41,16 @@ RECALL = 0.99
 BITS = 63
 
 
+def shared_bits(rows: int, window: int = WINDOW) -> int:
+    """First bits that vectors must share to be compared in full: so many that they
+    would part an even table into windows."""
+    return max(0, math.ceil(math.log2(max(rows, 1) / window) + 1))
+
+
 def passes_for(rows: int, window: int = WINDOW, threshold: float = THRESHOLD, recall: float = RECALL) -> int:
     """Passes after which a pair at the threshold has met with probability ``recall``:
-    one pass brings it together if the bits that part the table into windows agree."""
-    bits = max(0.0, math.log2(max(rows, 1) / window) + 1)
-    met = (1 - math.acos(threshold) / math.pi) ** bits
+    one pass brings it together if the first bits agree."""
+    met = (1 - math.acos(threshold) / math.pi) ** shared_bits(rows, window)
     return max(2, math.ceil(math.log(1 - recall) / math.log(1 - met))) if met < 1 else 2
 
 
@@ -75,50 +84,59 @@ def _keys(passes: int, bits: int):
     return run
 
 
-def _compare(window: int, threshold: float):
+def _merge(label: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Labels (each node's least known one) after links between i and j."""
+    i, j = label[i], label[j]
+    keep = i != j
+    i, j = i[keep], j[keep]
+    while len(i):
+        low = np.minimum(label[i], label[j])
+        new = label.copy()
+        np.minimum.at(new, i, low)
+        np.minimum.at(new, j, low)
+        new = new[new]
+        if (new == label).all():
+            break
+        label = new
+    return label
+
+
+def _compare(window: int, threshold: float, block: int):
     def run(table: pa.Table) -> pa.Table:
         n = table.num_rows
-        rank = table.column("rank").to_numpy()
-        order = np.argsort(rank, kind="stable")
-        table, rank = table.take(order), rank[order]
-        p = table.column("pass")[0].as_py()
-        own = ~table.column("ahead").to_numpy(zero_copy_only=False)
+        table = table.take(np.argsort(table.column("rank").to_numpy(), kind="stable"))
+        rank, last = table.column("rank").to_numpy(), table.column("last").to_numpy()
+        p, first = table.column("pass")[0].as_py(), table.column("a")[0].as_py()
+        across = first != table.column("b")[0].as_py()
+        own = rank // block == first
         copies = table.column("copies").to_numpy()
-        ranks = np.array(table.column("ranks").to_pylist(), np.int64).reshape(n, -1)
-        vectors = [np.asarray(v, np.float64) for v in table.column("embedding").to_pylist()]
-        dims = np.array([len(v) for v in vectors])
+        ranks, firsts = (np.array(table.column(c).to_pylist(), np.int64).reshape(n, -1) for c in ("ranks", "firsts"))
+        embedding = table.column("embedding").combine_chunks()
+        dims, values = embedding.value_lengths().to_numpy(), embedding.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+        starts = np.cumsum(dims) - dims
         links, label = np.zeros(n, np.int64), np.arange(n)
-        pairs = []
         for dim in np.unique(dims):
             at = np.flatnonzero(dims == dim)
-            x = np.stack([vectors[k] for k in at])
+            x = values[starts[at][:, None] + np.arange(dim)]
             x /= np.linalg.norm(x, axis=1)[:, None]
-            for a in range(0, len(at), 256):
-                z = min(a + 256, len(at))
-                last = int(np.searchsorted(rank[at], rank[at[z - 1]] + window, "right"))
-                i, j = np.nonzero(x[a:z] @ x[a:last].T >= threshold)
-                keep = j > i
-                i, j = at[i[keep] + a], at[j[keep] + a]
-                keep = own[i] & (rank[j] - rank[i] <= window)
-                i, j = i[keep], j[keep]
+            owned = int(own[at].sum())  # these come first
+            reach = np.maximum(rank[at] + window, last[at])
+            for a in range(0, owned, 256):
+                z = min(a + 256, owned)
+                begin = owned if across else a
+                end = int(np.searchsorted(rank[at], reach[a:z].max(), "right"))
+                if end <= begin:
+                    continue
+                i, j = np.nonzero(x[a:z] @ x[begin:end].T >= threshold)
+                i, j = i + a, j + begin
+                keep = (j > i) & (rank[at][j] <= reach[i])
+                i, j = at[i[keep]], at[j[keep]]
                 for q in range(p):  # what an earlier pass has met counts there
-                    keep = np.abs(ranks[i, q] - ranks[j, q]) > window
+                    keep = (np.abs(ranks[i, q] - ranks[j, q]) > window) & (firsts[i, q] != firsts[j, q])
                     i, j = i[keep], j[keep]
                 if len(i):
-                    pairs.append((i, j))
-        if pairs:
-            i, j = (np.concatenate([x[k] for x in pairs]) for k in (0, 1))
-            np.add.at(links, i, copies[j])
-            np.add.at(links, j, copies[i])
-            while True:
-                low = np.minimum(label[i], label[j])
-                new = label.copy()
-                np.minimum.at(new, i, low)
-                np.minimum.at(new, j, low)
-                new = new[new]
-                if (new == label).all():
-                    break
-                label = new
+                    links += np.bincount(i, copies[j], n).astype(np.int64) + np.bincount(j, copies[i], n).astype(np.int64)
+                    label = _merge(label, i, j)
         hit = np.flatnonzero(links)
         rep = table.column("rep").combine_chunks()
         return pa.table({"rep": rep.take(pa.array(hit)), "links": pa.array(links[hit]), "root": rep.take(pa.array(label[hit]))})
@@ -133,21 +151,33 @@ def near_vectors(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "e
     ids = materialise(map_arrow(rows, _digests, "vec_id bigint, digest binary"), "vec-ids")
     ids = ids.withColumn("digest", F.when(F.col("vec_id").isNotNull(), F.col("digest")))
     nodes = materialise(ids.filter("digest IS NOT NULL").groupBy("digest").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies")), "vec-nodes")
-    passes = passes_for(nodes.count(), window, threshold, recall)
+    n = nodes.select("rep").distinct().count()
+    passes, bits, pairs = passes_for(n, window, threshold, recall), shared_bits(n, window), n * (n - 1) // 2
     distinct = rows.join(nodes.groupBy("rep").agg(F.max("copies").alias("copies")), F.col("vec_id") == F.col("rep")).dropDuplicates(["rep"]).select("rep", "copies", "embedding")
     distinct = materialise(distinct, "vec-distinct")
 
     keys = map_arrow(distinct.select("rep", "embedding"), _keys(passes, BITS), "rep bigint, keys array<bigint>")
     keys = keys.select("rep", F.posexplode("keys").alias("pass", "key")).withColumn("one", F.lit(1).cast("long"))
+    if passes * window * n >= pairs:
+        keys, bits = keys.filter("pass = 0"), 0
     ranks = range_prefix(keys, [F.col("key"), F.col("rep")], "one", "rank", group="pass", name="vec-ranks")
-    ranks = ranks.groupBy("rep").agg(F.array_sort(F.collect_list(F.struct("pass", "rank"))).alias("r")).select("rep", F.col("r.rank").alias("ranks"))
-    placed = distinct.join(ranks, "rep").select("*", F.posexplode("ranks").alias("pass", "rank"))
-    at = F.col("rank") - F.pmod("rank", F.lit(block))
-    homes = F.array(F.struct((at / block).cast("long").alias("block"), F.lit(False).alias("ahead")))
-    both = F.array(F.struct((at / block).cast("long").alias("block"), F.lit(False).alias("ahead")), F.struct((at / block - 1).cast("long").alias("block"), F.lit(True).alias("ahead")))
-    dealt = placed.withColumn("home", F.explode(F.when((at > 0) & (F.col("rank") - at < window), both).otherwise(homes)))
-    dealt = dealt.select("rep", "copies", "embedding", "ranks", "pass", "rank", "home.block", "home.ahead")
-    found = materialise(dealt.groupBy("pass", "block").applyInArrow(_compare(window, threshold), "rep bigint, links bigint, root bigint"), "vec-found")
+    # the rows that share their first bits are a stretch; those within a window need no mention
+    stretches = ranks.groupBy("pass", F.shiftright("key", BITS - bits).alias("bits")).agg(F.min("rank").alias("first"), F.max("rank").alias("last"))
+    stretches = materialise(stretches.filter(F.col("last") - F.col("first") > window), "vec-stretches")
+    if bits and passes * window * n + (stretches.agg(F.sum(F.expr("(last - first) * (last - first + 1) / 2"))).first()[0] or 0) >= pairs:
+        ranks, bits = ranks.filter("pass = 0"), 0
+        stretches = ranks.groupBy("pass", F.shiftright("key", BITS).alias("bits")).agg(F.min("rank").alias("first"), F.max("rank").alias("last"))
+    ranks = ranks.withColumn("bits", F.shiftright("key", BITS - bits)).join(stretches, ["pass", "bits"], "left")
+    ranks = ranks.select("rep", "pass", "rank", F.coalesce("first", "rank").alias("first"), F.coalesce("last", "rank").alias("last"))
+    ranks = ranks.groupBy("rep").agg(F.array_sort(F.collect_list(F.struct("pass", "rank", "first", "last"))).alias("r"))
+    placed = distinct.join(ranks.select("rep", "r", F.col("r.rank").alias("ranks"), F.col("r.first").alias("firsts")), "rep").select("*", F.explode("r").alias("at")).select("*", "at.*")
+    # a row meets the blocks that its window and its stretch reach: two blocks are one task
+    home, end = F.floor(F.col("rank") / block), (n - 1) // block
+    low, high = F.least(F.col("rank") - window, F.col("first")), F.greatest(F.col("rank") + window, F.col("last"))
+    met = F.sequence(F.greatest(F.floor(low / block), F.lit(0)), F.least(F.floor(high / block), F.lit(end)))
+    dealt = placed.select("rep", "copies", "embedding", "ranks", "firsts", "pass", "rank", "last", home.alias("home"), F.explode(met).alias("met"))
+    dealt = dealt.select("*", F.least("home", "met").alias("a"), F.greatest("home", "met").alias("b")).drop("home", "met")
+    found = materialise(dealt.groupBy("pass", "a", "b").applyInArrow(_compare(window, threshold, block), "rep bigint, links bigint, root bigint"), "vec-found")
 
     classes = connected_components(found.select(F.col("rep").alias("a"), F.col("root").alias("b")))
     links = found.groupBy("rep").agg(F.sum("links").alias("links"))

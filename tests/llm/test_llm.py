@@ -324,6 +324,32 @@ def test_vectors_empty(spark):
     assert embeddings.near_vectors(spark.createDataFrame([], "vec_id bigint, embedding array<float>")).count() == 0
 
 
+def cone(rng, rows, cosine, dim=64):
+    """Unit vectors of which any two have about this cosine."""
+    centre, x = rng.normal(size=dim), rng.normal(size=(rows, dim))
+    unit = x / np.linalg.norm(x, axis=1)[:, None]
+    return cosine**0.5 * centre / np.linalg.norm(centre) + (1 - cosine) ** 0.5 * unit
+
+
+def test_vectors_in_dense_clusters(spark):
+    """A tight cluster, links of more members than all windows reach, and a wide cone with planted pairs at 0.905."""
+    rng = np.random.default_rng(7)
+    x = np.concatenate([cone(rng, 3000, 0.75), cone(rng, 600, 0.97), rng.normal(size=(6000, 64))])
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    for n in range(0, 1000, 2):
+        y = x[n + 1] - x[n + 1] @ x[n] * x[n]
+        x[n + 1] = 0.905 * x[n] + (1 - 0.905**2) ** 0.5 * y / np.linalg.norm(y)
+    x = x.astype(np.float32).astype(float)
+    unit = x / np.linalg.norm(x, axis=1)[:, None]
+    true = (unit @ unit.T >= 0.9).sum(axis=1) - 1
+    df = spark.createDataFrame([(n, [float(c) for c in v]) for n, v in enumerate(x)], "vec_id bigint, embedding array<float>")
+    got = {r.vec_id: r for r in embeddings.near_vectors(df, window=16, block=512).collect()}
+    assert true[3000:3600].min() >= 599 and all(r.n_links <= true[k] for k, r in got.items())
+    assert sum(got[n].n_links for n in range(3000, 3600)) >= 0.99 * true[3000:3600].sum()
+    assert {got[n].component_id for n in range(3000, 3600)} == {3000}
+    assert sum(got[n].component_id == got[n + 1].component_id for n in range(0, 1000, 2)) >= 490
+
+
 # -- 6 ------------------------------------------------------------------------
 
 
