@@ -100,6 +100,19 @@ def test_pii_skip_links_add_what_a_pattern_misses(spark, docs):
     assert field.added_spans("page 12 of 30 and 7 more", []) == []
 
 
+def test_pii_all_repeats_of_a_token_agree(spark, docs):
+    fitted, level = pii.fit_field(docs), pii.Field(len(pii.shape("")))
+    level.skip = 4.0
+    for field, later in ((fitted, "(521) 555-6210"), (level, "15215556210")):
+        for repeats in (1, 60):
+            text = "Call +15215556210 today. " if field is level else "Call +1 (521) 555-6210 today. "
+            text += f"Later: {later} again. " * repeats
+            base = pii.base_spans(text)
+            assert len(base) == 1
+            added = [text[a:z] for a, k, z in field.added_spans(text, base) if k == 3]
+            assert sum(later[-8:] in t for t in added) == repeats
+
+
 def test_pii_odd(spark, odd, empty):
     field = pii.fit_field(odd)
     got = pii.span_digests(pii.find_pii(odd, field)).collect()
