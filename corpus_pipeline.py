@@ -12,13 +12,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.llm import bpe, exact_dedup, langid, mixing, simhash
-from lodestone.llm.common import materialise
+from lodestone.llm.common import free_name, materialise
 
 #: Least mean probability of the predicted language; below it, and without any
 #: letter, a document has no language that the corpus knows.
 MIN_SCORE = 0.3
 
 
+def keyed(docs: DataFrame) -> tuple[DataFrame, str]:
+    """``docs`` with a key of its own for each row, fixed for good, and the key's name:
+    ids may be null or repeat."""
+    row = free_name(docs, "_row")
+    return materialise(docs.withColumn(row, F.monotonically_increasing_id()), "keyed"), row
+
+
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep documents in a known language. The network learns from this stage's input."""
     scored = langid.predict(docs, langid.train(docs))
@@ -32,16 +39,20 @@ def exact_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep of each group of linked fingerprints the document with the smallest id."""
-    groups = simhash.near_duplicates(docs)
-    stays = groups.filter("doc_id = component_id").select(F.col("doc_id").alias("_stays")).distinct()
-    return docs.join(stays, F.col("doc_id") == F.col("_stays"), "left_semi")
+    """Keep of each group of linked fingerprints the row with the smallest id, a null id last."""
+    rows, row = keyed(docs)
+    groups = simhash.near_duplicates(rows, doc_id=row).select(F.col("doc_id").alias("_member"), "component_id")
+    ids = rows.select(F.col(row).alias("_of"), F.col("doc_id").alias("_id"))
+    least = groups.join(ids, F.col("_member") == F.col("_of")).groupBy("component_id").agg(F.min(F.struct(F.col("_id").isNull(), "_id", "_of")).alias("_least"))
+    stays = least.select(F.col("_least._of").alias("_stays"))
+    return rows.join(stays, F.col(row) == F.col("_stays"), "left_semi").drop(row)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix sends it, a copy sent in part as a whole one."""
-    sent = mixing.mix(docs).filter("words > 0").groupBy("doc_id").agg(F.count("*").cast("int").alias("_copies"))
-    joined = docs.join(sent.withColumnRenamed("doc_id", "_sent"), F.col("doc_id") == F.col("_sent"))
+    rows, row = keyed(docs)
+    sent = mixing.mix(rows, row=row).filter("words > 0").groupBy(F.col("_row").alias("_sent")).agg(F.count("*").cast("int").alias("_copies"))
+    joined = rows.join(sent, F.col(row) == F.col("_sent"))
     return joined.withColumn("_copy", F.explode(F.array_repeat(F.lit(0), F.col("_copies")))).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 

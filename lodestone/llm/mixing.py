@@ -65,12 +65,13 @@ def shares(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, budget_share: f
     )
 
 
-def queue(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", source: str = "source", seed: str = SEED) -> DataFrame:
+def queue(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", source: str = "source", seed: str = SEED, row: str | None = None) -> DataFrame:
     """Documents with their place in their source's queue: doc_id, size, source_size,
-    weight, target, and ``_start``, the words of the source before them in shuffled order."""
+    weight, target, and ``_start``, the words of the source before them in shuffled order. A column ``row``
+    that tells rows of one id apart comes along as ``_row``."""
     key = F.md5(F.concat(F.lit(f"{seed}|"), F.coalesce(F.col(f"`{doc_id}`").cast("string"), F.lit("null"))))
     sizes = materialise(
-        docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{source}`").cast("string").alias("_source"), word_count(F.col(f"`{text}`")).alias("size"), key.alias("_key")),
+        docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{source}`").cast("string").alias("_source"), word_count(F.col(f"`{text}`")).alias("size"), key.alias("_key"), F.lit(None).cast("long").alias("_row") if row is None else F.col(f"`{row}`").alias("_row")),
         "mix-sizes",
     ).withColumn("_bucket", F.substring("_key", 1, BUCKET_DIGITS))
     plan = materialise(shares(sizes), "mix-shares")
@@ -81,8 +82,8 @@ def queue(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", source: s
         starts AS (
           SELECT _source, _bucket, coalesce(sum(n) OVER (PARTITION BY _source ORDER BY _bucket ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM buckets),
         inside AS (
-          SELECT *, coalesce(sum(size) OVER (PARTITION BY _source, _bucket ORDER BY _key, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS within FROM {sizes})
-        SELECT i.doc_id, i.size, i._source, i._key, s.before + i.within AS _start
+          SELECT *, coalesce(sum(size) OVER (PARTITION BY _source, _bucket ORDER BY _key, doc_id, size, _row ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS within FROM {sizes})
+        SELECT i.doc_id, i.size, i._source, i._key, i._row, s.before + i.within AS _start
         FROM inside i JOIN starts s ON i._source <=> s._source AND i._bucket = s._bucket
         """,
         sizes=sizes,
@@ -91,19 +92,19 @@ def queue(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", source: s
     return placed.join(of, F.col("_source").eqNullSafe(F.col("_of"))).drop("_of")
 
 
-def mix(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", source: str = "source", seed: str = SEED, epochs: int = MAX_EPOCHS) -> DataFrame:
+def mix(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", source: str = "source", seed: str = SEED, epochs: int = MAX_EPOCHS, row: str | None = None) -> DataFrame:
     """All copies of all documents in the order in which the mix sends them: doc_id,
     epoch, size, finish (virtual), words (those sent before the budget is spent; 0
     behind the cut) and ``position``, the words of the mix before this copy.
 
     Sorted globally by virtual finish time: dealt by range, sorted within. At the cut,
     each source's document in service is sent in part, as far as its share reaches."""
-    placed = queue(docs, text, doc_id, source, seed)
+    placed = queue(docs, text, doc_id, source, seed, row)
     copies = placed.withColumn("epoch", F.explode(F.array(*[F.lit(e) for e in range(epochs)])))
     start = F.col("_start") + F.col("epoch") * F.col("source_size")
     words = F.greatest(F.lit(0).cast("long"), F.least(F.col("size"), F.floor("target") - start))
     copies = copies.withColumn("finish", (start + F.col("size")) / F.col("weight")).withColumn("words", words.cast("long"))
-    copies = copies.select("doc_id", "epoch", "size", "source_size", "target", "finish", "words", "_source", "_key", "_start")
+    copies = copies.select("doc_id", "epoch", "size", "source_size", "target", "finish", "words", "_source", "_key", "_start", *(["_row"] if row else []))
     return range_prefix(copies, [F.col(c) for c in ("finish", "_source", "epoch", "_key", "doc_id", "size")], "words", "position", name="mix-order")
 
 

@@ -530,3 +530,19 @@ def test_pipeline_stages(spark, codec):
 
     encoded = stages["bpe_encode"](spark, near.limit(50), "")
     assert encoded.columns[:2] == ["doc_id", "n_tokens"]
+
+
+def test_pipeline_rows_without_an_id_or_with_the_same(spark):
+    import corpus_pipeline
+
+    stages = dict(corpus_pipeline.STAGES)
+    rng = random.Random(3)
+    texts = [" ".join(rng.choice("abcdefgh") * rng.randint(1, 9) for _ in range(60)) for _ in range(4)]
+    given = [(None, texts[0], "a"), (None, texts[1], "a"), (4, texts[2], "b"), (4, texts[3], "b"), (9, texts[3], "b"), (None, texts[3], "b")]
+    df = spark.createDataFrame(given, "doc_id long, text string, source string")
+    unique = stages["simhash_near_dedup"](spark, df, SF)
+    assert rows(unique) == sorted(given[:4], key=repr)
+    pair = spark.createDataFrame(given[2:4], df.schema)
+    copies = [r.text for r in stages["mix_sources"](spark, pair, SF).collect()]
+    assert len(copies) <= 4 and set(copies) == {texts[2], texts[3]}
+    assert {r.text for r in stages["mix_sources"](spark, spark.createDataFrame(given[:2], df.schema), SF).collect()} == {texts[0], texts[1]}
