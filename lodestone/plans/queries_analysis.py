@@ -183,7 +183,7 @@ def B11_cohens_d(v: Catalog) -> DataFrame:
 
 @query()
 def B01_bootstrap(v: Catalog) -> DataFrame:
-    return stats.bootstrap_ci(v("pred"), ["model"], "f1", "job", resamples=1000)
+    return stats.bootstrap_ci(v("pred"), ["model"], "f1", "job")
 
 
 @query()

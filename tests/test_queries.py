@@ -5,8 +5,9 @@ import decimal
 import duckdb
 import pytest
 
+from lodestone.operators import stats
 from lodestone.plans import registry
-from lodestone.plans.views import TABLES
+from lodestone.plans.views import TABLES, Catalog
 
 SF = "/root/testdata/sf0.001"
 SQL = registry.oracle_sql()
@@ -60,3 +61,9 @@ def test_entry_points():
 
     assert set(entry.oracle_sql()) <= set(entry.queries())
     assert len(entry.queries()) > 120
+
+
+def test_bootstrap_query_draws_all_resamples(spark):
+    rows = Catalog(spark, SF)("pred")
+    want = stats.bootstrap_ci(rows, ["model"], "f1", "job", resamples=10_000).collect()
+    assert sorted(map(tuple, registry.queries()["B01_bootstrap"](spark, SF).collect())) == sorted(map(tuple, want))
