@@ -5,7 +5,9 @@ the start once all are through. A document's virtual finish time is the words
 its source has sent by its end, divided by the source's weight. All documents
 are sorted globally by it and the mix ends when the total budget is spent: at
 that virtual time each source has sent weight x time words, or all it may, so
-the shares come out right at any cut, without a plan per source.
+the shares come out right at any cut. That time is solved in closed form from the
+sources' sizes, and each source's words are cut at its share of it, rounded down;
+the sort gives the order and ``position``, it does not cut.
 
 The shuffle orders by md5 of the seed and the id, so reruns agree. Prefix sums
 inside a source go over hash buckets: no task holds a whole source. The table
