@@ -21,24 +21,26 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import map_arrow, text_bytes
 
 #: Words and bytes of chunks that a Python worker keeps; past them it starts anew.
-CACHED_WORDS = 400_000
+CACHED_WORDS = 600_000
 CACHED_CHUNK_BYTES = 16 << 20
 #: A chunk has 2 ** CHUNK_BITS bytes on average; the hash sees CHUNK_WINDOW bytes.
 CHUNK_BITS = 11
 CHUNK_WINDOW = 16
 
+#: Ids of known words held, and bytes from which a word goes to the library.
+CACHED_IDS = 8_000_000
+LONG_WORD = 60
+
 _GEAR = np.random.default_rng(20240229).integers(0, 1 << 32, 1 << 16, dtype=np.uint32)
 #: Latin-1 letters: they lower-case, normalise and pre-tokenize one by one.
 _LETTERS = bytes(c for c in range(256) if chr(c).isalpha() and chr(c).lower() != chr(c).upper() and c not in (0xAA, 0xB5, 0xBA))
-_LOWER = bytes(ord(chr(c).lower()) if c in _LETTERS and len(chr(c).lower()) == 1 and ord(chr(c).lower()) < 256 else c for c in range(256))
-#: What no letter or digit is; in a row behind a word they make one pre-token.
-_MARKS = bytes(c for c in range(33, 127) if not chr(c).isalnum())
 
 
 def vocabulary_path(name: str = "word_bpe_49k.json") -> str:
@@ -144,22 +146,14 @@ class Merger:
         return np.concatenate(done)[order], counts
 
 
-class _Wide(dict):
-    """Ids of words given in UTF-8, as they are."""
-
-    def __init__(self, codec: Codec):
-        super().__init__()
-        self.codec = codec
-
-    def __missing__(self, word: bytes) -> bytes:
-        self[word] = ids = self.codec.direct(word.decode("utf-8", "replace"))
-        return ids
-
-
 class Codec:
     """One vocabulary in one Python worker, with the words it has met."""
 
     _loaded: dict[str, Codec] = {}
+    #: Words of these characters alone part into pre-tokens byte by byte; with what ODD
+    #: finds (contractions, added tokens) in them they go to the library all the same.
+    PLAIN = f"^[!-~{_LETTERS.decode('latin-1')}]+$"
+    ODD = f"'[{_LETTERS.decode('latin-1')}]|<\\|"
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -167,15 +161,17 @@ class Codec:
         self.tok = Tokenizer.from_file(path)
         self.tok.no_truncation()
         self.tok.no_padding()
-        self.words: dict[bytes, bytes] = {}
-        self.wide = _Wide(self)
         self.merger = Merger(self.tok)
         vocab = self.tok.get_vocab(with_added_tokens=False)
         named = self._byte_names()
-        #: The ids that a byte has inside a word and at a word's end.
+        #: The ids that a byte has inside a pre-token and at its end.
         self.inner = np.array([vocab[named[b]] for b in range(256)], np.int32)
         self.final = np.array([vocab[named[b] + "</w>"] for b in range(256)], np.int32)
+        #: 1: part of a letter, 2: digit, 3: mark
+        self.kind = np.full(256, 3, np.uint8)
+        self.kind[48:58], self.kind[65:91], self.kind[97:123], self.kind[128:] = 2, 1, 1, 1
         self.names = [self.tok.id_to_token(i) or "" for i in range(self.tok.get_vocab_size(with_added_tokens=True))]
+        self.forget()
 
     @classmethod
     def load(cls, path: str) -> Codec:
@@ -183,6 +179,11 @@ class Codec:
             cls._loaded[path] = cls(path)
         return cls._loaded[path]
 
+    def forget(self) -> None:
+        """Start anew: no word is known. ``ids[ends[n]:ends[n + 1]]`` are those of word n."""
+        self.words = pa.array([], pa.string())
+        self.ids, self.ends = np.empty(0, np.uint32), np.zeros(1, np.int64)
+
     def _byte_names(self) -> dict[int, str]:
         """The character that stands for each byte: printable ones for themselves,
         the others from U+0100 on in order."""
@@ -190,61 +191,83 @@ class Codec:
         rest = [b for b in range(256) if b not in set(printable)]
         return {b: chr(b) for b in printable} | {b: chr(256 + n) for n, b in enumerate(rest)}
 
-    def direct(self, piece: str) -> bytes:
-        """The library's ids of any text, as little-endian unsigned 32-bit integers."""
-        return np.array(self.tok.encode(piece, add_special_tokens=False).ids, "<u4").tobytes()
-
-    def learn(self, words: set[bytes]) -> None:
-        """Ids of Latin-1 words, letters lower-cased, that are not known yet. Runs of
-        letters, with marks behind or not, are merged together; the library encodes
-        all others."""
-        known = self.words
-        plain: dict[bytes, tuple[bytes, bytes]] = {}
-        stems: set[bytes] = set()
-        for w in words:
-            stem = w.rstrip(_MARKS)
-            if len(w) > 40 or not (stem or w) or stem.translate(None, _LETTERS):
-                known[w] = self.direct(w.decode("latin-1"))
-            else:
-                marks = w[len(stem) :]
-                plain[w] = (stem, marks)
-                stems.update((stem, marks))
-        stems = [s for s in stems if s]
-        if stems:
-            wide = [s if s.isascii() else s.decode("latin-1").encode() for s in stems]
-            flat = np.frombuffer(b"".join(wide), np.uint8)
-            lengths = np.array([len(s) for s in wide], np.int64)
-            symbols = self.inner[flat]
-            ends = np.cumsum(lengths) - 1
-            symbols[ends] = self.final[flat[ends]]
-            merged, counts = self.merger.merge(symbols, lengths)
-            raw, to = merged.astype("<u4").tobytes(), (4 * np.cumsum(counts)).tolist()
-            ids = {s: raw[a:z] for s, a, z in zip(stems, [0, *to], to, strict=False)}
-            ids[b""] = b""
-            for w, (a, z) in plain.items():
-                known[w] = ids[a] + ids[z] if z else ids[a]
-
-    def narrow(self, text: bytes) -> bytes | None:
-        """One byte a character and letters lower-cased, as the normalizer leaves them;
-        None for texts beyond Latin-1."""
+    def direct_many(self, pieces: list[str]) -> list[bytes]:
+        """The library's ids of any texts, as little-endian unsigned 32-bit integers."""
+        return [np.array(e.ids, "<u4").tobytes() for e in self.tok.encode_batch_fast(pieces, add_special_tokens=False)]
+
+    def _plain_ids(self, words: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of words as in PLAIN, one after the other, and how many each has. Runs of
+        letters, single digits and runs of marks are their pre-tokens."""
+        words = pc.utf8_lower(words)
+        ends = np.frombuffer(words.buffers()[1], np.int32)[words.offset : words.offset + len(words) + 1].astype(np.int64)
+        flat = np.frombuffer(words.buffers()[2], np.uint8)[ends[0] : ends[-1]]
+        ends -= ends[0]
+        kind = self.kind[flat]
+        starts = np.empty(len(flat), bool)
+        starts[1:] = (kind[1:] != kind[:-1]) | (kind[1:] == 2)
+        starts[ends[:-1]] = True
+        at = np.flatnonzero(starts)
+        symbols, last = self.inner[flat], np.append(at[1:], len(flat)) - 1
+        symbols[last] = self.final[flat[last]]
+        ids, counts = self.merger.merge(symbols, np.diff(np.append(at, len(flat))))
+        return ids, np.add.reduceat(counts, np.searchsorted(at, ends[:-1]))
+
+    def learn(self, words: pa.StringArray) -> np.ndarray:
+        """Encode words that are not known; returns their places among the known."""
+        plain = pc.and_(pc.match_substring_regex(words, self.PLAIN), pc.less(pc.binary_length(words), LONG_WORD))
+        plain = pc.and_not(plain, pc.match_substring_regex(words, self.ODD)).to_numpy(zero_copy_only=False)
+        order = np.concatenate([np.flatnonzero(plain), np.flatnonzero(~plain)])
+        n = int(plain.sum())
+        ids, counts = [self.ids], [np.empty(0, np.int64)]
+        if n:
+            for part in zip((ids, counts), self._plain_ids(words.take(pa.array(order[:n]))), strict=True):
+                part[0].append(part[1])
+        if n < len(order):
+            made = self.direct_many(words.take(pa.array(order[n:])).to_pylist())
+            ids.append(np.frombuffer(b"".join(made), "<u4"))
+            counts.append(np.array([len(m) // 4 for m in made], np.int64))
+        places = np.empty(len(order), np.int64)
+        places[order] = len(self.words) + np.arange(len(order))
+        self.words = pa.concat_arrays([self.words, words.take(pa.array(order))])
+        self.ids = np.concatenate(ids).astype(np.uint32)
+        self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum(np.concatenate(counts))])
+        return places
+
+    def _places(self, words: pa.StringArray) -> np.ndarray:
+        """Where distinct words stand among the known ones."""
+        found = pc.index_in(words, value_set=self.words)
+        if not found.null_count:
+            return found.to_numpy().astype(np.int64)
+        if len(self.words) + found.null_count > CACHED_WORDS or self.ends[-1] > CACHED_IDS:
+            self.forget()
+            return self.learn(words)
+        new = found.is_null().to_numpy(zero_copy_only=False)
+        places = found.fill_null(0).to_numpy().astype(np.int64)
+        places[new] = self.learn(words.filter(pa.array(new)))
+        return places
+
+    def encode_arrow(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts in a row, and where each text's begin and end. White space
+        always parts pre-tokens, so texts are encoded word by word."""
         try:
-            return (text if text.isascii() else text.decode("utf-8", "replace").encode("latin-1")).translate(_LOWER)
-        except UnicodeEncodeError:
-            return None
+            texts = texts.cast(pa.string())
+        except pa.ArrowInvalid:  # bytes that are no UTF-8
+            texts = pa.array([t.decode("utf-8", "replace") for t in texts.cast(pa.binary()).to_pylist()], pa.string())
+        split = pc.ascii_split_whitespace(texts)
+        bounds = split.offsets.to_numpy().astype(np.int64)
+        words = split.flatten().dictionary_encode()
+        if not len(words):
+            return np.empty(0, np.uint32), np.zeros(len(texts) + 1, np.int64)
+        places = self._places(words.dictionary)[words.indices.to_numpy()]
+        counts = self.ends[places + 1] - self.ends[places]
+        after = np.concatenate(([0], np.cumsum(counts)))
+        ids = self.ids[np.repeat(self.ends[places] - after[:-1], counts) + np.arange(after[-1])]
+        return ids, after[bounds - bounds[0]]
 
     def encode_many(self, texts: list[bytes]) -> list[bytes]:
-        """Ids of texts, word by word: white space always parts pre-tokens."""
-        known = self.words
-        split = [None if t is None else t.split() for t in map(self.narrow, texts)]
-        new = set().union(*(w for w in split if w)).difference(known)
-        if new:
-            if len(known) + len(new) > CACHED_WORDS:
-                known.clear()
-                new = set().union(*(w for w in split if w))
-            self.learn(new)
-        if len(self.wide) > CACHED_WORDS // 4:
-            self.wide.clear()
-        return [b"".join([known[w] for w in words]) if words is not None else b"".join([self.wide[w] for w in text.split()]) for words, text in zip(split, texts, strict=True)]
+        ids, ends = self.encode_arrow(pa.array(texts, pa.binary()))
+        raw, ends = ids.astype("<u4").tobytes(), (4 * ends).tolist()
+        return [raw[a:z] for a, z in zip(ends, ends[1:], strict=False)]
 
     def encode(self, text: bytes) -> bytes:
         return self.encode_many([text])[0]
@@ -258,16 +281,17 @@ class ChunkEncoder:
     """Whole texts by reused chunks and repaired joins, for one Python worker."""
 
     _SPACE = re.compile(rb"[ \t\n\r\x0b\f]")
+    _LAST_SPACE = re.compile(rb"[ \t\n\r\x0b\f][^ \t\n\r\x0b\f]*\Z")
 
     def __init__(self, codec: Codec, bits: int = CHUNK_BITS):
         self.codec, self.bits = codec, bits
         self.chunks: dict[bytes, tuple[int, int, bytes]] = {}
-        self.joins: dict[tuple[bytes, bytes], bytes] = {}
+        self.joins: dict[tuple[bytes, bytes, bytes], bytes] = {}
         self.held = 0
-        self.reused = self.encoded = 0
+        self.reused = self.encoded = self.repaired = 0
 
     def _parts(self, chunk: bytes) -> tuple[int, int]:
-        """Where its first white space begins and its last one is; equal ends: it has
+        """Where its first white space begins and its last one ends; equal ends: it has
         none, and belongs to a join as a whole."""
         first = self._SPACE.search(chunk)
         return (len(chunk), len(chunk)) if first is None else (first.start(), max(map(chunk.rfind, (b" ", b"\t", b"\n", b"\r", b"\x0b", b"\f"))) + 1)
@@ -287,56 +311,64 @@ class ChunkEncoder:
         for c, (a, z), ids in zip(new, parts, self.codec.encode_many([c[a:z] for c, (a, z) in zip(new, parts, strict=True)]), strict=True):
             self.chunks[c] = (a, z, ids)
 
-    def _repair(self, text: bytes, start: int, end: int) -> bytes:
-        """Ids of text[start:end], what stands around a cut up to the nearest white
-        space: encoded with its neighbour words, more of them until both outer sides
-        of the window give just the ids that they have on their own."""
-        middle = text[start:end]
-        if not middle:
-            return b""
-        if start == 0:  # up to the first white space of a text: no cut, or no chunk to agree with
-            return self.codec.encode(middle)
-        reach = 1
-        while True:
-            a, b = max(0, start - reach), min(len(text), end + reach)
-            while 0 < a < start and text[a - 1 : a] not in b" \t\n\r\x0b\f":
-                a -= 1
-            while end < b < len(text) and text[b : b + 1] not in b" \t\n\r\x0b\f":
-                b += 1
-            left, right = text[a:start], text[end:b]
-            key = (left, middle + right)
-            ids = self.joins.get(key)
-            if ids is not None:
-                return ids
-            window = self.codec.direct((left + middle + right).decode("utf-8", "replace"))
-            before, after = self.codec.encode(left), self.codec.encode(right)
-            inner = window[len(before) : len(window) - len(after)]
-            if window == before + inner + after and inner == self.codec.encode(middle):
-                self.joins[key] = inner
-                self.held += len(left) + len(middle) + len(right)
-                return inner
-            if a == 0 and b == len(text):
-                return inner
-            reach = 16 * reach
+    def _window(self, text: bytes, start: int, end: int, reach: int) -> tuple[bytes, bytes, bytes]:
+        """What stands before, in and behind text[start:end], ``reach`` bytes or more to
+        each side, up to white space."""
+        a, b = max(0, start - reach), min(len(text), end + reach)
+        while 0 < a < start and text[a - 1 : a] not in b" \t\n\r\x0b\f":
+            a -= 1
+        while end < b < len(text) and text[b : b + 1] not in b" \t\n\r\x0b\f":
+            b += 1
+        return text[a:start], text[start:end], text[end:b]
+
+    def _repair(self, texts: list[bytes], joins: list[tuple[int, int, int]]) -> list[bytes]:
+        """Ids of what stands around a cut up to the nearest white space, for joins (text,
+        start, end): encoded with its neighbour words, more of them until both outer
+        sides of the window give just the ids that they have on their own."""
+        out, open_, reach = [b""] * len(joins), [n for n, (_, a, z) in enumerate(joins) if z > a], 1
+        while open_:
+            windows = [self._window(texts[joins[n][0]], joins[n][1], joins[n][2], reach) for n in open_]
+            new = [w for w in dict.fromkeys(windows) if w not in self.joins]
+            self.repaired += len(new)
+            alone = self.codec.encode_many([part for w in new for part in w])
+            whole = self.codec.direct_many([b"".join(w).decode("utf-8", "replace") for w in new])
+            for w, ids, before, middle, after in zip(new, whole, alone[::3], alone[1::3], alone[2::3], strict=True):
+                if ids == before + middle + after:
+                    self.joins[w] = middle
+                    self.held += sum(map(len, w)) + len(middle)
+            left = []
+            for n, w in zip(open_, windows, strict=True):
+                if (ids := self.joins.get(w)) is not None:
+                    out[n] = ids
+                elif sum(map(len, w)) == len(texts[joins[n][0]]):  # all of it: no side to agree with
+                    out[n] = self.codec.direct_many([w[1].decode("utf-8", "replace")])[0]
+                else:
+                    left.append(n)
+            open_, reach = left, 16 * reach
+        return out
 
     def encode(self, text: bytes) -> bytes:
         return self.encode_many([text])[0]
 
     def encode_many(self, texts: list[bytes]) -> list[bytes]:
         cut = [[0, *cut_points(np.frombuffer(t, np.uint8), self.bits).tolist(), len(t)] for t in texts]
-        self._learn([t[a:z] for t, ends in zip(texts, cut, strict=True) for a, z in zip(ends, ends[1:], strict=False)])
-        return [self._join(t, ends) for t, ends in zip(texts, cut, strict=True)]
-
-    def _join(self, text: bytes, ends: list[int]) -> bytes:
-        out, open_at = [], 0
-        for start, end in zip(ends, ends[1:], strict=False):
-            a, z, ids = self.chunks[text[start:end]]
-            if a < end - start:
-                out.append(self._repair(text, open_at, start + a))
-                out.append(ids)
-                open_at = start + z
-        out.append(self._repair(text, open_at, len(text)))
-        return b"".join(out)
+        parts = [[t[a:z] for a, z in zip(ends, ends[1:], strict=False)] for t, ends in zip(texts, cut, strict=True)]
+        self._learn([c for p in parts for c in p])
+        joins: list[tuple[int, int, int]] = []
+        inner: list[list[bytes]] = []
+        for n, (t, p) in enumerate(zip(texts, parts, strict=True)):
+            at, open_at, own = 0, 0, []
+            for c in p:
+                a, z, ids = self.chunks[c]
+                if a < len(c):
+                    joins.append((n, open_at, at + a))
+                    own.append(ids)
+                    open_at = at + z
+                at += len(c)
+            joins.append((n, open_at, len(t)))
+            inner.append(own)
+        made = iter(self._repair(texts, joins))
+        return [b"".join([x for ids in own for x in (next(made), ids)]) + next(made) for own in inner]
 
 
 def map_encoded(docs: DataFrame, emit: Callable[[bytes, Codec], tuple], fields: str, text: str = "text", keep: tuple[str, ...] = ("doc_id",), path: str | None = None) -> DataFrame:
@@ -350,11 +382,10 @@ def map_encoded(docs: DataFrame, emit: Callable[[bytes, Codec], tuple], fields:
         codec = Codec.load(path)
         chunks = ChunkEncoder(codec)
         for b in batches:
-            for at in range(0, b.num_rows, 256):
-                part = b.slice(at, 256)
-                rows = [emit(ids, codec) for ids in chunks.encode_many(part.column(0).to_pylist())]
+            if b.num_rows:
+                rows = [emit(ids, codec) for ids in chunks.encode_many(b.column(0).to_pylist())]
                 columns = [pa.array(list(c)) for c in zip(*rows, strict=True)]
-                yield pa.RecordBatch.from_arrays([*part.columns[1:], *columns], names=[f"f{i}" for i in range(len(part.columns) - 1 + len(columns))])
+                yield pa.RecordBatch.from_arrays([*b.columns[1:], *columns], names=[f"f{i}" for i in range(len(b.columns) - 1 + len(columns))])
 
     return map_arrow(narrow, run, schema)
 

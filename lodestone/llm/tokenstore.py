@@ -5,15 +5,17 @@ Files under the store's folder, all Parquet:
 ``objects/kind=chunk``   digest, payload: each distinct chunk of ids once; the payload is
                  little-endian unsigned 16-bit, or 32-bit where an id needs it
 ``objects/kind=recipe``  the documents' recipes as the encoding tasks wrote them
-``recipes``      doc_id, start, n_tokens, digests, lengths: in ascending doc_id order;
-                 ``start`` is the number of ids of all documents before
+``recipes``      doc_id, start, n_tokens, crc, digests, lengths: in ascending doc_id order;
+                 ``start`` is the number of ids of all documents before, ``crc`` the
+                 crc32 of all ids as they were encoded
 ``manifest``     segment, n_docs, n_tokens, root: a Merkle root for each run of
                  SEGMENT ids, over the leaves (hashed recipes) of its documents
 
 A rolling hash over the ids cuts each document's stream, so equal passages give
 equal chunks. A task drops the chunks it has already sent; after one shuffle by
-digest each is stored once. Reading recomputes every chunk's digest and every
-Merkle root and fails on any difference or missing chunk.
+digest, sorted by it, each is stored once. Reading recomputes every chunk's digest,
+every Merkle root and, from the stored chunks in recipe order, every document's crc32,
+and fails on any difference or missing chunk.
 
 Null texts count as empty: their documents hold the end id alone. Null ids come
 first; rows that repeat an id are documents of their own, in the order of their
@@ -58,62 +60,54 @@ def _encode(path: str, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = Codec.load(path)
         sent: set[bytes] = set()
-        for whole in batches:
-            for at in range(0, whole.num_rows, 256):
-                b = whole.slice(at, 256)
-                docs, keys, payloads, digests, lengths, counts = [], [], [], [], [], []
-                for n, raw in enumerate(codec.encode_many(b.column(0).to_pylist())):
-                    ids = np.frombuffer(raw + end_id.to_bytes(4, "little"), "<u4")
-                    ends = [0, *cut_points(ids & 0xFFFF, CHUNK_BITS).tolist(), len(ids)]
-                    parts = [ids[a:z] for a, z in zip(ends, ends[1:], strict=False)]
-                    names = [_digest(p) for p in parts]
-                    for name, part in zip(names, parts, strict=True):
-                        if name not in sent:
-                            if len(sent) >= SENT:
-                                sent.clear()
-                            sent.add(name)
-                            docs.append(None)
-                            keys.append(name)
-                            payloads.append(_pack(part))
-                            digests.append(None)
-                            lengths.append(None)
-                            counts.append(None)
-                    docs.append(n)
-                    keys.append(None)
-                    payloads.append(None)
-                    digests.append(b"".join(names))
-                    lengths.append([len(p) for p in parts])
-                    counts.append(len(ids))
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(["recipe" if k is None else "chunk" for k in keys]),
-                        pa.array(keys, pa.binary()),
-                        pa.array(payloads, pa.binary()),
-                        b.column(1).take(pa.array(docs, pa.int64())),
-                        pa.array(digests, pa.binary()),
-                        pa.array(lengths, pa.list_(pa.int32())),
-                        pa.array(counts, pa.int64()),
-                    ],
-                    names=["kind", "digest", "payload", "doc_id", "digests", "lengths", "n_tokens"],
-                )
+        end = np.array([end_id], np.uint32)
+        for b in batches:
+            flat, bounds = codec.encode_arrow(b.column(0))
+            keys, payloads, digests, lengths, counts, crcs = [], [], [], [], [], []
+            for a, z in zip(bounds.tolist(), bounds[1:].tolist(), strict=False):
+                ids = np.concatenate([flat[a:z], end])
+                ends = [0, *cut_points(ids & 0xFFFF, CHUNK_BITS).tolist(), len(ids)]
+                raw = ids.astype("<u4").tobytes()
+                names = [blake2b(raw[4 * i : 4 * j], digest_size=16).digest() for i, j in zip(ends, ends[1:], strict=False)]
+                for name, i, j in zip(names, ends, ends[1:], strict=False):
+                    if name not in sent:
+                        if len(sent) >= SENT:
+                            sent.clear()
+                        sent.add(name)
+                        keys.append(name)
+                        payloads.append(_pack(ids[i:j]))
+                digests.append(b"".join(names))
+                lengths.append(np.diff(ends).astype(np.int32))
+                counts.append(len(ids))
+                crcs.append(zlib.crc32(raw))
+            n, m = len(keys), b.num_rows
+            recipes = [pa.array(digests, pa.binary()), pa.array(lengths, pa.list_(pa.int32())), pa.array(counts, pa.int64()), pa.array(crcs, pa.int64())]
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(["chunk"] * n + ["recipe"] * m),
+                    pa.array([*keys, *[None] * m], pa.binary()),
+                    pa.array([*payloads, *[None] * m], pa.binary()),
+                    *(pa.concat_arrays([pa.nulls(n, c.type), c]) for c in [b.column(1), *recipes]),
+                ],
+                names=["kind", "digest", "payload", "doc_id", "digests", "lengths", "n_tokens", "crc"],
+            )
 
     return run
 
 
 def _once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of the chunks that meet in a task, each one once; recipes pass."""
-    seen: set[bytes] = set()
+    """Of rows sorted by digest, the first of each; recipes (no digest) pass."""
+    last = None
     for b in batches:
         keep = []
         for d in b.column(1).to_pylist():
-            keep.append(d is None or d not in seen)
-            if d is not None:
-                seen.add(d)
-        yield b.filter(pa.array(keep))
+            keep.append(d is None or d != last)
+            last = d
+        yield b.filter(pa.array(keep, pa.bool_()))
 
 
 def _leaf() -> Column:
-    return F.sha2(F.concat_ws("|", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.col("n_tokens").cast("string"), F.hex("digests")), 256)
+    return F.sha2(F.concat_ws("|", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.col("n_tokens").cast("string"), F.col("crc").cast("string"), F.hex("digests")), 256)
 
 
 def merkle_root(leaves: list[str]) -> str:
@@ -141,15 +135,15 @@ def write_store(docs: DataFrame, path: str, text: str = "text", doc_id: str = "d
     """Encode all documents and write the store to ``path``, a folder not there yet."""
     narrow = docs.select(text_bytes(text).alias("_text"), F.col(f"`{doc_id}`").alias("doc_id"))
     kind = narrow.schema["doc_id"].dataType.simpleString()
-    schema = f"kind string, digest binary, payload binary, doc_id {kind}, digests binary, lengths array<int>, n_tokens bigint"
+    schema = f"kind string, digest binary, payload binary, doc_id {kind}, digests binary, lengths array<int>, n_tokens bigint, crc bigint"
     made = map_arrow(narrow, _encode(vocabulary or vocabulary_path(), end_id), schema)
     deal = F.when(F.col("digest").isNull(), F.xxhash64("digests", "doc_id")).otherwise(F.xxhash64("digest"))
-    once = map_arrow(made.repartition(partitions(docs.sparkSession), deal), _once, schema)
+    once = map_arrow(made.repartition(partitions(docs.sparkSession), deal).sortWithinPartitions("digest"), _once, schema)
     once.write.option("compression", "zstd").partitionBy("kind").parquet(f"{path}/objects")
     spark = docs.sparkSession
-    recipes = spark.read.schema(f"doc_id {kind}, digests binary, lengths array<int>, n_tokens bigint, kind string").parquet(f"{path}/objects").filter("kind = 'recipe'").drop("kind")
+    recipes = spark.read.schema(f"doc_id {kind}, digests binary, lengths array<int>, n_tokens bigint, crc bigint, kind string").parquet(f"{path}/objects").filter("kind = 'recipe'").drop("kind")
     ordered = range_prefix(recipes, [F.col("doc_id"), F.col("digests")], "n_tokens", "start", name="recipes")
-    ordered.select("doc_id", "start", "n_tokens", "digests", "lengths").write.option("compression", "zstd").parquet(f"{path}/recipes")
+    ordered.select("doc_id", "start", "n_tokens", "crc", "digests", "lengths").write.option("compression", "zstd").parquet(f"{path}/recipes")
     _roots(spark.read.parquet(f"{path}/recipes")).write.parquet(f"{path}/manifest")
 
 
@@ -169,9 +163,9 @@ def _recipes(spark: SparkSession, path: str) -> DataFrame:
 
 def _uses(recipes: DataFrame) -> DataFrame:
     """One row per chunk use: doc_id, start, pos, digest, length, after (ids behind it)."""
-    use = recipes.select("doc_id", "start", "n_tokens", "digests", F.posexplode("lengths").alias("pos", "length"), "lengths")
+    use = recipes.select("doc_id", "start", "n_tokens", F.col("crc").alias("said"), "digests", F.posexplode("lengths").alias("pos", "length"), "lengths")
     before = F.aggregate(F.slice("lengths", F.lit(1), F.col("pos")), F.lit(0).cast("long"), lambda a, x: a + x)
-    return use.select("doc_id", "start", "pos", F.expr("substring(digests, pos * 16 + 1, 16)").alias("digest"), "length", (F.col("n_tokens") - before - F.col("length")).alias("after"))
+    return use.select("doc_id", "start", "said", "pos", F.expr("substring(digests, pos * 16 + 1, 16)").alias("digest"), "length", (F.col("n_tokens") - before - F.col("length")).alias("after"))
 
 
 _POLY = 0xEDB88320
@@ -227,18 +221,20 @@ def read_digests(spark: SparkSession, path: str) -> DataFrame:
     def shifted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tables = _zero_tables()
         for b in batches:
-            crc, n, length, after = (b.column(k) for k in (2, 3, 4, 5))
+            said, crc, n, length, after = b.columns[2:]
             if crc.null_count or (n.to_numpy() != length.to_numpy()).any():
                 raise ValueError("a chunk that a recipe names is missing or has another length")
             moved = shift_crc(crc.to_numpy(), 4 * after.to_numpy(), tables)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(moved), n], names=["doc_id", "start", "crc", "n"])
+            yield pa.RecordBatch.from_arrays([*b.columns[:2], said, pa.array(moved), n], names=["doc_id", "start", "said", "crc", "n"])
 
     crcs = map_arrow(_chunks(spark, path), hashed, "digest binary, crc bigint, n bigint")
     recipes = _recipes(spark, path)
     kind = recipes.schema["doc_id"].dataType.simpleString()
-    parts = _uses(recipes).join(crcs, "digest", "left").select("doc_id", "start", "crc", "n", F.col("length").cast("long").alias("length"), "after")
-    moved = map_arrow(parts, shifted, f"doc_id {kind}, start bigint, crc bigint, n bigint")
-    return moved.groupBy("doc_id", "start").agg(F.sum("n").alias("n_tokens"), F.bit_xor("crc").alias("ids_crc32"))
+    parts = _uses(recipes).join(crcs, "digest", "left").select("doc_id", "start", "said", "crc", "n", F.col("length").cast("long").alias("length"), "after")
+    moved = map_arrow(parts, shifted, f"doc_id {kind}, start bigint, said bigint, crc bigint, n bigint")
+    whole = moved.groupBy("doc_id", "start").agg(F.sum("n").alias("n_tokens"), F.bit_xor("crc").alias("crc"), F.first("said").alias("said"))
+    wrong = F.raise_error(F.lit("the chunks of a document do not give the ids that were written")).cast("bigint")
+    return whole.select("doc_id", "start", "n_tokens", F.when(F.col("crc") == F.col("said"), F.col("crc")).otherwise(wrong).alias("ids_crc32"))
 
 
 def read_documents(spark: SparkSession, path: str) -> DataFrame:
