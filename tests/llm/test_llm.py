@@ -1,6 +1,7 @@
 """The training-data operators against brute force, round trips and held-out accuracy."""
 
 import hashlib
+import itertools
 import random
 import re
 import zlib
@@ -101,8 +102,8 @@ def test_pii_skip_links_add_what_a_pattern_misses(spark, docs):
 
 
 def test_pii_all_repeats_of_a_token_agree(spark, docs):
-    fitted, level = pii.fit_field(docs), pii.Field(len(pii.shape("")))
-    level.skip = 4.0
+    fitted, level = pii.fit_field(docs), pii.Field()
+    level.skip = np.array([4.0, 0.0])
     for field, later in ((fitted, "(521) 555-6210"), (level, "15215556210")):
         for repeats in (1, 60):
             text = "Call +15215556210 today. " if field is level else "Call +1 (521) 555-6210 today. "
@@ -113,6 +114,61 @@ def test_pii_all_repeats_of_a_token_agree(spark, docs):
             assert sum(later[-8:] in t for t in added) == repeats
 
 
+def exact_marginals(field, g):
+    """By enumeration of all labels, shared nodes included."""
+    groups = [(k, group) for k, of in enumerate(g.groups) for group in of]
+    n, total = len(g.known), np.zeros((len(g.known), pii.LABELS))
+    kinds = [set(g.known[m].tolist()) - {-1} for _, m in groups]
+    known = [*g.known.tolist(), *(min(k) if len(k) == 1 else -1 for k in kinds)]
+    for y in itertools.product(range(pii.LABELS), repeat=n + len(groups)):
+        if all(k in (-1, v) for k, v in zip(known, y, strict=True)):
+            score = sum(g.shapes[m] @ field.unary[:, y[m]] for m in range(n))
+            score += sum(field.chain[gap, y[m], y[m + 1]] for m, gap in g.chain)
+            score += sum(field.skip[k] * (y[m] == y[n + i]) for i, (k, group) in enumerate(groups) for m in group)
+            for m in range(n):
+                total[m, y[m]] += np.exp(score)
+    return total / total.sum(axis=1, keepdims=True)
+
+
+def test_pii_marginals_equal_enumeration():
+    rng = np.random.default_rng(5)
+    field = pii.Field()
+    field.unary, field.chain, field.skip = rng.normal(0, 0.7, field.unary.shape), rng.normal(0, 0.7, field.chain.shape), np.array([1.2, 0.6])
+    far = " w" * 9 + " "
+    for text, tolerance in (
+        ("a 12 b 345 67", 1e-3),  # a chain
+        (f"12345678{far}a@b{far}1234-5678", 1e-3),  # equal tokens
+        (f"+1 521 5556210{far}5556210{far}99", 1e-3),
+        (f"5215556210{far}5215556211", 1e-3),  # similar ones
+        (f"5556210 x 42 5556210{far}7", 0.05),  # a loop
+    ):
+        g = pii.Graph(text, pii.base_spans(text))
+        assert len(g.chain) or any(g.groups)
+        assert np.abs(field.marginals(g) - exact_marginals(field, g)).max() < tolerance, text
+
+
+def test_pii_similar_tokens_and_other_digits(spark, docs):
+    field = pii.fit_field(docs)
+
+    def added(text):
+        return [(text[a:z], pii.KINDS[k]) for a, k, z in field.added_spans(text, pii.base_spans(text))]
+
+    assert added("pay 4465758382889437 4465758382889437 now") == [("4465758382889437", "card")] * 2
+    assert added("pay 4465758382889438 now") == []  # fails its check alone
+    text = "Call +1 (521) 555-6210 now. Or write, " + "word " * 12 + "5215556210 at night."
+    assert ("5215556210", "phone") in added(text)
+    for odd in ("version 1.2.3.²", "①②③④⑤⑥⑦ ٠١٢.٣٤.٥.٦ 1.2.3.٤", "² 1²3 @ @@ +", "12" * 5000 + " @"):
+        assert added(odd) == []
+
+
+def test_pii_learns_from_whole_texts(spark):
+    words = "word " * 400
+    df = spark.createDataFrame([(n, f"{words}{n} mail a{n}@b.de {words}call +1 (521) 555-62{10 + n % 80} end", "s") for n in range(60)], DOCS)
+    assert pii.fit_field(df).unary[1, 1] > 0.1
+    rows = pii.training_rows("x 12 4465758382889437 4465758382889437 a@b.c 4465758382889438x 1.2.3.400")
+    assert rows[:, pii.SHAPES].tolist() == [0, 1, 0, 0] or rows.shape[1] == pii.ROW
+
+
 def test_pii_odd(spark, odd, empty):
     field = pii.fit_field(odd)
     got = pii.span_digests(pii.find_pii(odd, field)).collect()
@@ -154,10 +210,12 @@ def test_codec_equals_the_library(codec, docs):
 def test_merges_equal_the_model(codec):
     rng = random.Random(5)
     words = {"".join(rng.choice("abcdeilnorst") for _ in range(rng.randint(1, 39))).encode() for _ in range(3000)}
-    codec.words.clear()
-    codec.learn(words)
-    for w in words:
-        assert codec.words[w] == library(codec, w.decode())[0]
+    words |= {"".join(rng.choice("abrsteé Üß12.,'-(_&<|>²µ") for _ in range(rng.randint(1, 12))).encode() for _ in range(6000)}
+    codec.forget()
+    for w, ids in zip(words, codec.encode_many(list(words)), strict=True):
+        assert ids == library(codec, w.decode())[0]
+    codec.forget()
+    assert [codec.encode(w) for w in list(words)[:99]] == codec.encode_many(list(words)[:99])
 
 
 def test_bpe_query_and_odd(spark, codec, odd, empty):
