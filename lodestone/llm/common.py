@@ -78,47 +78,61 @@ def free_name(df: DataFrame, wish: str) -> str:
     return wish
 
 
-def range_prefix(df: DataFrame, order: list[Column], value: str, out: str, group: str | None = None, name: str = "prefix") -> DataFrame:
+def range_prefix(df: DataFrame, order: list[Column], value: str | list[str], out: str | list[str], group: str | None = None, name: str = "prefix") -> DataFrame:
     """Add ``out``: the sum of ``value`` over all rows before this one in the global
-    order ``order`` (within ``group``, the first column of the order, if given).
+    order ``order`` (within ``group``, the first column of the order, if given; null is a
+    group of its own); several values at once as lists.
 
     Rows are dealt by range and sorted; each task sums what it holds, and only one
     total per task (and group) is summed over all tasks. No window spans the table.
     """
     spark = df.sparkSession
+    values, outs = ([value], [out]) if isinstance(value, str) else (value, out)
     keys = [F.col(group), *order] if group else order
     ranged = df.repartitionByRange(partitions(spark), *keys).sortWithinPartitions(*keys)
-    names, vi = df.columns, df.columns.index(value)
+    names = df.columns
+    at = [names.index(v) for v in values]
     gi = names.index(group) if group else None
-    schema = T.StructType([*df.schema.fields, T.StructField("_task", T.IntegerType()), T.StructField("_run", T.LongType())])
+    runs = [f"_run{n}" for n in range(len(values))]
+    schema = T.StructType([*df.schema.fields, T.StructField("_task", T.IntegerType()), *[T.StructField(r, T.LongType()) for r in runs]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
         from pyspark import TaskContext
 
-        task, total, last = TaskContext.get().partitionId(), 0, None
+        task, totals, last = TaskContext.get().partitionId(), [0] * len(at), ()
         for b in batches:
             if not b.num_rows:
                 continue
-            v = b.column(vi).to_numpy(zero_copy_only=False).astype(np.int64)
-            before = np.cumsum(v) - v
-            if gi is None:
-                before += total
-                total = int(before[-1] + v[-1])
-            else:
+            starts = None
+            if gi is not None:
                 g = b.column(gi).to_numpy(zero_copy_only=False)
                 starts = np.concatenate(([0], np.flatnonzero(g[1:] != g[:-1]) + 1))
-                base = before[starts].copy()
-                if last is not None and g[0] == last:
-                    base[0] -= total
-                before = before - np.repeat(base, np.diff(np.append(starts, len(g))))
-                total, last = int(before[-1] + v[-1]), g[-1]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(np.full(b.num_rows, task, np.int32)), pa.array(before)], names=[*b.schema.names, "_task", "_run"])
+            sums = []
+            for n, vi in enumerate(at):
+                v = b.column(vi).to_numpy(zero_copy_only=False).astype(np.int64)
+                before = np.cumsum(v) - v
+                if starts is None:
+                    before += totals[n]
+                else:
+                    base = before[starts].copy()
+                    if last == (g[0],):
+                        base[0] -= totals[n]
+                    before = before - np.repeat(base, np.diff(np.append(starts, len(g))))
+                totals[n] = int(before[-1] + v[-1])
+                sums.append(pa.array(before))
+            last = () if gi is None else (g[-1],)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(np.full(b.num_rows, task, np.int32)), *sums], names=[*b.schema.names, "_task", *runs])
 
     table = materialise(map_arrow(ranged, run, schema), name)
     by = [group] if group else []
-    totals = table.groupBy(*by, "_task").agg(F.sum(value).alias("_sum"))
+    totals = table.groupBy(*by, "_task").agg(*[F.sum(v).alias(f"_sum{n}") for n, v in enumerate(values)])
     # one row per task (and group)
     w = "OVER (" + (f"PARTITION BY `{group}` " if group else "") + "ORDER BY _task ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
-    offsets = totals.select(*by, "_task", F.expr(f"coalesce(sum(_sum) {w}, 0)").alias("_off"))
-    return table.join(F.broadcast(offsets), [*by, "_task"]).withColumn(out, F.col("_off") + F.col("_run")).select(*names, out)
+    offsets = totals.select(*[F.col(c).alias("_of") for c in by], F.col("_task").alias("_at"), *[F.expr(f"coalesce(sum(_sum{n}) {w}, 0)").alias(f"_off{n}") for n in range(len(values))])
+    same = F.col("_task") == F.col("_at")
+    if group:  # as many rows as groups and tasks: the planner knows best
+        joined = table.join(offsets, same & F.col(group).eqNullSafe(F.col("_of")))
+    else:
+        joined = table.join(F.broadcast(offsets), same)
+    return joined.select(*names, *[(F.col(f"_off{n}") + F.col(r)).alias(o) for n, (r, o) in enumerate(zip(runs, outs, strict=True))])

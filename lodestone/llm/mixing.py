@@ -3,15 +3,15 @@
 Every source is a queue that serves its documents in shuffled order, again from
 the start once all are through. A document's virtual finish time is the words
 its source has sent by its end, divided by the source's weight. All documents
-are sorted globally by it and the mix ends when the total budget is spent: at
-that virtual time each source has sent weight x time words, or all it may, so
-the shares come out right at any cut. That time is solved in closed form from the
-sources' sizes, and each source's words are cut at its share of it, rounded down;
-the sort gives the order and ``position``, it does not cut.
+are sorted globally by it. At a document's finish, the mix has sent what the
+sources that are through by then had in all, and weight x time of each of the others;
+both are running sums over the sorted queue, which so tells behind which document
+the total budget is spent and at what virtual time exactly. There the queue is
+truncated: a document that is in service at that time is sent in part.
 
-The shuffle orders by md5 of the seed and the id, so reruns agree. Prefix sums
-inside a source go over hash buckets: no task holds a whole source. The table
-of sources (one row each) is the only thing that a single task sorts.
+The shuffle orders by md5 of the seed and the id, so reruns agree. All running sums,
+also those inside a source and the places of the sources, go over range-sorted rows:
+no task holds a whole source or all sources.
 
 Null texts have size 0 and are never taken; a null source is a source of its
 own. Rows that repeat an id are queued one by one. Empty tables give no rows.
@@ -22,14 +22,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, range_prefix
+from .common import range_prefix
 
 WEIGHTS = (5, 2, 1)
 BUDGET_SHARE = 1.5
 MAX_EPOCHS = 2
 SEED = "mix-1"
-#: Hash buckets of a source whose sums are prefix-summed: hex digits of the md5.
-BUCKET_DIGITS = 3
 
 
 def word_count(text: Column) -> Column:
@@ -37,77 +35,53 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
 
 
-def shares(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, budget_share: float = BUDGET_SHARE, epochs: int = MAX_EPOCHS) -> DataFrame:
-    """Per source: source_size, weight, target, and the virtual end of the mix.
-
-    The end solves sum(min(epochs x size, weight x time)) = budget: sources are
-    ordered by the time at which they are used up, and the end is the first such
-    solution that comes before the next source is used up.
-    """
-    spark = sizes.sparkSession
-    totals = sizes.groupBy("_source").agg(F.sum("size").alias("source_size"))
-    pick = " ".join(f"WHEN {n} THEN {w}" for n, w in enumerate(weights))
-    return spark.sql(
-        f"""
-        WITH ranked AS (
-          SELECT *, CASE (row_number() OVER (ORDER BY _source ASC NULLS LAST) - 1) % {len(weights)} {pick} END AS weight FROM {{totals}}),
-        filled AS (SELECT *, {epochs} * source_size AS cap, {epochs} * source_size / CAST(weight AS DOUBLE) AS full_at FROM ranked),
-        sums AS (
-          SELECT *, row_number() OVER (ORDER BY full_at, _source ASC NULLS LAST) AS place,
-            coalesce(sum(cap) OVER (ORDER BY full_at, _source ASC NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS sent,
-            sum(weight) OVER (ORDER BY full_at, _source ASC NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS open_weight,
-            {budget_share} * sum(source_size) OVER () AS budget FROM filled),
-        ends AS (SELECT *, (CAST(budget AS DOUBLE) - sent) / open_weight AS end_at FROM sums),
-        firsts AS (SELECT *, min(CASE WHEN end_at <= full_at THEN place END) OVER () AS first_place FROM ends),
-        ended AS (SELECT *, max(CASE WHEN place = first_place THEN end_at END) OVER () AS mix_end FROM firsts)
-        SELECT _source, source_size, CAST(weight AS INT) AS weight, mix_end,
-          CASE WHEN full_at <= mix_end THEN CAST(cap AS DOUBLE) ELSE weight * mix_end END AS target FROM ended
-        """,
-        totals=totals,
-    )
-
-
-def queue(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", source: str = "source", seed: str = SEED, row: str | None = None) -> DataFrame:
+def weighted(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS) -> DataFrame:
+    """Per source: source_size and weight, by the source's place in code point order, null last."""
+    totals = sizes.groupBy("_source").agg(F.sum("size").alias("source_size")).withColumn("one", F.lit(1).cast("long"))
+    placed = range_prefix(totals, [F.col("_source").asc_nulls_last()], "one", "place", name="mix-sources")
+    weight = F.element_at(F.array(*[F.lit(w) for w in weights]), (F.col("place") % len(weights) + 1).cast("int"))
+    return placed.select("_source", "source_size", weight.cast("long").alias("weight"))
+
+
+def queue(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", source: str = "source", seed: str = SEED, weights: tuple[int, ...] = WEIGHTS, row: str | None = None) -> DataFrame:
     """Documents with their place in their source's queue: doc_id, size, source_size,
-    weight, target, and ``_start``, the words of the source before them in shuffled order. A column ``row``
+    weight and ``_start``, the words of the source before them in shuffled order. A column ``row``
     that tells rows of one id apart comes along as ``_row``."""
     key = F.md5(F.concat(F.lit(f"{seed}|"), F.coalesce(F.col(f"`{doc_id}`").cast("string"), F.lit("null"))))
-    sizes = materialise(
-        docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{source}`").cast("string").alias("_source"), word_count(F.col(f"`{text}`")).alias("size"), key.alias("_key"), F.lit(None).cast("long").alias("_row") if row is None else F.col(f"`{row}`").alias("_row")),
-        "mix-sizes",
-    ).withColumn("_bucket", F.substring("_key", 1, BUCKET_DIGITS))
-    plan = materialise(shares(sizes), "mix-shares")
-    spark = docs.sparkSession
-    placed = spark.sql(
-        """
-        WITH buckets AS (SELECT _source, _bucket, sum(size) AS n FROM {sizes} GROUP BY _source, _bucket),
-        starts AS (
-          SELECT _source, _bucket, coalesce(sum(n) OVER (PARTITION BY _source ORDER BY _bucket ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM buckets),
-        inside AS (
-          SELECT *, coalesce(sum(size) OVER (PARTITION BY _source, _bucket ORDER BY _key, doc_id, size, _row ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS within FROM {sizes})
-        SELECT i.doc_id, i.size, i._source, i._key, i._row, s.before + i.within AS _start
-        FROM inside i JOIN starts s ON i._source <=> s._source AND i._bucket = s._bucket
-        """,
-        sizes=sizes,
-    )
-    of = plan.withColumnRenamed("_source", "_of")
+    sizes = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{source}`").cast("string").alias("_source"), word_count(F.col(f"`{text}`")).alias("size"), key.alias("_key"), F.lit(None).cast("long").alias("_row") if row is None else F.col(f"`{row}`").alias("_row"))
+    placed = range_prefix(sizes, [F.col(c) for c in ("_key", "doc_id", "size", "_row")], "size", "_start", group="_source", name="mix-queue")
+    of = weighted(placed, weights).withColumnRenamed("_source", "_of")
     return placed.join(of, F.col("_source").eqNullSafe(F.col("_of"))).drop("_of")
 
 
-def mix(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", source: str = "source", seed: str = SEED, epochs: int = MAX_EPOCHS, row: str | None = None) -> DataFrame:
-    """All copies of all documents in the order in which the mix sends them: doc_id,
-    epoch, size, finish (virtual), words (those sent before the budget is spent; 0
-    behind the cut) and ``position``, the words of the mix before this copy.
-
-    Sorted globally by virtual finish time: dealt by range, sorted within. At the cut,
-    each source's document in service is sent in part, as far as its share reaches."""
-    placed = queue(docs, text, doc_id, source, seed, row)
-    copies = placed.withColumn("epoch", F.explode(F.array(*[F.lit(e) for e in range(epochs)])))
-    start = F.col("_start") + F.col("epoch") * F.col("source_size")
-    words = F.greatest(F.lit(0).cast("long"), F.least(F.col("size"), F.floor("target") - start))
-    copies = copies.withColumn("finish", (start + F.col("size")) / F.col("weight")).withColumn("words", words.cast("long"))
-    copies = copies.select("doc_id", "epoch", "size", "source_size", "target", "finish", "words", "_source", "_key", "_start", *(["_row"] if row else []))
-    return range_prefix(copies, [F.col(c) for c in ("finish", "_source", "epoch", "_key", "doc_id", "size")], "words", "position", name="mix-order")
+def mix(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", source: str = "source", seed: str = SEED, epochs: int = MAX_EPOCHS, weights: tuple[int, ...] = WEIGHTS, budget_share: float = BUDGET_SHARE, row: str | None = None, positions: bool = True) -> DataFrame:
+    """All copies of all documents with their virtual ``finish``, by which the mix sends
+    them: doc_id, epoch, size, finish, ``words`` (those sent before the budget is spent; 0
+    behind the cut), ``target`` (words that the source may send) and, if asked for,
+    ``position``, the words of the mix before this copy."""
+    copies = queue(docs, text, doc_id, source, seed, weights, row).withColumn("epoch", F.explode(F.array(*[F.lit(e) for e in range(epochs)])))
+    cap, sent = F.lit(epochs) * F.col("source_size"), F.col("epoch") * F.col("source_size") + F.col("_start") + F.col("size")
+    ends = (F.col("size") > 0) & (sent == cap)  # its source's last words
+    copies = copies.withColumn("finish", sent / F.col("weight"))
+    copies = copies.withColumn("_ends", F.when(ends, F.col("weight")).otherwise(0)).withColumn("_ended", F.when(ends, cap).otherwise(0))
+    copies = copies.select("doc_id", "epoch", "size", "source_size", "weight", "finish", "_ends", "_ended", "_source", "_key", "_start", *(["_row"] if row else []))
+    order = [F.col(c) for c in ("finish", "_source", "epoch", "_key", "doc_id", "size")]
+    queued = range_prefix(copies, order, ["_ends", "_ended"], ["_idle", "_past"], name="mix-order")
+
+    # at each finish: the words of sources that are through, and the weight of the others
+    spent = queued.select("finish", (F.col("_idle") + F.col("_ends")).alias("idle"), (F.col("_past") + F.col("_ended")).alias("past"))
+    whole = queued.filter("epoch = 0").agg(F.coalesce(F.sum("size"), F.lit(0)).alias("words"), F.sum("_ends").alias("none"))
+    total = queued.agg(F.coalesce(F.sum("_ends"), F.lit(0)).alias("all_weight")).crossJoin(F.broadcast(whole.select((F.lit(budget_share) * F.col("words")).cast("double").alias("budget"))))
+    at = spent.crossJoin(F.broadcast(total)).filter((F.col("all_weight") - F.col("idle")) * F.col("finish") + F.col("past") <= F.col("budget"))
+    cut = at.agg(F.max(F.struct("finish", "idle", "past")).alias("c")).crossJoin(F.broadcast(total))
+    idle, past = F.coalesce("c.idle", F.lit(0)), F.coalesce("c.past", F.lit(0))
+    end = F.when(F.col("all_weight") > idle, (F.col("budget") - past) / (F.col("all_weight") - idle)).otherwise(F.coalesce("c.finish", F.lit(0.0)))
+    cut = cut.select(end.alias("_end"))  # one row: the virtual time at which the budget is spent
+
+    target = F.when(cap / F.col("weight") <= F.col("_end"), cap.cast("double")).otherwise(F.col("weight") * F.col("_end"))
+    words = F.greatest(F.lit(0).cast("long"), F.least(F.col("size"), F.floor("target") - F.col("_start") - F.col("epoch") * F.col("source_size")))
+    mixed = queued.crossJoin(F.broadcast(cut)).withColumn("target", target).withColumn("words", words.cast("long")).drop("_end", "_ends", "_ended", "_idle", "_past", "weight")
+    return range_prefix(mixed, order, "words", "position", name="mix-positions") if positions else mixed
 
 
 def taken_words(mixed: DataFrame, epochs: int = MAX_EPOCHS) -> DataFrame:
@@ -119,4 +93,4 @@ def taken_words(mixed: DataFrame, epochs: int = MAX_EPOCHS) -> DataFrame:
 
 def mixed_documents(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", source: str = "source", seed: str = SEED) -> DataFrame:
     """One row per document: doc_id, size, source_size, target, taken."""
-    return taken_words(mix(docs, text, doc_id, source, seed))
+    return taken_words(mix(docs, text, doc_id, source, seed, positions=False))

@@ -9,6 +9,7 @@ import zlib
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from lodestone.llm import bpe, chat, embeddings, exact_dedup, langid, mixing, pii, registry, simhash, tokenstore, urlfilter
 from lodestone.llm.common import new_path
@@ -166,7 +167,7 @@ def test_pii_learns_from_whole_texts(spark):
     df = spark.createDataFrame([(n, f"{words}{n} mail a{n}@b.de {words}call +1 (521) 555-62{10 + n % 80} end", "s") for n in range(60)], DOCS)
     assert pii.fit_field(df).unary[1, 1] > 0.1
     rows = pii.training_rows("x 12 4465758382889437 4465758382889437 a@b.c 4465758382889438x 1.2.3.400")
-    assert rows[:, pii.SHAPES].tolist() == [0, 1, 0, 0] or rows.shape[1] == pii.ROW
+    assert rows[:, pii.SHAPES].tolist() == [0, 1, 0, 0] and rows.shape[1] == pii.ROW
 
 
 def test_pii_odd(spark, odd, empty):
@@ -280,6 +281,29 @@ def test_mix_is_ordered_and_cut(spark, docs):
     assert [r.finish for r in mixed] == sorted(r.finish for r in mixed)
 
 
+def test_mix_takes_its_cut_from_the_sorted_queue(spark, docs, monkeypatch):
+    """Each source near its target; not so once the queue is sorted by something else."""
+    given = [(r.doc_id, r.text, r.source) for r in docs.collect()]
+    _, _, target = brute_mix(given)
+    source = {g[0]: g[2] for g in given}
+
+    def far():
+        sent = {}
+        for r in mixing.mixed_documents(docs).collect():
+            sent[source[r.doc_id]] = sent.get(source[r.doc_id], 0) + r.taken
+        return max(abs(sent[s] - t) for s, t in target.items())
+
+    assert far() <= 1
+    sort = mixing.range_prefix
+
+    def unsorted(df, order, value, out, **rest):
+        order = [F.col("_key"), *order] if rest["name"] == "mix-order" else order
+        return sort(df, order, value, out, **rest)
+
+    monkeypatch.setattr(mixing, "range_prefix", unsorted)
+    assert far() > 100
+
+
 def test_mix_empty(empty):
     assert mixing.mixed_documents(empty).count() == 0
 
