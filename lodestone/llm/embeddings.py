@@ -17,7 +17,7 @@ links of two blocks only a spanning star forest leaves the task.
 
 Vectors that are null, empty or zero, or hold null or non-finite components, and
 rows without an id, link with nothing; so do vectors of different lengths. Rows
-that share an id are one node. Labels and other columns are not read.
+that share an id are vectors of their own. Labels and other columns are not read.
 """
 
 from __future__ import annotations
@@ -55,13 +55,14 @@ def passes_for(rows: int, window: int = WINDOW, threshold: float = THRESHOLD, re
 
 
 def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Adds the digest of the components in double precision; null for vectors that link with nothing."""
     for b in batches:
         out = []
         for v in b.column(1):
             x = None if v.as_py() is None or v.values.null_count else v.values.to_numpy(zero_copy_only=False).astype(np.float64)
             ok = x is not None and len(x) and np.isfinite(x).all() and 0 < np.linalg.norm(x) < np.inf
             out.append(blake2b((x + 0.0).tobytes(), digest_size=16).digest() if ok else None)
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.binary())], names=["vec_id", "digest"])
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.binary())], names=["vec_id", "embedding", "digest"])
 
 
 def _keys(passes: int, bits: int):
@@ -110,7 +111,7 @@ def _compare(window: int, threshold: float, block: int):
         across = first != table.column("b")[0].as_py()
         own = rank // block == first
         copies = table.column("copies").to_numpy()
-        ranks, firsts = (np.array(table.column(c).to_pylist(), np.int64).reshape(n, -1) for c in ("ranks", "firsts"))
+        ranks, firsts = (np.array(table.column(c).to_pylist(), np.int64).reshape(n, p) for c in ("ranks", "firsts"))  # of the passes before
         embedding = table.column("embedding").combine_chunks()
         dims, values = embedding.value_lengths().to_numpy(), embedding.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
         starts = np.cumsum(dims) - dims
@@ -148,15 +149,16 @@ def near_vectors(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "e
     """One row per vector: vec_id, n_links, component_id, kept."""
     spark = vectors.sparkSession
     rows = vectors.select(F.col(f"`{vec_id}`").cast("long").alias("vec_id"), F.col(f"`{embedding}`").alias("embedding"))
-    ids = materialise(map_arrow(rows, _digests, "vec_id bigint, digest binary"), "vec-ids")
-    ids = ids.withColumn("digest", F.when(F.col("vec_id").isNotNull(), F.col("digest")))
-    nodes = materialise(ids.filter("digest IS NOT NULL").groupBy("digest").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies")), "vec-nodes")
-    n = nodes.select("rep").distinct().count()
-    passes, bits, pairs = passes_for(n, window, threshold, recall), shared_bits(n, window), n * (n - 1) // 2
-    distinct = rows.join(nodes.groupBy("rep").agg(F.max("copies").alias("copies")), F.col("vec_id") == F.col("rep")).dropDuplicates(["rep"]).select("rep", "copies", "embedding")
+    kind = rows.schema["embedding"].dataType.simpleString()
+    marked = map_arrow(rows, _digests, f"vec_id bigint, embedding {kind}, digest binary").withColumn("digest", F.when(F.col("vec_id").isNotNull(), F.col("digest")))
+    ids = materialise(marked.select("vec_id", "digest"), "vec-ids")
+    # equal digests are equal vectors, so any of theirs will do
+    distinct = marked.filter("digest IS NOT NULL").groupBy(F.col("digest").alias("rep")).agg(F.min("vec_id").alias("least"), F.count("*").alias("copies"), F.first("embedding").alias("embedding"))
     distinct = materialise(distinct, "vec-distinct")
+    n = distinct.count()
+    passes, bits, pairs = passes_for(n, window, threshold, recall), shared_bits(n, window), n * (n - 1) // 2
 
-    keys = map_arrow(distinct.select("rep", "embedding"), _keys(passes, BITS), "rep bigint, keys array<bigint>")
+    keys = map_arrow(distinct.select("rep", "embedding"), _keys(passes, BITS), "rep binary, keys array<bigint>")
     keys = keys.select("rep", F.posexplode("keys").alias("pass", "key")).withColumn("one", F.lit(1).cast("long"))
     if passes * window * n >= pairs:
         keys, bits = keys.filter("pass = 0"), 0
@@ -175,14 +177,16 @@ def near_vectors(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "e
     home, end = F.floor(F.col("rank") / block), (n - 1) // block
     low, high = F.least(F.col("rank") - window, F.col("first")), F.greatest(F.col("rank") + window, F.col("last"))
     met = F.sequence(F.greatest(F.floor(low / block), F.lit(0)), F.least(F.floor(high / block), F.lit(end)))
-    dealt = placed.select("rep", "copies", "embedding", "ranks", "firsts", "pass", "rank", "last", home.alias("home"), F.explode(met).alias("met"))
+    before = [F.slice(c, F.lit(1), F.col("pass")).alias(c) for c in ("ranks", "firsts")]
+    dealt = placed.select("rep", "copies", "embedding", *before, "pass", "rank", "last", home.alias("home"), F.explode(met).alias("met"))
     dealt = dealt.select("*", F.least("home", "met").alias("a"), F.greatest("home", "met").alias("b")).drop("home", "met")
-    found = materialise(dealt.groupBy("pass", "a", "b").applyInArrow(_compare(window, threshold, block), "rep bigint, links bigint, root bigint"), "vec-found")
+    found = materialise(dealt.groupBy("pass", "a", "b").applyInArrow(_compare(window, threshold, block), "rep binary, links bigint, root binary"), "vec-found")
 
     classes = connected_components(found.select(F.col("rep").alias("a"), F.col("root").alias("b")))
     links = found.groupBy("rep").agg(F.sum("links").alias("links"))
-    of = nodes.join(links, "rep", "left").join(classes, F.col("rep") == F.col("node"), "left")
-    of = of.select("digest", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
+    nodes = distinct.select("rep", "least", "copies").join(links, "rep", "left").join(classes, F.col("rep") == F.col("node"), "left").withColumn("class", F.coalesce("component", "rep"))
+    least = nodes.groupBy("class").agg(F.min("least").alias("component_id"))
+    of = nodes.join(least, "class").select(F.col("rep").alias("digest"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), "component_id")
     return ids.join(of, "digest", "left").select(
         "vec_id",
         F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
