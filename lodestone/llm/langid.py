@@ -7,16 +7,16 @@ and a linear layer to a softmax. A whole text is cut into windows, all of them a
 scored in batches, and their probabilities averaged.
 
 Training reads at most ``SAMPLE_DOCS`` labelled documents (the bound is a parameter),
-chosen by a hash of the id, and ``SAMPLE_BYTES`` of each from a hashed place on.
+chosen by a hash of id and text, and the whole text of each.
 
-A null text, or one without a letter, is ``und`` with score 0. Ids, sources and labels
+A null text, or one without a letter (Unicode category L; a number such as a Roman
+numeral or a superscript is none), is ``und`` with score 0. Ids, sources and labels
 are no input of a prediction. All columns of the input are kept, whatever their names;
 the two new ones get underscores in front while their names are taken.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,10 +31,8 @@ WINDOW = 256
 WIDTHS = (2, 3, 4)
 FILTERS = 16
 CLASSES = 64
-SAMPLE_DOCS = 3000
-SAMPLE_BYTES = 1024
+SAMPLE_DOCS = 1500
 UNKNOWN = "und"
-_LETTER = re.compile(r"[^\W\d_]")
 
 
 def byte_classes() -> np.ndarray:
@@ -99,33 +97,41 @@ class Network:
             out[a : a + batch] = e / e.sum(axis=1, keepdims=True)
         return out
 
+    def gradients(self, x: np.ndarray, y: np.ndarray) -> list[np.ndarray]:
+        """Of the mean cross entropy over a batch, in the order of the parameters; the
+        maximum passes its gradient to its place."""
+        self.compose()
+        raw, places = self.features(x, where=True)
+        h = np.maximum(raw + self.bias, 0)
+        z = h @ self.top + self.top_bias
+        e = np.exp(z - z.max(axis=1, keepdims=True))
+        g = e / e.sum(axis=1, keepdims=True)
+        g[np.arange(len(x)), y] -= 1
+        g /= len(x)
+        gh = (g @ self.top.T) * (h > 0)
+        grads = []
+        for n, w in enumerate(WIDTHS):
+            part = slice(n * FILTERS, (n + 1) * FILTERS)
+            gw = np.zeros_like(self.filters[w])
+            for k in range(w):
+                cls = np.take_along_axis(x, places[:, part] + k, axis=1)
+                np.add.at(gw[k], (cls, np.arange(FILTERS)[None, :]), gh[:, part])
+            grads.append(gw)
+        return [*grads, gh.sum(axis=0), h.T @ g, g.sum(axis=0)]
+
+    def parameters(self) -> list[np.ndarray]:
+        return [*self.filters.values(), self.bias, self.top, self.top_bias]
+
     def train(self, x: np.ndarray, y: np.ndarray, epochs: int = 6, batch: int = 64, rate: float = 0.01, seed: int = 11) -> None:
-        """Adam on the cross entropy; the maximum passes its gradient to its place."""
+        """Adam on the cross entropy."""
         rng = np.random.default_rng(seed)
-        params = [*self.filters.values(), self.bias, self.top, self.top_bias]
+        params = self.parameters()
         first, second, step = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params], 0
         for _ in range(epochs):
             order = rng.permutation(len(x))
             for a in range(0, len(x), batch):
                 at = order[a : a + batch]
-                self.compose()
-                raw, places = self.features(x[at], where=True)
-                h = np.maximum(raw + self.bias, 0)
-                z = h @ self.top + self.top_bias
-                e = np.exp(z - z.max(axis=1, keepdims=True))
-                g = e / e.sum(axis=1, keepdims=True)
-                g[np.arange(len(at)), y[at]] -= 1
-                g /= len(at)
-                gh = (g @ self.top.T) * (h > 0)
-                grads = []
-                for n, w in enumerate(WIDTHS):
-                    part = slice(n * FILTERS, (n + 1) * FILTERS)
-                    gw = np.zeros_like(self.filters[w])
-                    for k in range(w):
-                        cls = np.take_along_axis(x[at], places[:, part] + k, axis=1)
-                        np.add.at(gw[k], (cls, np.arange(FILTERS)[None, :]), gh[:, part])
-                    grads.append(gw)
-                grads += [gh.sum(axis=0), h.T @ g, g.sum(axis=0)]
+                grads = self.gradients(x[at], y[at])
                 step += 1
                 for p, gr, m, v in zip(params, grads, first, second, strict=True):
                     m += 0.1 * (gr - m)
@@ -139,7 +145,7 @@ def fold(doc_id: Column) -> Column:
     return F.pmod(F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")), F.lit(3))
 
 
-def train(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "doc_id", sample_docs: int = SAMPLE_DOCS, sample_bytes: int = SAMPLE_BYTES) -> Network | None:
+def train(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "doc_id", sample_docs: int = SAMPLE_DOCS) -> Network | None:
     """A network for the languages of the labelled documents that are not held out;
     None if there are none."""
     rows = docs.select(F.col(f"`{text}`").alias("text"), F.col(f"`{lang}`").alias("lang"), F.col(f"`{doc_id}`").alias("doc_id"))
@@ -147,20 +153,17 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: str =
     count = rows.select("lang").count()
     if not count:
         return None
-    key = F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit("langid")), F.lit(1 << 30))
-    rows = rows.withColumn("key", key).filter(F.col("key") < int((1 << 30) * min(1.0, sample_docs / count)))
-    # a byte range that starts at a hashed place; at most sample_bytes leave the executor
-    body, room = F.col("text").cast("binary"), F.greatest(F.lit(0), F.octet_length("text") - F.lit(sample_bytes))
-    cut = F.substring(body, F.pmod(F.col("key"), room + 1).cast("int") + F.lit(1), F.lit(sample_bytes))
-    sample = sorted((r.key, r.lang, bytes(r.cut)) for r in rows.select("key", "lang", cut.alias("cut")).limit(2 * sample_docs).collect())
-    labels = sorted({s[1] for s in sample})
+    key = F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.col("text"), F.lit("langid")), F.lit(1 << 30))
+    # more than enough by the hash, of these exactly the first ones
+    rows = rows.withColumn("key", key).filter(F.col("key") < int((1 << 30) * min(1.0, 2 * sample_docs / count)))
+    sample = rows.select("key", "lang", "text").orderBy("key", "lang", "text").limit(sample_docs).collect()
+    labels = sorted({s.lang for s in sample})
     if not labels:
         return None
     classes, x, y = byte_classes(), [], []
-    for _, label, cut_bytes in sample[:sample_docs]:
-        w = windows(cut_bytes, classes)
-        x.append(w[: max(1, len(cut_bytes) // WINDOW)])
-        y += [labels.index(label)] * len(x[-1])
+    for s in sample:
+        x.append(windows(s.text.encode(), classes))
+        y += [labels.index(s.lang)] * len(x[-1])
     net = Network(labels)
     net.train(np.concatenate(x), np.array(y))
     return net
@@ -177,7 +180,7 @@ def predict(docs: DataFrame, network: Network | None, text: str = "text") -> Dat
         for whole in batches:
             for lo in range(0, whole.num_rows, 256):
                 b = whole.slice(lo, 256)
-                texts = [t if t is not None and network is not None and _LETTER.search(t) else None for t in b.column(at).to_pylist()]
+                texts = [t if t is not None and network is not None and any(map(str.isalpha, t)) else None for t in b.column(at).to_pylist()]
                 preds, scores = [UNKNOWN] * len(texts), [0.0] * len(texts)
                 known = [n for n, t in enumerate(texts) if t is not None]
                 if known:
