@@ -6,7 +6,9 @@
 3. Globally: the groups' winners, at most ``salts`` per text, are combined.
 
 The text itself is a grouping key at every stage, so texts with equal digests
-are never taken for copies. Winners go back to the rows by (digest, salt).
+are never taken for copies. Winners go back to the rows by (digest, salt) where the
+comparison of contents has shown that the digest has one text only, which makes this
+the same as a join on the text, and by (digest, salt, text) where it has several.
 
 Null texts count as empty. Of equal texts the row with the largest ``doc_id``
 stays; null ids are smallest, and rows that repeat an id are told apart by no
@@ -16,9 +18,13 @@ while :func:`keep_one` returns one of them. Other columns may have any name.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import materialise, partitions
+
 #: Groups that the copies of one text are dealt to.
 SALTS = 64
 
@@ -27,26 +33,32 @@ def _digest(text: Column) -> Column:
     return F.sha2(text.cast("binary"), 256)
 
 
-def _keyed(docs: DataFrame, text: str, doc_id: str, salts: int) -> DataFrame:
+def _keyed(docs: DataFrame, text: str, doc_id: str, salts: int, digest: Callable[[Column], Column]) -> DataFrame:
     body = F.coalesce(F.col(f"`{text}`"), F.lit(""))
     return docs.select(
         F.col(f"`{doc_id}`").alias("_id"),
         body.alias("_text"),
-        _digest(body).alias("_digest"),
+        digest(body).alias("_digest"),
         F.pmod(F.xxhash64(F.col(f"`{doc_id}`").cast("string"), F.lit("salt")), F.lit(salts)).cast("int").alias("_salt"),
     )
 
 
-def duplicate_groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", salts: int = SALTS) -> DataFrame:
-    """One row per document: doc_id, keep_id, group_size, kept, text_sha256."""
-    keyed = _keyed(docs, text, doc_id, salts)
+def duplicate_groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", salts: int = SALTS, digest: Callable[[Column], Column] = _digest) -> DataFrame:
+    """One row per document: doc_id, keep_id, group_size, kept, text_sha256 (what
+    ``digest`` gives)."""
+    keyed = _keyed(docs, text, doc_id, salts, digest)
     local = keyed.groupBy("_digest", "_salt", "_text").agg(F.max("_id").alias("_id"), F.count("*").alias("_n"))
-    whole = local.groupBy("_digest", "_text").agg(F.max("_id").alias("keep_id"), F.sum("_n").alias("group_size"), F.collect_set("_salt").alias("_salts"))
-    # what tells two texts of one digest apart without carrying the text
-    mark = F.xxhash64("_text")
-    winners = whole.select("_digest", mark.alias("_mark"), F.length("_text").alias("_len"), "keep_id", "group_size", F.explode("_salts").alias("_salt"))
-    rows = keyed.select("_id", "_digest", mark.alias("_mark"), F.length("_text").alias("_len"), "_salt")
-    return rows.join(winners, ["_digest", "_mark", "_len", "_salt"]).select(
+    # dealt by digest alone: all texts of a digest meet, in at most ``salts`` rows each
+    dealt = local.repartition(partitions(docs.sparkSession), "_digest")
+    whole = dealt.groupBy("_digest", "_text").agg(F.max("_id").alias("keep_id"), F.sum("_n").alias("group_size"), F.collect_set("_salt").alias("_salts"))
+    several = F.count("*").over(Window.partitionBy("_digest")) > 1
+    winners = whole.select("_digest", F.when(several, F.col("_text")).alias("_text"), "keep_id", "group_size", "_salts")
+    winners = materialise(winners, "exact-winners").withColumn("_salt", F.explode("_salts")).drop("_salts")
+    rows = keyed.select("_id", "_digest", "_salt").join(winners.filter("_text IS NULL").drop("_text"), ["_digest", "_salt"])
+    clashes = winners.filter("_text IS NOT NULL")
+    if clashes.limit(1).count():
+        rows = rows.unionByName(keyed.join(clashes, ["_digest", "_salt", "_text"]).drop("_text"))
+    return rows.select(
         F.col("_id").alias("doc_id"),
         "keep_id",
         "group_size",
