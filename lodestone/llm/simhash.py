@@ -15,7 +15,8 @@ executor would grow with the corpus.
 
 A shard yields the links of a spanning forest, not all pairs; components come
 from :mod:`components`. Null and empty texts have the fingerprint zero and link
-like any other. Rows that repeat an id get one result row each.
+like any other. Rows that repeat an id get one result row each; a row without an id
+links too, and a component of such rows alone has the null id as its smallest.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_arrow, materialise, text_bytes
+from .common import map_arrow, materialise, partitions, text_bytes
 from .components import connected_components
 
 RADIUS = 2
@@ -132,7 +133,9 @@ def linked_fingerprints(distinct: DataFrame, radius: int = RADIUS, blocks: int =
     for keep in combinations(range(blocks), blocks - radius):
         mask = sum(((1 << width) - 1) << (k * width) for k in keep)
         masks.append(mask - (1 << 64) if mask >> 63 else mask)
-    shards = distinct.select("fp", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(m).cast("long")) for m in masks])).alias("route", "key"))
+    # a row becomes one for each route: many tasks are to do that, however small the table
+    dealt = distinct.repartition(partitions(distinct.sparkSession), F.xxhash64("fp"))
+    shards = dealt.select("fp", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(m).cast("long")) for m in masks])).alias("route", "key"))
     shards = shards.groupBy("route", "key").agg(F.collect_list("fp").alias("fps")).filter(F.size("fps") > 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
