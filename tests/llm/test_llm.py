@@ -348,6 +348,12 @@ def test_simhash(spark, docs, odd, empty):
     assert simhash.near_duplicates(empty).count() == 0
 
 
+def test_simhash_without_ids(spark):
+    df = spark.createDataFrame([(None, "a b c d"), (7, "A b c d"), (None, "x y z"), (3, None), (None, " ")], "doc_id bigint, text string")
+    got = [(r.doc_id, r.component_id) for r in simhash.near_duplicates(df).collect()]
+    assert sorted(got, key=repr) == sorted([(None, 7), (7, 7), (None, None), (3, 3), (None, 3)], key=repr)
+
+
 def test_simhash_links_of_close_fingerprints(spark):
     rng = random.Random(9)
     values = []
@@ -419,6 +425,25 @@ def test_vectors_empty(spark):
     assert embeddings.near_vectors(spark.createDataFrame([], "vec_id bigint, embedding array<float>")).count() == 0
 
 
+def test_vectors_that_share_an_id(spark):
+    given = [(1, [1.0, 0, 0]), (1, [0, 1.0, 0]), (2, [0, 1.0, 0.01]), (3, [1.0, 0, 0.01]), (4, [0, 0, 1.0]), (4, None), (None, [0, 0, 1.0]), (5, [0, 0, 1.0])]
+    df = spark.createDataFrame([(n, v and [float(c) for c in v], "x") for n, v in given], "vec_id bigint, embedding array<float>, n_links string")
+    got = [(r.vec_id, r.n_links, r.component_id, r.kept) for r in embeddings.near_vectors(df).collect()]
+    assert sorted(got, key=repr) == sorted([(1, 1, 1, True), (1, 1, 1, True), (2, 1, 1, False), (3, 1, 1, False), (4, 1, 4, True), (4, 0, 4, True), (None, 0, None, True), (5, 1, 4, False)], key=repr)
+
+
+def test_vectors_in_one_dense_group(spark):
+    """More members than a window reaches, at the default parameters: every link is found."""
+    rng = np.random.default_rng(11)
+    x = np.concatenate([cone(rng, 4000, 0.97), rng.normal(size=(9000, 64))]).astype(np.float32).astype(float)
+    unit = x / np.linalg.norm(x, axis=1)[:, None]
+    true = (unit @ unit.T >= 0.9).sum(axis=1) - 1
+    df = spark.createDataFrame([(n, [float(c) for c in v]) for n, v in enumerate(x)], "vec_id bigint, embedding array<float>")
+    got = {r.vec_id: r.n_links for r in embeddings.near_vectors(df).collect()}
+    assert true[:4000].min() == 3999 and all(got[n] <= t for n, t in enumerate(true.tolist()))
+    assert sum(got.values()) >= 0.99 * true.sum()
+
+
 def cone(rng, rows, cosine, dim=64):
     """Unit vectors of which any two have about this cosine."""
     centre, x = rng.normal(size=dim), rng.normal(size=(rows, dim))
@@ -488,6 +513,60 @@ def test_langid_held_out(spark, odd, empty):
     assert langid.predict(odd, None).filter("lang_pred <> 'und'").count() == 0
 
 
+def brute_forward(net, x):
+    """Softmax of a plain convolution: each filter at each place of each window."""
+    out = []
+    for row in x:
+        h = []
+        for n, w in enumerate(langid.WIDTHS):
+            for f in range(langid.FILTERS):
+                best = max(sum(float(net.filters[w][k, row[at + k], f]) for k in range(w)) for at in range(langid.WINDOW - w + 1))
+                h.append(max(0.0, best + float(net.bias[n * langid.FILTERS + f])))
+        z = np.array(h) @ net.top.astype(float) + net.top_bias
+        out.append(np.exp(z - z.max()) / np.exp(z - z.max()).sum())
+    return np.array(out)
+
+
+def test_langid_network_equals_a_plain_convolution():
+    rng = np.random.default_rng(3)
+    net = langid.Network(["a", "b", "c"])
+    net.bias += rng.normal(0, 0.2, net.bias.shape).astype(np.float32)
+    x = rng.integers(0, langid.CLASSES, (3, langid.WINDOW)).astype(np.uint16)
+    net.compose()
+    assert np.abs(net.probabilities(x) - brute_forward(net, x)).max() < 1e-5
+
+
+def test_langid_gradient_equals_differences():
+    rng = np.random.default_rng(4)
+    net, y = langid.Network(["a", "b"]), np.array([0, 1, 1])
+    x = rng.integers(0, langid.CLASSES, (3, langid.WINDOW)).astype(np.uint16)
+    net.filters = {w: f.astype(float) for w, f in net.filters.items()}
+    net.bias, net.top, net.top_bias = (v.astype(float) for v in (net.bias, net.top, net.top_bias))
+
+    def loss():
+        net.compose()
+        return -np.log(net.probabilities(x)[np.arange(3), y]).mean()
+
+    for p, g in zip(net.parameters(), net.gradients(x, y), strict=True):
+        for at in np.argsort(-np.abs(g).ravel())[:5].tolist():
+            was = p.flat[at]
+            p.flat[at] = was + 1e-6
+            up = loss()
+            p.flat[at] = was - 1e-6
+            down = loss()
+            p.flat[at] = was
+            assert (up - down) / 2e-6 == pytest.approx(g.flat[at], rel=1e-3, abs=1e-6)
+
+
+def test_langid_letters(spark, docs):
+    net = langid.train(docs.withColumn("source", F.lit(None).cast("string")))
+    texts = ["² ½ Ⅷ ①", "123 _", "", None, "é", "ªx", "日本", "1" * 5000 + "a"]
+    df = spark.createDataFrame([(None if n % 2 else n, t, "odd") for n, t in enumerate(texts)], "doc_id bigint, text string, lang_pred string")
+    got = {r.text: (r._lang_pred, r.score) for r in langid.predict(df, net).collect()}
+    assert [t for t in texts if got[t][0] == "und"] == texts[:4] and all(got[t][1] == 0 for t in texts[:4])
+    assert langid.train(docs.limit(0)) is None
+
+
 # -- 8 ------------------------------------------------------------------------
 
 
@@ -496,6 +575,8 @@ def test_urls(spark):
         None, "", "nourl", "://", "HTTP://WWW.Example.COM/en/1?x#y", "http://example.com/en/71", "http://badexample.com/en/71", "http://a.net/de", "http://a.net/de/", "x://b.example.net/de/8#q",
         "http://bad.org/x/?q", "http://bad.org/x", "http://bad.org/xy", "http://bad.org", "a://b://c/d", "http://h?/en/",
     ]
+    nameless = spark.createDataFrame([(None, "http://bad.org/x"), (None, None), (None, "http://bad.org/x")], "page_id bigint, url string")
+    assert sorted(r.verdict for r in urlfilter.judge(nameless, spark.createDataFrame([("bad.org/x",)], "listed string"), []).collect()) == ["allow", "block", "block"]
     pages = spark.createDataFrame([(n, u, "h", "r") for n, u in enumerate(urls * 2)], "page_id bigint, url string, host string, rule string")
     listed = spark.createDataFrame([("bad.org/x",), ("bad.org/x",), (None,)], "listed string")
     got = {r.page_id: r for r in urlfilter.judge(pages, listed, registry.RULES).collect()}
@@ -538,6 +619,16 @@ def test_exact_dedup(spark, odd, empty):
     assert exact_dedup.duplicate_groups(empty).count() == 0
 
 
+def test_exact_dedup_tells_texts_of_one_digest_apart(spark, odd):
+    groups = {}
+    for d, t, _ in ODD:
+        groups.setdefault(t or "", []).append(d)
+    want = sorted(((d, max((i for i in ids if i is not None), default=None), len(ids)) for ids in groups.values() for d in ids), key=repr)
+    for digest in (lambda t: F.lit("same"), lambda t: F.substring(F.sha2(t.cast("binary"), 256), 1, 1)):
+        got = exact_dedup.duplicate_groups(odd, digest=digest).select("doc_id", "keep_id", "group_size")
+        assert rows(got) == want
+
+
 # -- 10 -----------------------------------------------------------------------
 
 
