@@ -395,7 +395,10 @@ def encode_documents(docs: DataFrame, text: str = "text", keep: tuple[str, ...]
     return map_encoded(docs, lambda ids, codec: (ids, codec.decode(ids)), "ids binary, decoded string", text, keep, path)
 
 
-def _digests(ids: bytes, codec: Codec) -> tuple[int, str, str]:
+DIGESTS = "n_tokens bigint, ids_sha256 string, decoded_sha256 string"
+
+
+def digests(ids: bytes, codec: Codec) -> tuple[int, str, str]:
     from hashlib import sha256
 
     return len(ids) // 4, sha256(ids).hexdigest(), sha256(codec.decode(ids).encode()).hexdigest()
@@ -403,4 +406,4 @@ def _digests(ids: bytes, codec: Codec) -> tuple[int, str, str]:
 
 def encoding_digests(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",), path: str | None = None) -> DataFrame:
     """``keep``, n_tokens, ids_sha256 and decoded_sha256 of each whole text."""
-    return map_encoded(docs, _digests, "n_tokens bigint, ids_sha256 string, decoded_sha256 string", text, keep, path)
+    return map_encoded(docs, digests, DIGESTS, text, keep, path)

@@ -693,16 +693,48 @@ def test_pipeline_stages(spark, codec):
     comp = brute_components([d for d, _ in given], [(a, b) for n, (a, f) in enumerate(given) for b, g in given[:n] if (f ^ g).bit_count() <= 2])
     assert sorted(r.doc_id for r in near.collect()) == sorted(set(comp.values()))
 
-    mixed = stages["mix_sources"](spark, near, "").collect()
-    taken = {r.doc_id: r for r in mixing.mixed_documents(near).collect()}
+    near_rows = near.collect()
     copies = {}
-    for r in mixed:
+    for r in stages["mix_sources"](spark, near, "").collect():
+        assert tuple(r) in set(map(tuple, near_rows))
         copies[r.doc_id] = copies.get(r.doc_id, 0) + 1
-    assert copies == {d: -(-r.taken // r.size) if r.taken < r.size or r.taken % r.size else r.taken // r.size for d, r in taken.items() if r.taken}
+    assert copies == brute_copies([(r.doc_id, r.text, r.source) for r in near_rows])
     assert docs.columns == near.columns
 
-    encoded = stages["bpe_encode"](spark, near.limit(50), "")
-    assert encoded.columns[:2] == ["doc_id", "n_tokens"]
+    few = near.limit(300)
+    want = []
+    for r in few.collect():
+        ids, said = library(codec, r.text)
+        want.append((r.doc_id, ids, len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(said.encode()).hexdigest()))
+    encoded = stages["bpe_encode"](spark, few, "")
+    assert sorted((r.doc_id, bytes(r.ids), r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in encoded.collect()) == sorted(want)
+
+
+def brute_copies(given):
+    """How often each id is in the mix: sources served in md5 order, twice, up to their targets."""
+    size, _, target = brute_mix(given)
+    sent, out = {}, {}
+    key = {g[0]: hashlib.md5(f"mix-1|{'null' if g[0] is None else g[0]}".encode()).hexdigest() for g in given}
+    for _ in range(2):
+        for g, z in sorted(zip(given, size, strict=True), key=lambda v: key[v[0][0]]):
+            if z and sent.get(g[2], 0) < int(target[g[2]] + 1e-6):
+                out[g[0]] = out.get(g[0], 0) + 1
+            sent[g[2]] = sent.get(g[2], 0) + z
+    return out
+
+
+def test_pipeline_stages_on_odd_rows(spark, odd, empty):
+    """Null and repeated ids, clashing columns, no rows: all rows that a stage keeps are rows of its input."""
+    import corpus_pipeline
+
+    odd, empty = (df.withColumn("lang", F.lit("en")) for df in (odd, empty))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        assert stage(spark, empty, "").count() == 0, name
+        got = stage(spark, odd, "")
+        assert got.columns == odd.columns, name
+        assert {tuple(r) for r in got.collect()} <= {tuple(r) for r in odd.collect()}, name
+    assert corpus_pipeline.STAGES[-1][1](spark, empty, "").count() == 0
+    assert corpus_pipeline.STAGES[-1][1](spark, odd, "").count() == len(ODD)
 
 
 def test_pipeline_rows_without_an_id_or_with_the_same(spark):
