@@ -51,14 +51,15 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix sends it, a copy sent in part as a whole one."""
     rows, row = keyed(docs)
-    sent = mixing.mix(rows, row=row).filter("words > 0").groupBy(F.col("_row").alias("_sent")).agg(F.count("*").cast("int").alias("_copies"))
+    sent = mixing.mix(rows, row=row, positions=False).filter("words > 0").groupBy(F.col("_row").alias("_sent")).agg(F.count("*").cast("int").alias("_copies"))
     joined = rows.join(sent, F.col(row) == F.col("_sent"))
     return joined.withColumn("_copy", F.explode(F.array_repeat(F.lit(0), F.col("_copies")))).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256 and decoded_sha256 of every copy."""
-    return bpe.encoding_digests(docs)
+    """doc_id, ids (little-endian unsigned 32-bit integers), n_tokens, ids_sha256 and
+    decoded_sha256 of every copy."""
+    return bpe.map_encoded(docs, lambda ids, codec: (ids, *bpe.digests(ids, codec)), f"ids binary, {bpe.DIGESTS}")
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
