@@ -30,13 +30,17 @@ def exact_match(predicted: Column, truth: Column) -> Column:
     return flat(predicted) == flat(truth)
 
 
+def set_scores(both: Column, p: Column, g: Column) -> tuple[Column, Column, Column]:
+    """(precision, recall, F1) from the sizes of two sets and of what they share; 0 where
+    a set is empty. F1 straight from them: 2pr / (p + r) = 2 both / (|p| + |g|)."""
+    share = lambda n: F.when(n > 0, both / n).otherwise(F.lit(0.0))
+    return share(p), share(g), F.when(both > 0, 2 * both / (p + g)).otherwise(F.lit(0.0))
+
+
 def token_scores(predicted: Column, truth: Column) -> tuple[Column, Column, Column]:
-    """(precision, recall, F1) of two token arrays as sets; 0 where a set is empty."""
+    """(precision, recall, F1) of two token arrays as sets."""
     p, g = F.array_distinct(predicted), F.array_distinct(truth)
-    both = F.size(F.array_intersect(p, g))
-    # F1 straight from the counts: 2pr / (p + r) = 2 both / (|p| + |g|)
-    share = lambda n: F.when(n > 0, both / n).otherwise(F.lit(0.0))
-    return share(F.size(p)), share(F.size(g)), F.when(both > 0, 2 * both / (F.size(p) + F.size(g))).otherwise(F.lit(0.0))
+    return set_scores(F.size(F.array_intersect(p, g)), F.size(p), F.size(g))
 
 
 def overlap_scores(predicted: Column, truth: Column) -> tuple[Column, Column, Column]:

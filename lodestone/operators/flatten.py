@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -66,3 +68,40 @@ def gate_steps(funnel: DataFrame, counters: list[str]) -> DataFrame:
     pairs = [F.struct(F.lit(z).alias("gate"), F.col(a).alias("before"), F.col(z).alias("after")) for a, z in zip(counters, counters[1:], strict=False)]
     steps = funnel.select(F.explode(F.array(*pairs)).alias("s")).select("s.*")
     return steps.groupBy("gate").agg(F.sum("before").alias("before"), F.sum("after").alias("after"), F.bool_or(F.col("before") != F.col("after")).alias("binds"))
+
+
+# Parts of a join report.
+EXCLUSIONS = ("n_total_dwarf", "n_no_range", "n_non_target", "n_noise_aux", "n_oracle_reject", "n_eligible_for_join", "n_eligible_for_gold")
+DISTRIBUTIONS = ("cyclomatic", "insn_to_c_ratio", "asm_insn_count", "placeholder_type_rate", "goto_density")
+PERCENTILES = ("p25", "p50", "p75", "p90")
+COMPLETENESS = ("HIGH", "MEDIUM", "LOW")
+
+
+def flatten_join_report(reports: DataFrame, cell: list[str], yields: Sequence[str] = (), funnel: Sequence[str] = (), warnings: Sequence[str] = (), join_warnings: Sequence[str] = ()) -> DataFrame:
+    """A nested report as one flat row per cell. Its open maps become columns by the keys
+    given: yield counts by their own names, the funnel as funnel_*, decompiler warnings as
+    dec_warn_*, join warnings as jw_*; whatever a report lacks is 0."""
+    whole = lambda c: F.coalesce(c, F.lit(0)).cast("long")
+    share = lambda c: F.coalesce(c, F.lit(0.0)).cast("double")
+    c = F.col
+    out = [whole(c("yield_counts")[k]).alias(k) for k in yields]
+    out += [whole(c("high_confidence.total")).alias("hc_total"), whole(c("high_confidence.high_confidence_count")).alias("hc_count"), share(c("high_confidence.yield_rate")).alias("hc_yield_rate")]
+    out += [whole(c("exclusion_summary")[k]).alias(f"excl_{k}") for k in EXCLUSIONS]
+    out += [whole(c("confidence_funnel")[k]).alias(f"funnel_{k}") for k in funnel]
+    out += [share(c("decompiler.cfg_completeness_fractions")[k]).alias(f"cfg_frac_{k}") for k in COMPLETENESS]
+    out += [whole(c("decompiler.warning_prevalence")[k]).alias(f"dec_warn_{k}") for k in warnings]
+    out += [share(c(f"decompiler.{m}_percentiles")[p]).alias(f"dec_{m}_{p}") for m in DISTRIBUTIONS for p in PERCENTILES]
+    out += [whole(c("decompiler.n_fat_functions")).alias("dec_n_fat_functions"), whole(c("decompiler.n_has_indirect_jumps")).alias("dec_n_indirect_jumps")]
+    out += [whole(c("join_warning_histogram")[k]).alias(f"jw_{k}") for k in join_warnings]
+    out += [whole(c(f"quality_weight_audit.n_quality_weight_{k}")).alias(f"qa_n_qw_{k}") for k in ("gt_1", "lt_0")]
+    out += [whole(c("collision_summary.max_dwarf_per_ghidra")).alias("collision_max_dwarf_per_ghidra"), whole(c("collision_summary.n_ghidra_funcs_with_multi_dwarf")).alias("collision_n_multi_dwarf")]
+    return reports.select(*cell, *out, whole(F.size("invariant_violations")).alias("n_invariant_violations"))
+
+
+JOIN_REPORT = (
+    "yield_counts map<string, bigint>, high_confidence struct<total: bigint, high_confidence_count: bigint, yield_rate: double>, exclusion_summary map<string, bigint>, confidence_funnel map<string, bigint>, "
+    "decompiler struct<cfg_completeness_fractions: map<string, double>, warning_prevalence: map<string, bigint>, "
+    + ", ".join(f"{m}_percentiles: map<string, double>" for m in DISTRIBUTIONS)
+    + ", n_fat_functions: bigint, n_has_indirect_jumps: bigint>, join_warning_histogram map<string, bigint>, quality_weight_audit struct<n_quality_weight_gt_1: bigint, n_quality_weight_lt_0: bigint>, "
+    "collision_summary struct<max_dwarf_per_ghidra: bigint, n_ghidra_funcs_with_multi_dwarf: bigint>, invariant_violations array<string>"
+)

@@ -47,6 +47,23 @@ def clamp_weight(weight: Column, slack: float = 1e-9) -> Column:
     return F.when(bad, F.raise_error(F.lit("quality weight out of range")).cast("double")).otherwise(F.least(F.greatest(weight, F.lit(0.0)), F.lit(1.0)))
 
 
+def count_errors(reports: DataFrame) -> DataFrame:
+    """Reports whose total isn't the sum of accept, warn and reject."""
+    return reports.filter(~F.col("total").eqNullSafe(F.col("accept") + F.col("warn") + F.col("reject")))
+
+
+def uplift_errors(rows: DataFrame, uplift: str = "uplift", slack: float = 1e-9) -> DataFrame:
+    """One row: rows with an uplift, those below 0 and those above 1, beyond the slack."""
+    u = F.col(uplift)
+    return rows.filter(u.isNotNull()).agg(F.count("*").alias("n"), F.count_if(u < -slack).alias("n_negative"), F.count_if(u > 1 + slack).alias("n_over"))
+
+
+def unstable_truths(rows: DataFrame, key: str, truth: str = "ground_truth") -> DataFrame:
+    """Keys with more than one ground truth; null and empty keys and sentinels don't count."""
+    keyed = rows.filter((F.coalesce(key, F.lit("")) != "") & ~F.startswith(key, F.lit("_unstable")))
+    return keyed.groupBy(key).agg(F.count_distinct(truth).alias("n_truths")).filter("n_truths > 1")
+
+
 def duplicate_ids(rows: DataFrame, key: list[str]) -> DataFrame:
     return rows.groupBy(*key).agg(F.count("*").alias("n")).filter("n > 1")
 

@@ -70,10 +70,20 @@ def resume(functions: DataFrame, done: DataFrame, key: list[str]) -> DataFrame:
     return functions.join(done.select(*key), key, "left_anti")
 
 
-def page(rows: DataFrame, order: list[str], offset: int, limit: int) -> DataFrame:
+def page(rows: DataFrame, order: list[str], offset: int, limit: int, most: int = 10_000) -> DataFrame:
+    """Rows of a total order from ``offset`` on; a limit below 1 or over ``most`` and an
+    offset below 0 are errors."""
+    if not 1 <= limit <= most or offset < 0:
+        raise ValueError(f"limit must be in 1..{most} and offset not negative")
     return rows.orderBy(*order).offset(offset).limit(limit)
 
 
+def page_of_lines(lines: DataFrame, line: str, position: str, offset: int, limit: int, most: int = 10_000) -> DataFrame:
+    """Like :func:`page` over the lines of a file: blank ones count towards the offset, but
+    are neither returned nor counted towards the limit."""
+    return page(lines.filter(F.col(position) >= offset).filter(F.trim(line) != ""), [position], 0, limit, most)
+
+
 def binary_counters(functions: DataFrame, by: str) -> DataFrame:
     """Per binary: functions, failures, mean and median blocks."""
     return functions.groupBy(by).agg(

@@ -38,10 +38,10 @@ def origin_available(lines: DataFrame) -> DataFrame:
 
 
 def reconcile_units(spans: DataFrame, known: DataFrame) -> DataFrame:
-    """(tu, key): the known unit with the same path, else the last one with the same
-    file name."""
+    """(tu, key): the known unit with the same path, else of those with the same file name
+    the last one. ``known`` has tu and ``pos``, the order in which units were given."""
     base = lambda c: F.element_at(F.split(c, "/"), -1)
-    by_name = known.groupBy(base(F.col("tu")).alias("_base")).agg(F.max("tu").alias("_named"))
+    by_name = known.groupBy(base(F.col("tu")).alias("_base")).agg(F.max_by("tu", "pos").alias("_named"))
     exact = known.select(F.col("tu"), F.col("tu").alias("_exact")).distinct()
     units = spans.select("tu").distinct().withColumn("_base", base(F.col("tu")))
     return units.join(exact, "tu", "left").join(by_name, "_base", "left").select("tu", F.coalesce("_exact", "_named").alias("key"))

@@ -6,14 +6,20 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def _counted(rows: DataFrame, by: list[str], value: str) -> DataFrame:
+    """(by, value, _upto, _n): distinct values with how many rows are at most theirs, and the
+    group's rows. Counting comes first, so the window sees distinct values only."""
+    counts = rows.groupBy(*by, value).agg(F.count("*").alias("_c"))
+    w = Window.partitionBy(*by)
+    return counts.select(*by, value, F.sum("_c").over(w.orderBy(value).rowsBetween(Window.unboundedPreceding, 0)).alias("_upto"), F.sum("_c").over(w).alias("_n"))
+
+
 def nearest_rank(rows: DataFrame, by: list[str], value: str, qs: list[float]) -> DataFrame:
     """Element floor(q n), at most n - 1, of the sorted values (0-based); columns
-    p25-like per q. Ranks come from a window per group, so no group is gathered into an
-    array; groups are report cells."""
-    w = Window.partitionBy(*by)
-    ranked = rows.filter(F.col(value).isNotNull()).select(*by, value, (F.row_number().over(w.orderBy(value)) - 1).alias("_i"), F.count("*").over(w).alias("_n"))
+    p25-like per q: the least value with more rows up to it than that."""
+    counted = _counted(rows.filter(F.col(value).isNotNull()), by, value)
     at = lambda q: F.least(F.floor(F.lit(q) * F.col("_n")), F.col("_n") - 1)
-    return ranked.groupBy(*by).agg(*[F.coalesce(F.max(F.when(F.col("_i") == at(q), F.col(value))), F.lit(0)).cast("double").alias(f"p{round(q * 100)}") for q in qs])
+    return counted.groupBy(*by).agg(*[F.coalesce(F.min(F.when(F.col("_upto") > at(q), F.col(value))), F.lit(0)).cast("double").alias(f"p{round(q * 100)}") for q in qs])
 
 
 def linear(value: Column, q: float) -> Column:
@@ -24,13 +30,13 @@ def linear(value: Column, q: float) -> Column:
 def exclusive_p90(rows: DataFrame, by: list[str], value: str) -> DataFrame:
     """(by, p90): interpolation at 0.9 (n + 1), clamped to the ends; one value: itself;
     none: 0."""
-    w = Window.partitionBy(*by)
-    ranked = rows.filter(F.col(value) > 0).select(*by, value, F.row_number().over(w.orderBy(value)).alias("_i"), F.count("*").over(w).alias("_n"))
-    # in tenths: 9 (n + 1) = 10 j + rest
+    counted = _counted(rows.filter(F.col(value) > 0), by, value)
+    # in tenths: 9 (n + 1) = 10 j + rest; elements j and j + 1, from 1 on
     j = F.greatest(F.lit(1), F.least(F.expr("9 * (_n + 1) div 10"), F.col("_n") - 1))
     rest = 9 * (F.col("_n") + 1) - 10 * j
-    pick = F.when(F.col("_n") == 1, F.col(value) * 10).when(F.col("_i") == j, F.col(value) * (10 - rest)).when(F.col("_i") == j + 1, F.col(value) * rest)
-    found = ranked.groupBy(*by).agg((F.sum(pick) / 10).alias("p90"))
+    element = lambda i: F.min(F.when(F.col("_upto") >= i, F.col(value)))
+    parts = counted.groupBy(*by).agg(F.max("_n").alias("_n"), element(j).alias("_a"), element(j + 1).alias("_b"))
+    found = parts.select(*by, F.when(F.col("_n") == 1, F.col("_a").cast("double")).otherwise((F.col("_a") * (10 - rest) + F.col("_b") * rest) / 10).alias("p90"))
     return rows.select(*by).distinct().join(found, by, "left").withColumn("p90", F.coalesce("p90", F.lit(0.0)))
 
 

@@ -15,8 +15,11 @@ def score(rows: DataFrame, predicted: str = "predicted", truth: str = "ground_tr
     p, g = F.col(predicted), F.col(truth)
     # tokens in a projection of their own: split once a row, whatever is made of them
     rows = rows.withColumns({"predicted_tokens": names.tokens(p), "truth_tokens": names.tokens(g)})
-    precision, recall, f1 = names.token_scores(F.col("predicted_tokens"), F.col("truth_tokens"))
-    return rows.withColumns(
+    # and their sets and sizes too, so that every score is arithmetic on three numbers
+    rows = rows.withColumns({"_p": F.array_distinct("predicted_tokens"), "_g": F.array_distinct("truth_tokens")})
+    rows = rows.select(*[c for c in rows.columns if c not in ("_p", "_g")], F.size(F.array_intersect("_p", "_g")).alias("_both"), F.size("_p").alias("_n_p"), F.size("_g").alias("_n_g"))
+    precision, recall, f1 = names.set_scores(F.col("_both"), F.col("_n_p"), F.col("_n_g"))
+    scored = rows.withColumns(
         {
             "exact_match": names.exact_match(p, g),
             "token_precision": precision,
@@ -26,6 +29,7 @@ def score(rows: DataFrame, predicted: str = "predicted", truth: str = "ground_tr
             "scorer_version": F.lit(SCORER_VERSION),
         }
     )
+    return scored.drop("_both", "_n_p", "_n_g")
 
 
 def token_differences(rows: DataFrame) -> DataFrame:
@@ -37,17 +41,18 @@ def token_differences(rows: DataFrame) -> DataFrame:
 def best_of_k(rows: DataFrame, candidates: str = "candidates", truth: str = "ground_truth") -> DataFrame:
     """Add the best F1 of the ranked names, where it first is (0-based), whether any name
     is exact, and the gain over the first name."""
-    split = rows.withColumns({"_truth": names.tokens(F.col(truth)), "_each": F.transform(F.col(candidates), names.tokens)})
-    rows = split.withColumn("_f1s", F.transform("_each", lambda t: names.token_scores(t, F.col("_truth"))[2]))
-    best = F.coalesce(F.array_max("_f1s"), F.lit(0.0))
+    # sets, then sizes, then scores: each lambda evaluates its set operations once
+    split = rows.withColumns({"_truth": F.array_distinct(names.tokens(F.col(truth))), "_each": F.transform(F.col(candidates), lambda c: F.array_distinct(names.tokens(c)))})
+    split = split.withColumn("_n", F.transform("_each", lambda t: F.struct(F.size(F.array_intersect(t, F.col("_truth"))).alias("both"), F.size(t).alias("p"))))
+    rows = split.withColumn("_f1s", F.transform("_n", lambda n: names.set_scores(n["both"], n["p"], F.size("_truth"))[2])).withColumn("f1_topk", F.coalesce(F.array_max("_f1s"), F.lit(0.0)))
+    best = F.col("f1_topk")
     return rows.withColumns(
         {
-            "f1_topk": best,
             "exact_topk": F.exists(F.col(candidates), lambda c: names.exact_match(c, F.col(truth))),
             "best_index": F.greatest(F.array_position("_f1s", best) - 1, F.lit(0)),
             "uplift": best - F.coalesce(F.get("_f1s", F.lit(0)), F.lit(0.0)),
         }
-    ).drop("_f1s", "_each", "_truth")
+    ).drop("_f1s", "_n", "_each", "_truth")
 
 
 def rollup_columns() -> list[Column]:

@@ -1,5 +1,6 @@
-"""Statistics over scores. Ranks and sums are DataFrame work; only tail probabilities
-and resampling, which Spark has no function for, run in numpy, per small group.
+"""Statistics over scores. Ranks and sums are DataFrame work over counts of distinct
+values; only tail probabilities, of one row per group, and resampling of those counts run
+in numpy.
 
 scipy isn't needed: tails come from the error function and the incomplete gamma
 function. Signed-rank and rank-sum p-values are normal approximations with tie
@@ -14,23 +15,44 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 SEED = 42
 RESAMPLES = 10_000
 
 
 def average_ranks(rows: DataFrame, by: list[str], value: str, out: str = "rank") -> DataFrame:
-    """Add the rank within the group, ties sharing their mean rank."""
+    """Add the rank within the group, ties sharing their mean rank. For groups of rows that
+    stay small; :func:`value_ranks` is for hot ones."""
     w = Window.partitionBy(*by)
     return rows.withColumn(out, F.rank().over(w.orderBy(value)) + (F.count("*").over(w.partitionBy(*by, value)) - 1) / 2)
 
 
+def value_ranks(rows: DataFrame, by: list[str], value: str, *sums: Column) -> DataFrame:
+    """One row per group and distinct value: ``ties`` (rows that have it), ``rank`` (their
+    mean rank) and the given aggregates. Rows are counted before any window, so a group's
+    window sees its distinct values only, however many rows it has."""
+    counts = rows.groupBy(*by, value).agg(F.count("*").alias("ties"), *sums)
+    w = Window.partitionBy(*by).orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+    return counts.withColumn("rank", F.coalesce(F.sum("ties").over(w), F.lit(0)) + (F.col("ties") + 1) / 2)
+
+
+def _tie_term() -> Column:
+    t = F.col("ties").cast("double")
+    return F.sum(t * t * t - t)
+
+
+def signed_ranks(rows: DataFrame, by: list[str], diff: str) -> DataFrame:
+    """(by, n, w_plus, w_minus, tie_term) of the non-zero differences."""
+    d = rows.filter((F.col(diff) != 0) & F.col(diff).isNotNull() & ~F.isnan(F.col(diff).cast("double"))).withColumn("_abs", F.abs(F.col(diff)))
+    ranked = value_ranks(d, by, "_abs", F.count_if(F.col(diff) > 0).alias("_up"))
+    plus, minus = F.col("_up") * F.col("rank"), (F.col("ties") - F.col("_up")) * F.col("rank")
+    return ranked.groupBy(*by).agg(F.sum("ties").alias("n"), F.sum(plus).alias("w_plus"), F.sum(minus).alias("w_minus"), _tie_term().alias("tie_term"))
+
+
 def rank_biserial(rows: DataFrame, by: list[str], diff: str) -> DataFrame:
     """(by, n, w_plus, w_minus, r) of the non-zero differences."""
-    d = rows.filter((F.col(diff) != 0) & F.col(diff).isNotNull()).withColumn("_abs", F.abs(F.col(diff)))
-    ranked = average_ranks(d, by, "_abs")
-    sums = ranked.groupBy(*by).agg(F.count("*").alias("n"), F.sum(F.when(F.col(diff) > 0, F.col("rank")).otherwise(0.0)).alias("w_plus"), F.sum(F.when(F.col(diff) < 0, F.col("rank")).otherwise(0.0)).alias("w_minus"))
-    return sums.withColumn("r", (F.col("w_plus") - F.col("w_minus")) / (F.col("w_plus") + F.col("w_minus")))
+    return signed_ranks(rows, by, diff).drop("tie_term").withColumn("r", (F.col("w_plus") - F.col("w_minus")) / (F.col("w_plus") + F.col("w_minus")))
 
 
 def holm(rows: DataFrame, by: list[str], p: str, out: str = "p_adjusted") -> DataFrame:
@@ -52,8 +74,8 @@ def kendall_w(rows: DataFrame, judge: str, item: str, value: str) -> DataFrame:
 
 def rank_sum(rows: DataFrame, by: list[str], flag: str, value: str) -> DataFrame:
     """(by, n1, n2, u, r): Mann-Whitney U of the flagged rows and 1 - 2U / (n1 n2)."""
-    ranked = average_ranks(rows, by, value)
-    sums = ranked.groupBy(*by).agg(F.count_if(F.col(flag)).alias("n1"), F.count_if(~F.col(flag)).alias("n2"), F.sum(F.when(F.col(flag), F.col("rank")).otherwise(0.0)).alias("_r"))
+    ranked = value_ranks(rows, by, value, F.count_if(F.col(flag)).alias("_in"), F.count_if(~F.col(flag)).alias("_out"))
+    sums = ranked.groupBy(*by).agg(F.sum("_in").alias("n1"), F.sum("_out").alias("n2"), F.sum(F.col("_in") * F.col("rank")).alias("_r"))
     u = F.col("_r") - F.col("n1") * (F.col("n1") + 1) / 2
     return sums.withColumn("u", u).withColumn("r", 1 - 2 * F.col("u") / (F.col("n1") * F.col("n2"))).drop("_r")
 
@@ -87,121 +109,128 @@ def normal_tail(z: float) -> float:
     return 0.5 * math.erfc(z / math.sqrt(2))
 
 
-def _ranks(v: np.ndarray) -> tuple[np.ndarray, float]:
-    """Mean ranks and the tie term sum(t^3 - t)."""
-    _, inverse, counts = np.unique(v, return_inverse=True, return_counts=True)
-    last = np.cumsum(counts)
-    return (last - (counts - 1) / 2)[inverse], float((counts.astype(float) ** 3 - counts).sum())
-
-
-def wilcoxon(diff: np.ndarray, greater: bool = True) -> tuple[int, float, float]:
-    """(n, W+, one-sided p) of the non-zero differences."""
-    d = diff[(diff != 0) & np.isfinite(diff)]
-    n = len(d)
+def signed_rank_tail(n: int, w: float, tie_term: float, greater: bool = True) -> float:
+    """One-sided p of a signed-rank sum."""
     if not n:
-        return 0, math.nan, math.nan
-    r, ties = _ranks(np.abs(d))
-    w = float(r[d > 0].sum())
-    if n <= 25 and not ties:
+        return math.nan
+    if n <= 25 and not tie_term:
         ways = np.zeros(n * (n + 1) // 2 + 1)
         ways[0] = 1
         for k in range(1, n + 1):
             ways[k:] += ways[:-k].copy()
         at = int(round(w))
         p = ways[at:].sum() if greater else ways[: at + 1].sum()
-        return n, w, float(p / 2.0**n)
-    sd = math.sqrt(n * (n + 1) * (2 * n + 1) / 24 - ties / 48)
+        return float(p / 2.0**n)
+    sd = math.sqrt(n * (n + 1) * (2 * n + 1) / 24 - tie_term / 48)
     z = (w - n * (n + 1) / 4) / sd if sd else 0.0
-    return n, w, normal_tail(z if greater else -z)
+    return normal_tail(z if greater else -z)
 
 
-def _per_group(rows: DataFrame, by: list[str], needed: list[str], fn, fields: str) -> DataFrame:
-    """``fn(frame) -> dict`` per group; groups are report cells that fit in memory."""
-    head = ", ".join(f"`{b}` {rows.schema[b].dataType.simpleString()}" for b in by)
+@F.pandas_udf(T.DoubleType())
+def chi2_p(x: pd.Series, df: pd.Series) -> pd.Series:
+    return pd.Series([math.nan if pd.isna(a) or a != a else chi2_tail(float(a), int(d)) for a, d in zip(x, df, strict=True)], dtype=float)
 
-    def run(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame([dict(zip(by, key, strict=True)) | fn(frame)])
 
-    return rows.select(*by, *needed).groupBy(*by).applyInPandas(run, f"{head}, {fields}")
+@F.pandas_udf(T.DoubleType())
+def two_sided_p(z: pd.Series) -> pd.Series:
+    return pd.Series([2 * normal_tail(abs(float(v))) for v in z], dtype=float)
 
 
-def bootstrap_ci(rows: DataFrame, by: list[str], value: str, order: str, statistic: str = "mean", resamples: int = RESAMPLES, level: float = 0.95, seed: int = SEED) -> DataFrame:
-    """Percentile interval of the mean or median; null below two values. Values are put in
-    the order of ``order`` (ties by value) first, so reruns agree."""
+def bootstrap_ci(rows: DataFrame, by: list[str], value: str, statistic: str = "mean", resamples: int = RESAMPLES, level: float = 0.95, seed: int = SEED) -> DataFrame:
+    """Percentile interval of the mean or median; null below two values. Rows are counted by
+    value first: drawing rows with replacement is drawing the values' counts from a
+    multinomial, so a task holds a group's distinct values, not its rows."""
+    counts = rows.filter(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("_n"))
+    groups = rows.select(*by).distinct().join(counts, by, "left")
+    head = ", ".join(f"`{b}` {rows.schema[b].dataType.simpleString()}" for b in by)
 
-    def fn(frame: pd.DataFrame) -> dict:
-        v = frame.sort_values([order, value])[value].dropna().to_numpy(float)
-        if len(v) < 2:
-            return {"n": len(v), "estimate": float(v[0]) if len(v) else math.nan, "low": math.nan, "high": math.nan}
-        rng, f, out = np.random.default_rng(seed), getattr(np, statistic), []
-        step = max(1, 4_000_000 // len(v))  # bounded memory
-        for a in range(0, resamples, step):
-            out.append(f(v[rng.integers(0, len(v), (min(step, resamples - a), len(v)))], axis=1))
-        low, high = np.percentile(np.concatenate(out), [50 * (1 - level), 50 * (1 + level)])
-        return {"n": len(v), "estimate": float(f(v)), "low": float(low), "high": float(high)}
+    def middle(drawn: np.ndarray, v: np.ndarray) -> np.ndarray:
+        n, upto = int(drawn[0].sum()), np.cumsum(drawn, axis=1)
+        low, high = ((upto <= at).sum(axis=1) for at in ((n - 1) // 2, n // 2))
+        return (v[low] + v[high]) / 2
 
-    return _per_group(rows, by, [value, order], fn, "n bigint, estimate double, low double, high double")
+    def run(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.dropna(subset=[value]).sort_values(value)
+        v, k = frame[value].to_numpy(float), frame["_n"].to_numpy(np.int64)
+        n = int(k.sum())
+        f = (lambda drawn, v: drawn @ v / n) if statistic == "mean" else middle
+        estimate = float(f(k[None, :], v)[0]) if n else math.nan
+        low = high = math.nan
+        if n > 1:
+            rng, out = np.random.default_rng(seed), []
+            step = max(1, 4_000_000 // len(v))  # bounded memory
+            for a in range(0, resamples, step):
+                out.append(f(rng.multinomial(n, k / n, min(step, resamples - a)), v))
+            low, high = np.percentile(np.concatenate(out), [50 * (1 - level), 50 * (1 + level)]).tolist()
+        return pd.DataFrame([dict(zip(by, key, strict=True)) | {"n": n, "estimate": estimate, "low": low, "high": high}])
+
+    return groups.groupBy(*by).applyInPandas(run, f"{head}, n bigint, estimate double, low double, high double")
 
 
 def wilcoxon_test(rows: DataFrame, by: list[str], diff: str, greater: bool = True) -> DataFrame:
-    def fn(frame: pd.DataFrame) -> dict:
-        n, w, p = wilcoxon(frame[diff].dropna().to_numpy(float), greater)
-        return {"n": n, "w_plus": w, "p": p}
+    """(by, n, w_plus, z, p): one-sided; z is null where ties make no spread."""
 
-    return _per_group(rows, by, [diff], fn, "n bigint, w_plus double, p double")
+    @F.pandas_udf(T.DoubleType())
+    def tail(n: pd.Series, w: pd.Series, t: pd.Series) -> pd.Series:
+        return pd.Series([signed_rank_tail(int(a), float(b), float(c), greater) for a, b, c in zip(n, w, t, strict=True)], dtype=float)
 
+    sums = rows.select(*by).distinct().join(signed_ranks(rows, by, diff), by, "left").na.fill(0, ["n", "tie_term"])
+    n = F.col("n").cast("double")
+    spread = F.sqrt(n * (n + 1) * (2 * n + 1) / 24 - F.col("tie_term") / 48)
+    z = F.when(spread > 0, (F.col("w_plus") - n * (n + 1) / 4) / spread)
+    return sums.select(*by, "n", "w_plus", z.alias("z"), tail("n", F.coalesce("w_plus", F.lit(0.0)), "tie_term").alias("p"))
 
-def friedman_test(rows: DataFrame, by: list[str], block: str, treatment: str, value: str) -> DataFrame:
-    """Chi-square over complete blocks, its p and Kendall's W."""
 
-    def fn(frame: pd.DataFrame) -> dict:
-        wide = frame.pivot_table(index=block, columns=treatment, values=value).dropna().to_numpy(float)
-        n, k = wide.shape
-        if n < 2 or k < 2:
-            return {"n": n, "chi2": math.nan, "p": math.nan, "w": math.nan}
-        ranked = [_ranks(r) for r in wide]
-        sums = np.sum([r for r, _ in ranked], axis=0)
-        c = 1 - sum(t for _, t in ranked) / (n * k * (k * k - 1))
-        chi2 = (12 / (n * k * (k + 1)) * float((sums**2).sum()) - 3 * n * (k + 1)) / c if c else math.nan
-        return {"n": n, "chi2": chi2, "p": chi2_tail(chi2, k - 1) if c else math.nan, "w": chi2 / (n * (k - 1))}
-
-    return _per_group(rows, by, [block, treatment, value], fn, "n bigint, chi2 double, p double, w double")
+def friedman_test(rows: DataFrame, by: list[str], block: str, treatment: str, value: str) -> DataFrame:
+    """(by, n, chi2, p, w): chi-square over complete blocks (those with all treatments of the
+    group; several values of a cell count by their mean), its p and Kendall's W."""
+    cells = rows.groupBy(*by, block, treatment).agg(F.avg(value).alias("_v")).filter("_v IS NOT NULL")
+    k = cells.groupBy(*by).agg(F.count_distinct(treatment).alias("_k"))
+    own = Window.partitionBy(*by, block)
+    full = cells.join(k, by).withColumn("_m", F.count("*").over(own)).filter("_m = _k")
+    ranked = average_ranks(full, [*by, block], "_v").withColumn("_t", F.count("*").over(Window.partitionBy(*by, block, "_v")))
+    # a value that t of a block have adds t^3 - t to the ties, t rows of t^2 - 1
+    parts = ranked.groupBy(*by, treatment).agg(F.sum("rank").alias("_s"), F.sum(F.col("_t") * F.col("_t") - 1).alias("_ties"), F.count("*").alias("_n"), F.max("_k").alias("_k"))
+    sums = parts.groupBy(*by).agg(F.max("_n").alias("n"), F.max("_k").alias("k"), F.sum(F.col("_s") * F.col("_s")).alias("_q"), F.sum("_ties").cast("double").alias("_ties"))
+    n, k = F.col("n").cast("double"), F.col("k").cast("double")
+    fair = 1 - F.col("_ties") / (n * k * (k * k - 1))
+    chi2 = F.when((n >= 2) & (k >= 2) & (fair != 0), (12 / (n * k * (k + 1)) * F.col("_q") - 3 * n * (k + 1)) / fair)
+    out = rows.select(*by).distinct().join(sums.withColumn("chi2", chi2), by, "left")
+    return out.select(*by, F.coalesce("n", F.lit(0)).alias("n"), "chi2", chi2_p("chi2", F.coalesce("k", F.lit(2)) - 1).alias("p"), (F.col("chi2") / (n * (k - 1))).alias("w"))
+
+
+def _group_ranks(rows: DataFrame, by: list[str], group: str, value: str) -> tuple[DataFrame, DataFrame]:
+    """Rank sums per (by, group), and (by, _n, _groups, _ties) over the whole, from counts of
+    the distinct values."""
+    counts = rows.filter(F.col(group).isNotNull() & F.col(value).isNotNull()).groupBy(*by, group, value).agg(F.count("*").alias("_c"))
+    ties = counts.groupBy(*by, value).agg(F.sum("_c").alias("ties"))
+    w = Window.partitionBy(*by).orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+    ranks = ties.withColumn("rank", F.coalesce(F.sum("ties").over(w), F.lit(0)) + (F.col("ties") + 1) / 2)
+    parts = counts.join(ranks, [*by, value]).groupBy(*by, group).agg(F.sum(F.col("_c") * F.col("rank")).alias("_s"), F.sum("_c").alias("_m"))
+    whole = ranks.groupBy(*by).agg(F.sum("ties").cast("double").alias("_n"), _tie_term().alias("_ties"))
+    return parts, whole
 
 
 def kruskal_test(rows: DataFrame, by: list[str], group: str, value: str) -> DataFrame:
-    """H with tie correction, its p and epsilon squared."""
-
-    def fn(frame: pd.DataFrame) -> dict:
-        frame = frame.dropna()
-        v, n = frame[value].to_numpy(float), len(frame)
-        groups = frame[group].nunique()
-        if n < 3 or groups < 2:
-            return {"n": n, "h": math.nan, "p": math.nan, "epsilon2": math.nan}
-        r, ties = _ranks(v)
-        part = pd.Series(r).groupby(frame[group].to_numpy()).agg(["sum", "count"])
-        c = 1 - ties / (n**3 - n)
-        h = (12 / (n * (n + 1)) * float((part["sum"] ** 2 / part["count"]).sum()) - 3 * (n + 1)) / c if c else math.nan
-        return {"n": n, "h": h, "p": chi2_tail(h, groups - 1) if c else math.nan, "epsilon2": h / (n - 1)}
-
-    return _per_group(rows, by, [group, value], fn, "n bigint, h double, p double, epsilon2 double")
+    """(by, n, h, p, epsilon2): H with tie correction, its p and epsilon squared."""
+    parts, whole = _group_ranks(rows, by, group, value)
+    sums = parts.groupBy(*by).agg(F.sum(F.col("_s") * F.col("_s") / F.col("_m")).alias("_q"), F.count("*").alias("_k")).join(whole, by)
+    n = F.col("_n")
+    fair = 1 - F.col("_ties") / (n * n * n - n)
+    h = F.when((n >= 3) & (F.col("_k") >= 2) & (fair != 0), (12 / (n * (n + 1)) * F.col("_q") - 3 * (n + 1)) / fair)
+    out = rows.select(*by).distinct().join(sums.withColumn("h", h), by, "left")
+    return out.select(*by, F.coalesce(n, F.lit(0)).cast("long").alias("n"), "h", chi2_p("h", F.coalesce("_k", F.lit(2)) - 1).alias("p"), (F.col("h") / (n - 1)).alias("epsilon2"))
 
 
 def dunn_test(rows: DataFrame, by: list[str], group: str, value: str) -> DataFrame:
-    """Pairs of groups: z and two-sided p (not adjusted) after a Kruskal-Wallis test."""
-    head = ", ".join(f"`{b}` {rows.schema[b].dataType.simpleString()}" for b in by)
-
-    def run(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.dropna(subset=[group, value])
-        n = len(frame)
-        r, ties = _ranks(frame[value].to_numpy(float))
-        part = pd.Series(r).groupby(frame[group].to_numpy()).agg(["mean", "count"]).sort_index()
-        spread = n * (n + 1) / 12 - ties / (12 * max(n - 1, 1))
-        out = []
-        for x in range(len(part)):
-            for y in range(x + 1, len(part)):
-                sd = math.sqrt(spread * (1 / part["count"].iloc[x] + 1 / part["count"].iloc[y]))
-                z = float(part["mean"].iloc[x] - part["mean"].iloc[y]) / sd if sd else 0.0
-                out.append(dict(zip(by, key, strict=True)) | {"group_a": str(part.index[x]), "group_b": str(part.index[y]), "z": z, "p": 2 * normal_tail(abs(z))})
-        return pd.DataFrame(out, columns=[*by, "group_a", "group_b", "z", "p"])
-
-    return rows.select(*by, group, value).groupBy(*by).applyInPandas(run, f"{head}, group_a string, group_b string, z double, p double")
+    """(by, group_a, group_b, z, p): pairs of groups after a Kruskal-Wallis test, p two-sided
+    and not adjusted. Pairs are of a group's few rank sums."""
+    parts, whole = _group_ranks(rows, by, group, value)
+    mean = parts.select(*by, F.col(group).cast("string").alias("g"), (F.col("_s") / F.col("_m")).alias("mean"), F.col("_m").alias("m"))
+    a, b = (mean.select(*by, *[F.col(c).alias(f"{c}_{x}") for c in ("g", "mean", "m")]) for x in "ab")
+    pairs = a.join(b, by).filter("g_a < g_b").join(whole, by)
+    n = F.col("_n")
+    spread = n * (n + 1) / 12 - F.col("_ties") / (12 * F.greatest(n - 1, F.lit(1.0)))
+    sd = F.sqrt(spread * (1 / F.col("m_a") + 1 / F.col("m_b")))
+    pairs = pairs.withColumn("z", F.when(sd > 0, (F.col("mean_a") - F.col("mean_b")) / sd).otherwise(0.0))
+    return pairs.select(*by, F.col("g_a").alias("group_a"), F.col("g_b").alias("group_b"), "z", two_sided_p("z").alias("p"))

@@ -23,6 +23,77 @@ def wide_by_opt(rows: DataFrame, keys: list[str], value: str, opts: list[str] =
     return rows.groupBy(*keys).pivot("opt", opts).agg(F.avg(value))
 
 
+def _keyed(rows: DataFrame, key: str) -> DataFrame:
+    """Rows with a stable key: none that is null, empty or a sentinel."""
+    return rows.filter((F.coalesce(key, F.lit("")) != "") & ~F.startswith(key, F.lit("_unstable")))
+
+
+def cohort_coverage(rows: DataFrame, by: list[str], key: str, opts: list[str] = OPTS) -> DataFrame:
+    """Per group: keys, those at all levels, those at all levels but the first, and both
+    shares. Levels of a key are counted once, then keys: two aggregations."""
+    has = [F.max((F.col("opt") == o).cast("int")).alias(f"_{o}") for o in opts]
+    per = _keyed(rows, key).groupBy(*by, key).agg(*has)
+    late = sum((F.col(f"_{o}") for o in opts[1:]), F.lit(0)) == len(opts) - 1
+    full = late & (F.col(f"_{opts[0]}") == 1)
+    out = per.groupBy(*by).agg(F.count("*").alias("total_keys"), F.count_if(full).alias("full_cohort"), F.count_if(late).alias("late_cohort"))
+    return out.withColumns({"full_coverage": F.col("full_cohort") / F.col("total_keys"), "late_coverage": F.col("late_cohort") / F.col("total_keys")})
+
+
+def tier_hopping(rows: DataFrame, key: str) -> DataFrame:
+    """One row: stable keys, and those that have more than one tier."""
+    per = _keyed(rows, key).groupBy(key).agg(F.count_distinct("tier").alias("n"))
+    return per.agg(F.count("*").alias("n_keys"), F.count_if(F.col("n") > 1).alias("n_multi_tier"))
+
+
+def tier_cohort(rows: DataFrame, by: list[str], key: str, value: str, tier: str = "BRONZE", opts: tuple[str, ...] = ("O1", "O2", "O3"), least: int = 3) -> DataFrame:
+    """Per group: keys of the tier at the first level, those of them at all levels, whether
+    they are enough, how many have another tier at the last level, and the mean change of
+    the value from the first to the last. Groups without such a key are left out."""
+    first, last = opts[0], opts[-1]
+    at = lambda o: F.col("opt") == o
+    tier_at = lambda o: F.min(F.when(at(o), F.col("tier")))
+    per = _keyed(rows, key).groupBy(*by, key).agg(
+        F.max((at(first) & (F.col("tier") == tier)).cast("int")).alias("_in"), F.count_distinct(F.when(F.col("opt").isin(*opts), F.col("opt"))).alias("_levels"),
+        (tier_at(first) != tier_at(last)).alias("_hopped"), (F.avg(F.when(at(first), F.col(value))) - F.avg(F.when(at(last), F.col(value)))).alias("_delta"),
+    )
+    paired = (F.col("_in") == 1) & (F.col("_levels") == len(opts))
+    out = per.groupBy(*by).agg(F.count_if(F.col("_in") == 1).alias("n_tier"), F.count_if(paired).alias("n_paired"), F.count_if(paired & F.coalesce("_hopped", F.lit(False))).alias("n_hopped"), F.avg(F.when(paired, F.col("_delta"))).alias("mean_delta"))
+    return out.filter("n_tier > 0").withColumn("enough", F.col("n_paired") >= least)
+
+
+def majority_tiers(rows: DataFrame, key: str, opts: list[str] = OPTS) -> DataFrame:
+    """(key, tier_O0, ...): the most frequent tier of a key at each level, the smallest of
+    equally frequent ones; null where the key has none. Tiers are counted before they are
+    compared, so a hot key is a few counts."""
+    counts = rows.filter(F.col("tier").isNotNull()).groupBy(key, "opt", "tier").agg(F.count("*").alias("n"))
+    best = counts.groupBy(key, "opt").agg(F.min_by("tier", F.struct(-F.col("n"), F.col("tier"))).alias("tier"))
+    wide = best.groupBy(key).pivot("opt", opts).agg(F.first("tier"))
+    return wide.select(key, *[F.col(o).alias(f"tier_{o}") for o in opts])
+
+
+def trajectories(rows: DataFrame, key: str, models: list[str], value: str, opts: list[str] = OPTS) -> DataFrame:
+    """Majority tiers of each key, its tier changes, and every model's value by level
+    (f1_<model>_<opt>): one pivot over (model, level) and one left join."""
+    tiers = majority_tiers(rows, key, opts)
+    mean = rows.filter(F.col("model").isin(*models)).groupBy(key, "model", "opt").agg(F.avg(value).alias("v"))
+    cells = [F.max(F.when((F.col("model") == m) & (F.col("opt") == o), F.col("v"))).alias(f"f1_{m}_{o}") for m in models for o in opts]
+    wide = mean.groupBy(key).agg(*cells)
+    held = F.array_compact(F.array(*[F.col(f"tier_{o}") for o in opts]))
+    steps = F.aggregate(F.sequence(F.lit(1), F.lit(len(opts))), F.lit(0), lambda n, i: n + F.coalesce((F.try_element_at(held, i) != F.try_element_at(held, i + 1)).cast("int"), F.lit(0)))
+    ever = F.exists(held, lambda t: t == "BRONZE")
+    return tiers.withColumns({"n_opts_present": F.size(held), "tier_changes": steps, "ever_bronze": ever}).join(wide, key, "left")
+
+
+def failure_rates(rows: DataFrame, models: str, trivial: str, ok: str, opts: list[str] = OPTS) -> DataFrame:
+    """Per model and for each level, percent of trivial predictions and of answers that
+    could not be parsed; null where the model has no row."""
+    cells = []
+    for o in opts:
+        at = F.col("opt") == o
+        cells += [(100 * F.avg(F.when(at, F.col(trivial).cast("int")))).alias(f"trivial_{o}"), (100 * F.avg(F.when(at, (~F.col(ok)).cast("int")))).alias(f"parse_failure_{o}")]
+    return rows.groupBy(models).agg(*cells)
+
+
 def one_per_level(rows: DataFrame, key: str, order: list[str]) -> DataFrame:
     """The first row of each (key, level) in the given order."""
     w = Window.partitionBy(key, "opt").orderBy(*order)
@@ -80,8 +151,13 @@ def consensus(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
 
 
 def ecdf(rows: DataFrame, by: list[str], value: str, tie: str) -> DataFrame:
+    """Add i / n, ties of a value in the order of ``tie``. Rows before a value come from
+    counts of the distinct values; only rows of one value meet in a window."""
+    counts = rows.groupBy(*by, value).agg(F.count("*").alias("_c"))
     w = Window.partitionBy(*by)
-    return rows.withColumn("ecdf", F.row_number().over(w.orderBy(value, tie)) / F.count("*").over(w))
+    before = counts.select(*by, value, (F.sum("_c").over(w.orderBy(value).rowsBetween(Window.unboundedPreceding, 0)) - F.col("_c")).alias("_before"), F.sum("_c").over(w).alias("_n"))
+    own = F.row_number().over(Window.partitionBy(*by, value).orderBy(tie))
+    return rows.join(before, [*by, value]).withColumn("ecdf", (F.col("_before") + own) / F.col("_n")).drop("_before", "_n")
 
 
 def direction_counts(wide: DataFrame, a: str, b: str, eps: float = 1e-12) -> DataFrame:

@@ -118,10 +118,11 @@ def F39_prompt(v: Catalog) -> DataFrame:
     return v("joined_raw").select("function_id", text.render_prompt(template, F.coalesce("name", F.lit("")), F.when(~F.col("is_plt"), "c"), none, F.lit("v")).alias("prompt"))
 
 
-@query("""SELECT d.doc_id, b.item_id, length(b.w) > 4 AND contains(lower(d.text), lower(b.w)) AS leaks FROM documents d JOIN (SELECT item_id, split_part(text, ' ', 2) AS w FROM benchmark) b ON d.doc_id % 40 = b.item_id""")
+@query("""SELECT d.doc_id, b.item_id, length(b.w) > 4 AND contains(lower(d.text), lower(b.w)) AS leaks FROM documents d JOIN (SELECT item_id, split_part(text, ' ', 2) AS w FROM benchmark) b ON d.doc_id % (SELECT count(*) FROM benchmark) = b.item_id""")
 def P09_truth_in_code(v: Catalog) -> DataFrame:
     b = v.table("benchmark").select("item_id", F.split_part("text", F.lit(" "), F.lit(2)).alias("w"))
-    return v.table("documents").join(b, F.col("doc_id") % 40 == F.col("item_id")).select("doc_id", "item_id", text.leaks_truth(F.col("text"), F.col("w")).alias("leaks"))
+    docs = v.table("documents").crossJoin(F.broadcast(b.agg(F.count("*").alias("n"))))  # one row: every item is compared
+    return docs.join(b, F.col("doc_id") % F.col("n") == F.col("item_id")).select("doc_id", "item_id", text.leaks_truth(F.col("text"), F.col("w")).alias("leaks"))
 
 
 @query("SELECT page_id, length(trim(regexp_replace(regexp_replace(html, '(?s)/[*].*?[*]/|//[^\\n]*', '', 'g'), '\\s+', ' ', 'g'))) AS n, sha256(trim(regexp_replace(regexp_replace(html, '(?s)/[*].*?[*]/|//[^\\n]*', '', 'g'), '\\s+', ' ', 'g'))) AS h FROM pages")
@@ -366,12 +367,11 @@ def W18_reason_counts(v: Catalog) -> DataFrame:
     return align.reason_counts(aligned(v), ["opt"])
 
 
-@query("""SELECT * FROM (WITH f AS (SELECT function_id, line % 3 AS file, count(*) AS n, min(cnt) AS first, min(line) AS lo, max(line) AS hi FROM ev_rows GROUP BY function_id, line % 3),
+@query("""SELECT * FROM (WITH f AS (SELECT function_id, line % 3 AS file, count(*) AS n, min(cnt * 1000 + line) AS first, min(line) AS lo, max(line) AS hi FROM ev_rows GROUP BY function_id, line % 3),
   r AS (SELECT *, row_number() OVER (PARTITION BY function_id ORDER BY n DESC, first, file) AS rn, sum(n) OVER (PARTITION BY function_id) AS total, count(*) OVER (PARTITION BY function_id) AS files FROM f)
-  SELECT function_id, n AS top, CAST(total AS BIGINT) AS n_rows, files AS n_files FROM r WHERE rn = 1) AS q""")
+  SELECT function_id, file AS dominant_file, round_even(n / CAST(total AS DOUBLE), 4) AS dominant_ratio, lo AS line_min, hi AS line_max, CAST(total AS BIGINT) AS n_rows, files AS n_files FROM r WHERE rn = 1) AS q""")
 def A02_line_span(v: Catalog) -> DataFrame:
-    s = align.line_span(v("ev_rows").select("function_id", (F.col("line") % 3).alias("file"), "line", F.col("cnt").alias("pos")))
-    return s.select("function_id", F.round(F.col("dominant_ratio") * F.col("n_rows")).cast("long").alias("top"), "n_rows", "n_files")
+    return align.line_span(v("ev_rows").select("function_id", (F.col("line") % 3).alias("file"), "line", (F.col("cnt") * 1000 + F.col("line")).alias("pos")))
 
 
 _PREP = "concat('# 1 \"t', doc_id, '.c\"', chr(10), text, chr(10), '# 7 \"/usr/include/x.h\" 3', chr(10), 'skipped', chr(10), '# ', 100 + doc_id, ' \"a\\\\\"b.h\"  ', chr(10), 'last')"
@@ -386,13 +386,13 @@ def F30_origin_map(v: Catalog) -> DataFrame:
     return origin.origin_map(lines)
 
 
-@query("""SELECT tu, CASE WHEN n % 3 = 0 THEN tu WHEN n % 3 = 1 THEN concat('/z/', n, '.i') END AS key FROM (SELECT DISTINCT CAST(tu AS BIGINT) AS n, concat('/b/', tu, '.i') AS tu FROM ts) AS q""")
+@query("""SELECT tu, CASE WHEN n % 3 = 0 THEN tu WHEN n % 3 = 1 THEN concat(CASE WHEN n % 2 = 0 THEN '/a/' ELSE '/z/' END, n, '.i') END AS key FROM (SELECT DISTINCT CAST(tu AS BIGINT) AS n, concat('/b/', tu, '.i') AS tu FROM ts) AS q""")
 def J02_reconcile_units(v: Catalog) -> DataFrame:
     ts = v("ts").select(F.concat(F.lit("/b/"), F.col("tu"), F.lit(".i")).alias("tu"))
     n = v("ts").select("tu").distinct()
-    known = n.filter("tu % 3 = 0").select(F.concat(F.lit("/b/"), F.col("tu"), F.lit(".i")).alias("tu"))
-    for folder in ("/a/", "/z/"):
-        known = known.unionByName(n.filter("tu % 3 <> 2").select(F.concat(F.lit(folder), F.col("tu"), F.lit(".i")).alias("tu")))
+    known = n.filter("tu % 3 = 0").select(F.concat(F.lit("/b/"), F.col("tu"), F.lit(".i")).alias("tu"), F.lit(0).alias("pos"))
+    for at, folder in enumerate(("/a/", "/z/")):  # of even units /a/ was given last
+        known = known.unionByName(n.filter("tu % 3 <> 2").select(F.concat(F.lit(folder), F.col("tu"), F.lit(".i")).alias("tu"), F.abs(F.lit(1 - at) - F.col("tu") % 2).cast("int").alias("pos")))
     return origin.reconcile_units(ts, known)
 
 
@@ -430,9 +430,9 @@ def A18_many_to_one(v: Catalog) -> DataFrame:
     return address.many_to_one(mapped(v)).select("function_id", "body_id", "n_sharing", "is_shared")
 
 
-@query("SELECT DISTINCT r.function_id, p.l_partkey * 16 + p.l_linenumber AS addr FROM ranges r JOIN lineitem p ON r.bin = p.l_partkey % 2 AND p.l_partkey * 16 + p.l_linenumber >= r.lo AND p.l_partkey * 16 + p.l_linenumber < r.hi")
+@query("SELECT r.function_id, p.addr FROM (SELECT DISTINCT function_id, bin, lo, hi FROM ranges) r JOIN (SELECT DISTINCT CAST(floor(l_orderkey / 3750) AS BIGINT) AS unit, l_suppkey % 500 * 16 + l_linenumber AS addr FROM lineitem) p ON r.bin = p.unit AND p.addr >= r.lo AND p.addr < r.hi GROUP BY r.function_id, p.addr")
 def J19_points_in_ranges(v: Catalog) -> DataFrame:
-    points = v.table("lineitem").select((F.col("l_partkey") % 2).alias("unit"), (F.col("l_partkey") * 16 + F.col("l_linenumber")).alias("addr")).distinct()
+    points = v.table("lineitem").select(F.floor(F.col("l_orderkey") / 3750).alias("unit"), (F.col("l_suppkey") % 500 * 16 + F.col("l_linenumber")).alias("addr")).distinct()
     return address.points_in_ranges(points, v("ranges").withColumnRenamed("bin", "unit")).select("function_id", "addr")
 
 

@@ -29,9 +29,9 @@ def P01_receipt_builds(v: Catalog) -> DataFrame:
     return readers.receipt_builds(receipts).select("job_id", "opt", "size_bytes", "has_debug")
 
 
-@query("""SELECT f.function_id, coalesce(f.name, concat('<anon@', f.function_id, '>')) AS name, e.line AS ts_id, CAST(coalesce(e.n, 0) AS BIGINT) AS score FROM fn f LEFT JOIN (SELECT function_id, line, sum(cnt) AS n FROM ev_rows WHERE line % 3 = 0 GROUP BY function_id, line) e ON e.function_id = f.function_id""")
+@query("""SELECT f.function_id, coalesce(f.name, concat('<anon@', f.function_id, '>')) AS name, e.line AS ts_id, CAST(coalesce(e.n, 0) AS BIGINT) AS score FROM fn f LEFT JOIN (SELECT function_id, line, sum(cnt) AS n FROM ev_rows GROUP BY function_id, line) e ON e.function_id = f.function_id""")
 def P03_flatten_pairs(v: Catalog) -> DataFrame:
-    c = v("ev_rows").filter("line % 3 = 0").groupBy("function_id", "line").agg(F.sum("cnt").alias("n")).groupBy("function_id").agg(F.collect_list(F.struct(F.col("line").alias("ts_id"), F.col("n").alias("score"))).alias("candidates"))
+    c = v("ev_rows").groupBy("function_id", "line").agg(F.sum("cnt").alias("n")).groupBy("function_id").agg(F.collect_list(F.struct(F.col("line").alias("ts_id"), F.col("n").alias("score"))).alias("candidates"))
     return flatten.flatten_pairs(v("fn").join(c, "function_id", "left")).drop("pos")
 
 

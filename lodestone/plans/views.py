@@ -25,29 +25,29 @@ VIEWS: dict[str, str] = {
           CASE CAST(o_orderkey + o_custkey AS BIGINT) % 5 WHEN 0 THEN 'MATCH' WHEN 1 THEN 'MATCH' WHEN 2 THEN 'AMBIGUOUS' WHEN 3 THEN 'NO_MATCH' ELSE 'NON_TARGET' END AS verdict,
           CASE WHEN o_orderkey % 13 = 0 THEN NULL ELSE CAST(o_orderkey % 101 AS DOUBLE) / 128 END AS overlap, CAST(o_orderkey % 37 AS BIGINT) AS gap
         FROM {orders}""",
+    # evidence, source functions and origins: 25 parts a unit, two units a source file, 375 orders a file
     "ev_rows": """
-        SELECT CAST(l_orderkey AS BIGINT) AS function_id, CAST(l_orderkey % 8 AS BIGINT) AS file,
-          CAST(CAST(floor(l_orderkey / 8) AS BIGINT) % 25 * 4 + l_linenumber AS BIGINT) AS line, CAST(l_quantity AS BIGINT) AS cnt
+        SELECT CAST(l_orderkey AS BIGINT) AS function_id, CAST(floor(l_orderkey / 375) AS BIGINT) AS file,
+          CAST(l_orderkey % 25 * 4 + l_linenumber AS BIGINT) AS line, CAST(l_quantity AS BIGINT) AS cnt
         FROM {lineitem}""",
     "ts": """
-        SELECT concat('f', CAST(p_partkey AS STRING)) AS ts_id, CAST(p_partkey % 16 AS BIGINT) AS tu, CAST(floor(p_partkey / 16) AS BIGINT) * 4 + 1 AS start_line,
-          CAST(floor(p_partkey / 16) AS BIGINT) * 4 + 4 + p_size % 4 AS end_line, CAST(p_partkey * 100 AS BIGINT) AS start_byte, CAST(p_partkey * 100 + p_size AS BIGINT) AS end_byte,
-          CASE WHEN p_size % 2 = 0 THEN concat('k', CAST(floor(p_partkey / 16) AS STRING)) ELSE concat('u', CAST(p_partkey AS STRING)) END AS context_hash
-        FROM {part} WHERE p_partkey < 400 AND (p_partkey % 16 < 8 OR p_partkey % 3 = 0)""",
-    "org": """
-        SELECT CAST(t.p_partkey % 16 AS BIGINT) AS tu, CAST(n.p_partkey AS BIGINT) AS i_line, CAST(t.p_partkey % 8 AS BIGINT) AS file, CAST(n.p_partkey AS BIGINT) AS line
-        FROM {part} t CROSS JOIN {part} n WHERE t.p_partkey BETWEEN 1 AND 16 AND n.p_partkey BETWEEN 1 AND 130""",
-    "first_lines": """
-        SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) AS rn FROM {lineitem}) AS x WHERE rn = 1""",
+        SELECT concat('f', CAST(p_partkey AS STRING)) AS ts_id, CAST(floor(p_partkey / 25) AS BIGINT) AS tu, CAST(p_partkey % 25 AS BIGINT) * 4 + 1 AS start_line,
+          CAST(p_partkey % 25 AS BIGINT) * 4 + 4 + p_size % 4 AS end_line, CAST(p_partkey * 100 AS BIGINT) AS start_byte, CAST(p_partkey * 100 + p_size AS BIGINT) AS end_byte,
+          CASE WHEN p_size % 2 = 0 THEN concat('k', CAST(p_partkey % 25 AS STRING)) ELSE concat('u', CAST(p_partkey AS STRING)) END AS context_hash
+        FROM {part}""",
+    "org": " UNION ALL ".join(f"""
+        SELECT CAST(floor(p_partkey / 25) AS BIGINT) AS tu, CAST(p_partkey % 25 * 4 + {n} AS BIGINT) AS i_line, CAST(floor(p_partkey / 50) AS BIGINT) AS file, CAST(p_partkey % 25 * 4 + {n} AS BIGINT) AS line
+        FROM {{part}}""" for n in range(1, 5)),
+    # ranges and bodies: 3,750 orders and 500 parts a binary; every seventh body leaves a gap
     "ranges": """
-        SELECT CAST(l_orderkey AS BIGINT) AS function_id, CAST(l_partkey % 2 AS BIGINT) AS bin, CAST(l_partkey * 16 + l_linenumber AS BIGINT) AS lo,
-          CAST(l_partkey * 16 + l_linenumber AS BIGINT) + CAST(l_quantity AS BIGINT) % 24 + 1 AS hi
-        FROM first_lines""",
+        SELECT CAST(l_orderkey AS BIGINT) AS function_id, CAST(floor(l_orderkey / 3750) AS BIGINT) AS bin, CAST(l_partkey % 500 * 16 + l_linenumber AS BIGINT) AS lo,
+          CAST(l_partkey % 500 * 16 + l_linenumber AS BIGINT) + CAST(l_quantity AS BIGINT) % 24 + 1 AS hi
+        FROM {lineitem}""",
     "bodies": """
-        SELECT concat('b', CAST(b.p_partkey AS STRING), '_', CAST(p.p_partkey AS STRING)) AS body_id, CAST(b.p_partkey AS BIGINT) AS bin, CAST(p.p_partkey * 16 AS BIGINT) AS start,
-          CAST(p.p_partkey * 16 + 16 + p.p_size % 4 AS BIGINT) AS "end", CAST(p.p_partkey * 16 AS BIGINT) AS entry, p.p_size % 19 = 0 AS is_thunk, p.p_size % 23 = 0 AS is_external
-        FROM {part} p CROSS JOIN {part} b WHERE b.p_partkey IN (0, 1) AND p.p_partkey % 7 <> 0""",
-    "fn_pc": "SELECT f.function_id, f.test_case, f.opt, coalesce(r.lo, 0) AS low_pc FROM fn f LEFT JOIN ranges r ON f.function_id = r.function_id",
+        SELECT concat('b', CAST(p_partkey AS STRING)) AS body_id, CAST(floor(p_partkey / 500) AS BIGINT) AS bin, CAST(p_partkey % 500 * 16 AS BIGINT) AS start,
+          CAST(p_partkey % 500 * 16 + CASE WHEN p_partkey % 7 = 0 THEN 4 ELSE 16 + p_size % 4 END AS BIGINT) AS "end", CAST(p_partkey % 500 * 16 AS BIGINT) AS entry, p_size % 19 = 0 AS is_thunk, p_size % 23 = 0 AS is_external
+        FROM {part}""",
+    "fn_pc": "SELECT f.function_id, f.test_case, f.opt, coalesce(r.lo, 0) AS low_pc FROM fn f LEFT JOIN (SELECT function_id, min(lo) AS lo FROM ranges GROUP BY function_id) r ON f.function_id = r.function_id",
     # functions after both joins
     "joined_raw": """
         SELECT function_id, test_case, opt, name, oracle_verdict, function_id % 23 <> 0 AS has_range, function_id % 19 = 0 AS is_non_target,

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import logging
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+log = logging.getLogger(__name__)
+
 #: root/<test_case>/<opt>/<variant>/<stage>/file
 TREE = r".*/([^/]+)/([^/]+)/([^/]+)/[^/]+/[^/]+$"
 
@@ -32,28 +36,70 @@ def json_documents(spark: SparkSession, path: str, schema: T.StructType | str) -
 
 def json_lines(spark: SparkSession, path: str, schema: T.StructType | str, strict: bool = True) -> DataFrame:
     """One object per line, blank lines skipped; a missing path gives no rows. Strict: a
-    bad line fails the job; else bad lines are left out."""
+    bad line fails the job; else bad lines are left out and a warning says how many
+    (:func:`tolerant_lines` gives the lines themselves, without a job)."""
     if not exists(spark, path):
         return spark.createDataFrame([], schema)
     if strict:
         return spark.read.schema(schema).option("mode", "FAILFAST").json(path)
-    return spark.read.schema(schema).option("mode", "DROPMALFORMED").json(path)
+    parsed = _parsed_lines(spark, path, schema)
+    bad = F.col("r._corrupt_record").isNotNull()
+    n_bad = parsed.filter(bad).count()
+    if n_bad:
+        log.warning("%d malformed lines under %s are left out", n_bad, path)
+    return parsed.filter(~bad).select("r.*").drop("_corrupt_record")
+
+
+def _parsed_lines(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
+    """file, value and r (the parsed line, what is malformed in ``_corrupt_record``)."""
+    fields = schema if isinstance(schema, T.StructType) else T._parse_datatype_string(schema)
+    wide = T.StructType([*fields.fields, T.StructField("_corrupt_record", T.StringType())])
+    parse = F.from_json("value", wide, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"})
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), "value").filter(F.trim("value") != "")
+    return lines.select("file", "value", parse.alias("r"))
+
+
+def tolerant_lines(spark: SparkSession, path: str, schema: T.StructType | str) -> tuple[DataFrame, DataFrame]:
+    """(rows with their ``file``, bad lines with theirs), two views of one parse."""
+    parsed = _parsed_lines(spark, path, schema)
+    bad = F.col("r._corrupt_record").isNotNull()
+    return parsed.filter(~bad).select("file", "r.*").drop("_corrupt_record"), parsed.filter(bad).select("file", "value")
 
 
 def bad_lines(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     """The lines that the tolerant reader leaves out."""
-    wide = T.StructType([*schema.fields, T.StructField("_corrupt_record", T.StringType())])
-    parsed = spark.read.text(path).filter(F.trim("value") != "").select("value", F.from_json("value", wide, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"}).alias("r"))
-    return parsed.filter(F.col("r._corrupt_record").isNotNull()).select("value")
+    return tolerant_lines(spark, path, schema)[1].select("value")
+
+
+def numbered_lines(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
+    """(file, pos, fields...) of the well-formed lines; ``pos`` is the line's place in its
+    file, which is read whole (a line has no place of its own in a split one)."""
+    whole = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.posexplode(F.split("value", "\n", -1)).alias("pos", "value"))
+    fields = schema if isinstance(schema, T.StructType) else T._parse_datatype_string(schema)
+    wide = T.StructType([*fields.fields, T.StructField("_corrupt_record", T.StringType())])
+    parsed = whole.filter(F.trim("value") != "").select("file", "pos", F.from_json("value", wide, {"columnNameOfCorruptRecord": "_corrupt_record"}).alias("r"))
+    return parsed.filter(F.col("r._corrupt_record").isNull()).select("file", "pos", "r.*").drop("_corrupt_record")
 
 
 def tagged_lines(lines: DataFrame, defaults: dict[str, Column], tag: str = "_type") -> tuple[DataFrame, DataFrame]:
-    """(functions sorted by entry, summaries) of tagged rows; no tag means function."""
+    """(functions sorted by entry, summaries) of tagged rows; no tag means function. Other
+    tags are left to :func:`unknown_tags`."""
     kind = F.coalesce(F.col(tag), F.lit("function"))
     filled = lines.withColumns({c: F.coalesce(F.col(c), d) for c, d in defaults.items()})
     return filled.filter(kind == "function").drop(tag).orderBy("entry_va"), filled.filter(kind == "summary").drop(tag)
 
 
+def unknown_tags(lines: DataFrame, by: list[str], tag: str = "_type") -> DataFrame:
+    """Rows per tag that is neither a function's nor a summary's: what a reader warns about."""
+    return lines.filter(~F.col(tag).isin("function", "summary")).groupBy(*by, tag).agg(F.count("*").alias("n"))
+
+
+def last_summary(summaries: DataFrame, by: list[str], position: str) -> DataFrame:
+    """Of each group's summaries the last one, by the place of its line."""
+    fields = [c for c in summaries.columns if c not in (*by, position)]
+    return summaries.groupBy(*by).agg(F.max_by(F.struct(*fields), position).alias("s")).select(*by, "s.*")
+
+
 def texts(spark: SparkSession, path: str) -> DataFrame:
     """(tu, text): whole files, keyed by file name."""
     rows = spark.read.text(path, wholetext=True)

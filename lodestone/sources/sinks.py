@@ -3,12 +3,16 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .readers import exists
 
+CSV = {"header": True, "nullValue": "\\N", "escape": '"'}
+
 
 def write_bundle(df: DataFrame, path: str, order: list[str], by: list[str] | None = None, fmt: str = "parquet") -> None:
     """Overwrite a table, rows sorted within each file; files by partition columns."""
@@ -17,6 +21,65 @@ def write_bundle(df: DataFrame, path: str, order: list[str], by: list[str] | Non
     (writer.partitionBy(*by) if by else writer).save(path)
 
 
+def write_sorted(df: DataFrame, path: str, order: list[str], fmt: str = "parquet") -> None:
+    """Overwrite a table whose files follow each other in the global order: rows are dealt
+    by range and sorted within, so no task sorts the whole."""
+    df.orderBy(*order).write.mode("overwrite").format(fmt).save(path)
+
+
+def write_csv(df: DataFrame, path: str, order: list[str]) -> None:
+    """A table as CSV with a header, in global order; null is written as \\N, so that it is
+    no empty text, and line breaks and quotes in texts survive."""
+    df.orderBy(*order).write.mode("overwrite").options(**CSV).csv(path)
+
+
+def read_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    return spark.read.schema(schema).options(**CSV, multiLine=True).csv(path)
+
+
+def json_bundle(rows: DataFrame, by: list[str], order: list[str], lines: bool = True) -> DataFrame:
+    """(by, content): a group's rows as JSON lines, or as one JSON array, in a fixed order
+    and with null fields written, so equal rows give equal bytes. A group is one file."""
+    one = F.to_json(F.struct(*[F.col(c) for c in rows.columns if c not in by]), {"ignoreNullFields": "false"})
+    packed = F.array_sort(F.collect_list(F.struct(*[F.col(c).alias(f"_{n}") for n, c in enumerate(order)], one.alias("_json"))))
+    texts = F.transform(packed, lambda r: r["_json"])
+    content = F.concat(F.array_join(texts, "\n"), F.lit("\n")) if lines else F.concat(F.lit("["), F.array_join(texts, ","), F.lit("]"))
+    return rows.groupBy(*by).agg(content.alias("content"))
+
+
+def write_files(files: DataFrame) -> DataFrame:
+    """Write each row's ``content`` to the file ``path`` and return (path, size). A file is
+    written aside and moved, so a task that runs again leaves the same file. Any file
+    system that Arrow knows by its scheme."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+
+        for b in batches:
+            sizes = []
+            for path, content in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                system, at = fs.FileSystem.from_uri(path) if ":/" in path else (fs.LocalFileSystem(), path)
+                system.create_dir(at.rpartition("/")[0], recursive=True)
+                aside = f"{at.rpartition('/')[0]}/.{uuid.uuid4().hex}"
+                with system.open_output_stream(aside, compression=None) as out:
+                    out.write(content.encode())
+                system.move(aside, at)
+                sizes.append(len(content.encode()))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sizes, pa.int64())], names=["path", "size"])
+
+    return files.select("path", "content").mapInArrow(run, "path string, size bigint")
+
+
+def cascade(parents: DataFrame, gone: DataFrame, key: list[str], children: dict[str, tuple[DataFrame, list[str]]]) -> tuple[DataFrame, dict[str, DataFrame]]:
+    """Parents without those in ``gone``, and each child table without rows of them;
+    ``children``: name to (table, its columns for the parents' key)."""
+    left = {}
+    for name, (rows, own) in children.items():
+        keys = gone.select(*[F.col(k).alias(c) for k, c in zip(key, own, strict=True)]).distinct()
+        left[name] = rows.join(keys, own, "left_anti")
+    return without(parents, gone, key), left
+
+
 def new_rows(batch: DataFrame, stored: DataFrame | None, key: list[str], position: str) -> DataFrame:
     """Of a batch, the first row of each key that isn't stored yet."""
     w = Window.partitionBy(*key).orderBy(position)
@@ -24,6 +87,18 @@ def new_rows(batch: DataFrame, stored: DataFrame | None, key: list[str], positio
     return first if stored is None else first.join(stored.select(*key), key, "left_anti")
 
 
+def append_one(spark: SparkSession, row: DataFrame, path: str, key: list[str]) -> bool:
+    """Append a single row unless its key is stored; whether it was written."""
+    stored = spark.read.parquet(path) if exists(spark, path) else None
+    fresh = row if stored is None else row.join(stored.select(*key), key, "left_anti")
+    given = fresh.limit(2).collect()
+    if len(given) > 1:
+        raise ValueError("one row at a time")
+    if given:
+        spark.createDataFrame(given, row.schema).write.mode("append").parquet(path)
+    return bool(given)
+
+
 def append_new(spark: SparkSession, batch: DataFrame, path: str, key: list[str], position: str, scope: str = "experiment_id") -> tuple[int, int]:
     """(written, skipped); an empty batch or one of several scopes is an error. One
     writer at a time, as for any plain files."""
@@ -50,16 +125,37 @@ def without(stored: DataFrame, gone: DataFrame, key: list[str]) -> DataFrame:
     return stored.join(gone.select(*key), key, "left_anti")
 
 
+def _files(spark: SparkSession, path: str):
+    """The file system of a path, and a maker of its paths."""
+    make = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    return make(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), make
+
+
+def restore(spark: SparkSession, path: str) -> None:
+    """Put back the table that an interrupted :func:`rewrite` had moved aside."""
+    fs, make = _files(spark, path)
+    kept = make(f"{path.rstrip('/')}.old")
+    if fs.exists(kept):
+        if fs.exists(make(path)):
+            fs.delete(kept, True)  # the new table stands already
+        elif not fs.rename(kept, make(path)):
+            raise OSError(f"cannot move {kept} back to {path}")
+
+
 def rewrite(spark: SparkSession, df: DataFrame, path: str) -> None:
-    """Replace a table that ``df`` may be read from: written aside, then moved."""
+    """Replace a table that ``df`` may be read from: written aside, then moved. The old
+    table is moved away, not deleted, until the new one stands, so that whatever
+    happens :func:`restore` finds one of them whole."""
+    restore(spark, path)
     side = f"{path.rstrip('/')}.{uuid.uuid4().hex}"
     df.write.parquet(side)
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
-    old, new = hadoop.Path(path), hadoop.Path(side)
-    fs = old.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    fs.delete(old, True)
-    if not fs.rename(new, old):
+    fs, make = _files(spark, path)
+    old, kept = make(path), make(f"{path.rstrip('/')}.old")
+    if fs.exists(old) and not fs.rename(old, kept):
+        raise OSError(f"cannot move {path} aside")
+    if not fs.rename(make(side), old):
         raise OSError(f"cannot move {side} to {path}")
+    fs.delete(kept, True)
 
 
 class RunRegistry:
@@ -71,6 +167,7 @@ class RunRegistry:
         self.spark, self.path = spark, path
 
     def all(self) -> DataFrame:
+        restore(self.spark, self.path)
         return self.spark.read.schema(self.SCHEMA).parquet(self.path) if exists(self.spark, self.path) else self.spark.createDataFrame([], self.SCHEMA)
 
     def get(self, run_id: str) -> dict | None:

@@ -297,15 +297,17 @@ def test_tails():
     assert stats.normal_tail(1.959963984540054) == pytest.approx(0.025, abs=1e-12)
 
 
-def test_wilcoxon_exact_and_by_brute_force():
+def test_wilcoxon_exact_and_by_brute_force(spark):
     from itertools import product
 
-    d = np.array([0.5, -1.5, 2.5, 3.5, -0.25, 4.5])
-    n, w, p = stats.wilcoxon(d)
-    ranks = stats._ranks(np.abs(d))[0]
+    d = np.array([0.5, -1.5, 2.5, 3.5, -0.25, 4.5, 0.0])
+    got = stats.wilcoxon_test(spark.createDataFrame([("m", float(x)) for x in d] + [("none", 0.0)], "model string, d double"), ["model"], "d").collect()
+    n, w, p = next((r.n, r.w_plus, r.p) for r in got if r.model == "m")
+    ranks = np.array([2.0, 3, 4, 5, 1, 6])
     all_w = [sum(r for r, s in zip(ranks, signs, strict=True) if s) for signs in product([0, 1], repeat=6)]
-    assert (n, w) == (6, 17 - 0.0 + 1 - 1) or w == float(ranks[d > 0].sum())
+    assert (n, w) == (6, float(ranks[d[:6] > 0].sum()))
     assert p == pytest.approx(sum(x >= w for x in all_w) / 64)
+    assert next((r.n, r.p) for r in got if r.model == "none") == (0, None)
 
 
 def test_group_tests(spark):
@@ -322,10 +324,14 @@ def test_group_tests(spark):
     h = 12 / (120 * 121) * sum(flat[[i for i, r in enumerate(rows) if r[2] == f"O{o}"]].sum() ** 2 / 30 for o in range(4)) - 3 * 121
     assert k.h == pytest.approx(h) and k.epsilon2 == pytest.approx(h / 119)
     assert stats.dunn_test(df, ["model"], "opt", "x").count() == 6
-    b = stats.bootstrap_ci(df, ["model"], "x", "key", resamples=500).first()
-    assert b.low < b.estimate < b.high and tuple(b) == tuple(stats.bootstrap_ci(df.repartition(3), ["model"], "x", "key", resamples=500).first())
-    lone = stats.bootstrap_ci(df.limit(1), ["model"], "x", "key").first()
-    assert lone.low is None
+    x = np.array([r[3] for r in rows])
+    for statistic in ("mean", "median"):
+        b = stats.bootstrap_ci(df, ["model"], "x", statistic, resamples=2000).first()
+        assert b.low < b.estimate < b.high and tuple(b) == tuple(stats.bootstrap_ci(df.repartition(3), ["model"], "x", statistic, resamples=2000).first())
+        drawn = getattr(np, statistic)(x[rng.integers(0, len(x), (2000, len(x)))], axis=1)
+        assert b.estimate == pytest.approx(getattr(np, statistic)(x)) and (b.low, b.high) == pytest.approx(tuple(np.percentile(drawn, [2.5, 97.5])), abs=0.08)
+    lone = stats.bootstrap_ci(df.limit(1), ["model"], "x").first()
+    assert lone.low is None and lone.n == 1
 
 
 def test_holm_and_kendall(spark):
@@ -443,3 +449,79 @@ def test_streams(spark, tmp_path):
     q = counts.writeStream.outputMode("append").format("memory").queryName("counted").trigger(availableNow=True).start()
     q.awaitTermination()
     assert spark.table("counted").schema.fieldNames() == ["window_start", "event_type", "n"]
+
+
+# -- sources and sinks ------------------------------------------------------------------
+
+
+def test_receipts_and_datasets_refuse_what_is_wrong(spark, tmp_path):
+    from lodestone.sources import artifacts
+
+    (tmp_path / "t1").mkdir()
+    (tmp_path / "t1" / "build_receipt.json").write_text('{"job": {"job_id": "j"}}')
+    with pytest.raises(Exception, match="receipt without job or builds"):
+        artifacts.receipts(spark, str(tmp_path), ["t1"]).collect()
+    with pytest.raises(ValueError, match="none of"):
+        artifacts.select_cases(spark, str(tmp_path), ["t9"])
+    wanted = spark.createDataFrame([("t1", "x")], "test_case string, binary_sha256 string")
+    (tmp_path / "t1" / "build_receipt.json").write_text('{"job": {"job_id": "j"}, "builds": [{"optimization": "O0"}]}')
+    builds = artifacts.build_rows(artifacts.receipts(spark, str(tmp_path), ["t1"]))
+    assert builds.first().has_debug is False and builds.first().sha256 is None
+    with pytest.raises(Exception, match="no build with the hash"):
+        artifacts.resolve_builds(wanted, builds).collect()
+    empty = artifacts.load_dataset(spark, str(tmp_path), ["A"])
+    assert empty.pairs.count() == empty.reports.count() == 0 and empty.builds.count() == 1
+
+
+def test_unit_texts_replace_bad_bytes(spark, tmp_path):
+    from lodestone.sources import readers
+
+    (tmp_path / "a.i").write_bytes(b"x\xff\ny")
+    assert [tuple(r) for r in readers.texts(spark, str(tmp_path)).collect()] == [("a.i", "x�\ny")]
+
+
+def test_rewrite_survives_an_interruption(spark, tmp_path):
+    from lodestone.sources import sinks
+
+    path = str(tmp_path / "t")
+    spark.range(3).write.parquet(path)
+    (tmp_path / "t").rename(tmp_path / "t.old")  # as if the second rename had not come
+    sinks.restore(spark, path)
+    assert spark.read.parquet(path).count() == 3
+    sinks.rewrite(spark, spark.read.parquet(path).filter("id > 0"), path)
+    assert spark.read.parquet(path).count() == 2 and [p.name for p in tmp_path.iterdir() if not p.name.startswith(".")] == ["t"]
+
+
+def test_page_bounds(spark):
+    rows = spark.range(5)
+    assert [r.id for r in lookups.page(rows, ["id"], 1, 2).collect()] == [1, 2]
+    for offset, limit in ((0, 0), (0, 10_001), (-1, 5)):
+        with pytest.raises(ValueError, match="limit"):
+            lookups.page(rows, ["id"], offset, limit)
+
+
+def test_csv_keeps_nulls_empty_texts_and_breaks(spark, tmp_path):
+    from lodestone.sources import sinks
+
+    given = [(1, None), (2, ""), (3, 'a "b"\nc, d'), (4, "\\N")]
+    sinks.write_csv(spark.createDataFrame(given[:3], "id bigint, s string"), str(tmp_path / "c"), ["id"])
+    assert sorted(tuple(r) for r in sinks.read_csv(spark, str(tmp_path / "c"), "id bigint, s string").collect()) == given[:3]
+
+
+def test_quantiles_over_counts_equal_sorted_lists(spark):
+    import math
+    import random
+
+    rng = random.Random(8)
+    groups = {"a": [rng.randint(1, 5) for _ in range(37)], "b": [3], "c": [rng.randint(1, 900) for _ in range(200)], "d": [0, 7, 7]}
+    df = spark.createDataFrame([(g, x) for g, v in groups.items() for x in v], "g string, x bigint")
+    nearest = {r.g: r for r in quantile.nearest_rank(df, ["g"], "x", [0.25, 0.5, 0.9, 1.0]).collect()}
+    p90 = {r.g: r.p90 for r in quantile.exclusive_p90(df, ["g"], "x").collect()}
+    for g, v in groups.items():
+        v = sorted(v)
+        assert [nearest[g][f"p{q}"] for q in (25, 50, 90, 100)] == [v[min(int(q * len(v)), len(v) - 1)] for q in (0.25, 0.5, 0.9, 1.0)]
+        up = [x for x in v if x > 0]
+        place = 0.9 * (len(up) + 1)
+        j = min(max(1, math.floor(place + 1e-9)), len(up) - 1)
+        want = up[0] if len(up) == 1 else up[j - 1] + (up[j] - up[j - 1]) * (place - j)
+        assert p90[g] == pytest.approx(want)

@@ -65,5 +65,5 @@ def test_entry_points():
 
 def test_bootstrap_query_draws_all_resamples(spark):
     rows = Catalog(spark, SF)("pred")
-    want = stats.bootstrap_ci(rows, ["model"], "f1", "job", resamples=10_000).collect()
+    want = stats.bootstrap_ci(rows, ["model"], "f1", resamples=10_000).collect()
     assert sorted(map(tuple, registry.queries()["B01_bootstrap"](spark, SF).collect())) == sorted(map(tuple, want))
