@@ -11,6 +11,7 @@ from ..operators import flatten, invariants, lookups, matrix, rates, trajectory
 from ..operators.flatten import DISTRIBUTIONS, EXCLUSIONS, PERCENTILES
 from ..sources import artifacts, readers, sinks
 from ..sources.scratch import scratch
+from ..streaming import results
 from .registry import query
 from .views import Catalog
 
@@ -334,6 +335,35 @@ def W16_page_of_lines(v: Catalog) -> DataFrame:
     return lookups.page_of_lines(lines, "line", "i", 10, 40)
 
 
+# -- streams -------------------------------------------------------------------------
+
+
+@query("SELECT event_type, user_id, min(event_id) AS event_id FROM events GROUP BY event_type, user_id")
+def T01_stream_append(v: Catalog) -> DataFrame:
+    """Each job of an experiment once, though the files are streamed twice."""
+    source, out = scratch(v.spark, "stream"), scratch(v.spark, "stream-out")
+    v.table("events").select("event_type", "user_id", "event_id").repartitionByRange(6, "event_id").sortWithinPartitions("event_id").write.parquet(source)
+    for _ in range(2):
+        stream = results.read_stream(v.spark, source, "event_type string, user_id bigint, event_id bigint", 1000)
+        results.append_stream(stream, out, scratch(v.spark, "stream-state"), ["user_id"], "event_type", "event_id").awaitTermination()
+    return v.spark.read.schema("event_type string, user_id bigint, event_id bigint").parquet(out)
+
+
+@query("SELECT event_type, CAST(floor(epoch(ts) / 86400) AS BIGINT) AS day, count(*) AS n FROM events GROUP BY 1, 2")
+def T02_windowed_counts(v: Catalog) -> DataFrame:
+    """A stream's counts per day; a window is written once the watermark has passed it, which
+    one event in a later file, far behind all others, makes it do."""
+    source, out = scratch(v.spark, "stream"), scratch(v.spark, "stream-out")
+    events = v.table("events").select("event_type", "ts")
+    events.coalesce(1).write.parquet(source)
+    events.agg((F.max("ts") + F.expr("INTERVAL 1000 DAYS")).alias("ts")).select(F.lit("end").alias("event_type"), "ts").write.mode("append").parquet(source)
+    counts = results.windowed_counts(results.read_stream(v.spark, source, "event_type string, ts timestamp", 1), "ts", ["event_type"], "1 day", "400 days")
+    writer = counts.writeStream.format("parquet").outputMode("append").option("path", out).option("checkpointLocation", scratch(v.spark, "stream-state"))
+    writer.trigger(availableNow=True).start().awaitTermination()
+    written = v.spark.read.schema("window_start timestamp, event_type string, n bigint").parquet(out)
+    return written.select("event_type", F.floor(F.unix_seconds("window_start") / 86400).alias("day"), "n")
+
+
 # -- contracts, registries, invariants ------------------------------------------------------
 
 

@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..sources.sinks import append_new
+from ..sources.readers import exists
+from ..sources.sinks import new_rows
 
 
 def read_stream(spark: SparkSession, path: str, schema: str, files_per_trigger: int = 8) -> DataFrame:
@@ -24,14 +25,15 @@ def windowed_counts(stream: DataFrame, ts: str, by: list[str], size: str, delay:
     return marked.groupBy(F.window(ts, size).alias("w"), *by).agg(F.count("*").alias("n")).select(F.col("w.start").alias("window_start"), *by, "n")
 
 
-def append_stream(stream: DataFrame, path: str, checkpoint: str, key: list[str], scope: str) -> StreamingQuery:
-    """Append new keys of each scope; a batch that runs again adds nothing."""
+def append_stream(stream: DataFrame, path: str, checkpoint: str, key: list[str], scope: str, position: str | None = None) -> StreamingQuery:
+    """Append new keys of each scope; a batch that runs again adds nothing. Of a key's rows
+    in one batch the first by ``position`` counts, without it the first as read."""
 
     def write(batch: DataFrame, _: int) -> None:
         spark = batch.sparkSession
-        batch = batch.withColumn("_at", F.monotonically_increasing_id()).cache()
-        for row in batch.select(scope).distinct().toLocalIterator():  # experiments in a batch
-            append_new(spark, batch.filter(F.col(scope).eqNullSafe(F.lit(row[0]))), path, key, "_at", scope)
-        batch.unpersist()
+        stored = spark.read.parquet(path) if exists(spark, path) else None
+        # all scopes of a batch at once: a key counts within its scope
+        rows = batch.withColumn("_at", F.col(position) if position else F.monotonically_increasing_id())
+        new_rows(rows, stored, list(dict.fromkeys([scope, *key])), "_at").drop("_at").write.mode("append").parquet(path)
 
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
