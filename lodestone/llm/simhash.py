@@ -134,19 +134,32 @@ def linked_fingerprints(distinct: DataFrame, radius: int = RADIUS, blocks: int =
         mask = sum(((1 << width) - 1) << (k * width) for k in keep)
         masks.append(mask - (1 << 64) if mask >> 63 else mask)
     # a row becomes one for each route: many tasks are to do that, however small the table
-    dealt = distinct.repartition(partitions(distinct.sparkSession), F.xxhash64("fp"))
-    shards = dealt.select("fp", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(m).cast("long")) for m in masks])).alias("route", "key"))
-    shards = shards.groupBy("route", "key").agg(F.collect_list("fp").alias("fps")).filter(F.size("fps") > 1)
+    parts = partitions(distinct.sparkSession)
+    dealt = distinct.repartition(parts, F.xxhash64("fp"))
+    routes = dealt.select("fp", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(m).cast("long")) for m in masks])).alias("route", "key"))
+    # nearly all shards hold one row, so nothing is gained by gathering before the shuffle;
+    # behind it a shard's rows stand in a row
+    shards = routes.repartition(parts, "route", "key").sortWithinPartitions("route", "key")
+
+    def links(fps: np.ndarray) -> Iterator[pa.RecordBatch]:
+        found = spanning_links(sorted(fps.view(np.uint64).tolist()), radius)
+        if found:
+            pairs = np.array(found, np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for fps in b.column(0).to_pylist():
-                links = spanning_links(sorted(f & 0xFFFFFFFFFFFFFFFF for f in fps), radius)
-                if links:
-                    pairs = np.array(links, np.uint64).view(np.int64)
-                    yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
-
-    return map_arrow(shards.select("fps"), run, "a bigint, b bigint")
+        open_ = [np.empty(0, np.int64)] * 3  # the shard that the next batch may go on with
+        for batch in batches:
+            fp, route, key = (np.concatenate([o, c.to_numpy().astype(np.int64)]) for o, c in zip(open_, batch.columns, strict=True))
+            ends = np.flatnonzero((route[1:] != route[:-1]) | (key[1:] != key[:-1])) + 1
+            starts = np.concatenate(([0], ends))
+            for a, z in zip(starts[:-1][np.diff(starts) > 1].tolist(), ends[np.diff(starts) > 1].tolist(), strict=True):
+                yield from links(fp[a:z])
+            open_ = [c[starts[-1] :] for c in (fp, route, key)]
+        if len(open_[0]) > 1:
+            yield from links(open_[0])
+
+    return map_arrow(shards, run, "a bigint, b bigint")
 
 
 def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", radius: int = RADIUS) -> DataFrame:
