@@ -36,6 +36,8 @@ RADIUS = 2
 BLOCKS = 8
 SHINGLE = 3
 SEED = 42
+#: Rows of a fingerprint that has over a HOT-th of all are dealt to SALTS groups.
+HOT, SALTS = 1000, 32
 
 
 def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
@@ -165,9 +167,15 @@ def linked_fingerprints(distinct: DataFrame, radius: int = RADIUS, blocks: int =
 def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", radius: int = RADIUS) -> DataFrame:
     """One row per document: doc_id, fingerprint (hex), component_id."""
     fps = materialise(with_fingerprints(docs, text, doc_id), "simhash")
-    nodes = fps.groupBy("fp").agg(F.min("doc_id").alias("first"))
+    nodes = materialise(fps.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")), "simhash-nodes")
     members = connected_components(linked_fingerprints(nodes.select("fp"), radius))
-    classes = nodes.join(members, nodes["fp"] == members["node"], "left").select("fp", "first", F.coalesce("component", "fp").alias("class"))
+    classes = nodes.join(members, nodes["fp"] == members["node"], "left").select("fp", "first", "n", F.coalesce("component", "fp").alias("class"))
     least = classes.groupBy("class").agg(F.min("first").alias("component_id"))
     by_fp = classes.join(least, "class").select("fp", "component_id")
-    return fps.join(by_fp, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    # fingerprints of more than a HOT-th of all rows: fewer than HOT of them, so they may be sent everywhere
+    hot = nodes.crossJoin(F.broadcast(nodes.agg(F.sum("n").alias("all")))).filter(F.col("n") * HOT > F.col("all")).select("fp", F.lit(True).alias("hot"))
+    salts = F.when(F.col("hot"), F.array(*[F.lit(s) for s in range(SALTS)])).otherwise(F.array(F.lit(0)))
+    dealt = by_fp.join(F.broadcast(hot), "fp", "left").select("fp", "component_id", F.explode(salts).alias("salt"))
+    salt = F.when(F.col("hot"), F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int")).otherwise(0)
+    rows = fps.join(F.broadcast(hot), "fp", "left").select("doc_id", "fp", salt.alias("salt"))
+    return rows.join(dealt, ["fp", "salt"]).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
