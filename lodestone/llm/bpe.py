@@ -1,10 +1,11 @@
 """BPE encoding and decoding with content-defined chunk reuse.
 
 A rolling (gear) hash over the bytes of a text cuts it into chunks, so equal
-passages give equal chunks wherever they stand. Each task encodes a distinct
-chunk once and reuses the ids for every document that has it; where two chunks
-meet, the few words around the cut are encoded anew, in a window that widens
-until its outer words agree exactly with the ids that the chunks hold.
+passages give equal chunks wherever they stand. A distinct chunk is encoded once,
+in each task (:func:`map_encoded`) or by the whole cluster (:func:`encode_shared`), and
+its ids are reused for every document that has it; where two chunks meet, the few
+words around the cut are encoded anew, in a window that widens until its outer words
+agree exactly with the ids that the chunks hold.
 
 Cuts are safe at white space only: the vocabulary's pre-tokenizer never joins
 characters across it. The part of a chunk before its first white space and
@@ -25,7 +26,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_arrow, text_bytes
+from .common import map_arrow, materialise, partitions, text_bytes
 
 #: Words and bytes of chunks that a Python worker keeps; past them it starts anew.
 CACHED_WORDS = 600_000
@@ -350,25 +351,46 @@ class ChunkEncoder:
     def encode(self, text: bytes) -> bytes:
         return self.encode_many([text])[0]
 
-    def encode_many(self, texts: list[bytes]) -> list[bytes]:
-        cut = [[0, *cut_points(np.frombuffer(t, np.uint8), self.bits).tolist(), len(t)] for t in texts]
-        parts = [[t[a:z] for a, z in zip(ends, ends[1:], strict=False)] for t, ends in zip(texts, cut, strict=True)]
-        self._learn([c for p in parts for c in p])
+    def cut(self, text: bytes) -> list[bytes]:
+        ends = [0, *cut_points(np.frombuffer(text, np.uint8), self.bits).tolist(), len(text)]
+        return [text[a:z] for a, z in zip(ends, ends[1:], strict=False)]
+
+    def pieces(self, texts: list[bytes], parts: list[list[bytes]], of: Callable[[bytes], tuple[int, int, bytes]]) -> Iterator[list[bytes]]:
+        """Per text: the ids of a join, what ``of`` has of a chunk, the next join's ids and so
+        on, a join last; ``of`` gives a chunk's first and last white space and its own."""
         joins: list[tuple[int, int, int]] = []
         inner: list[list[bytes]] = []
         for n, (t, p) in enumerate(zip(texts, parts, strict=True)):
             at, open_at, own = 0, 0, []
             for c in p:
-                a, z, ids = self.chunks[c]
+                a, z, mine = of(c)
                 if a < len(c):
                     joins.append((n, open_at, at + a))
-                    own.append(ids)
+                    own.append(mine)
                     open_at = at + z
                 at += len(c)
             joins.append((n, open_at, len(t)))
             inner.append(own)
         made = iter(self._repair(texts, joins))
-        return [b"".join([x for ids in own for x in (next(made), ids)]) + next(made) for own in inner]
+        for own in inner:
+            yield [x for mine in own for x in (next(made), mine)] + [next(made)]
+
+    def encode_many(self, texts: list[bytes]) -> list[bytes]:
+        parts = [self.cut(t) for t in texts]
+        self._learn([c for p in parts for c in p])
+        return [b"".join(p) for p in self.pieces(texts, parts, self.chunks.__getitem__)]
+
+    def insides(self, texts: list[bytes]) -> Iterator[list[bytes]]:
+        """As :meth:`pieces`, with what is to be encoded of each chunk instead of its ids."""
+
+        def of(chunk: bytes) -> tuple[int, int, bytes]:
+            a, z = self._parts(chunk)
+            return a, z, chunk[a:z]
+
+        if self.held > CACHED_CHUNK_BYTES:
+            self.joins.clear()
+            self.held = 0
+        return self.pieces(texts, [self.cut(t) for t in texts], of)
 
 
 def map_encoded(docs: DataFrame, emit: Callable[[bytes, Codec], tuple], fields: str, text: str = "text", keep: tuple[str, ...] = ("doc_id",), path: str | None = None) -> DataFrame:
@@ -390,6 +412,86 @@ def map_encoded(docs: DataFrame, emit: Callable[[bytes, Codec], tuple], fields:
     return map_arrow(narrow, run, schema)
 
 
+def _cut(path: str, bits: int):
+    """Rows to (keep..., row, joins, digests, digest, inside): a recipe per text, its keep
+    columns kept, and a row with digest and inside per chunk that the task has not sent."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from hashlib import blake2b
+
+        from pyspark import TaskContext
+
+        chunks, sent, row = ChunkEncoder(Codec.load(path), bits), set(), TaskContext.get().partitionId() << 40
+        for b in batches:
+            joins, digests, insides = [], [], {}
+            for p in chunks.insides(b.column(0).to_pylist()):
+                names = [blake2b(c, digest_size=16).digest() for c in p[1::2]]
+                insides.update((n, c) for n, c in zip(names, p[1::2], strict=True) if n not in sent)
+                joins.append(p[::2])
+                digests.append(b"".join(names))
+            if len(sent) > CACHED_WORDS:
+                sent.clear()
+            sent.update(insides)
+            m, n = b.num_rows, len(insides)
+            columns = [*b.columns[1:], pa.array(range(row, row + m), pa.int64()), pa.array(joins, pa.list_(pa.binary())), pa.array(digests, pa.binary())]
+            row += m
+            whole = [pa.concat_arrays([c, pa.nulls(n, c.type)]) for c in columns]
+            whole += [pa.array([*[None] * m, *insides], pa.binary()), pa.array([*[None] * m, *insides.values()], pa.binary())]
+            yield pa.RecordBatch.from_arrays(whole, names=[f"f{i}" for i in range(len(whole))])
+
+    return run
+
+
+def _encode_once(path: str, at: int):
+    """Of rows sorted by digest (column ``at``, its text behind it): each digest once, ids
+    in place of the text; recipes, which have none, pass."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codec, last = Codec.load(path), None
+        for b in batches:
+            keep = []
+            for d in b.column(at).to_pylist():
+                keep.append(d is None or d != last)
+                last = d
+            b = b.filter(pa.array(keep, pa.bool_()))
+            insides = b.column(at + 1)
+            made = iter(codec.encode_many([x for x in insides.to_pylist() if x is not None]))
+            ids = pa.array([next(made) if ok else None for ok in insides.is_valid().to_pylist()], pa.binary())
+            yield pa.RecordBatch.from_arrays([*b.columns[: at + 1], ids], names=b.schema.names)
+
+    return run
+
+
+def _assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(keep..., joins, chunks): keep and the ids, joins and chunks in turn."""
+    for b in batches:
+        out = [b"".join([x for j, c in zip(joins, [*(chunks or []), b""], strict=True) for x in (j, c)]) for joins, chunks in zip(b.column(-2).to_pylist(), b.column(-1).to_pylist(), strict=True)]
+        yield pa.RecordBatch.from_arrays([*b.columns[:-2], pa.array(out, pa.binary())], names=b.schema.names[:-1])
+
+
+def encode_shared(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",), path: str | None = None, bits: int = CHUNK_BITS) -> DataFrame:
+    """``keep`` and ``ids``, each distinct chunk encoded once by the whole cluster.
+
+    Chunks go to the task that owns their digest, each task sending a chunk once; their ids
+    come back by a join on the digest (which adaptive execution splits where one is hot)
+    and meet the document's joins, which were repaired where the text is. That shuffles the
+    text once and the ids twice, where :func:`map_encoded` shuffles nothing."""
+    path = path or vocabulary_path()
+    spark = docs.sparkSession
+    narrow = docs.select(text_bytes(text).alias("_text"), *[F.col(f"`{c}`").alias(f"k{n}") for n, c in enumerate(keep)])
+    kept = [f"k{n}" for n in range(len(keep))]
+    schema = ", ".join([*(f"{f.name} {f.dataType.simpleString()}" for f in narrow.schema.fields[1:]), "row bigint, joins array<binary>, digests binary, digest binary, ids binary"])
+    sent = map_arrow(narrow, _cut(path, bits), schema)
+    dealt = sent.repartition(partitions(spark), F.when(F.col("digest").isNull(), F.xxhash64("row")).otherwise(F.xxhash64("digest")))
+    once = materialise(map_arrow(dealt.sortWithinPartitions("digest"), _encode_once(path, len(kept) + 3), schema), "shared-chunks")
+    recipes, chunks = once.filter("digest IS NULL"), once.filter("digest IS NOT NULL").select("digest", "ids")
+    uses = recipes.select("row", F.posexplode(F.expr("transform(sequence(0, octet_length(digests) div 16 - 1), i -> substring(digests, i * 16 + 1, 16))")).alias("pos", "digest")).filter("octet_length(digest) = 16")
+    found = uses.join(chunks, "digest").groupBy("row").agg(F.array_sort(F.collect_list(F.struct("pos", "ids"))).alias("c"))
+    whole = recipes.join(found, "row", "left").select(*kept, "joins", F.col("c.ids").alias("chunks"))
+    ids = map_arrow(whole, _assemble, ", ".join([*(f"{f.name} {f.dataType.simpleString()}" for f in narrow.schema.fields[1:]), "ids binary"]))
+    return ids.select(*[F.col(k).alias(c) for k, c in zip(kept, keep, strict=True)], "ids")
+
+
 def encode_documents(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",), path: str | None = None) -> DataFrame:
     """``keep``, ``ids`` (little-endian unsigned 32-bit integers) and ``decoded``."""
     return map_encoded(docs, lambda ids, codec: (ids, codec.decode(ids)), "ids binary, decoded string", text, keep, path)

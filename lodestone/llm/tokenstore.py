@@ -237,18 +237,43 @@ def read_digests(spark: SparkSession, path: str) -> DataFrame:
     return whole.select("doc_id", "start", "n_tokens", F.when(F.col("crc") == F.col("said"), F.col("crc")).otherwise(wrong).alias("ids_crc32"))
 
 
+def _payloads(spark: SparkSession, path: str) -> DataFrame:
+    """Per document: doc_id, start, said (crc32 when written) and its chunks' payloads in order."""
+    parts = _uses(_recipes(spark, path)).join(_chunks(spark, path), "digest", "left")
+    parts = parts.withColumn("payload", F.coalesce("payload", F.raise_error(F.lit("a chunk that a recipe names is missing")).cast("binary")))
+    whole = parts.groupBy("doc_id", "start").agg(F.first("said").alias("said"), F.array_sort(F.collect_list(F.struct("pos", "digest", "payload"))).alias("p"))
+    return whole.select("doc_id", "start", "said", F.col("p.digest").alias("digests"), F.col("p.payload").alias("payloads"))
+
+
+def _whole(digests: list[bytes], payloads: list[bytes], said: int) -> np.ndarray:
+    """A document's ids from its chunks, checked against their digests and its crc32."""
+    parts = [unpack(p) for p in payloads]
+    ids = np.concatenate(parts)
+    if any(_digest(x) != d for x, d in zip(parts, digests, strict=True)) or zlib.crc32(ids.tobytes()) != said:
+        raise ValueError("the chunks of a document do not give the ids that were written")
+    return ids
+
+
 def read_documents(spark: SparkSession, path: str) -> DataFrame:
-    """Per document, from the files: doc_id, start, ids (array)."""
+    """Per document, from the files: doc_id, start, ids (array), put together again. The
+    chunks' payloads are shuffled twice for that, by digest and by document."""
+    whole = _payloads(spark, path)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ids = [_whole(*row).astype(np.int64) for row in zip(*(b.column(n).to_pylist() for n in (3, 4, 2)), strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(ids, pa.list_(pa.int64()))], names=["doc_id", "start", "ids"])
+
+    return map_arrow(whole, run, f"doc_id {whole.schema['doc_id'].dataType.simpleString()}, start bigint, ids array<bigint>")
+
 
-    def checked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def reassembled_digests(spark: SparkSession, path: str) -> DataFrame:
+    """As :func:`read_digests`, from documents that are put together again."""
+    whole = _payloads(spark, path)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids = [unpack(p) for p in b.column(1).to_pylist()]
-            if any(_digest(x) != d for x, d in zip(ids, b.column(0).to_pylist(), strict=True)):
-                raise ValueError("a chunk's ids are not those of its digest")
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([x.astype(np.int64) for x in ids], pa.list_(pa.int64()))], names=["digest", "ids"])
-
-    chunks = map_arrow(_chunks(spark, path), checked, "digest binary, ids array<bigint>")
-    parts = _uses(_recipes(spark, path)).join(chunks, "digest", "left")
-    parts = parts.withColumn("ids", F.coalesce("ids", F.raise_error(F.lit("a chunk that a recipe names is missing")).cast("array<bigint>")))
-    whole = parts.groupBy("doc_id", "start").agg(F.array_sort(F.collect_list(F.struct("pos", "ids"))).alias("p"))
-    return whole.select("doc_id", "start", F.flatten(F.col("p.ids")).alias("ids"))
+            counts = [len(_whole(*row)) for row in zip(*(b.column(n).to_pylist() for n in (3, 4, 2)), strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(counts, pa.int64()), b.column(2)], names=["doc_id", "start", "n_tokens", "ids_crc32"])
+
+    return map_arrow(whole, run, f"doc_id {whole.schema['doc_id'].dataType.simpleString()}, start bigint, n_tokens bigint, ids_crc32 bigint")
