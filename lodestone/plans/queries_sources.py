@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from ..functions import decompiled, names
 from ..operators import flatten, invariants, lookups, matrix, rates, trajectory
 from ..operators.flatten import DISTRIBUTIONS, EXCLUSIONS, PERCENTILES
-from ..sources import artifacts, readers, sinks
+from ..sources import artifacts, binaries, readers, sinks
 from ..sources.scratch import scratch
 from ..streaming import results
 from .registry import query
@@ -250,6 +250,25 @@ def S13_hash_errors(v: Catalog) -> DataFrame:
     return artifacts.hash_errors(cells).withColumn("sides", F.array_join("sides", ","))
 
 
+@query("SELECT p.job, p.predicted, p.model, m.provider FROM pred p JOIN (SELECT concat('m', s) AS model, CASE WHEN s % 2 = 0 THEN 'acme' ELSE 'globex' END AS provider FROM (SELECT unnest(range(0, 6)) AS s) AS q) m ON m.model = p.model")
+def S14_scored_rows(v: Catalog) -> DataFrame:
+    """Stored results with their experiment's registry entry; results of none are left out."""
+    path = scratch(v.spark, "scored")
+    v("pred").select("job", "predicted", "model").write.json(path, compression="gzip")
+    registry = v.spark.createDataFrame([(f"m{k}", "acme" if k % 2 == 0 else "globex") for k in range(6)], "model string, provider string")
+    return readers.json_lines(v.spark, path, "job bigint, predicted string, model string").join(registry, "model")
+
+
+_ELF = "concat('7F454C46', CASE WHEN p_size % 2 = 0 THEN '0201' ELSE '0102' END, '01', repeat('00', 9), CASE WHEN p_size % 2 = 0 THEN '02003E00' ELSE '00030028' END, repeat('00', 44))"
+
+
+@query(f"SELECT concat('b', p_partkey) AS file, CAST(64 AS BIGINT) AS size, sha256(unhex({_ELF})) AS sha256, CASE WHEN p_size % 2 = 0 THEN 'EXEC' ELSE 'DYN' END AS type, CASE WHEN p_size % 2 = 0 THEN 'x86_64' ELSE 'arm' END AS arch, false AS has_debug FROM part")
+def S15_binaries(v: Catalog) -> DataFrame:
+    root = scratch(v.spark, "binaries")
+    sinks.write_files(v.table("part").select(F.concat(F.lit(f"{root}/b"), "p_partkey").alias("path"), F.unhex(F.expr(_ELF)).alias("content"))).count()
+    return binaries.scan_binaries(v.spark, root).select("file", "size", "sha256", "elf.type", "elf.arch", "elf.has_debug")
+
+
 # -- sinks ---------------------------------------------------------------------------
 
 

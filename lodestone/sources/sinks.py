@@ -37,6 +37,21 @@ def read_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).options(**CSV, multiLine=True).csv(path)
 
 
+def latex_table(df: DataFrame, order: list[str], most: int = 1000) -> str:
+    """A report as a LaTeX tabular; for tables of at most ``most`` rows, more are an error."""
+    rows = df.orderBy(*order).limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"more than {most} rows are no report")
+    special = {"\\": r"\textbackslash{}", "~": r"\textasciitilde{}", "^": r"\textasciicircum{}"} | {c: f"\\{c}" for c in "&%$#_{}"}
+
+    def cell(value: object) -> str:
+        return "--" if value is None else "".join(special.get(c, c) for c in str(value))
+
+    head = "".join("l" if kind == "string" else "r" for _, kind in df.dtypes)
+    lines = [" & ".join(map(cell, row)) + r" \\" for row in ([*df.columns], *rows)]
+    return "\n".join([f"\\begin{{tabular}}{{{head}}}", r"\hline", lines[0], r"\hline", *lines[1:], r"\hline", r"\end{tabular}"])
+
+
 def json_bundle(rows: DataFrame, by: list[str], order: list[str], lines: bool = True) -> DataFrame:
     """(by, content): a group's rows as JSON lines, or as one JSON array, in a fixed order
     and with null fields written, so equal rows give equal bytes. A group is one file."""
@@ -61,10 +76,11 @@ def write_files(files: DataFrame) -> DataFrame:
                 system, at = fs.FileSystem.from_uri(path) if ":/" in path else (fs.LocalFileSystem(), path)
                 system.create_dir(at.rpartition("/")[0], recursive=True)
                 aside = f"{at.rpartition('/')[0]}/.{uuid.uuid4().hex}"
+                raw = content if isinstance(content, bytes) else content.encode()
                 with system.open_output_stream(aside, compression=None) as out:
-                    out.write(content.encode())
+                    out.write(raw)
                 system.move(aside, at)
-                sizes.append(len(content.encode()))
+                sizes.append(len(raw))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sizes, pa.int64())], names=["path", "size"])
 
     return files.select("path", "content").mapInArrow(run, "path string, size bigint")

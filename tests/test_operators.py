@@ -525,3 +525,34 @@ def test_quantiles_over_counts_equal_sorted_lists(spark):
         j = min(max(1, math.floor(place + 1e-9)), len(up) - 1)
         want = up[0] if len(up) == 1 else up[j - 1] + (up[j] - up[j - 1]) * (place - j)
         assert p90[g] == pytest.approx(want)
+
+
+def test_elf_files(spark, tmp_path):
+    import struct
+    import sys
+
+    from lodestone.sources import binaries
+
+    own = binaries.parse_elf(open(sys.executable, "rb").read())
+    assert own["type"] in ("EXEC", "DYN") and (not own["sections"] or ".text" in own["sections"])
+    note = struct.pack("<III", 4, 3, 3) + b"GNU\0" + b"\x01\x02\xff"
+    names = b"\0.shstrtab\0.note.gnu.build-id\0.debug_info\0"
+    body = names + note
+    heads = [(0, 0, 0), (1, 64, len(names)), (11, 64 + len(names), len(note)), (names.index(b".debug"), 64, 0)]
+    table = b"".join(struct.pack("<II16xQQ24x", n, 1, at, size) for n, at, size in heads)
+    head = b"\x7fELF\x02\x01\x01" + bytes(9) + struct.pack("<HHIQQQIHHHHHH", 3, 62, 1, 0, 0, 64 + len(body), 0, 64, 0, 0, 64, 4, 1)
+    elf = head + body + table
+    assert binaries.parse_elf(elf) == {"type": "DYN", "arch": "x86_64", "sections": [".debug_info", ".note.gnu.build-id", ".shstrtab"], "build_id": "0102ff", "has_debug": True}
+    assert binaries.parse_elf(b"MZ") is None and binaries.parse_elf(elf[:80])["sections"] == []
+    (tmp_path / "x").write_bytes(elf)
+    (tmp_path / "y").write_bytes(b"MZ")
+    assert {r.file: r.elf and r.elf.build_id for r in binaries.scan_binaries(spark, str(tmp_path)).collect()} == {"x": "0102ff", "y": None}
+
+
+def test_latex_table(spark):
+    from lodestone.sources import sinks
+
+    df = spark.createDataFrame([("b_1", 2), ("a&\\", None)], "name string, n bigint")
+    assert sinks.latex_table(df, ["name"]).split("\n") == [r"\begin{tabular}{lr}", r"\hline", r"name & n \\", r"\hline", r"a\&\textbackslash{} & -- \\", r"b\_1 & 2 \\", r"\hline", r"\end{tabular}"]
+    with pytest.raises(ValueError, match="no report"):
+        sinks.latex_table(df, ["name"], 1)
