@@ -5,6 +5,7 @@ Files under the store's folder, all Parquet:
 ``objects/kind=chunk``   digest, payload: each distinct chunk of ids once; the payload is
                  little-endian unsigned 16-bit, or 32-bit where an id needs it
 ``objects/kind=recipe``  the documents' recipes as the encoding tasks wrote them
+                 (both kinds in buckets by digest, a recipe's being a number of its own)
 ``recipes``      doc_id, start, n_tokens, crc, digests, lengths: in ascending doc_id order;
                  ``start`` is the number of ids of all documents before, ``crc`` the
                  crc32 of all ids as they were encoded
@@ -13,9 +14,9 @@ Files under the store's folder, all Parquet:
 
 A rolling hash over the ids cuts each document's stream, so equal passages give
 equal chunks. A task drops the chunks it has already sent; after one shuffle by
-digest, sorted by it, each is stored once. Reading recomputes every chunk's digest,
-every Merkle root and, from the stored chunks in recipe order, every document's crc32,
-and fails on any difference or missing chunk.
+digest, sorted by it, each is stored once. Reading puts every document together again
+from its recipe; it recomputes every chunk's digest, every Merkle root and every
+document's crc32 and fails on any difference or missing chunk.
 
 Null texts count as empty: their documents hold the end id alone. Null ids come
 first; rows that repeat an id are documents of their own, in the order of their
@@ -34,7 +35,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import Codec, cut_points, vocabulary_path
-from .common import map_arrow, partitions, range_prefix, text_bytes
+from .common import map_arrow, materialise, partitions, range_prefix, text_bytes
 
 END_ID = 1
 #: Chunks have 2 ** CHUNK_BITS ids on average.
@@ -42,6 +43,8 @@ CHUNK_BITS = 9
 SEGMENT = 1 << 18
 #: Digests that a task remembers as sent.
 SENT = 1 << 20
+#: Uses of a chunk that has over a HOT-th of all are dealt to SALTS groups.
+HOT, SALTS = 1000, 32
 
 
 def _digest(ids: np.ndarray) -> bytes:
@@ -58,7 +61,9 @@ def unpack(payload: bytes) -> np.ndarray:
 
 def _encode(path: str, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = Codec.load(path)
+        from pyspark import TaskContext
+
+        codec, task, row = Codec.load(path), TaskContext.get().partitionId(), 0
         sent: set[bytes] = set()
         end = np.array([end_id], np.uint32)
         for b in batches:
@@ -81,11 +86,14 @@ def _encode(path: str, end_id: int):
                 counts.append(len(ids))
                 crcs.append(zlib.crc32(raw))
             n, m = len(keys), b.num_rows
+            # a recipe has an address like a chunk, so that the tasks share them evenly
+            keys += [blake2b(b"recipe %d %d" % (task, row + k), digest_size=16).digest() for k in range(m)]
+            row += m
             recipes = [pa.array(digests, pa.binary()), pa.array(lengths, pa.list_(pa.int32())), pa.array(counts, pa.int64()), pa.array(crcs, pa.int64())]
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(["chunk"] * n + ["recipe"] * m),
-                    pa.array([*keys, *[None] * m], pa.binary()),
+                    pa.array(keys, pa.binary()),
                     pa.array([*payloads, *[None] * m], pa.binary()),
                     *(pa.concat_arrays([pa.nulls(n, c.type), c]) for c in [b.column(1), *recipes]),
                 ],
@@ -96,7 +104,7 @@ def _encode(path: str, end_id: int):
 
 
 def _once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows sorted by digest, the first of each; recipes (no digest) pass."""
+    """Of rows sorted by digest, the first of each."""
     last = None
     for b in batches:
         keep = []
@@ -131,16 +139,25 @@ def _roots(recipes: DataFrame) -> DataFrame:
     return map_arrow(rows, run, "segment bigint, n_docs bigint, n_tokens bigint, root string")
 
 
+def _table(path: str) -> str:
+    """The catalog's name for a store's objects."""
+    return f"lodestone_objects_{sha256(path.encode()).hexdigest()[:24]}"
+
+
 def write_store(docs: DataFrame, path: str, text: str = "text", doc_id: str = "doc_id", vocabulary: str | None = None, end_id: int = END_ID) -> None:
-    """Encode all documents and write the store to ``path``, a folder not there yet."""
+    """Encode all documents and write the store to ``path``, a folder not there yet.
+
+    The objects are written in buckets by digest and entered in the session's catalog, so a
+    join on the digest reads them without a shuffle; a session that doesn't know the table
+    reads the same files as plain Parquet."""
     narrow = docs.select(text_bytes(text).alias("_text"), F.col(f"`{doc_id}`").alias("doc_id"))
     kind = narrow.schema["doc_id"].dataType.simpleString()
     schema = f"kind string, digest binary, payload binary, doc_id {kind}, digests binary, lengths array<int>, n_tokens bigint, crc bigint"
     made = map_arrow(narrow, _encode(vocabulary or vocabulary_path(), end_id), schema)
-    deal = F.when(F.col("digest").isNull(), F.xxhash64("digests", "doc_id")).otherwise(F.xxhash64("digest"))
-    once = map_arrow(made.repartition(partitions(docs.sparkSession), deal).sortWithinPartitions("digest"), _once, schema)
-    once.write.option("compression", "zstd").partitionBy("kind").parquet(f"{path}/objects")
     spark = docs.sparkSession
+    buckets = partitions(spark)
+    once = map_arrow(made.repartition(buckets, "digest").sortWithinPartitions("digest"), _once, schema)
+    once.write.format("parquet").option("compression", "zstd").option("path", f"{path}/objects").partitionBy("kind").bucketBy(buckets, "digest").saveAsTable(_table(path))
     recipes = spark.read.schema(f"doc_id {kind}, digests binary, lengths array<int>, n_tokens bigint, crc bigint, kind string").parquet(f"{path}/objects").filter("kind = 'recipe'").drop("kind")
     ordered = range_prefix(recipes, [F.col("doc_id"), F.col("digests")], "n_tokens", "start", name="recipes")
     ordered.select("doc_id", "start", "n_tokens", "crc", "digests", "lengths").write.option("compression", "zstd").parquet(f"{path}/recipes")
@@ -148,7 +165,11 @@ def write_store(docs: DataFrame, path: str, text: str = "text", doc_id: str = "d
 
 
 def _chunks(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema("digest binary, payload binary, kind string").parquet(f"{path}/objects").filter("kind = 'chunk'").select("digest", "payload")
+    if spark.catalog.tableExists(_table(path)):
+        objects = spark.table(_table(path))
+    else:
+        objects = spark.read.schema("digest binary, payload binary, kind string").parquet(f"{path}/objects")
+    return objects.filter("kind = 'chunk'").select("digest", "payload")
 
 
 def _recipes(spark: SparkSession, path: str) -> DataFrame:
@@ -162,87 +183,31 @@ def _recipes(spark: SparkSession, path: str) -> DataFrame:
 
 
 def _uses(recipes: DataFrame) -> DataFrame:
-    """One row per chunk use: doc_id, start, pos, digest, length, after (ids behind it)."""
-    use = recipes.select("doc_id", "start", "n_tokens", F.col("crc").alias("said"), "digests", F.posexplode("lengths").alias("pos", "length"), "lengths")
-    before = F.aggregate(F.slice("lengths", F.lit(1), F.col("pos")), F.lit(0).cast("long"), lambda a, x: a + x)
-    return use.select("doc_id", "start", "said", "pos", F.expr("substring(digests, pos * 16 + 1, 16)").alias("digest"), "length", (F.col("n_tokens") - before - F.col("length")).alias("after"))
-
-
-_POLY = 0xEDB88320
-
-
-def _zero_tables(bits: int = 40) -> np.ndarray:
-    """tables[k][i][b]: what 2**k zero bytes make of a crc32 that is byte b at place i."""
+    """One row per chunk use: doc_id, start, said, pos, n, digest."""
+    use = recipes.select("doc_id", "start", F.col("crc").alias("said"), "digests", F.size("lengths").alias("n"), F.posexplode("lengths").alias("pos", "length"))
+    return use.select("doc_id", "start", "said", "pos", "n", F.expr("substring(digests, pos * 16 + 1, 16)").alias("digest"))
 
-    def advance(crc: np.ndarray) -> np.ndarray:
-        for _ in range(8):
-            crc = np.where(crc & 1, (crc >> 1) ^ _POLY, crc >> 1)
-        return crc
-
-    unit = np.arange(256, dtype=np.int64)
-    tables = np.zeros((bits, 4, 256), np.int64)
-    for i in range(4):
-        tables[0, i] = advance(unit << (8 * i))
-    for k in range(1, bits):
-        for i in range(4):
-            tables[k, i] = _advance(tables[k - 1], tables[k - 1, i])
-    return tables
-
-
-def _advance(table: np.ndarray, crc: np.ndarray) -> np.ndarray:
-    return table[0][crc & 255] ^ table[1][(crc >> 8) & 255] ^ table[2][(crc >> 16) & 255] ^ table[3][crc >> 24]
-
-
-def shift_crc(crc: np.ndarray, behind: np.ndarray, tables: np.ndarray) -> np.ndarray:
-    """crc32 values as they count in a whole with ``behind`` bytes after them: the xor
-    over the parts of a whole is the crc32 of the whole."""
-    for k in range(int(behind.max()).bit_length() if len(behind) else 0):
-        crc = np.where((behind >> k) & 1, _advance(tables[k], crc), crc)
-    return crc
-
-
-def read_digests(spark: SparkSession, path: str) -> DataFrame:
-    """Per document, from the files: doc_id, start, n_tokens, ids_crc32.
 
-    Every chunk is read, checked and hashed once; a document's crc32 is combined from
-    those of its chunks in recipe order, so no ids are dealt to documents again."""
-
-    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            crcs, counts = [], []
-            for digest, payload in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                ids = unpack(payload)
-                if _digest(ids) != digest:
-                    raise ValueError("a chunk's ids are not those of its digest")
-                crcs.append(zlib.crc32(ids.tobytes()))
-                counts.append(len(ids))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(crcs, pa.int64()), pa.array(counts, pa.int64())], names=["digest", "crc", "n"])
-
-    def shifted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tables = _zero_tables()
-        for b in batches:
-            said, crc, n, length, after = b.columns[2:]
-            if crc.null_count or (n.to_numpy() != length.to_numpy()).any():
-                raise ValueError("a chunk that a recipe names is missing or has another length")
-            moved = shift_crc(crc.to_numpy(), 4 * after.to_numpy(), tables)
-            yield pa.RecordBatch.from_arrays([*b.columns[:2], said, pa.array(moved), n], names=["doc_id", "start", "said", "crc", "n"])
+def _payloads(spark: SparkSession, path: str) -> DataFrame:
+    """One row per chunk use, a document's together and in order: doc_id, start, said (crc32
+    when written), pos, n (of its chunks), digest, payload.
 
-    crcs = map_arrow(_chunks(spark, path), hashed, "digest binary, crc bigint, n bigint")
+    Uses go to the buckets of their chunks and from there to their documents. Chunks with
+    more than a HOT-th of all uses, fewer than HOT of them, are dealt to SALTS groups."""
     recipes = _recipes(spark, path)
-    kind = recipes.schema["doc_id"].dataType.simpleString()
-    parts = _uses(recipes).join(crcs, "digest", "left").select("doc_id", "start", "said", "crc", "n", F.col("length").cast("long").alias("length"), "after")
-    moved = map_arrow(parts, shifted, f"doc_id {kind}, start bigint, said bigint, crc bigint, n bigint")
-    whole = moved.groupBy("doc_id", "start").agg(F.sum("n").alias("n_tokens"), F.bit_xor("crc").alias("crc"), F.first("said").alias("said"))
-    wrong = F.raise_error(F.lit("the chunks of a document do not give the ids that were written")).cast("bigint")
-    return whole.select("doc_id", "start", "n_tokens", F.when(F.col("crc") == F.col("said"), F.col("crc")).otherwise(wrong).alias("ids_crc32"))
-
-
-def _payloads(spark: SparkSession, path: str) -> DataFrame:
-    """Per document: doc_id, start, said (crc32 when written) and its chunks' payloads in order."""
-    parts = _uses(_recipes(spark, path)).join(_chunks(spark, path), "digest", "left")
-    parts = parts.withColumn("payload", F.coalesce("payload", F.raise_error(F.lit("a chunk that a recipe names is missing")).cast("binary")))
-    whole = parts.groupBy("doc_id", "start").agg(F.first("said").alias("said"), F.array_sort(F.collect_list(F.struct("pos", "digest", "payload"))).alias("p"))
-    return whole.select("doc_id", "start", "said", F.col("p.digest").alias("digests"), F.col("p.payload").alias("payloads"))
+    uses = _uses(recipes).select("doc_id", "start", "said", "pos", "n", "digest")
+    counts = uses.groupBy("digest").agg(F.count("*").alias("uses"))
+    total = recipes.agg(F.sum(F.size("lengths")).alias("all"))
+    hot = counts.crossJoin(F.broadcast(total)).filter(F.col("uses") * HOT > F.col("all")).select("digest", F.lit(True).alias("hot"))
+    hot = materialise(hot, "store-hot")
+    marked = uses.join(F.broadcast(hot), "digest", "left")
+    chunks = _chunks(spark, path)
+    cold = marked.filter("hot IS NULL").join(chunks, "digest", "left")
+    salted = chunks.join(F.broadcast(hot.drop("hot")), "digest", "left_semi").withColumn("salt", F.explode(F.array(*[F.lit(k) for k in range(SALTS)])))
+    warm = marked.filter("hot").withColumn("salt", F.pmod(F.xxhash64("start", "pos"), F.lit(SALTS)).cast("int")).join(salted, ["digest", "salt"], "left").drop("salt")
+    columns = ["doc_id", "start", "said", "pos", "n", "digest", "payload"]
+    parts = cold.select(*columns).unionByName(warm.select(*columns))
+    return parts.repartition(partitions(spark), "start").sortWithinPartitions("start", "pos")
 
 
 def _whole(digests: list[bytes], payloads: list[bytes], said: int) -> np.ndarray:
@@ -254,26 +219,41 @@ def _whole(digests: list[bytes], payloads: list[bytes], said: int) -> np.ndarray
     return ids
 
 
-def read_documents(spark: SparkSession, path: str) -> DataFrame:
-    """Per document, from the files: doc_id, start, ids (array), put together again. The
-    chunks' payloads are shuffled twice for that, by digest and by document."""
-    whole = _payloads(spark, path)
+def _documents(fields: dict[str, pa.DataType], emit):
+    """Rows of :func:`_payloads` to one row per document: doc_id, start and what ``emit``
+    makes of the ids and their crc32. Only one document is held at a time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        digests, payloads = [], []
         for b in batches:
-            ids = [_whole(*row).astype(np.int64) for row in zip(*(b.column(n).to_pylist() for n in (3, 4, 2)), strict=True)]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(ids, pa.list_(pa.int64()))], names=["doc_id", "start", "ids"])
+            made, at = [], []
+            for k, (said, pos, n, digest, payload) in enumerate(zip(*(c.to_pylist() for c in b.columns[2:]), strict=True)):
+                if payload is None or pos != len(payloads):
+                    raise ValueError("a chunk that a recipe names is missing")
+                digests.append(digest)
+                payloads.append(payload)
+                if len(payloads) == n:
+                    made.append(emit(_whole(digests, payloads, said), said))
+                    at.append(k)
+                    digests, payloads = [], []
+            rows = b.take(pa.array(at, pa.int64()))
+            columns = zip(*made, strict=True) if made else [[] for _ in fields]
+            yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), *(pa.array(list(c), t) for c, t in zip(columns, fields.values(), strict=True))], names=["doc_id", "start", *fields])
+        if payloads:
+            raise ValueError("a document's last chunks are missing")
 
-    return map_arrow(whole, run, f"doc_id {whole.schema['doc_id'].dataType.simpleString()}, start bigint, ids array<bigint>")
+    return run
 
 
-def reassembled_digests(spark: SparkSession, path: str) -> DataFrame:
-    """As :func:`read_digests`, from documents that are put together again."""
-    whole = _payloads(spark, path)
+def read_documents(spark: SparkSession, path: str) -> DataFrame:
+    """Per document, put together again from the files: doc_id, start, ids (array)."""
+    parts = _payloads(spark, path)
+    kind = parts.schema["doc_id"].dataType.simpleString()
+    return map_arrow(parts, _documents({"ids": pa.list_(pa.int64())}, lambda ids, crc: (ids.astype(np.int64),)), f"doc_id {kind}, start bigint, ids array<bigint>")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            counts = [len(_whole(*row)) for row in zip(*(b.column(n).to_pylist() for n in (3, 4, 2)), strict=True)]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(counts, pa.int64()), b.column(2)], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    return map_arrow(whole, run, f"doc_id {whole.schema['doc_id'].dataType.simpleString()}, start bigint, n_tokens bigint, ids_crc32 bigint")
+def read_digests(spark: SparkSession, path: str) -> DataFrame:
+    """Per document, put together again from the files: doc_id, start, n_tokens, ids_crc32."""
+    parts = _payloads(spark, path)
+    kind = parts.schema["doc_id"].dataType.simpleString()
+    return map_arrow(parts, _documents({"n_tokens": pa.int64(), "ids_crc32": pa.int64()}, lambda ids, crc: (len(ids), crc)), f"doc_id {kind}, start bigint, n_tokens bigint, ids_crc32 bigint")
