@@ -32,8 +32,30 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/lodestone"
 
 
+#: Folders that this process has given names to, in order.
+_made: list[str] = []
+
+
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _made.append(f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}")
+    return _made[-1]
+
+
+def made() -> int:
+    """How many folders have been named so far: a mark for :func:`drop_made`."""
+    return len(_made)
+
+
+def drop_made(spark: SparkSession, since: int, keep: DataFrame) -> None:
+    """Delete the folders named since a mark but for those that ``keep`` reads: what a step
+    wrote on its way, once its result stands on its own."""
+    kept = {f.rpartition("/")[0].rpartition("/")[2] for f in keep.inputFiles()}
+    if not kept:
+        return
+    conf, make = spark.sparkContext._jsc.hadoopConfiguration(), spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    for path in [p for p in _made[since:] if p.rpartition("/")[2] not in kept]:
+        make(path).getFileSystem(conf).delete(make(path), True)
+        _made.remove(path)
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:

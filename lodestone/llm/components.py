@@ -25,6 +25,15 @@ def _with_least(pairs: DataFrame) -> DataFrame:
     return salted.join(least.select("u", "m", F.explode("s").alias("s")), ["u", "s"])
 
 
+def with_least(rows: DataFrame, group: str, value: str, out: str, by: str) -> DataFrame:
+    """Add ``out``, the least ``value`` of a row's group. A group's rows are dealt to SALTS
+    tasks by ``by``; no task needs all of them."""
+    salted = rows.withColumn("_s", F.pmod(F.xxhash64(by), F.lit(SALTS)).cast("int"))
+    parts = salted.groupBy(group, "_s").agg(F.min(value).alias("_m"))
+    least = parts.groupBy(group).agg(F.min("_m").alias(out), F.collect_set("_s").alias("_s"))
+    return salted.join(least.select(group, out, F.explode("_s").alias("_s")), [group, "_s"]).drop("_s")
+
+
 def connected_components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component): the least node reachable, for every node with a link."""
     pairs = links.select(F.least(a, b).alias("v"), F.greatest(a, b).alias("u")).filter("u <> v").distinct()

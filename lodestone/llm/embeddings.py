@@ -32,13 +32,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import map_arrow, materialise, range_prefix
-from .components import connected_components
+from .components import connected_components, with_least
 
 THRESHOLD = 0.9
 WINDOW = 1024
 BLOCK = 4096
 RECALL = 0.99
 BITS = 63
+#: Bits of the signatures (three columns) and the chance that a pair at the threshold fails them.
+SIGN_BITS = 192
+MISSED = 1e-7
 
 
 def shared_bits(rows: int, window: int = WINDOW) -> int:
@@ -54,6 +57,18 @@ def passes_for(rows: int, window: int = WINDOW, threshold: float = THRESHOLD, re
     return max(2, math.ceil(math.log(1 - recall) / math.log(1 - met))) if met < 1 else 2
 
 
+def sign_limit(threshold: float = THRESHOLD, bits: int = SIGN_BITS, missed: float = MISSED) -> int:
+    """Bits that may differ: the least number that a pair at the threshold exceeds with a
+    probability of at most ``missed``."""
+    p, tail, k = math.acos(threshold) / math.pi, 0.0, bits
+    while k > 0:
+        tail += math.comb(bits, k) * p**k * (1 - p) ** (bits - k)
+        if tail > missed:
+            return k
+        k -= 1
+    return 0
+
+
 def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Adds the digest of the components in double precision; null for vectors that link with nothing."""
     for b in batches:
@@ -65,22 +80,59 @@ def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.binary())], names=["vec_id", "embedding", "digest"])
 
 
+def _signs(x: np.ndarray, planes: np.ndarray) -> np.ndarray:
+    """Sign bits of projections as integers of up to 64 bits, first bit highest."""
+    bits = planes.shape[0]
+    return ((x @ planes.T) > 0) @ (np.uint64(1) << np.arange(bits - 1, -1, -1, dtype=np.uint64))
+
+
 def _keys(passes: int, bits: int):
+    """Sort keys of all passes, and behind them the signature in words of 64 bits."""
+    words = SIGN_BITS // 64
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        planes: dict[int, np.ndarray] = {}
-        powers = 1 << np.arange(bits - 1, -1, -1, dtype=np.int64)
+        planes: dict[int, tuple[np.ndarray, np.ndarray]] = {}
         for b in batches:
             vectors = [np.asarray(v, np.float64) for v in b.column(1).to_pylist()]
-            keys = np.zeros((len(vectors), passes), np.int64)
+            keys, signs = np.zeros((len(vectors), passes), np.int64), np.zeros((len(vectors), words), np.int64)
             for dim in {len(v) for v in vectors}:
                 if dim not in planes:
-                    planes[dim] = np.random.default_rng(dim).standard_normal((passes, bits, dim))
+                    rng = np.random.default_rng(dim)
+                    planes[dim] = rng.standard_normal((passes, bits, dim)), rng.standard_normal((words, 64, dim))
                 at = [n for n, v in enumerate(vectors) if len(v) == dim]
                 x = np.stack([vectors[n] for n in at])
-                for p in range(passes):
-                    keys[at, p] = ((x @ planes[dim][p].T) > 0) @ powers
-            flat = pa.ListArray.from_arrays(np.arange(0, keys.size + 1, passes, dtype=np.int32), keys.ravel())
-            yield pa.RecordBatch.from_arrays([b.column(0), flat], names=["rep", "keys"])
+                for out, of in zip((keys, signs), planes[dim], strict=True):
+                    for p in range(len(of)):
+                        out[at, p] = _signs(x, of[p]).view(np.int64)
+            flat = [pa.ListArray.from_arrays(np.arange(0, k.size + 1, k.shape[1], dtype=np.int32), k.ravel()) for k in (keys, signs)]
+            yield pa.RecordBatch.from_arrays([b.column(0), *flat], names=["rep", "keys", "signs"])
+
+    return run
+
+
+def _screen(window: int, limit: int, block: int):
+    """Of a block, or two, the rows that may have a link there: (rep, pass, a, b)."""
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.take(np.argsort(table.column("rank").to_numpy(), kind="stable"))
+        rank = table.column("rank").to_numpy()
+        first, across = table.column("a")[0].as_py(), table.column("a")[0].as_py() != table.column("b")[0].as_py()
+        signs = np.array(table.column("signs").to_pylist(), np.int64).view(np.uint64)
+        hit = table.column("last").to_numpy() - table.column("first").to_numpy() > window
+        owned = int((rank // block == first).sum())  # these come first
+        for a in range(0, owned, 256):
+            z = min(a + 256, owned)
+            begin, end = owned if across else a, int(np.searchsorted(rank, rank[z - 1] + window, "right"))
+            if end <= begin:
+                continue
+            apart = np.zeros((z - a, end - begin), np.uint16)
+            for w in range(signs.shape[1]):
+                apart += np.bitwise_count(signs[a:z, w, None] ^ signs[None, begin:end, w])
+            i, j = np.nonzero(apart <= limit)
+            i, j = i + a, j + begin
+            keep = (j > i) & (rank[j] <= rank[i] + window)
+            hit[i[keep]] = hit[j[keep]] = True
+        return table.select(["rep", "pass", "a", "b"]).filter(pa.array(hit))
 
     return run
 
@@ -158,8 +210,9 @@ def near_vectors(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "e
     n = distinct.count()
     passes, bits, pairs = passes_for(n, window, threshold, recall), shared_bits(n, window), n * (n - 1) // 2
 
-    keys = map_arrow(distinct.select("rep", "embedding"), _keys(passes, BITS), "rep binary, keys array<bigint>")
-    keys = keys.select("rep", F.posexplode("keys").alias("pass", "key")).withColumn("one", F.lit(1).cast("long"))
+    hashed = map_arrow(distinct.select("rep", "embedding"), _keys(passes, BITS), "rep binary, keys array<bigint>, signs array<bigint>")
+    hashed = materialise(hashed, "vec-keys")
+    keys = hashed.select("rep", F.posexplode("keys").alias("pass", "key")).withColumn("one", F.lit(1).cast("long"))
     if passes * window * n >= pairs:
         keys, bits = keys.filter("pass = 0"), 0
     ranks = range_prefix(keys, [F.col("key"), F.col("rep")], "one", "rank", group="pass", name="vec-ranks")
@@ -172,21 +225,27 @@ def near_vectors(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "e
     ranks = ranks.withColumn("bits", F.shiftright("key", BITS - bits)).join(stretches, ["pass", "bits"], "left")
     ranks = ranks.select("rep", "pass", "rank", F.coalesce("first", "rank").alias("first"), F.coalesce("last", "rank").alias("last"))
     ranks = ranks.groupBy("rep").agg(F.array_sort(F.collect_list(F.struct("pass", "rank", "first", "last"))).alias("r"))
-    placed = distinct.join(ranks.select("rep", "r", F.col("r.rank").alias("ranks"), F.col("r.first").alias("firsts")), "rep").select("*", F.explode("r").alias("at")).select("*", "at.*")
+    ranks = materialise(ranks, "vec-places")
     # a row meets the blocks that its window and its stretch reach: two blocks are one task
     home, end = F.floor(F.col("rank") / block), (n - 1) // block
     low, high = F.least(F.col("rank") - window, F.col("first")), F.greatest(F.col("rank") + window, F.col("last"))
     met = F.sequence(F.greatest(F.floor(low / block), F.lit(0)), F.least(F.floor(high / block), F.lit(end)))
-    before = [F.slice(c, F.lit(1), F.col("pass")).alias(c) for c in ("ranks", "firsts")]
-    dealt = placed.select("rep", "copies", "embedding", *before, "pass", "rank", "last", home.alias("home"), F.explode(met).alias("met"))
-    dealt = dealt.select("*", F.least("home", "met").alias("a"), F.greatest("home", "met").alias("b")).drop("home", "met")
+    light = ranks.select("rep", F.explode("r").alias("at")).select("rep", "at.*").join(hashed.select("rep", "signs"), "rep")
+    light = light.select("*", home.alias("home"), F.explode(met).alias("met")).select("*", F.least("home", "met").alias("a"), F.greatest("home", "met").alias("b")).drop("home", "met")
+    if bits:
+        sent = light.groupBy("pass", "a", "b").applyInArrow(_screen(window, sign_limit(threshold), block), "rep binary, pass int, a bigint, b bigint")
+    else:
+        sent = light.select("rep", "pass", "a", "b")  # all pairs are compared
+    sent = materialise(sent, "vec-sent")
+    before = [F.slice(F.col(f"r.{c}"), F.lit(1), F.col("pass")).alias(f"{c}s") for c in ("rank", "first")]
+    at = F.element_at("r", F.col("pass") + 1)
+    dealt = sent.join(ranks, "rep").select("rep", "pass", "a", "b", at["rank"].alias("rank"), at["last"].alias("last"), *before).join(distinct.select("rep", "copies", "embedding"), "rep")
     found = materialise(dealt.groupBy("pass", "a", "b").applyInArrow(_compare(window, threshold, block), "rep binary, links bigint, root binary"), "vec-found")
 
     classes = connected_components(found.select(F.col("rep").alias("a"), F.col("root").alias("b")))
     links = found.groupBy("rep").agg(F.sum("links").alias("links"))
     nodes = distinct.select("rep", "least", "copies").join(links, "rep", "left").join(classes, F.col("rep") == F.col("node"), "left").withColumn("class", F.coalesce("component", "rep"))
-    least = nodes.groupBy("class").agg(F.min("least").alias("component_id"))
-    of = nodes.join(least, "class").select(F.col("rep").alias("digest"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), "component_id")
+    of = with_least(nodes, "class", "least", "component_id", "rep").select(F.col("rep").alias("digest"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), "component_id")
     return ids.join(of, "digest", "left").select(
         "vec_id",
         F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),

@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import range_prefix
+from .common import materialise, range_prefix
 
 WEIGHTS = (5, 2, 1)
 BUDGET_SHARE = 1.5
@@ -48,7 +48,9 @@ def queue(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", source: s
     weight and ``_start``, the words of the source before them in shuffled order. A column ``row``
     that tells rows of one id apart comes along as ``_row``."""
     key = F.md5(F.concat(F.lit(f"{seed}|"), F.coalesce(F.col(f"`{doc_id}`").cast("string"), F.lit("null"))))
+    # written first: dealing by range reads its input twice, and texts should be counted once
     sizes = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{source}`").cast("string").alias("_source"), word_count(F.col(f"`{text}`")).alias("size"), key.alias("_key"), F.lit(None).cast("long").alias("_row") if row is None else F.col(f"`{row}`").alias("_row"))
+    sizes = materialise(sizes, "mix-sizes")
     placed = range_prefix(sizes, [F.col(c) for c in ("_key", "doc_id", "size", "_row")], "size", "_start", group="_source", name="mix-queue")
     of = weighted(placed, weights).withColumnRenamed("_source", "_of")
     return placed.join(of, F.col("_source").eqNullSafe(F.col("_of"))).drop("_of")

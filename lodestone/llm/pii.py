@@ -332,7 +332,7 @@ def training_rows(text: str) -> np.ndarray:
             labels = np.bincount(y[group][y[group] >= 0], minlength=LABELS)
             for m in group:  # the labels of the others
                 peers[m, k] |= (labels - (np.arange(LABELS) == y[m])) > 0
-    rows = np.concatenate([g.shapes.astype(np.uint8), np.maximum(y, 0)[:, None].astype(np.uint8), *(v.reshape(n, -1) for v in (before, after, peers))], axis=1)
+    rows = np.concatenate([g.shapes.astype(np.uint8), np.maximum(y, 0)[:, None].astype(np.uint8), *(v.reshape(n, v.shape[1] * LABELS) for v in (before, after, peers))], axis=1)
     return rows[y >= 0]
 
 

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import map_arrow, materialise, partitions, text_bytes
-from .components import connected_components
+from .components import connected_components, with_least
 
 RADIUS = 2
 BLOCKS = 8
@@ -170,8 +170,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     nodes = materialise(fps.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")), "simhash-nodes")
     members = connected_components(linked_fingerprints(nodes.select("fp"), radius))
     classes = nodes.join(members, nodes["fp"] == members["node"], "left").select("fp", "first", "n", F.coalesce("component", "fp").alias("class"))
-    least = classes.groupBy("class").agg(F.min("first").alias("component_id"))
-    by_fp = classes.join(least, "class").select("fp", "component_id")
+    by_fp = with_least(classes, "class", "first", "component_id", "fp").select("fp", "component_id")
     # fingerprints of more than a HOT-th of all rows: fewer than HOT of them, so they may be sent everywhere
     hot = nodes.crossJoin(F.broadcast(nodes.agg(F.sum("n").alias("all")))).filter(F.col("n") * HOT > F.col("all")).select("fp", F.lit(True).alias("hot"))
     salts = F.when(F.col("hot"), F.array(*[F.lit(s) for s in range(SALTS)])).otherwise(F.array(F.lit(0)))

@@ -168,6 +168,7 @@ def test_pii_learns_from_whole_texts(spark):
     assert pii.fit_field(df).unary[1, 1] > 0.1
     rows = pii.training_rows("x 12 4465758382889437 4465758382889437 a@b.c 4465758382889438x 1.2.3.400")
     assert rows[:, pii.SHAPES].tolist() == [0, 1, 0, 0] and rows.shape[1] == pii.ROW
+    assert pii.training_rows("").shape == pii.training_rows("no node").shape == (0, pii.ROW)
 
 
 def test_pii_odd(spark, odd, empty):
@@ -657,7 +658,7 @@ def test_token_store(spark, codec, odd, empty):
         path = new_path(spark, "test-store")
         tokenstore.write_store(df, path)
         want = brute_store(codec, df)
-        assert rows(tokenstore.read_digests(spark, path)) == rows(tokenstore.reassembled_digests(spark, path)) == sorted(want, key=repr)
+        assert rows(tokenstore.read_digests(spark, path)) == sorted(want, key=repr)
         whole = {r.start: zlib.crc32(np.array(r.ids, "<u4").tobytes()) for r in tokenstore.read_documents(spark, path).collect()}
         assert whole == {s: c for _, s, _, c in want}
         chunks = spark.read.parquet(f"{path}/objects").filter("kind = 'chunk'")
@@ -667,6 +668,34 @@ def test_token_store(spark, codec, odd, empty):
     assert tokenstore.read_digests(spark, path).count() == 0
 
 
+def test_token_store_reads_hot_chunks_and_plain_files(spark, codec, monkeypatch):
+    text = "one two three four " * 4000
+    df = spark.createDataFrame([(n, text if n % 2 else f"{text} and {n}") for n in range(40)], "doc_id bigint, text string")
+    path = new_path(spark, "test-store")
+    tokenstore.write_store(df, path)
+    want = sorted(brute_store(codec, df), key=repr)
+    assert rows(tokenstore.read_digests(spark, path)) == want  # its chunks are hot
+    spark.sql(f"DROP TABLE {tokenstore._table(path)}")  # as in another session
+    assert rows(tokenstore.read_digests(spark, path)) == want
+    monkeypatch.setattr(tokenstore, "HOT", 0)
+    assert rows(tokenstore.read_digests(spark, path)) == want
+
+
+def test_token_store_refuses_changed_chunks(spark, odd):
+    path = new_path(spark, "test-store")
+    tokenstore.write_store(odd, path)
+    spark.sql(f"DROP TABLE {tokenstore._table(path)}")
+    objects = spark.read.parquet(f"{path}/objects")
+    lost = objects.filter("kind = 'chunk'").agg(F.min("digest")).first()[0]
+    for name, kept in (("less", objects.filter(~((F.col("kind") == "chunk") & (F.col("digest") == F.lit(lost))))), ("other", objects.withColumn("payload", F.when(F.col("digest") == F.lit(lost), F.lit(b"\x02\x07\x00")).otherwise(F.col("payload"))))):
+        import shutil
+
+        shutil.copytree(path, f"{path}-{name}")
+        kept.write.mode("overwrite").partitionBy("kind").parquet(f"{path}-{name}/objects")
+        with pytest.raises(Exception, match="missing|do not give"):
+            tokenstore.read_digests(spark, f"{path}-{name}").collect()
+
+
 def test_token_store_refuses_changed_files(spark, odd):
     path = new_path(spark, "test-store")
     tokenstore.write_store(odd, path)
@@ -733,6 +762,19 @@ def brute_copies(given):
     return out
 
 
+def test_pipeline_run_leaves_its_result_alone(spark):
+    import os
+
+    import corpus_pipeline
+    from lodestone.llm import common
+
+    os.makedirs(common.shared_dir(spark), exist_ok=True)
+    before = set(os.listdir(common.shared_dir(spark)))
+    got = corpus_pipeline.run(spark, SF)
+    assert got.count() > 200 and got.columns == ["doc_id", "ids", "n_tokens", "ids_sha256", "decoded_sha256"]
+    assert {n.rpartition("-")[0] for n in set(os.listdir(common.shared_dir(spark))) - before} == {"stage-bpe_encode"}
+
+
 def test_pipeline_stages_on_odd_rows(spark, odd, empty):
     """Null and repeated ids, clashing columns, no rows: all rows that a stage keeps are rows of its input."""
     import corpus_pipeline
