@@ -1,7 +1,8 @@
 """A corpus pipeline of five stages, each on what its predecessor keeps.
 
 ``run`` writes every stage's rows as Parquet to the folder that executors share and
-reads them again, so a lost executor repeats a stage's tasks at most.
+reads them again, so a lost executor repeats a stage's tasks at most; what a stage needed
+on its way is deleted once its rows are written.
 """
 
 from __future__ import annotations
@@ -12,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.llm import bpe, exact_dedup, langid, mixing, simhash
-from lodestone.llm.common import free_name, materialise
+from lodestone.llm.common import drop_made, free_name, made, materialise
 
 #: Least mean probability of the predicted language; below it, and without any
 #: letter, a document has no language that the corpus knows.
@@ -76,7 +77,8 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, mark = spark.read.parquet(f"{sf_dir}/documents.parquet"), made()
     for name, stage in STAGES:
         docs = materialise(stage(spark, docs, sf_dir), f"stage-{name}")
+        drop_made(spark, mark, docs)  # the stage before and this one's tables on the way
     return docs
