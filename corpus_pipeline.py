@@ -3,6 +3,12 @@
 ``run`` writes every stage's rows as Parquet to the folder that executors share and
 reads them again, so a lost executor repeats a stage's tasks at most; what a stage needed
 on its way is deleted once its rows are written.
+
+Rows that share an id, and rows without one, are rows of their own in every stage; columns
+beyond those of ``documents`` come along, whatever their names. A null text has no
+language and goes in the first stage; a stage that is given one all the same takes it
+for empty: equal to empty texts, near to them, of size 0 in the mix, and so never sent,
+and without tokens. An empty table gives an empty table.
 """
 
 from __future__ import annotations
