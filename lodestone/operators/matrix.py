@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 def build_matrix(spark: SparkSession, models: dict[str, str], tiers: list[str], opts: list[str], contexts: list[str], top_k: int | None = None) -> DataFrame:
     """All combinations (a cross join of four short lists): experiment_id, model, tier,
     opt, context, top_k."""
-    axis = lambda name, values: spark.createDataFrame([(v,) for v in values], f"{name} string")
-    m = spark.createDataFrame(list(models.items()), "short string, model string")
+    # given lists: one partition for the first, the others sent to it
+    axis = lambda name, values: F.broadcast(spark.createDataFrame([(v,) for v in values], f"{name} string"))
+    m = spark.createDataFrame(list(models.items()), "short string, model string").coalesce(1)
     rows = m.crossJoin(axis("tier", tiers)).crossJoin(axis("opt", opts)).crossJoin(axis("context", contexts))
     tail = [F.lit(f"top{top_k}")] if top_k else []
     return rows.select(F.concat_ws("_", F.lit("exp"), "short", F.lower("tier"), "opt", "context", *tail).alias("experiment_id"), "model", "tier", "opt", "context", F.lit(top_k).cast("int").alias("top_k"))

@@ -127,7 +127,7 @@ def complete_grid(rows: DataFrame, axes: dict[str, list[str]], n: str = "n") ->
     """Counts over the full grid of the given labels; empty cells have 0."""
     spark, grid = rows.sparkSession, None
     for name, labels in axes.items():
-        axis = spark.createDataFrame([(x,) for x in labels], f"`{name}` string")
-        grid = axis if grid is None else grid.crossJoin(axis)  # a handful of labels
+        axis = spark.createDataFrame([(x,) for x in labels], f"`{name}` string").coalesce(1)
+        grid = axis if grid is None else grid.crossJoin(F.broadcast(axis))  # a handful of labels
     counts = rows.groupBy(*axes).agg(F.count("*").alias(n))
     return F.broadcast(grid).join(counts, list(axes), "left").withColumn(n, F.coalesce(n, F.lit(0)))
