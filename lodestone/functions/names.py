@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Where a name is cut, the answers that say nothing, and their shapes.
-TOKEN_CUT = r"[_\-]+|(?<=[a-z])(?=[A-Z])|(?<=[A-Z])(?=[A-Z][a-z])|(?<=[a-zA-Z])(?=[0-9])|(?<=[0-9])(?=[a-zA-Z])"
+# Behind which characters a name is cut, besides at _ and -; the answers that
+# say nothing, and their shapes.
+TOKEN_END = r"([a-z](?=[A-Z0-9])|[A-Z](?=[0-9]|[A-Z][a-z])|[0-9](?=[a-zA-Z]))"
 TRIVIAL_NAMES = ("", "unknown", "func", "function", "unnamed", "sub", "fn", "proc", "routine", "handler", "callback")
 TRIVIAL_SHAPES = (r"^fun_[0-9a-f]+$", r"^sub_[0-9a-f]+$", r"^0x[0-9a-f]+$", r"^fcn\.[0-9a-f]+$", r"^_*func_?[0-9]*_*$")
 VERSION_SUFFIX = "@@GLIBC_"
@@ -20,10 +21,10 @@ def strip(c: Column) -> Column:
 def tokens(name: Column) -> Column:
     """Lower-case parts of a name in any case style; none for null.
 
-    Cuts become underscores, which are cuts themselves, and the text is split at those: a
-    replacement keeps its compiled pattern where a split would compile it for each row, and
-    no lambda runs over the parts."""
-    marked = F.lower(F.regexp_replace(F.coalesce(name, F.lit("")), TOKEN_CUT, "_"))
+    Cuts become underscores and the text is split at those: a replacement keeps its
+    compiled pattern where a split would compile it for each row, and no lambda runs over
+    the parts."""
+    marked = F.lower(F.translate(F.regexp_replace(F.coalesce(name, F.lit("")), TOKEN_END, "$1_"), "-", "_"))
     return F.array_remove(F.split(marked, "_", -1), "")
 
 
