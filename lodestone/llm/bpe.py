@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -29,14 +30,14 @@ from pyspark.sql import functions as F
 from .common import map_arrow, materialise, partitions, text_bytes
 
 #: Words and bytes of chunks that a Python worker keeps; past them it starts anew.
-CACHED_WORDS = 600_000
+CACHED_WORDS = 300_000
 CACHED_CHUNK_BYTES = 16 << 20
 #: A chunk has 2 ** CHUNK_BITS bytes on average; the hash sees CHUNK_WINDOW bytes.
 CHUNK_BITS = 11
 CHUNK_WINDOW = 16
 
 #: Ids of known words held, and bytes from which a word goes to the library.
-CACHED_IDS = 8_000_000
+CACHED_IDS = 4_000_000
 LONG_WORD = 60
 
 _GEAR = np.random.default_rng(20240229).integers(0, 1 << 32, 1 << 16, dtype=np.uint32)
@@ -180,6 +181,16 @@ class Codec:
             cls._loaded[path] = cls(path)
         return cls._loaded[path]
 
+    @classmethod
+    @contextmanager
+    def lent(cls, path: str) -> Iterator[Codec]:
+        """For one task: the vocabulary stays loaded, the words met are forgotten after it."""
+        codec = cls.load(path)
+        try:
+            yield codec
+        finally:
+            codec.forget()
+
     def forget(self) -> None:
         """Start anew: no word is known. ``ids[ends[n]:ends[n + 1]]`` are those of word n."""
         self.words = pa.array([], pa.string())
@@ -401,13 +412,13 @@ def map_encoded(docs: DataFrame, emit: Callable[[bytes, Codec], tuple], fields:
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in narrow.schema.fields[1:]), fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = Codec.load(path)
-        chunks = ChunkEncoder(codec)
-        for b in batches:
-            if b.num_rows:
-                rows = [emit(ids, codec) for ids in chunks.encode_many(b.column(0).to_pylist())]
-                columns = [pa.array(list(c)) for c in zip(*rows, strict=True)]
-                yield pa.RecordBatch.from_arrays([*b.columns[1:], *columns], names=[f"f{i}" for i in range(len(b.columns) - 1 + len(columns))])
+        with Codec.lent(path) as codec:
+            chunks = ChunkEncoder(codec)
+            for b in batches:
+                if b.num_rows:
+                    rows = [emit(ids, codec) for ids in chunks.encode_many(b.column(0).to_pylist())]
+                    columns = [pa.array(list(c)) for c in zip(*rows, strict=True)]
+                    yield pa.RecordBatch.from_arrays([*b.columns[1:], *columns], names=[f"f{i}" for i in range(len(b.columns) - 1 + len(columns))])
 
     return map_arrow(narrow, run, schema)
 
@@ -447,17 +458,18 @@ def _encode_once(path: str, at: int):
     in place of the text; recipes, which have none, pass."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec, last = Codec.load(path), None
-        for b in batches:
-            keep = []
-            for d in b.column(at).to_pylist():
-                keep.append(d is None or d != last)
-                last = d
-            b = b.filter(pa.array(keep, pa.bool_()))
-            insides = b.column(at + 1)
-            made = iter(codec.encode_many([x for x in insides.to_pylist() if x is not None]))
-            ids = pa.array([next(made) if ok else None for ok in insides.is_valid().to_pylist()], pa.binary())
-            yield pa.RecordBatch.from_arrays([*b.columns[: at + 1], ids], names=b.schema.names)
+        last = None
+        with Codec.lent(path) as codec:
+            for b in batches:
+                keep = []
+                for d in b.column(at).to_pylist():
+                    keep.append(d is None or d != last)
+                    last = d
+                b = b.filter(pa.array(keep, pa.bool_()))
+                insides = b.column(at + 1)
+                made = iter(codec.encode_many([x for x in insides.to_pylist() if x is not None]))
+                ids = pa.array([next(made) if ok else None for ok in insides.is_valid().to_pylist()], pa.binary())
+                yield pa.RecordBatch.from_arrays([*b.columns[: at + 1], ids], names=b.schema.names)
 
     return run
 

@@ -63,7 +63,11 @@ def _encode(path: str, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        codec, task, row = Codec.load(path), TaskContext.get().partitionId(), 0
+        with Codec.lent(path) as codec:
+            yield from encoded(batches, codec, TaskContext.get().partitionId())
+
+    def encoded(batches: Iterator[pa.RecordBatch], codec: Codec, task: int) -> Iterator[pa.RecordBatch]:
+        row = 0
         sent: set[bytes] = set()
         end = np.array([end_id], np.uint32)
         for b in batches:
