@@ -37,7 +37,7 @@ CHUNK_BITS = 11
 CHUNK_WINDOW = 16
 
 #: Ids of known words held, and bytes from which a word goes to the library.
-CACHED_IDS = 4_000_000
+CACHED_IDS = 8_000_000
 LONG_WORD = 60
 
 _GEAR = np.random.default_rng(20240229).integers(0, 1 << 32, 1 << 16, dtype=np.uint32)
@@ -173,6 +173,7 @@ class Codec:
         self.kind = np.full(256, 3, np.uint8)
         self.kind[48:58], self.kind[65:91], self.kind[97:123], self.kind[128:] = 2, 1, 1, 1
         self.names = [self.tok.id_to_token(i) or "" for i in range(self.tok.get_vocab_size(with_added_tokens=True))]
+        self.room = CACHED_WORDS
         self.forget()
 
     @classmethod
@@ -186,6 +187,7 @@ class Codec:
     def lent(cls, path: str) -> Iterator[Codec]:
         """For one task: the vocabulary stays loaded, the words met are forgotten after it."""
         codec = cls.load(path)
+        codec.room = CACHED_WORDS
         try:
             yield codec
         finally:
@@ -250,7 +252,7 @@ class Codec:
         found = pc.index_in(words, value_set=self.words)
         if not found.null_count:
             return found.to_numpy().astype(np.int64)
-        if len(self.words) + found.null_count > CACHED_WORDS or self.ends[-1] > CACHED_IDS:
+        if len(self.words) + found.null_count > self.room or self.ends[-1] > CACHED_IDS:
             self.forget()
             return self.learn(words)
         new = found.is_null().to_numpy(zero_copy_only=False)

@@ -28,6 +28,7 @@ from __future__ import annotations
 import zlib
 from collections.abc import Iterator
 from hashlib import blake2b, sha256
+from itertools import batched
 
 import numpy as np
 import pyarrow as pa
@@ -41,6 +42,8 @@ END_ID = 1
 #: Chunks have 2 ** CHUNK_BITS ids on average.
 CHUNK_BITS = 9
 SEGMENT = 1 << 18
+#: Words that a worker remembers.
+WORDS = 600_000
 #: Digests that a task remembers as sent.
 SENT = 1 << 20
 #: Uses of a chunk that has over a HOT-th of all are dealt to SALTS groups.
@@ -63,14 +66,12 @@ def _encode(path: str, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        with Codec.lent(path) as codec:
-            yield from encoded(batches, codec, TaskContext.get().partitionId())
-
-    def encoded(batches: Iterator[pa.RecordBatch], codec: Codec, task: int) -> Iterator[pa.RecordBatch]:
-        row = 0
+        codec, task, row = Codec.load(path), TaskContext.get().partitionId(), 0
+        codec.room = WORDS  # kept for the worker's next task, too
         sent: set[bytes] = set()
         end = np.array([end_id], np.uint32)
-        for b in batches:
+        # the more words at once, the fewer look-ups
+        for b in (b for two in batched(batches, 2) for b in pa.Table.from_batches(two).combine_chunks().to_batches()):
             flat, bounds = codec.encode_arrow(b.column(0))
             keys, payloads, digests, lengths, counts, crcs = [], [], [], [], [], []
             for a, z in zip(bounds.tolist(), bounds[1:].tolist(), strict=False):
