@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, embeddings, exact_dedup, langid, mixing, pii, simhash, tokenstore, urlfilter
+from . import audit, bpe, chat, embeddings, exact_dedup, langid, mixing, pii, simhash, tokenstore, urlfilter
 from .common import new_path
 
 RULES: list[urlfilter.Rule] = [
@@ -79,6 +79,10 @@ def op10_tokenstore(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenstore.read_digests(spark, path)
 
 
+def op11_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.audit(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -86,7 +90,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    named = [op1_pii, op2_bpe, op3_mix, op4_simhash, op5_embeddings, op6_chat, op7_langid, op8_urlfilter, op9_exact_dedup, op10_tokenstore, pipeline]
+    named = [op1_pii, op2_bpe, op3_mix, op4_simhash, op5_embeddings, op6_chat, op7_langid, op8_urlfilter, op9_exact_dedup, op10_tokenstore, op11_audit, pipeline]
     return {f.__name__: f for f in named}
 
 
@@ -150,6 +154,41 @@ SELECT g.doc_id, w.keep_id, w.group_size, g.doc_id IS NOT DISTINCT FROM w.keep_i
 FROM given g JOIN groups w ON g.text = w.text
 """
 
+SQL_OP11 = """
+WITH given AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text FROM documents),
+marks AS (SELECT doc_id, coalesce(bool_or(quality = 1), false) AS good, coalesce(bool_or(toxic = 1), false) AS toxic FROM labels GROUP BY doc_id),
+words AS (SELECT *, regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+') AS w, min(doc_id) OVER (PARTITION BY text) AS least FROM given),
+fails AS (
+  SELECT part, coalesce(m.good, false) AS good, coalesce(m.toxic, false) AS toxic,
+    CAST(len(w) < 200 AS INT) AS a, CAST(100 * list_unique(w) < 50 * len(w) AS INT) AS b,
+    CAST(100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 2 * length(text) AS INT) AS c,
+    CAST(regexp_matches(text, '[#$%&*|]') AS INT) AS d, CAST(coalesce(g.doc_id > least, false) AS INT) AS e
+  FROM words g LEFT JOIN marks m ON g.doc_id = m.doc_id),
+cells AS (
+  SELECT part, a + 2 * b + 4 * c + 8 * d + 16 * e AS mask, count(*) AS n, count(*) FILTER (WHERE good) AS good, count(*) FILTER (WHERE toxic) AS toxic
+  FROM fails GROUP BY ALL),
+letters AS (SELECT * FROM (VALUES ('A', 1), ('B', 2), ('C', 4), ('D', 8), ('E', 16)) t(l, bit)),
+orders AS (
+  SELECT concat(p.l, q.l, r.l, s.l, t.l) AS filter_order, [p.bit, q.bit, r.bit, s.bit, t.bit] AS bits
+  FROM letters p, letters q, letters r, letters s, letters t WHERE p.bit | q.bit | r.bit | s.bit | t.bit = 31),
+steps AS (
+  SELECT filter_order, CAST(i AS INT) AS step, bits[i] AS own, coalesce(list_sum(bits[:i - 1]), 0)::INT AS earlier
+  FROM orders, (SELECT unnest(range(1, 6)) AS i)),
+outcome AS (
+  SELECT part, filter_order, step, own,
+    sum(CASE WHEN mask & (own | earlier) = 0 THEN n ELSE 0 END) AS kept,
+    sum(CASE WHEN mask & own > 0 AND mask & earlier = 0 THEN n ELSE 0 END) AS removed,
+    sum(CASE WHEN mask & own > 0 AND mask & earlier > 0 THEN n ELSE 0 END) AS redundant,
+    sum(CASE WHEN mask = own THEN n ELSE 0 END) AS unique_fails,
+    sum(CASE WHEN mask & own > 0 AND mask & earlier = 0 THEN good ELSE 0 END) AS good_lost,
+    sum(CASE WHEN mask & own > 0 AND mask & earlier = 0 THEN toxic ELSE 0 END) AS toxic_lost
+  FROM cells, steps GROUP BY ALL)
+SELECT part, filter_order, step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed, CAST(redundant AS BIGINT) AS redundant,
+  CAST(unique_fails AS BIGINT) AS unique_fails, CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost,
+  CAST(sum(removed) OVER (PARTITION BY part, own) AS BIGINT) AS shapley
+FROM outcome
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_mix": SQL_OP3, "op8_urlfilter": SQL_OP8, "op9_exact_dedup": SQL_OP9}
+    return {"op3_mix": SQL_OP3, "op8_urlfilter": SQL_OP8, "op9_exact_dedup": SQL_OP9, "op11_audit": SQL_OP11}
