@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import audit, bpe, chat, embeddings, exact_dedup, langid, mixing, pii, simhash, tokenstore, urlfilter
+from . import audit, bpe, chat, embeddings, exact_dedup, langid, mixing, pii, simhash, tokenstore, trie, urlfilter
 from .common import new_path
 
 RULES: list[urlfilter.Rule] = [
@@ -83,6 +83,11 @@ def op11_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.audit(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
 
 
+def op12_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    paths = trie.branched(trie.conversation_paths(_read(spark, sf_dir, "conversations")))
+    return trie.prefix_trie(paths).drop("node_id", "parent_id", "turn_id")
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -90,7 +95,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    named = [op1_pii, op2_bpe, op3_mix, op4_simhash, op5_embeddings, op6_chat, op7_langid, op8_urlfilter, op9_exact_dedup, op10_tokenstore, op11_audit, pipeline]
+    named = [op1_pii, op2_bpe, op3_mix, op4_simhash, op5_embeddings, op6_chat, op7_langid, op8_urlfilter, op9_exact_dedup, op10_tokenstore, op11_audit, op12_trie, pipeline]
     return {f.__name__: f for f in named}
 
 
@@ -189,6 +194,43 @@ SELECT part, filter_order, step, CAST(kept AS BIGINT) AS kept, CAST(removed AS B
 FROM outcome
 """
 
+SQL_OP12 = """
+WITH placed AS (
+  SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS pos
+  FROM conversations WHERE conv_id IS NOT NULL),
+convs AS (
+  SELECT conv_id, conv_id - conv_id % 5 AS base,
+    xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda s: ascii(s)::BIGINT)),
+      lambda c, x: list_reduce(list_prepend(xor(c, x), [0::BIGINT, 0, 0, 0, 0, 0, 0, 0]), lambda v, z: CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384::BIGINT) ELSE v >> 1 END)),
+      4294967295::BIGINT) % 9 AS h
+  FROM (SELECT DISTINCT conv_id FROM placed)),
+rebuilt AS (
+  SELECT c.conv_id, p.pos, p.role, p.text FROM convs c JOIN placed p ON p.conv_id = c.base AND p.pos <= c.h
+  UNION ALL SELECT c.conv_id, p.pos, p.role, p.text FROM convs c JOIN placed p ON p.conv_id = c.conv_id AND p.pos > c.h),
+keyed AS (
+  SELECT conv_id, strlen(text) AS bytes, row_number() OVER w AS depth,
+    sha256(string_agg(sha256(concat(strlen(role), ':', role, text)), '') OVER w) AS key
+  FROM rebuilt WINDOW w AS (PARTITION BY conv_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+steps AS (
+  SELECT conv_id, bytes, depth, key, coalesce(lag(key) OVER (PARTITION BY conv_id ORDER BY depth), '') AS above,
+    lead(key) OVER (PARTITION BY conv_id ORDER BY depth) IS NULL AS ends
+  FROM keyed
+  UNION ALL
+  SELECT conv_id, 0, 0, '', NULL, NOT EXISTS (FROM keyed k WHERE k.conv_id = c.conv_id) FROM convs c),
+nodes AS (
+  SELECT key, depth, any_value(above) AS above, min(conv_id) AS conv_id, count(*) AS n_convs, (count(*) - 1) * any_value(bytes) AS own,
+    sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (WHERE ends), '')) AS ends_sha256
+  FROM steps GROUP BY key, depth),
+counts AS (SELECT above AS key, count(*) AS n_children FROM nodes WHERE depth > 0 GROUP BY above),
+below AS (
+  SELECT s.key, sum(n.own) AS saved, count(*) FILTER (WHERE c.key IS NULL) AS leaves
+  FROM nodes n LEFT JOIN counts c ON c.key = n.key JOIN steps s ON s.conv_id = n.conv_id AND s.depth <= n.depth GROUP BY s.key)
+SELECT n.conv_id, CAST(n.depth AS BIGINT) AS depth, p.conv_id AS parent_conv_id, n.n_convs, coalesce(c.n_children, 0) AS n_children, b.leaves AS n_leaves,
+  CAST(b.saved AS BIGINT) AS saved_tokens, n.ends_sha256
+FROM nodes n JOIN below b ON b.key = n.key LEFT JOIN counts c ON c.key = n.key LEFT JOIN nodes p ON p.key = n.above
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_mix": SQL_OP3, "op8_urlfilter": SQL_OP8, "op9_exact_dedup": SQL_OP9, "op11_audit": SQL_OP11}
+    return {"op3_mix": SQL_OP3, "op8_urlfilter": SQL_OP8, "op9_exact_dedup": SQL_OP9, "op11_audit": SQL_OP11, "op12_trie": SQL_OP12}
