@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import audit, bpe, chat, embeddings, exact_dedup, langid, mixing, pii, simhash, tokenstore, trie, urlfilter
+from . import audit, bpe, chat, embeddings, exact_dedup, langid, mixing, neighbours, pii, simhash, tokenstore, trie, urlfilter
 from .common import new_path
 
 RULES: list[urlfilter.Rule] = [
@@ -88,6 +88,10 @@ def op12_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trie.prefix_trie(paths).drop("node_id", "parent_id", "turn_id")
 
 
+def op13_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.nearest(_read(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -95,7 +99,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    named = [op1_pii, op2_bpe, op3_mix, op4_simhash, op5_embeddings, op6_chat, op7_langid, op8_urlfilter, op9_exact_dedup, op10_tokenstore, op11_audit, op12_trie, pipeline]
+    named = [op1_pii, op2_bpe, op3_mix, op4_simhash, op5_embeddings, op6_chat, op7_langid, op8_urlfilter, op9_exact_dedup, op10_tokenstore, op11_audit, op12_trie, op13_neighbours, pipeline]
     return {f.__name__: f for f in named}
 
 
