@@ -6,9 +6,9 @@ role and text (16 bytes of SHA-256) and the text's length in UTF-8 bytes (8 byte
 paths are merged first, so copies count as one path with a weight. Paths are then
 partitioned by the hash of their first turn, and a task builds the pointer dictionary
 tries of its first turns and sums them up in postorder, without recursion. A first turn
-with more turns below it than ``limit`` is not built: its node, and those that all of
-its paths share, become part of the spine, and what lies below is partitioned by the next
-turn, again and again until every subtrie fits. Sums of the spine's nodes come from
+with several paths and more turns below it than ``limit`` is not built: its node, and those
+that all of its paths share, become a stretch of the spine, and what lies below is partitioned
+by the next turn, again and again until every subtrie fits. Sums of the spine's nodes come from
 the sums of the subtries below them. A task thus holds about ``limit`` turns, however many
 conversations open alike; a conversation itself (24 bytes a turn) stays in one task.
 
@@ -35,8 +35,8 @@ from .common import map_arrow, materialise, partitions
 
 #: Bytes of a turn in a path: digest and length.
 UNIT, DIGEST = 24, 16
-#: Turns that a subtrie may have, and that a task is dealt on average.
-LIMIT = 100_000
+#: Most turns that a subtrie may have; fewer where they are less than SHARE times a task's even part.
+LIMIT, LEAST, SHARE = 100_000, 1024, 4
 NODES = "node_id binary, parent_id binary, turn_id binary, conv_id bigint, depth bigint, parent_conv_id bigint, n_convs bigint, n_children bigint, n_leaves bigint, saved_tokens bigint, ends_sha256 string"
 NO_ENDS = hashlib.sha256(b"").hexdigest()
 
@@ -112,24 +112,25 @@ def distinct_paths(paths: DataFrame) -> DataFrame:
 
 def build(rows: pd.DataFrame) -> pd.DataFrame:
     """The nodes of all subtries of a task. Each path starts at the node of its first ``k``
-    turns; ``parent_conv_id`` is the conversation of the node above that one."""
+    turns; ``parent_conv_id`` is the conversation of the node above that one, ``line`` what
+    the spine above it is."""
     tops: dict[bytes, int] = {}
     children: list[dict[bytes, int]] = []
-    parent, depth, unit, ids, above, prefix = [], [], [], [], [], []
+    parent, depth, unit, ids, above, over, lines = [], [], [], [], [], [], []
     n_convs, least, ends = [], [], []
 
-    def new(of: int, d: int, u: bytes, digest: bytes, conv: int | None, begin: bytes | None) -> int:
+    def new(of: int, d: int, u: bytes, digest: bytes, conv: int | None, up: bytes | None, line: list | None) -> int:
         children.append({})
-        for to, value in ((parent, of), (depth, d), (unit, u), (ids, digest), (above, conv), (prefix, begin), (n_convs, 0), (least, None), (ends, NO_ENDS)):
+        for to, value in ((parent, of), (depth, d), (unit, u), (ids, digest), (above, conv), (over, up), (lines, line), (n_convs, 0), (least, None), (ends, NO_ENDS)):
             to.append(value)
         return len(parent) - 1
 
-    for path, conv, n, ended, k, top_conv in zip(rows["path"], rows["conv_id"], rows["n"], rows["ends"], rows["k"], rows["parent_conv_id"], strict=True):
+    for path, conv, n, ended, k, top_conv, line in zip(*(rows[c] for c in ("path", "conv_id", "n", "ends", "k", "parent_conv_id", "line")), strict=True):
         path, begin = bytes(path), bytes(path[: UNIT * k])
         hashed = hashlib.sha256(begin)
         node = tops.get(begin)
         if node is None:
-            node = tops[begin] = new(-1, k, begin[-UNIT:], hashed.digest(), top_conv, begin)
+            node = tops[begin] = new(-1, k, begin[-UNIT:], hashed.digest(), top_conv, hashlib.sha256(begin[:-UNIT]).digest(), list(line))
         at = UNIT * k
         while True:
             n_convs[node] += n
@@ -141,7 +142,7 @@ def build(rows: pd.DataFrame) -> pd.DataFrame:
             hashed.update(u)
             child = children[node].get(u)
             if child is None:
-                child = children[node][u] = new(node, at // UNIT, u, hashed.digest(), None, None)
+                child = children[node][u] = new(node, at // UNIT, u, hashed.digest(), None, None, None)
             node = child
     leaves, saved = [0] * len(parent), [0] * len(parent)
     stack = [(t, False) for t in tops.values()]
@@ -156,58 +157,65 @@ def build(rows: pd.DataFrame) -> pd.DataFrame:
         if parent[node] >= 0:
             leaves[parent[node]] += leaves[node]
             saved[parent[node]] += saved[node]
-    ancestors = [None if b is None else [hashlib.sha256(b[: UNIT * d]).digest() for d in range(depth[i])] for i, b in enumerate(prefix)]
     return pd.DataFrame({
-        "node_id": ids, "parent_id": [ids[p] if p >= 0 else ancestors[i][-1] for i, p in enumerate(parent)], "turn_id": [u[:DIGEST] for u in unit], "conv_id": least, "depth": depth,
-        "parent_conv_id": [least[p] if p >= 0 else above[i] for i, p in enumerate(parent)], "n_convs": n_convs, "n_children": [len(c) for c in children], "n_leaves": leaves, "saved_tokens": saved, "ends_sha256": ends, "ancestors": ancestors,
+        "node_id": ids, "parent_id": [ids[p] if p >= 0 else over[i] for i, p in enumerate(parent)], "turn_id": [u[:DIGEST] for u in unit], "conv_id": least, "depth": depth,
+        "parent_conv_id": [least[p] if p >= 0 else above[i] for i, p in enumerate(parent)], "n_convs": n_convs, "n_children": [len(c) for c in children], "n_leaves": leaves, "saved_tokens": saved, "ends_sha256": ends, "line": lines,
     })
 
 
-def prefix_trie(paths: DataFrame, limit: int = LIMIT) -> DataFrame:
+def prefix_trie(paths: DataFrame, limit: int | None = None) -> DataFrame:
     """All nodes of the trie of (conv_id, path), the root at depth 0."""
     spark = paths.sparkSession
     given = materialise(distinct_paths(paths), "trie-distinct").withColumn("len", (F.octet_length("path") / UNIT).cast("int"))
-    total = given.agg(F.sum("n"), F.min("conv_id")).first()
-    cut = lambda path, d: f"unhex(sha2(substring({path}, 1, {UNIT} * ({d})), 256))"
-    root = spark.range(1).select(F.lit(b"").alias("lo"), F.lit(0).alias("depth"), F.lit(total[0]).cast("long").alias("n_convs"), F.lit(total[1]).cast("long").alias("conv_id"), F.lit(None).cast("long").alias("parent_conv_id")).filter("n_convs IS NOT NULL")
+    n_convs, least, n_turns = given.agg(F.sum("n"), F.min("conv_id"), F.sum("len")).first()
+    if limit is None:
+        limit = min(LIMIT, max(LEAST, SHARE * (n_turns or 0) // partitions(spark)))
+    node = lambda d: F.expr(f"unhex(sha2(substring(path, 1, {UNIT} * ({d})), 256))")
+    long = lambda v: F.lit(v).cast("long")
+
+    # The spine, in stretches without a branch: from a depth to the one where paths part, with
+    # the ids of the ends of the stretches above (``line``).
+    root = spark.range(1).select(F.lit(b"").alias("path"), F.lit(0).alias("from"), F.lit(0).alias("to"), long(n_convs).alias("n_convs"), long(least).alias("conv_id"), long(None).alias("above"), F.array().cast("array<binary>").alias("line")).filter("n_convs IS NOT NULL")
     spine, ended = [root], [given.filter("len = 0").select("path", "ends")]
-    settled, pending = [], given.filter("len > 0").select("*", F.lit(1).alias("k"), F.lit(total[1]).cast("long").alias("parent_conv_id"))
+    settled, pending = [], given.filter("len > 0").select("*", F.lit(1).alias("k"), long(least).alias("parent_conv_id"), F.array(node("0")).alias("line"))
     while True:
-        keyed = pending.withColumn("key", F.expr(cut("path", "k")))
-        sums = keyed.groupBy("key").agg(F.sum(F.col("len") - F.col("k")).alias("below"), F.sum("n").alias("n_convs"), F.min("conv_id").alias("least"), F.min("path").alias("lo"), F.max("path").alias("hi"), F.first("k").alias("from"), F.first("parent_conv_id").alias("above"))
+        keyed = pending.withColumn("key", node("k"))
+        sums = keyed.groupBy("key").agg(F.sum(F.col("len") - F.col("k")).alias("below"), F.sum("n").alias("n_convs"), F.min("conv_id").alias("least"), F.min("path").alias("path"), F.max("path").alias("hi"), F.first("k").alias("from"), F.first("parent_conv_id").alias("above"), F.first("line").alias("line"))
         # what the first and the last path share in order, all between them share
-        common = f"size(filter(sequence(1, int(least(octet_length(lo), octet_length(hi)) / {UNIT})), d -> substring(lo, 1, {UNIT} * d) = substring(hi, 1, {UNIT} * d)))"
-        large = materialise(sums.filter(F.col("below") > limit).withColumn("shared", F.expr(common)), "trie-large")
+        common = f"size(filter(sequence(1, int(least(octet_length(path), octet_length(hi)) / {UNIT})), d -> substring(path, 1, {UNIT} * d) = substring(hi, 1, {UNIT} * d)))"
+        large = materialise(sums.filter((F.col("below") > limit) & (F.col("path") != F.col("hi"))).withColumn("to", F.expr(common)), "trie-large")
         if large.isEmpty():
             settled.append(keyed)
             break
-        each = large.select("*", F.explode(F.sequence("from", "shared")).alias("depth"))
-        spine.append(each.select("lo", "depth", "n_convs", F.col("least").alias("conv_id"), F.when(F.col("depth") == F.col("from"), F.col("above")).otherwise(F.col("least")).alias("parent_conv_id")))
-        dealt = materialise(keyed.join(large.select("key", "shared", "least"), "key", "left"), "trie-dealt")
-        settled.append(dealt.filter("shared IS NULL").drop("shared", "least"))
-        ended.append(dealt.filter("len = shared").select("path", "ends"))
-        pending = dealt.filter("len > shared").select("path", "conv_id", "n", "ends", "len", (F.col("shared") + 1).alias("k"), F.col("least").alias("parent_conv_id"))
-    spine, ended = _union(spine), _union(ended)
-
-    ready = _union([s.select("path", "conv_id", "n", "ends", "len", "k", "parent_conv_id", "key") for s in settled])
+        spine.append(large.select("path", "from", "to", "n_convs", F.col("least").alias("conv_id"), "above", "line"))
+        parted = large.select("key", "to", "least", F.concat("line", F.array(node("`to`"))).alias("next"))
+        dealt = materialise(keyed.join(parted, "key", "left"), "trie-dealt")
+        settled.append(dealt.filter("to IS NULL").drop("to", "least", "next"))
+        ended.append(dealt.filter("len = to").select("path", "ends"))
+        pending = dealt.filter("len > to").select("path", "conv_id", "n", "ends", "len", (F.col("to") + 1).alias("k"), F.col("least").alias("parent_conv_id"), F.col("next").alias("line"))
+
+    ready = _union([s.select("path", "conv_id", "n", "ends", "len", "k", "parent_conv_id", "line", "key") for s in settled])
     size = ready.agg(F.sum(F.col("len") - F.col("k") + 1)).first()[0] or 0
-    tasks = max(partitions(spark), -(-size // limit))
+    tasks = max(partitions(spark), -(-size // max(limit, LEAST)))
     dealt = ready.withColumn("task", F.pmod(F.xxhash64("key"), F.lit(tasks))).drop("key", "len")
-    built = materialise(dealt.groupBy("task").applyInPandas(build, f"{NODES}, ancestors array<binary>"), "trie-nodes")
-
-    ids = F.expr(f"transform(sequence(0, depth), d -> {cut('lo', 'd')})")
-    size_of = F.expr(f"CASE WHEN depth > 0 THEN bigint(conv(hex(substring(lo, {UNIT} * depth - {UNIT - DIGEST - 1}, {UNIT - DIGEST})), 16, 10)) ELSE 0 END")
-    line = spine.select("*", ids.alias("line"), ((F.col("n_convs") - 1) * size_of).alias("own")).withColumn("node_id", F.element_at("line", -1))
-    give = lambda df, to, n, saved, leaves: df.select(F.posexplode(to).alias("pos", "of"), F.lit(n).alias("last"), F.size(to).alias("size"), F.col(saved).alias("saved"), leaves.alias("leaves"))
-    below = give(built.filter("ancestors IS NOT NULL"), "ancestors", 1, "saved_tokens", F.col("n_leaves")).unionByName(give(line, "line", 2, "own", F.lit(0).cast("long")))
-    sums = below.groupBy("of").agg(F.sum("saved").alias("saved"), F.sum("leaves").alias("leaves"), F.sum((F.col("pos") == F.col("size") - F.col("last")).cast("long")).alias("children"))
-    ends = ended.select(F.unhex(F.sha2("path", 256)).alias("at"), "ends")
-    top = line.join(sums, F.col("node_id") == F.col("of")).join(ends, F.col("node_id") == F.col("at"), "left")
-    top = top.select(
-        "node_id", F.when(F.col("depth") > 0, F.element_at("line", -2)).alias("parent_id"), F.when(F.col("depth") > 0, F.expr(f"substring(lo, {UNIT} * depth - {UNIT - 1}, {DIGEST})")).alias("turn_id"), "conv_id", F.col("depth").cast("long").alias("depth"), "parent_conv_id", "n_convs",
-        F.col("children").alias("n_children"), F.when(F.col("children") == 0, 1).otherwise(F.col("leaves")).cast("long").alias("n_leaves"), F.col("saved").alias("saved_tokens"), F.coalesce("ends", F.lit(NO_ENDS)).alias("ends_sha256"),
+    built = materialise(dealt.groupBy("task").applyInPandas(build, f"{NODES}, line array<binary>"), "trie-nodes")
+
+    size_of = lambda d: f"CASE WHEN {d} > 0 THEN bigint(conv(hex(substring(path, {UNIT} * {d} - {UNIT - DIGEST - 1}, {UNIT - DIGEST})), 16, 10)) ELSE 0 END"
+    stretch = _union(spine).withColumn("end", node("`to`")).withColumn("own", (F.col("n_convs") - 1) * F.expr(f"aggregate(sequence(`from`, `to`), 0L, (s, d) -> s + {size_of('d')})"))
+    give = lambda df, saved, leaves: df.select(F.posexplode("line").alias("pos", "of"), F.size("line").alias("size"), F.col(saved).alias("saved"), leaves.alias("leaves"))
+    below = give(built.filter("line IS NOT NULL"), "saved_tokens", F.col("n_leaves")).unionByName(give(stretch, "own", long(0)))
+    sums = below.groupBy("of").agg(F.sum("saved").alias("saved"), F.sum("leaves").alias("leaves"), F.sum((F.col("pos") == F.col("size") - 1).cast("long")).alias("children"))
+    each = stretch.join(sums, F.col("end") == F.col("of"), "left").withColumn("depth", F.explode(F.sequence("from", "to")))
+    each = each.withColumn("own", (F.col("n_convs") - 1) * F.expr(size_of("depth")))
+    each = each.withColumn("under", F.sum("own").over(Window.partitionBy("end").orderBy(F.desc("depth")))).withColumn("node_id", node("depth"))
+    ends = _union(ended).select(node(f"octet_length(path) / {UNIT}").alias("at"), "ends")
+    deep = F.col("depth") > 0
+    top = each.join(ends, F.col("node_id") == F.col("at"), "left").select(
+        "node_id", F.when(deep, node("depth - 1")).alias("parent_id"), F.when(deep, F.expr(f"substring(path, {UNIT} * depth - {UNIT - 1}, {DIGEST})")).alias("turn_id"), "conv_id", F.col("depth").cast("long").alias("depth"),
+        F.when(F.col("depth") == F.col("from"), F.col("above")).otherwise(F.col("conv_id")).alias("parent_conv_id"), "n_convs", F.when(F.col("depth") < F.col("to"), 1).otherwise(F.coalesce("children", long(0))).cast("long").alias("n_children"),
+        F.coalesce("leaves", long(1)).alias("n_leaves"), (F.coalesce("saved", long(0)) + F.col("under")).alias("saved_tokens"), F.coalesce("ends", F.lit(NO_ENDS)).alias("ends_sha256"),
     )
-    return built.drop("ancestors").unionByName(top)
+    return built.drop("line").unionByName(top)
 
 
 def _union(frames: list[DataFrame]) -> DataFrame:
