@@ -7,6 +7,8 @@ import os
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -32,30 +34,34 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/lodestone"
 
 
-#: Folders that this process has given names to, in order.
-_made: list[str] = []
+#: The folders that the run at hand has given names to; a thread has runs of its own.
+_made: ContextVar[list[str] | None] = ContextVar("made", default=None)
 
 
-def new_path(spark: SparkSession, name: str) -> str:
-    _made.append(f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}")
-    return _made[-1]
+@contextmanager
+def recorded() -> Iterator[list[str]]:
+    """The folders that are named inside, in order, for :func:`drop_but_last`."""
+    token = _made.set([])
+    try:
+        yield _made.get()
+    finally:
+        _made.reset(token)
 
 
-def made() -> int:
-    """How many folders have been named so far: a mark for :func:`drop_made`."""
-    return len(_made)
+def new_path(spark: SparkSession, name: str) -> str:
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    if _made.get() is not None:
+        _made.get().append(path)
+    return path
 
 
-def drop_made(spark: SparkSession, since: int, keep: DataFrame) -> None:
-    """Delete the folders named since a mark but for those that ``keep`` reads: what a step
-    wrote on its way, once its result stands on its own."""
-    kept = {f.rpartition("/")[0].rpartition("/")[2] for f in keep.inputFiles()}
-    if not kept:
-        return
+def drop_but_last(spark: SparkSession, made: list[str]) -> None:
+    """Delete the folders of a run but for the last one: what a step wrote on its way, once
+    its result stands on its own."""
     conf, make = spark.sparkContext._jsc.hadoopConfiguration(), spark.sparkContext._jvm.org.apache.hadoop.fs.Path
-    for path in [p for p in _made[since:] if p.rpartition("/")[2] not in kept]:
+    for path in made[:-1]:
         make(path).getFileSystem(conf).delete(make(path), True)
-        _made.remove(path)
+    del made[:-1]
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:

@@ -7,8 +7,7 @@ they are, by cosine in double precision. Links of all passes are united. The
 number of passes follows from that number of bits so that a pair right at the
 threshold is met with probability ``recall``, and closer pairs more surely,
 whatever the distribution: dense stretches, longer than a window, are compared in
-full, block with block. If the passes would compare no fewer pairs than there are,
-all pairs are compared once and the result is exact.
+full, block with block.
 
 Equal vectors are one node from the start. A node carries its rank and its first
 bits in every pass, so a task sees whether an earlier pass has met a pair: links
@@ -208,20 +207,15 @@ def near_vectors(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "e
     distinct = marked.filter("digest IS NOT NULL").groupBy(F.col("digest").alias("rep")).agg(F.min("vec_id").alias("least"), F.count("*").alias("copies"), F.first("embedding").alias("embedding"))
     distinct = materialise(distinct, "vec-distinct")
     n = distinct.count()
-    passes, bits, pairs = passes_for(n, window, threshold, recall), shared_bits(n, window), n * (n - 1) // 2
+    passes, bits = passes_for(n, window, threshold, recall), shared_bits(n, window)
 
     hashed = map_arrow(distinct.select("rep", "embedding"), _keys(passes, BITS), "rep binary, keys array<bigint>, signs array<bigint>")
     hashed = materialise(hashed, "vec-keys")
     keys = hashed.select("rep", F.posexplode("keys").alias("pass", "key")).withColumn("one", F.lit(1).cast("long"))
-    if passes * window * n >= pairs:
-        keys, bits = keys.filter("pass = 0"), 0
     ranks = range_prefix(keys, [F.col("key"), F.col("rep")], "one", "rank", group="pass", name="vec-ranks")
     # the rows that share their first bits are a stretch; those within a window need no mention
     stretches = ranks.groupBy("pass", F.shiftright("key", BITS - bits).alias("bits")).agg(F.min("rank").alias("first"), F.max("rank").alias("last"))
     stretches = materialise(stretches.filter(F.col("last") - F.col("first") > window), "vec-stretches")
-    if bits and passes * window * n + (stretches.agg(F.sum(F.expr("(last - first) * (last - first + 1) / 2"))).first()[0] or 0) >= pairs:
-        ranks, bits = ranks.filter("pass = 0"), 0
-        stretches = ranks.groupBy("pass", F.shiftright("key", BITS).alias("bits")).agg(F.min("rank").alias("first"), F.max("rank").alias("last"))
     ranks = ranks.withColumn("bits", F.shiftright("key", BITS - bits)).join(stretches, ["pass", "bits"], "left")
     ranks = ranks.select("rep", "pass", "rank", F.coalesce("first", "rank").alias("first"), F.coalesce("last", "rank").alias("last"))
     ranks = ranks.groupBy("rep").agg(F.array_sort(F.collect_list(F.struct("pass", "rank", "first", "last"))).alias("r"))
@@ -232,10 +226,7 @@ def near_vectors(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "e
     met = F.sequence(F.greatest(F.floor(low / block), F.lit(0)), F.least(F.floor(high / block), F.lit(end)))
     light = ranks.select("rep", F.explode("r").alias("at")).select("rep", "at.*").join(hashed.select("rep", "signs"), "rep")
     light = light.select("*", home.alias("home"), F.explode(met).alias("met")).select("*", F.least("home", "met").alias("a"), F.greatest("home", "met").alias("b")).drop("home", "met")
-    if bits:
-        sent = light.groupBy("pass", "a", "b").applyInArrow(_screen(window, sign_limit(threshold), block), "rep binary, pass int, a bigint, b bigint")
-    else:
-        sent = light.select("rep", "pass", "a", "b")  # all pairs are compared
+    sent = light.groupBy("pass", "a", "b").applyInArrow(_screen(window, sign_limit(threshold), block), "rep binary, pass int, a bigint, b bigint")
     sent = materialise(sent, "vec-sent")
     before = [F.slice(F.col(f"r.{c}"), F.lit(1), F.col("pass")).alias(f"{c}s") for c in ("rank", "first")]
     at = F.element_at("r", F.col("pass") + 1)

@@ -6,8 +6,10 @@ of ``WINDOW`` bytes, the maximum of each filter over the window goes through a R
 and a linear layer to a softmax. A whole text is cut into windows, all of them are
 scored in batches, and their probabilities averaged.
 
-Training reads at most ``SAMPLE_DOCS`` labelled documents (the bound is a parameter),
-chosen by a hash of id and text, and the whole text of each.
+Training reads at most ``SAMPLE_DOCS`` labelled documents (the bound is a parameter, but
+for documents alike in id and text), chosen by a hash of id and text. Executors cut each whole
+text into windows and draw at most ``DOC_WINDOWS`` of them from all over it; of these at
+most ``TRAIN_WINDOWS`` in all, as many for every language, reach the driver: 8 MB.
 
 A null text, or one without a letter (Unicode category L; a number such as a Roman
 numeral or a superscript is none), is ``und`` with score 0. Ids, sources and labels
@@ -21,7 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -32,6 +34,7 @@ WIDTHS = (2, 3, 4)
 FILTERS = 16
 CLASSES = 64
 SAMPLE_DOCS = 1500
+DOC_WINDOWS, TRAIN_WINDOWS = 64, 32768
 UNKNOWN = "und"
 
 
@@ -156,19 +159,33 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: str =
     key = F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.col("text"), F.lit("langid")), F.lit(1 << 30))
     # more than enough by the hash, of these exactly the first ones
     rows = rows.withColumn("key", key).filter(F.col("key") < int((1 << 30) * min(1.0, 2 * sample_docs / count)))
-    sample = rows.select("key", "lang", "text").orderBy("key", "lang", "text").limit(sample_docs).collect()
-    labels = sorted({s.lang for s in sample})
-    if not labels:
+    last = rows.select("key").orderBy("key").limit(sample_docs).agg(F.max("key")).first()[0]
+    if last is None:
         return None
-    classes, x, y = byte_classes(), [], []
-    for s in sample:
-        x.append(windows(s.text.encode(), classes))
-        y += [labels.index(s.lang)] * len(x[-1])
+    drawn = map_arrow(rows.filter(F.col("key") <= last).select("lang", "text", "key"), _draw, "lang string, window binary, at bigint")
+    n_labels = drawn.select("lang").distinct().count()
+    place = F.row_number().over(Window.partitionBy("lang").orderBy("at", "window"))
+    sample = drawn.withColumn("place", place).filter(F.col("place") <= max(1, TRAIN_WINDOWS // n_labels)).orderBy("lang", "place").collect()
+    labels = sorted({s.lang for s in sample})
     net = Network(labels)
-    net.train(np.concatenate(x), np.array(y))
+    net.train(np.frombuffer(b"".join(s.window for s in sample), np.uint8).reshape(-1, WINDOW).astype(np.uint16), np.array([labels.index(s.lang) for s in sample]))
     return net
 
 
+def _draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Windows drawn from whole texts, with a number to draw again by."""
+    classes = byte_classes()
+    for b in batches:
+        langs, found, at = [], [], []
+        for lang, text, key in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            cut, rng = windows(text.encode(), classes), np.random.default_rng(key)
+            for n in rng.permutation(len(cut))[:DOC_WINDOWS]:
+                langs.append(lang)
+                found.append(cut[n].astype(np.uint8).tobytes())
+                at.append(int(rng.integers(1 << 62)))
+        yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(found, pa.binary()), pa.array(at, pa.int64())], names=["lang", "window", "at"])
+
+
 def predict(docs: DataFrame, network: Network | None, text: str = "text") -> DataFrame:
     """``docs`` with lang_pred and score."""
     names = [free_name(docs, "lang_pred"), free_name(docs, "score")]

@@ -44,10 +44,10 @@ from .common import map_arrow
 
 KINDS = ("email", "ip", "card", "phone")
 CERTAIN = 0.9
-#: Messages have settled when none changes by more; every ``ROUNDS`` rounds without that,
-#: the damping doubles, so that they always do.
+#: Messages have settled when an undamped update changes none by more; every ``ROUNDS`` rounds
+#: without that the damping doubles, at most ``HALVINGS`` times: then a document has not settled.
 SETTLED = 1e-4
-ROUNDS = 100
+ROUNDS, HALVINGS = 100, 8
 SAMPLE_DOCS = 2000
 
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
@@ -56,7 +56,6 @@ _DOTTED = re.compile(r"[0-9.]{7,}")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _OTHER = re.compile(r"[^0-9]+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
-_NODE = re.compile(r"[^\s]*[0-9@][^\s]*")
 _HINT = re.compile(r"[0-9@]")
 _RUN = re.compile(r"\S+")
 
@@ -179,7 +178,7 @@ class Graph:
     (node, table) from a node to the next one, ``groups`` of equal tokens and of similar."""
 
     def __init__(self, text: str, base: list[Span]):
-        found = [(m.start(), m.end(), m[0]) for m in _NODE.finditer(text)]
+        found = [(m.start(), m.end(), m[0]) for m in _RUN.finditer(text) if _HINT.search(m[0])]
         self.tokens = [t for _, _, t in found]
         self.spans = [(a, z) for a, z, _ in found]
         self.shapes = np.array([shape(t) for t in self.tokens], float).reshape(len(found), SHAPES)
@@ -269,22 +268,26 @@ class Field:
             z = (belief[src] - sent[back])[:, :, None] + tables
             top = z.max(axis=1)
             new = top + np.log(np.exp(z - top[:, None, :]).sum(axis=1))
-            change = step * (new - new.max(axis=1, keepdims=True) - sent)
-            sent, moved, rounds = sent + change, np.abs(change).max(), rounds + 1
+            change = new - new.max(axis=1, keepdims=True) - sent
+            sent, moved, rounds = sent + step * change, np.abs(change).max(), rounds + 1
+            if rounds == ROUNDS * (HALVINGS + 1):
+                break
             if rounds % ROUNDS == 0:
                 step /= 2
+        g.settled = not len(src) or bool(moved <= SETTLED)
         belief = node.copy()
         np.add.at(belief, dst, sent)
         belief = belief[:n]
         e = np.exp(belief - belief.max(axis=1, keepdims=True))
         return e / e.sum(axis=1, keepdims=True)
 
-    def added_spans(self, text: str, base: list[Span], certain: float = CERTAIN) -> list[Span]:
+    def added_spans(self, text: str, base: list[Span], certain: float = CERTAIN) -> tuple[list[Span], bool]:
+        """The spans, and whether the document's messages have settled."""
         if not _HINT.search(text):
-            return []
+            return [], True
         g = Graph(text, base)
         if not (g.known < 0).any():
-            return []
+            return [], True
         p = self.marginals(g)
         label = np.where((g.known < 0) & (p.max(axis=1) >= certain), p.argmax(axis=1), 0)
         beside, out = {n for n, gap in g.chain if gap == 0}, []
@@ -302,7 +305,7 @@ class Field:
             while a < z and text[z - 1] in _EDGE.replace(")", ""):
                 z -= 1
             trimmed.append((a, k, z))
-        return trimmed
+        return trimmed, g.settled
 
 
 def _whole(kind: int, token: str) -> bool:
@@ -363,22 +366,25 @@ def spans_text(spans: list[Span]) -> str:
 
 def find_pii(docs: DataFrame, field: Field, text: str = "text", doc_id: str = "doc_id", certain: float = CERTAIN) -> DataFrame:
     """One row per document: doc_id, base and added, both arrays of (start, kind, end)
-    with kind the place in KINDS."""
+    with kind the place in KINDS, and whether its messages have settled."""
     kind = docs.schema[doc_id].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         item = pa.list_(pa.struct([("start", pa.int32()), ("kind", pa.int32()), ("end", pa.int32())]))
         for b in batches:
             out: list[list] = [[], []]
+            settled = []
             for t in b.column(1).to_pylist():
                 base = base_spans(t)
-                for column, spans in zip(out, (base, field.added_spans(t, base, certain)), strict=True):
+                added, still = field.added_spans(t, base, certain)
+                settled.append(still)
+                for column, spans in zip(out, (base, added), strict=True):
                     column.append([{"start": a, "kind": k, "end": z} for a, k, z in spans])
-            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, item) for c in out)], names=["doc_id", "base", "added"])
+            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, item) for c in out), pa.array(settled, pa.bool_())], names=["doc_id", "base", "added", "settled"])
 
     rows = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))
     span = "array<struct<start:int,kind:int,end:int>>"
-    return map_arrow(rows, run, f"doc_id {kind}, base {span}, added {span}")
+    return map_arrow(rows, run, f"doc_id {kind}, base {span}, added {span}, settled boolean")
 
 
 def span_digests(found: DataFrame) -> DataFrame:
@@ -392,4 +398,4 @@ def span_digests(found: DataFrame) -> DataFrame:
         return F.size(F.filter("base", lambda s: s["kind"] == k)).cast("long").alias(f"n_{KINDS[k]}")
 
     counts = [count(k) for k in range(len(KINDS))]
-    return found.select("doc_id", *counts, F.sha2(joined(F.col("base")), 256).alias("base_sha256"), joined(F.concat("base", "added")).alias("spans"))
+    return found.select("doc_id", *counts, F.sha2(joined(F.col("base")), 256).alias("base_sha256"), joined(F.concat("base", "added")).alias("spans"), "settled")

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import audit, bpe, chat, embeddings, exact_dedup, langid, mixing, neighbours, pii, simhash, tokenstore, trie, urlfilter
-from .common import new_path
+from .common import materialise, new_path
 
 RULES: list[urlfilter.Rule] = [
     ("block", "com", "/en/"),
@@ -76,7 +76,9 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_tokenstore(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = new_path(spark, "store")
     tokenstore.write_store(_read(spark, sf_dir, "documents"), path)
-    return tokenstore.read_digests(spark, path)
+    read = materialise(tokenstore.read_digests(spark, path), "store-read")
+    tokenstore.forget(spark, path)
+    return read
 
 
 def op11_audit(spark: SparkSession, sf_dir: str) -> DataFrame:

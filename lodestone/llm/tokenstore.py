@@ -11,6 +11,7 @@ Files under the store's folder, all Parquet:
                  crc32 of all ids as they were encoded
 ``manifest``     segment, n_docs, n_tokens, root: a Merkle root for each run of
                  SEGMENT ids, over the leaves (hashed recipes) of its documents
+``top``          one such row for the whole store, over the roots of all segments
 
 A rolling hash over the ids cuts each document's stream, so equal passages give
 equal chunks. A task drops the chunks it has already sent; after one shuffle by
@@ -42,6 +43,8 @@ END_ID = 1
 #: Chunks have 2 ** CHUNK_BITS ids on average.
 CHUNK_BITS = 9
 SEGMENT = 1 << 18
+#: Segments, or nodes over them, that a node of the tree over them joins.
+FAN = 4096
 #: Words that a worker remembers.
 WORDS = 600_000
 #: Digests that a task remembers as sent.
@@ -131,17 +134,32 @@ def merkle_root(leaves: list[str]) -> str:
     return level[0].hex() if level else sha256(b"").hexdigest()
 
 
+def _join_leaves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array([merkle_root(x) for x in b.column(3).to_pylist()], pa.string())], names=["segment", "n_docs", "n_tokens", "root"])
+
+
 def _roots(recipes: DataFrame) -> DataFrame:
     """Per run of SEGMENT ids: segment, n_docs, n_tokens, root. A document has an id
     at least, so a segment has SEGMENT leaves at most."""
     rows = recipes.select(F.expr(f"start div {SEGMENT}").alias("segment"), "start", "n_tokens", _leaf().alias("leaf"))
     rows = rows.groupBy("segment").agg(F.count("*").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"), F.array_sort(F.collect_list(F.struct("start", "leaf"))).alias("l")).select("segment", "n_docs", "n_tokens", F.col("l.leaf").alias("leaves"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array([merkle_root(x) for x in b.column(3).to_pylist()], pa.string())], names=["segment", "n_docs", "n_tokens", "root"])
+    return map_arrow(rows, _join_leaves, "segment bigint, n_docs bigint, n_tokens bigint, root string")
+
 
-    return map_arrow(rows, run, "segment bigint, n_docs bigint, n_tokens bigint, root string")
+def _top(segments: DataFrame) -> DataFrame:
+    """One row over all segments, FAN of them to a node, level by level: also what is missing at
+    the end of a store shows."""
+    most = segments.agg(F.max("segment")).first()[0]
+    level = segments
+    while most is not None:
+        leaf = F.sha2(F.concat_ws("|", "segment", "n_docs", "n_tokens", "root"), 256).alias("leaf")
+        rows = level.select(F.expr(f"segment div {FAN}").alias("at"), "segment", "n_docs", "n_tokens", leaf)
+        rows = rows.groupBy("at").agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"), F.array_sort(F.collect_list(F.struct("segment", "leaf"))).alias("l"))
+        level = map_arrow(rows.select(F.col("at").alias("segment"), "n_docs", "n_tokens", F.col("l.leaf").alias("leaves")), _join_leaves, "segment bigint, n_docs bigint, n_tokens bigint, root string")
+        most = most // FAN or None
+    return level
 
 
 def _table(path: str) -> str:
@@ -167,6 +185,12 @@ def write_store(docs: DataFrame, path: str, text: str = "text", doc_id: str = "d
     ordered = range_prefix(recipes, [F.col("doc_id"), F.col("digests")], "n_tokens", "start", name="recipes")
     ordered.select("doc_id", "start", "n_tokens", "crc", "digests", "lengths").write.option("compression", "zstd").parquet(f"{path}/recipes")
     _roots(spark.read.parquet(f"{path}/recipes")).write.parquet(f"{path}/manifest")
+    _top(spark.read.parquet(f"{path}/manifest")).write.parquet(f"{path}/top")
+
+
+def forget(spark: SparkSession, path: str) -> None:
+    """Take a store out of the session's catalog; its files stay, and are read as plain ones."""
+    spark.sql(f"DROP TABLE IF EXISTS {_table(path)}")
 
 
 def _chunks(spark: SparkSession, path: str) -> DataFrame:
@@ -184,6 +208,8 @@ def _recipes(spark: SparkSession, path: str) -> DataFrame:
     wrong = said.exceptAll(found).union(found.exceptAll(said)).limit(1).count()
     if wrong:
         raise ValueError(f"the manifest of {path} does not agree with its recipes")
+    if spark.read.parquet(f"{path}/top").collect() != _top(said).collect():
+        raise ValueError(f"the top root of {path} does not agree with its manifest")
     return recipes
 
 

@@ -4,9 +4,12 @@ import hashlib
 import itertools
 import random
 import re
+import threading
+import time
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -96,10 +99,10 @@ def test_pii_skip_links_add_what_a_pattern_misses(spark, docs):
     field = pii.fit_field(docs)
     text = "Call +1 (521) 555-6210 today. Later: (521) 555-6210 again, room 12."
     base = pii.base_spans(text)
-    added = field.added_spans(text, base)
+    added, _ = field.added_spans(text, base)
     assert [text[a:z] for a, k, z in added if k == 3 and "555-6210" in text[a:z]]
     assert not any("12" == text[a:z] for a, _, z in added)
-    assert field.added_spans("page 12 of 30 and 7 more", []) == []
+    assert field.added_spans("page 12 of 30 and 7 more", []) == ([], True)
 
 
 def test_pii_all_repeats_of_a_token_agree(spark, docs):
@@ -111,7 +114,7 @@ def test_pii_all_repeats_of_a_token_agree(spark, docs):
             text += f"Later: {later} again. " * repeats
             base = pii.base_spans(text)
             assert len(base) == 1
-            added = [text[a:z] for a, k, z in field.added_spans(text, base) if k == 3]
+            added = [text[a:z] for a, k, z in field.added_spans(text, base)[0] if k == 3]
             assert sum(later[-8:] in t for t in added) == repeats
 
 
@@ -152,7 +155,7 @@ def test_pii_similar_tokens_and_other_digits(spark, docs):
     field = pii.fit_field(docs)
 
     def added(text):
-        return [(text[a:z], pii.KINDS[k]) for a, k, z in field.added_spans(text, pii.base_spans(text))]
+        return [(text[a:z], pii.KINDS[k]) for a, k, z in field.added_spans(text, pii.base_spans(text))[0]]
 
     assert added("pay 4465758382889437 4465758382889437 now") == [("4465758382889437", "card")] * 2
     assert added("pay 4465758382889438 now") == []  # fails its check alone
@@ -179,6 +182,22 @@ def test_pii_odd(spark, odd, empty):
     assert pii.span_digests(pii.find_pii(empty, pii.fit_field(empty))).count() == 0
 
 
+def test_long_unbroken_texts_take_linear_time():
+    field = pii.Field()
+    for text in ("+1 521 555 6210 " + "x" * 1_000_000, "日本語のテキスト。" * 100_000 + "5", "a1" * 300_000, "+" * 300_000 + "1", "1.2." * 200_000):
+        began = time.time()
+        base = pii.base_spans(text)
+        field.added_spans(text, base)
+        pii.training_rows(text)
+        assert time.time() - began < 20
+
+
+def test_unsettled_messages_are_told():
+    g = pii.Graph("mail a.b@c.de and a.b@c.de or 12345 and 12345", [])
+    pii.Field().marginals(g)
+    assert g.settled
+
+
 # -- 2 ------------------------------------------------------------------------
 
 
@@ -397,6 +416,25 @@ def test_bk_tree_finds_all_within_the_radius():
 # -- 5 ------------------------------------------------------------------------
 
 
+def test_pairs_that_no_window_reaches_by_default(spark):
+    """So many vectors that the passes compare a part of all pairs only."""
+    rng = np.random.default_rng(21)
+    n, dim = 40_000, 16
+    x = rng.normal(size=(n, dim))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    for k in range(0, 2000, 2):  # right above the threshold
+        side = rng.normal(size=dim)
+        side -= (side @ x[k]) * x[k]
+        x[k + 1] = 0.905 * x[k] + (1 - 0.905**2) ** 0.5 * side / np.linalg.norm(side)
+    x = x.astype(np.float32)
+    assert embeddings.passes_for(n) * embeddings.WINDOW * n < n * (n - 1) // 2
+    unit = x.astype(float) / np.linalg.norm(x.astype(float), axis=1)[:, None]
+    true = sum(np.count_nonzero(unit[a : a + 2000] @ unit.T >= 0.9) for a in range(0, n, 2000)) - n
+    df = spark.createDataFrame(pa.table({"vec_id": np.arange(n), "embedding": list(x)}))
+    got = embeddings.near_vectors(df).agg(F.sum("n_links")).first()[0]
+    assert 0.95 * true <= got <= true
+
+
 def check_vectors(spark, vectors, **options):
     df = spark.createDataFrame([(n, v, 0) for n, v in vectors], "vec_id bigint, embedding array<float>, label int")
     got = {r.vec_id: r for r in embeddings.near_vectors(df, **options).collect()}
@@ -803,3 +841,57 @@ def test_pipeline_rows_without_an_id_or_with_the_same(spark):
     copies = [r.text for r in stages["mix_sources"](spark, pair, SF).collect()]
     assert len(copies) <= 4 and set(copies) == {texts[2], texts[3]}
     assert {r.text for r in stages["mix_sources"](spark, spark.createDataFrame(given[:2], df.schema), SF).collect()} == {texts[0], texts[1]}
+
+
+def test_store_cut_at_its_end(spark, odd):
+    """Whole last segments gone from recipes and manifest alike: the top root tells."""
+    path = new_path(spark, "test-store")
+    tokenstore.write_store(odd, path)
+    last = spark.read.parquet(f"{path}/manifest").agg(F.max("segment")).first()[0]
+    rows = spark.read.parquet(f"{path}/manifest").withColumn("segment", F.col("segment") + last + 1).unionByName(spark.read.parquet(f"{path}/manifest"))
+    assert tokenstore._top(rows).collect() != tokenstore._top(spark.read.parquet(f"{path}/manifest")).collect()
+    for name in ("recipes", "manifest"):
+        table = spark.read.parquet(f"{path}/{name}")
+        kept = table.filter(F.lit(False)).toArrow()
+        spark.createDataFrame(kept, table.schema).write.mode("overwrite").parquet(f"{path}/{name}")
+    with pytest.raises(ValueError, match="top root"):
+        tokenstore.read_digests(spark, path)
+    tokenstore.forget(spark, path)
+    tokenstore.forget(spark, path)
+
+
+def test_training_takes_bounded_windows(spark):
+    """A training document of many megabytes gives as many windows as others at most."""
+    rows = [(n, "eins zwei drei vier " * 20 if n % 2 else "one two three four " * 20, "de" if n % 2 else "en") for n in range(60) if zlib.crc32(str(n).encode()) % 3 != 1]
+    rows += [(n, "one two three " * 1_000_000, "en") for n in range(60, 70) if zlib.crc32(str(n).encode()) % 3 != 1][:1]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    kept = []
+    train = langid.Network.train
+    langid.Network.train = lambda self, x, y, **k: kept.append(len(x)) or train(self, x, y, **k)
+    try:
+        net = langid.train(df)
+    finally:
+        langid.Network.train = train
+    assert kept[0] <= langid.DOC_WINDOWS + 2 * 60
+    got = {r.doc_id: r.lang_pred for r in langid.predict(df.filter("doc_id < 60").select("doc_id", "text"), net).collect()}
+    assert all(v == ("de" if k % 2 else "en") for k, v in got.items())
+
+
+def test_runs_delete_their_own_tables_only(spark):
+    """Two runs in two threads, one of them with empty results."""
+    from lodestone.llm.common import drop_but_last, materialise, new_path, recorded
+
+    def run(rows, out):
+        with recorded() as made:
+            df = spark.range(rows)
+            for _ in range(3):
+                df = materialise(materialise(df, "step"), "stage")
+                drop_but_last(spark, made)
+                assert len(made) == 1
+            out.append(df)
+
+    kept, outs = materialise(spark.range(5), "kept"), [[], []]
+    threads = [threading.Thread(target=run, args=(n, outs[k])) for k, n in enumerate((100, 0))]
+    [t.start() for t in threads]
+    [t.join() for t in threads]
+    assert [o[0].count() for o in outs] == [100, 0] and kept.count() == 5 and new_path(spark, "x")
