@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.llm import bpe, exact_dedup, langid, mixing, simhash
-from lodestone.llm.common import drop_made, free_name, made, materialise
+from lodestone.llm.common import drop_but_last, free_name, materialise, recorded
 
 #: Least mean probability of the predicted language; below it, and without any
 #: letter, a document has no language that the corpus knows.
@@ -83,8 +83,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs, mark = spark.read.parquet(f"{sf_dir}/documents.parquet"), made()
-    for name, stage in STAGES:
-        docs = materialise(stage(spark, docs, sf_dir), f"stage-{name}")
-        drop_made(spark, mark, docs)  # the stage before and this one's tables on the way
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    with recorded() as made:
+        for name, stage in STAGES:
+            docs = materialise(stage(spark, docs, sf_dir), f"stage-{name}")
+            drop_but_last(spark, made)  # the stage before and this one's tables on the way
     return docs
