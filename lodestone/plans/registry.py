@@ -33,7 +33,7 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    from . import queries_analysis, queries_core, queries_more, queries_report, queries_sources  # noqa: F401
+    from . import queries_analysis, queries_core, queries_debug, queries_more, queries_report, queries_sources  # noqa: F401
 
     return {name: (lambda spark, sf_dir, fn=fn: fn(Catalog(spark, sf_dir))) for name, fn in _QUERIES.items()}
 
