@@ -1,18 +1,35 @@
 """Alignment of compiled functions with source functions by shared line evidence.
 
 An inverted index instead of a nested loop: source spans are expanded to lines and
-mapped to their origins once, then joined with the evidence on (file, line). The
-distinct origins of a span are taken before the join, so header lines that many units
-include don't multiply rows.
+mapped to their origins once, then joined with the evidence on (file, line).
+
+Spans with the same origins are one class, and so are functions with the same evidence: a
+header's function that many units include is one row in the join, however many copies of it
+meet. Pairs are formed of classes; candidates, near ties and repeated contexts are counted by
+class sizes, so all counts are those of all pairs. Lines that more than ``split`` function
+classes share are dealt to several tasks.
 """
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.policy import PROFILE, Profile
 
+SPLIT = 100_000
+
+
+class Classes(NamedTuple):
+    """functions: function_id, fkey; spans: ts_id, ckey, tu, start_byte, span, context_hash; pairs:
+    fkey, ckey, overlap, total, of all classes that share a line."""
+
+    functions: DataFrame
+    spans: DataFrame
+    pairs: DataFrame
+
 
 def evidence(line_rows: DataFrame) -> DataFrame:
     """The multiset of (file, line) per function."""
@@ -25,32 +42,56 @@ def span_origins(spans: DataFrame, origins: DataFrame) -> DataFrame:
     return lines.join(origins, ["tu", "i_line"]).select("ts_id", "file", "line").distinct()
 
 
-def candidates(ev: DataFrame, spans: DataFrame, origins: DataFrame) -> DataFrame:
-    """(function_id, ts_id, overlap, total, ratio, ...) of all pairs that share a line."""
-    totals = ev.groupBy("function_id").agg(F.sum("cnt").alias("total"))
-    shared = ev.join(span_origins(spans, origins), ["file", "line"]).groupBy("function_id", "ts_id").agg(F.sum("cnt").alias("overlap"))
+def _classed(rows: DataFrame, of: str, key: str, columns: list[str]) -> tuple[DataFrame, DataFrame]:
+    """(of, key): the class of each one, by the digest of all its rows; and (key, *columns): a
+    class's rows. One function's or span's rows meet in a list, never those of several."""
+    lists = rows.groupBy(of).agg(F.sort_array(F.collect_list(F.struct(*columns))).alias("_rows")).withColumn(key, F.sha2(F.to_json("_rows"), 256))
+    return lists.select(of, key), lists.groupBy(key).agg(F.first("_rows").alias("_rows")).select(key, F.inline("_rows"))
+
+
+def classes(ev: DataFrame, spans: DataFrame, origins: DataFrame, split: int = SPLIT) -> Classes:
+    functions, lines = _classed(ev.filter("cnt > 0"), "function_id", "fkey", ["file", "line", "cnt"])
+    members, places = _classed(span_origins(spans, origins), "ts_id", "ckey", ["file", "line"])
+    at = ["file", "line"]
+    hot = lines.groupBy(*at).agg(F.count("*").alias("_n")).filter(F.col("_n") > split).select(*at, F.ceil(F.col("_n") / split).cast("int").alias("_pieces"))
+    left = lines.join(hot, at, "left").withColumn("_piece", F.coalesce(F.pmod(F.xxhash64("fkey"), F.col("_pieces")).cast("int"), F.lit(0))).drop("_pieces")
+    right = places.join(hot, at, "left").withColumn("_piece", F.explode(F.sequence(F.lit(0), F.coalesce("_pieces", F.lit(1)) - 1))).drop("_pieces")
+    shared = left.join(right, [*at, "_piece"]).groupBy("fkey", "ckey").agg(F.sum("cnt").alias("overlap"))
+    totals = lines.groupBy("fkey").agg(F.sum("cnt").alias("total"))
     meta = spans.select("ts_id", "tu", "start_byte", (F.col("end_byte") - F.col("start_byte")).alias("span"), "context_hash")
-    return shared.filter("overlap > 0").join(totals, "function_id").join(meta, "ts_id").withColumn("ratio", F.bround(F.col("overlap") / F.col("total"), 6)).withColumn("gap", F.col("total") - F.col("overlap"))
+    return Classes(functions, members.join(meta, "ts_id"), shared.join(totals, "fkey").withColumn("ratio", F.bround(F.col("overlap") / F.col("total"), 6)).withColumn("gap", F.col("total") - F.col("overlap")))
+
 
+def candidates(c: Classes) -> DataFrame:
+    """(function_id, ts_id, overlap, total, ratio, ...) of all pairs that share a line: as many
+    rows as there are pairs. What follows works on classes."""
+    return c.pairs.join(c.functions, "fkey").join(c.spans, "ckey").drop("fkey", "ckey")
 
-def rank(cands: DataFrame, p: Profile = PROFILE) -> DataFrame:
+
+def rank(c: Classes, p: Profile = PROFILE) -> DataFrame:
     """Best candidate per function: higher ratio, more evidence, shorter span, then unit
     and place. With n_candidates, n_ties (within the tolerance of the best ratio) and
     whether a tie repeats the best one's context in another unit."""
-    w = Window.partitionBy("function_id").orderBy(F.desc("ratio"), F.desc("overlap"), "span", "tu", "start_byte", "ts_id")
+    member = ["span", "tu", "start_byte", "ts_id", "context_hash"]
+    sizes = c.spans.groupBy("ckey").agg(F.count("*").alias("_n"), F.min(F.struct(*member)).alias("m"))
+    copies = c.spans.groupBy(F.col("ckey").alias("_ckey"), F.col("context_hash").alias("_hash")).agg(F.min("tu").alias("_low"), F.max("tu").alias("_high"))
+    w = Window.partitionBy("fkey").orderBy(F.desc("ratio"), F.desc("overlap"), *[F.col(f"m.{x}") for x in member[:4]])
     whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    ranked = cands.withColumns({"rn": F.row_number().over(w), "best": F.first("ratio").over(whole), "best_hash": F.first("context_hash").over(whole), "best_tu": F.first("tu").over(whole)})
-    tie = (F.col("rn") > 1) & (F.abs(F.col("ratio") - F.col("best")) <= p.tie_epsilon)
-    copy = tie & (F.col("context_hash") == F.col("best_hash")) & (F.col("tu") != F.col("best_tu"))
-    return ranked.groupBy("function_id").agg(
-        F.min_by(F.struct("ts_id", "tu", "overlap", "ratio", "gap"), "rn").alias("b"), F.count("*").alias("n_candidates"), F.count_if(tie).alias("n_ties"), F.coalesce(F.bool_or(copy), F.lit(False)).alias("replicated")
-    )
+    ranked = c.pairs.join(sizes, "ckey").withColumns({"rn": F.row_number().over(w), "best": F.first("ratio").over(whole), "bm": F.first("m").over(whole)})
+    met = ranked.join(copies, (F.col("ckey") == F.col("_ckey")) & (F.col("bm.context_hash") == F.col("_hash")), "left")
+    tie = F.abs(F.col("ratio") - F.col("best")) <= p.tie_epsilon
+    copy = tie & ((F.col("_low") != F.col("bm.tu")) | (F.col("_high") != F.col("bm.tu")))
+    tops = met.groupBy("fkey").agg(
+        F.min_by(F.struct(F.col("m.ts_id").alias("ts_id"), F.col("m.tu").alias("tu"), "overlap", "ratio", "gap"), "rn").alias("b"), F.sum("_n").alias("n_candidates"),
+        (F.sum(F.when(tie, F.col("_n")).otherwise(0)) - 1).alias("n_ties"), F.coalesce(F.bool_or(copy), F.lit(False)).alias("replicated"),
+    )
+    return c.functions.join(tops, "fkey").drop("fkey")
 
 
 def align(targets: DataFrame, ev: DataFrame, spans: DataFrame, origins: DataFrame, p: Profile = PROFILE) -> DataFrame:
     """Verdict and reasons for each target (function_id, multi_file); one row each."""
     totals = ev.groupBy("function_id").agg(F.sum("cnt").alias("_total"))
-    best = rank(candidates(ev, spans, origins), p)
+    best = rank(classes(ev, spans, origins), p)
     rows = targets.join(totals, "function_id", "left").join(best, "function_id", "left")
     found = F.coalesce(F.col("b.overlap") >= p.min_overlap_lines, F.lit(False))
     low = found & (F.col("b.ratio") < p.overlap_threshold)

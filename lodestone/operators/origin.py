@@ -1,12 +1,14 @@
 """Where lines of preprocessed units come from: the last line marker carried forward.
 
-A window over each unit; units are independent, so only lines of one unit meet."""
+A unit's lines are run over in stretches, so a unit of any length spreads over tasks."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import scan
+
 # A line marker, and origins that are no source of their own.
 MARKER = r'^#(?:\s*line)?\s+(\d+)\s+"((?:[^"\\]|\\.)*)"(?:\s+([\d\s]*))?$'
 EXCLUDED_PREFIXES = ("/usr/include", "/usr/lib/gcc", "<built-in>", "<command-line>")
@@ -27,8 +29,8 @@ def origin_map(lines: DataFrame, excluded: tuple[str, ...] = EXCLUDED_PREFIXES)
     for prefix in excluded:
         skip = skip | F.startswith(path, F.lit(prefix))
     mark = F.when(is_marker, F.struct(F.col("i_line").alias("at"), F.regexp_extract(raw, MARKER, 1).cast("bigint").alias("n"), path.alias("path"), skip.alias("skip")))
-    w = Window.partitionBy("tu").orderBy("i_line").rowsBetween(Window.unboundedPreceding, 0)
-    carried = lines.withColumn("_marker", is_marker).withColumn("m", F.last(mark, ignorenulls=True).over(w))
+    table = scan.dealt(lines.select("tu", "i_line", is_marker.alias("_marker"), mark.alias("_mark")), ["tu"], ["i_line"])
+    carried = scan.running(table, ["tu"], ["i_line"], {"m": ("last", F.col("_mark"))})
     return carried.filter(~F.col("_marker") & F.col("m").isNotNull() & ~F.col("m.skip")).select("tu", "i_line", F.col("m.path").alias("file"), (F.col("m.n") + F.col("i_line") - F.col("m.at") - 1).alias("line"))
 
 

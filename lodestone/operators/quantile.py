@@ -2,16 +2,27 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import scan
+
 
 def _counted(rows: DataFrame, by: list[str], value: str) -> DataFrame:
     """(by, value, _upto, _n): distinct values with how many rows are at most theirs, and the
-    group's rows. Counting comes first, so the window sees distinct values only."""
-    counts = rows.groupBy(*by, value).agg(F.count("*").alias("_c"))
-    w = Window.partitionBy(*by)
-    return counts.select(*by, value, F.sum("_c").over(w.orderBy(value).rowsBetween(Window.unboundedPreceding, 0)).alias("_upto"), F.sum("_c").over(w).alias("_n"))
+    group's rows. Rows are counted by value first; counts are summed by stretches, so a group
+    may have any number of values."""
+    counts = scan.dealt(rows.groupBy(*by, value).agg(F.count("*").alias("_c")), by, [value])
+    upto = scan.running(counts, by, [value], {"_upto": ("sum", F.col("_c"))})
+    return group_totals(upto, counts, by, F.sum("_c").alias("_n")).select(*by, value, "_upto", "_n")
+
+
+def group_totals(rows: DataFrame, of: DataFrame, by: list[str], *totals: Column) -> DataFrame:
+    """``rows`` with totals of their groups; null is a group of its own."""
+    names = [f"_key_{k}" for k in by]
+    sums = of.groupBy(*[F.col(k).alias(n) for k, n in zip(by, names, strict=True)]).agg(*totals)
+    same = [F.col(k).eqNullSafe(F.col(n)) for k, n in zip(by, names, strict=True)]
+    return rows.join(sums, same).drop(*names)
 
 
 def nearest_rank(rows: DataFrame, by: list[str], value: str, qs: list[float]) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import quantile, scan
+
 OPTS = ["O0", "O1", "O2", "O3"]
 TIER_RANK = {"GOLD": 3, "SILVER": 2, "BRONZE": 1}
 ABSENT = "—"
@@ -117,9 +119,11 @@ def signatures(rows: DataFrame, key: str, opts: list[str] = OPTS) -> DataFrame:
 def signature_coverage(sigs: DataFrame, top: int) -> DataFrame:
     """The most frequent signatures with their cumulative share in percent."""
     counts = sigs.groupBy("signature").agg(F.count("*").alias("n"))
-    w = Window.orderBy(F.desc("n"), "signature")  # one row per signature
+    first = counts.orderBy(F.desc("n"), "signature").limit(top)
+    w = Window.orderBy(F.desc("n"), "signature")  # over the first ones only
     run = F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, 0))
-    return counts.withColumns({"place": F.row_number().over(w), "coverage": F.lit(100.0) * run / F.sum("n").over(Window.orderBy(F.lit(1)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))}).filter(F.col("place") <= top)
+    total = F.broadcast(counts.agg(F.sum("n").alias("_all")))  # one row
+    return first.withColumns({"place": F.row_number().over(w), "_run": run}).crossJoin(total).withColumn("coverage", F.lit(100.0) * F.col("_run") / F.col("_all")).drop("_run", "_all")
 
 
 def transition_types(rows: DataFrame, key: str, value: str) -> DataFrame:
@@ -151,13 +155,11 @@ def consensus(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
 
 
 def ecdf(rows: DataFrame, by: list[str], value: str, tie: str) -> DataFrame:
-    """Add i / n, ties of a value in the order of ``tie``. Rows before a value come from
-    counts of the distinct values; only rows of one value meet in a window."""
-    counts = rows.groupBy(*by, value).agg(F.count("*").alias("_c"))
-    w = Window.partitionBy(*by)
-    before = counts.select(*by, value, (F.sum("_c").over(w.orderBy(value).rowsBetween(Window.unboundedPreceding, 0)) - F.col("_c")).alias("_before"), F.sum("_c").over(w).alias("_n"))
-    own = F.row_number().over(Window.partitionBy(*by, value).orderBy(tie))
-    return rows.join(before, [*by, value]).withColumn("ecdf", (F.col("_before") + own) / F.col("_n")).drop("_before", "_n")
+    """Add i / n, ties of a value in the order of ``tie``; a group is run over in stretches."""
+    order = [value, tie]
+    table = scan.dealt(rows, by, order)
+    placed = scan.running(table, by, order, {"_i": ("sum", F.lit(1))})
+    return quantile.group_totals(placed, table, by, F.count("*").alias("_n")).withColumn("ecdf", F.col("_i") / F.col("_n")).drop("_i", "_n", scan.PART)
 
 
 def direction_counts(wide: DataFrame, a: str, b: str, eps: float = 1e-12) -> DataFrame:

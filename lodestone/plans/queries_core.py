@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import bins, decompiled, names, policy, text
-from ..operators import address, align, lookups, origin, scoring
+from ..operators import address, align, lookups, origin, scan, scoring
 from .registry import query
 from .views import Catalog
 
@@ -328,12 +328,28 @@ def A01_evidence(v: Catalog) -> DataFrame:
 
 @query(f"SELECT * FROM (WITH {_CANDS} SELECT function_id, ts_id, overlap, total, ratio, gap FROM cands) AS q")
 def J01_line_overlap(v: Catalog) -> DataFrame:
-    return align.candidates(align.evidence(v("ev_rows")), v("ts"), v("org")).select("function_id", "ts_id", "overlap", "total", "ratio", "gap")
+    return align.candidates(align.classes(align.evidence(v("ev_rows")), v("ts"), v("org"))).select("function_id", "ts_id", "overlap", "total", "ratio", "gap")
 
 
 @query(f"SELECT * FROM (WITH {_RANKED} SELECT function_id, best_ts_id, CAST(n AS BIGINT) AS n_candidates, CAST(ties AS BIGINT) AS n_ties, copied AS replicated FROM tops) AS q")
 def W01_rank_candidates(v: Catalog) -> DataFrame:
-    r = align.rank(align.candidates(align.evidence(v("ev_rows")), v("ts"), v("org")))
+    r = align.rank(align.classes(align.evidence(v("ev_rows")), v("ts"), v("org")))
+    return r.select("function_id", F.col("b.ts_id").alias("best_ts_id"), "n_candidates", "n_ties", "replicated")
+
+
+def _hot(sql: str) -> str:
+    """The same on the skewed projections."""
+    for plain in ("FROM ev_rows", "FROM ts", "JOIN org", "JOIN ts", "FROM ranges", "JOIN bodies"):
+        verb, name = plain.split()
+        sql = sql.replace(f"{plain} r ", f"{verb} {name}_hot r ").replace(f"{plain} b ", f"{verb} {name}_hot b ").replace(f"{plain} GROUP", "FROM ev_hot GROUP")
+        sql = sql.replace(f"{plain} ON", f"{verb} {name}_hot AS {name} ON").replace(f"{plain} JOIN", f"{verb} {name}_hot AS {name} JOIN")
+    return sql
+
+
+@query(_hot(f"SELECT * FROM (WITH {_RANKED} SELECT function_id, best_ts_id, CAST(n AS BIGINT) AS n_candidates, CAST(ties AS BIGINT) AS n_ties, copied AS replicated FROM tops) AS q"))
+def W01_hot_line(v: Catalog) -> DataFrame:
+    """Every function has a line of a header that every unit includes."""
+    r = align.rank(align.classes(align.evidence(v("ev_hot")), v("ts_hot"), v("org_hot")))
     return r.select("function_id", F.col("b.ts_id").alias("best_ts_id"), "n_candidates", "n_ties", "replicated")
 
 
@@ -406,6 +422,18 @@ def J03_address_overlap(v: Catalog) -> DataFrame:
     return address.overlaps(v("ranges"), v("bodies"))
 
 
+@query(_hot(f"SELECT * FROM (WITH {_OV} SELECT * FROM ov) AS q"))
+def J03_one_binary(v: Catalog) -> DataFrame:
+    """All ranges in one binary, from one byte to 2^40."""
+    return address.overlaps(v("ranges_hot"), v("bodies_hot"))
+
+
+@query(_hot(f"SELECT body_id, count(*) AS n FROM (WITH {_OV} SELECT * FROM ov) AS q GROUP BY body_id"))
+def A18_one_binary(v: Catalog) -> DataFrame:
+    shared = address.many_to_one(address.overlaps(v("ranges_hot"), v("bodies_hot")))
+    return shared.select("body_id", F.col("n_sharing").alias("n")).distinct()
+
+
 _BEST = f"""WITH {_OV}, rk AS (SELECT ov.function_id, ov.body_id, bytes, is_thunk, is_external, first_value(bytes) OVER w AS best, row_number() OVER w AS rn FROM ov JOIN bodies b ON b.body_id = ov.body_id JOIN fn_pc f ON f.function_id = ov.function_id
     WINDOW w AS (PARTITION BY ov.function_id ORDER BY bytes DESC, abs(entry - low_pc), is_thunk, is_external, ov.body_id)),
   tp AS (SELECT function_id, max(CASE WHEN rn = 1 THEN body_id END) AS body_id, max(bytes) AS bytes, sum(CASE WHEN rn > 1 AND NOT is_thunk AND NOT is_external AND best - bytes <= 0.05 * best THEN 1 ELSE 0 END) AS ties FROM rk GROUP BY function_id),
@@ -436,15 +464,21 @@ def J19_points_in_ranges(v: Catalog) -> DataFrame:
     return address.points_in_ranges(points, v("ranges").withColumnRenamed("bin", "unit")).select("function_id", "addr")
 
 
-@query("""SELECT function_id, string_agg(concat(lo, '-', hi), ',' ORDER BY lo) AS merged FROM (SELECT function_id, g, min(lo) AS lo, max(hi) AS hi FROM (
-    SELECT *, sum(fresh) OVER (PARTITION BY function_id ORDER BY lo, hi ROWS UNBOUNDED PRECEDING) AS g FROM (
-      SELECT *, CASE WHEN lo <= max(hi) OVER (PARTITION BY function_id ORDER BY lo, hi ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS fresh FROM (
-        SELECT CAST(l_orderkey AS BIGINT) AS function_id, CAST(l_partkey % 90 AS BIGINT) AS lo, CAST(l_partkey % 90 + l_quantity % 20 AS BIGINT) AS hi FROM lineitem WHERE CAST(l_quantity AS BIGINT) % 20 > 0) AS a) AS b) AS c GROUP BY function_id, g) AS d GROUP BY function_id""")
+_MERGED = """SELECT {of}, min(lo) AS lo, max(hi) AS hi FROM (SELECT *, sum(fresh) OVER (PARTITION BY {of} ORDER BY lo, hi ROWS UNBOUNDED PRECEDING) AS g FROM (
+  SELECT *, CASE WHEN lo <= max(hi) OVER (PARTITION BY {of} ORDER BY lo, hi ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS fresh FROM ({rows}) AS a) AS b) AS c GROUP BY {of}, g"""
+
+
+@query(_MERGED.format(of="function_id", rows="SELECT CAST(l_orderkey AS BIGINT) AS function_id, CAST(l_partkey % 90 AS BIGINT) AS lo, CAST(l_partkey % 90 + l_quantity % 20 AS BIGINT) AS hi FROM lineitem WHERE CAST(l_quantity AS BIGINT) % 20 > 0"))
 def A04_merge_ranges(v: Catalog) -> DataFrame:
-    q = F.col("l_quantity").cast("bigint")
-    r = v.table("lineitem").select(F.col("l_orderkey").alias("function_id"), F.struct((F.col("l_partkey") % 90).cast("bigint").alias("lo"), (F.col("l_partkey") % 90 + q % 20).cast("bigint").alias("hi")).alias("r"))
-    merged = r.groupBy("function_id").agg(decompiled.merge_ranges(F.collect_list("r")).alias("m")).filter(F.size("m") > 0)
-    return merged.select("function_id", F.array_join(F.transform("m", lambda x: F.concat_ws("-", x["lo"].cast("string"), x["hi"].cast("string"))), ",").alias("merged"))
+    lo = (F.col("l_partkey") % 90).cast("bigint")
+    return scan.merge_ranges(v.table("lineitem").select(F.col("l_orderkey").alias("function_id"), lo.alias("lo"), (lo + F.col("l_quantity").cast("bigint") % 20).alias("hi")), ["function_id"])
+
+
+@query(_MERGED.format(of="year", rows="SELECT 1 AS year, CAST(l_orderkey * 64 AS BIGINT) AS lo, CAST(l_orderkey * 64 + l_quantity AS BIGINT) AS hi FROM lineitem"))
+def A04_one_group(v: Catalog) -> DataFrame:
+    """All rows are ranges of one group."""
+    lo = (F.col("l_orderkey") * 64).cast("bigint")
+    return scan.merge_ranges(v.table("lineitem").select(F.lit(1).alias("year"), lo.alias("lo"), (lo + F.col("l_quantity").cast("bigint")).alias("hi")), ["year"])
 
 
 # -- lookups ---------------------------------------------------------------------------

@@ -47,6 +47,20 @@ VIEWS: dict[str, str] = {
         SELECT concat('b', CAST(p_partkey AS STRING)) AS body_id, CAST(floor(p_partkey / 500) AS BIGINT) AS bin, CAST(p_partkey % 500 * 16 AS BIGINT) AS start,
           CAST(p_partkey % 500 * 16 + CASE WHEN p_partkey % 7 = 0 THEN 4 ELSE 16 + p_size % 4 END AS BIGINT) AS "end", CAST(p_partkey % 500 * 16 AS BIGINT) AS entry, p_size % 19 = 0 AS is_thunk, p_size % 23 = 0 AS is_external
         FROM {part}""",
+    # skewed ones: a header line that all functions have and every unit includes; one binary with ranges of all lengths
+    "ev_hot": "SELECT * FROM ev_rows UNION ALL SELECT CAST(o_orderkey AS BIGINT) AS function_id, CAST(-1 AS BIGINT) AS file, CAST(7 AS BIGINT) AS line, CAST(o_orderkey % 60 + 1 AS BIGINT) AS cnt FROM {orders}",
+    "ts_hot": """
+        SELECT * FROM ts UNION ALL SELECT DISTINCT concat('h', CAST(CAST(floor(p_partkey / 25) AS BIGINT) AS STRING)) AS ts_id, CAST(floor(p_partkey / 25) AS BIGINT) AS tu, CAST(900 AS BIGINT) AS start_line, CAST(900 AS BIGINT) AS end_line, CAST(9000 AS BIGINT) AS start_byte,
+          CAST(9010 AS BIGINT) AS end_byte, concat('k', CAST(CAST(floor(p_partkey / 100) AS BIGINT) AS STRING)) AS context_hash FROM {part}""",
+    "org_hot": "SELECT * FROM org UNION ALL SELECT DISTINCT CAST(floor(p_partkey / 25) AS BIGINT) AS tu, CAST(900 AS BIGINT) AS i_line, CAST(-1 AS BIGINT) AS file, CAST(7 AS BIGINT) AS line FROM {part}",
+    "ranges_hot": """
+        SELECT CAST(l_orderkey AS BIGINT) AS function_id, CAST(0 AS BIGINT) AS bin, CAST(l_partkey * 64 + l_linenumber * 3 AS BIGINT) AS lo, CAST(l_partkey * 64 + l_linenumber * 3 AS BIGINT) +
+          CASE WHEN l_orderkey % 4000 = 1 AND l_linenumber = 1 THEN CAST(1099511627776 AS BIGINT) WHEN l_linenumber = 2 THEN CAST(1000 AS BIGINT) WHEN l_linenumber = 3 THEN CAST(1 AS BIGINT) WHEN l_linenumber = 4 THEN CAST(8 AS BIGINT) ELSE CAST(l_quantity AS BIGINT) END AS hi
+        FROM {lineitem}""",
+    "bodies_hot": """
+        SELECT concat('b', CAST(p_partkey AS STRING)) AS body_id, CAST(0 AS BIGINT) AS bin, CAST(p_partkey * 64 AS BIGINT) AS start, CAST(p_partkey * 64 + CASE WHEN p_partkey % 97 = 0 THEN 65536 WHEN p_partkey % 7 = 0 THEN 4 ELSE 50 + p_size % 14 END AS BIGINT) AS "end",
+          CAST(p_partkey * 64 AS BIGINT) AS entry, p_size % 19 = 0 AS is_thunk, p_size % 23 = 0 AS is_external
+        FROM {part}""",
     "fn_pc": "SELECT f.function_id, f.test_case, f.opt, coalesce(r.lo, 0) AS low_pc FROM fn f LEFT JOIN (SELECT function_id, min(lo) AS lo FROM ranges GROUP BY function_id) r ON f.function_id = r.function_id",
     # functions after both joins
     "joined_raw": """

@@ -187,8 +187,8 @@ def test_overlaps_against_brute_force(spark):
                 want[f, i] = want.get((f, i), 0) + n
     left = spark.createDataFrame(ranges, "function_id int, bin int, lo bigint, hi bigint")
     right = spark.createDataFrame(bodies, "body_id string, bin int, start bigint, end bigint, entry bigint, is_thunk boolean, is_external boolean")
-    for bucket in (16, 4096):
-        assert {(r.function_id, r.body_id): r.bytes for r in address.overlaps(left, right, bucket).collect()} == want
+    for split in (1, 16, address.SPLIT):
+        assert {(r.function_id, r.body_id): r.bytes for r in address.overlaps(left, right, split).collect()} == want
 
 
 def test_best_body_prefers_code_and_counts_relative_ties(spark):
