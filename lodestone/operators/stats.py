@@ -1,6 +1,5 @@
 """Statistics over scores. Ranks and sums are DataFrame work over counts of distinct
-values; only tail probabilities, of one row per group, and resampling of those counts run
-in numpy.
+values; only tail probabilities, of one row per group, run in Python.
 
 scipy isn't needed: tails come from the error function and the incomplete gamma
 function. Signed-rank and rank-sum p-values are normal approximations with tie
@@ -17,9 +16,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-SEED = 42
-RESAMPLES = 10_000
-
 
 def average_ranks(rows: DataFrame, by: list[str], value: str, out: str = "rank") -> DataFrame:
     """Add the rank within the group, ties sharing their mean rank. For groups of rows that
@@ -136,37 +132,6 @@ def two_sided_p(z: pd.Series) -> pd.Series:
     return pd.Series([2 * normal_tail(abs(float(v))) for v in z], dtype=float)
 
 
-def bootstrap_ci(rows: DataFrame, by: list[str], value: str, statistic: str = "mean", resamples: int = RESAMPLES, level: float = 0.95, seed: int = SEED) -> DataFrame:
-    """Percentile interval of the mean or median; null below two values. Rows are counted by
-    value first: drawing rows with replacement is drawing the values' counts from a
-    multinomial, so a task holds a group's distinct values, not its rows."""
-    counts = rows.filter(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("_n"))
-    groups = rows.select(*by).distinct().join(counts, by, "left")
-    head = ", ".join(f"`{b}` {rows.schema[b].dataType.simpleString()}" for b in by)
-
-    def middle(drawn: np.ndarray, v: np.ndarray) -> np.ndarray:
-        n, upto = int(drawn[0].sum()), np.cumsum(drawn, axis=1)
-        low, high = ((upto <= at).sum(axis=1) for at in ((n - 1) // 2, n // 2))
-        return (v[low] + v[high]) / 2
-
-    def run(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.dropna(subset=[value]).sort_values(value)
-        v, k = frame[value].to_numpy(float), frame["_n"].to_numpy(np.int64)
-        n = int(k.sum())
-        f = (lambda drawn, v: drawn @ v / n) if statistic == "mean" else middle
-        estimate = float(f(k[None, :], v)[0]) if n else math.nan
-        low = high = math.nan
-        if n > 1:
-            rng, out = np.random.default_rng(seed), []
-            step = max(1, 4_000_000 // len(v))  # bounded memory
-            for a in range(0, resamples, step):
-                out.append(f(rng.multinomial(n, k / n, min(step, resamples - a)), v))
-            low, high = np.percentile(np.concatenate(out), [50 * (1 - level), 50 * (1 + level)]).tolist()
-        return pd.DataFrame([dict(zip(by, key, strict=True)) | {"n": n, "estimate": estimate, "low": low, "high": high}])
-
-    return groups.groupBy(*by).applyInPandas(run, f"{head}, n bigint, estimate double, low double, high double")
-
-
 def wilcoxon_test(rows: DataFrame, by: list[str], diff: str, greater: bool = True) -> DataFrame:
     """(by, n, w_plus, z, p): one-sided; z is null where ties make no spread."""
 

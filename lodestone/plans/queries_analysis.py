@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import parse
 from ..operators import matrix, report, stats, trajectory
+from ..operators.bootstrap import OFFSET, PRIME, RESAMPLES, SEED, STEP, bootstrap_ci, mix_sql
 from ..sources import sinks
 from .queries_report import _J, classified
 from .registry import query
@@ -181,9 +182,23 @@ def B11_cohens_d(v: Catalog) -> DataFrame:
     return diffs(v).groupBy("model").agg(F.round(stats.cohens_d(F.col("diff")), 9).alias("d"))
 
 
-@query()
+_DRAW = f"""r AS (SELECT range AS r, {mix_sql(f"(({SEED} + range * {STEP} + 1) % {PRIME})")} AS s FROM range({RESAMPLES})),
+  m AS (SELECT model, fkey, avg(f1) AS x FROM pred GROUP BY model, fkey), o AS (SELECT model, x, row_number() OVER (PARTITION BY model ORDER BY x) - 1 AS pos, count(*) OVER (PARTITION BY model) AS n FROM m),
+  t AS (SELECT model, n, {mix_sql(f"((pos + {OFFSET}) % {PRIME})")} AS t FROM o),
+  q AS (SELECT model, r, n, (s * (t | 1) + t) % {PRIME} AS z FROM t, r), d AS (SELECT model, r, ({mix_sql("z")} * n) >> 31 AS pos FROM q)"""
+
+
+@query(f"""SELECT * FROM (WITH {_DRAW}, w AS (SELECT d.model, d.r, avg(o.x) AS x FROM d JOIN o ON o.model = d.model AND o.pos = d.pos GROUP BY d.model, d.r),
+  e AS (SELECT model, count(*) AS n, avg(x) AS estimate FROM m GROUP BY model)
+  SELECT e.model, n, round(estimate, 9) AS estimate, round(quantile_cont(w.x, 0.025), 9) AS low, round(quantile_cont(w.x, 0.975), 9) AS high FROM e JOIN w ON e.model = w.model GROUP BY e.model, n, estimate) AS b""")
 def B01_bootstrap(v: Catalog) -> DataFrame:
-    return stats.bootstrap_ci(v("pred"), ["model"], "f1")
+    """Of each model's mean score over its functions."""
+    means = v("pred").groupBy("model", "fkey").agg(F.avg("f1").alias("x"))
+    return _rounded(bootstrap_ci(means, ["model"], "x"), "estimate", "low", "high")
+
+
+def _rounded(df: DataFrame, *columns: str) -> DataFrame:
+    return df.withColumns({c: F.round(c, 9) for c in columns})
 
 
 @query(f"""SELECT model, CAST(n AS BIGINT) AS n, w_plus, round((w_plus - n * (n + 1) / 4.0) / sqrt(n * (n + 1) * (2 * n + 1) / 24.0 - t / 48.0), 9) AS z FROM (

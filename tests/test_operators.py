@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lodestone.functions import bins, decompiled, names, parse, policy, text
-from lodestone.operators import address, align, invariants, lookups, matrix, origin, quantile, rates, report, scoring, stats, trajectory, transitions
+from lodestone.operators import address, align, bootstrap, invariants, lookups, matrix, origin, quantile, rates, report, scoring, stats, trajectory, transitions
 from lodestone.sources import readers, sinks
 
 
@@ -326,14 +326,46 @@ def test_group_tests(spark):
     assert stats.dunn_test(df, ["model"], "opt", "x").count() == 6
     x = np.array([r[3] for r in rows])
     for statistic in ("mean", "median"):
-        b = stats.bootstrap_ci(df, ["model"], "x", statistic, resamples=2000).first()
-        assert b.low < b.estimate < b.high and tuple(b) == tuple(stats.bootstrap_ci(df.repartition(3), ["model"], "x", statistic, resamples=2000).first())
+        b = bootstrap.bootstrap_ci(df, ["model"], "x", statistic, resamples=2000).first()
+        again = bootstrap.bootstrap_ci(df.repartition(3), ["model"], "x", statistic, resamples=2000).first()
+        assert b.low < b.estimate < b.high and tuple(b)[1:] == pytest.approx(tuple(again)[1:])
         drawn = getattr(np, statistic)(x[rng.integers(0, len(x), (2000, len(x)))], axis=1)
         assert b.estimate == pytest.approx(getattr(np, statistic)(x)) and (b.low, b.high) == pytest.approx(tuple(np.percentile(drawn, [2.5, 97.5])), abs=0.08)
-    lone = stats.bootstrap_ci(df.limit(1), ["model"], "x").first()
+        shifted = [bootstrap.positions(120, r, 0, 120) for r in range(2000)]
+        exact = np.percentile(getattr(np, statistic)(np.sort(x)[np.array(shifted)], axis=1), [2.5, 97.5])
+        assert (b.low, b.high) == pytest.approx(tuple(exact))
+    lone = bootstrap.bootstrap_ci(df.limit(1), ["model"], "x").first()
     assert lone.low is None and lone.n == 1
 
 
+def test_draws_are_even_and_apart():
+    """Chi-square of places, and no two resamples alike or shifted."""
+    n = 1000
+    drawn = np.array([bootstrap.positions(n, r, 0, n) for r in range(200)])
+    assert drawn.min() >= 0 and drawn.max() < n
+    counts = np.bincount(drawn.ravel(), minlength=n)
+    assert abs(((counts - 200) ** 2 / 200).sum() - n) < 6 * (2 * n) ** 0.5
+    for k in range(-3, 4):
+        assert np.mean(drawn[:-1] == np.roll(drawn[1:], k, axis=1)) < 0.003
+    assert np.array_equal(np.concatenate([bootstrap.positions(n, 7, 0, 300), bootstrap.positions(n, 7, 300, n)]), drawn[7])
+    distinct = [len(set(d)) / n for d in drawn]
+    assert np.mean(distinct) == pytest.approx(1 - np.exp(-1), abs=0.01)
+
+
+def test_bootstrap_of_many_blocks(spark, monkeypatch):
+    """A group cut into blocks and chunks gives what it gives whole."""
+    rng = np.random.default_rng(9)
+    df = spark.createDataFrame([("g", float(v)) for v in rng.normal(size=3000)] + [("h", 1.0), (None, 2.0), (None, 4.0), ("e", None)], "g string, x double")
+    whole = {r.g: tuple(r) for r in bootstrap.bootstrap_ci(df, ["g"], "x", resamples=200).collect()}
+    monkeypatch.setattr(bootstrap, "BLOCK", 256)
+    monkeypatch.setattr(bootstrap, "CHUNK", 60_000)
+    monkeypatch.setattr(bootstrap, "PIECE", 1000)
+    parts = {r.g: tuple(r) for r in bootstrap.bootstrap_ci(df.repartition(5), ["g"], "x", resamples=200).collect()}
+    assert all(a == b or a == pytest.approx(b) for a, b in zip(parts["g"], whole["g"], strict=True))
+    assert parts["h"] == ("h", 1, 1.0, None, None) and parts["e"] == ("e", 0, None, None, None)
+    assert parts[None][:3] == (None, 2, 3.0) and parts[None][3:] == (2.0, 4.0)
+
+
 def test_holm_and_kendall(spark):
     df = spark.createDataFrame([("g", 0.01), ("g", 0.04), ("g", 0.03), ("g", 0.9)], "g string, p double")
     got = {r.p: r.p_adjusted for r in stats.holm(df, ["g"], "p").collect()}
