@@ -11,7 +11,7 @@ from ..operators import flatten, invariants, lookups, matrix, rates, trajectory
 from ..operators.flatten import DISTRIBUTIONS, EXCLUSIONS, PERCENTILES
 from ..sources import artifacts, binaries, readers, sinks
 from ..sources.scratch import scratch
-from ..streaming import results
+from ..streaming import keyed, results
 from .registry import query
 from .views import Catalog
 
@@ -374,7 +374,7 @@ def T02_windowed_counts(v: Catalog) -> DataFrame:
     one event in a later file, far behind all others, makes it do."""
     source, out = scratch(v.spark, "stream"), scratch(v.spark, "stream-out")
     events = v.table("events").select("event_type", "ts")
-    events.coalesce(1).write.parquet(source)
+    events.write.parquet(source)
     events.agg((F.max("ts") + F.expr("INTERVAL 1000 DAYS")).alias("ts")).select(F.lit("end").alias("event_type"), "ts").write.mode("append").parquet(source)
     counts = results.windowed_counts(results.read_stream(v.spark, source, "event_type string, ts timestamp", 1), "ts", ["event_type"], "1 day", "400 days")
     writer = counts.writeStream.format("parquet").outputMode("append").option("path", out).option("checkpointLocation", scratch(v.spark, "stream-state"))
@@ -383,6 +383,50 @@ def T02_windowed_counts(v: Catalog) -> DataFrame:
     return written.select("event_type", F.floor(F.unix_seconds("window_start") / 86400).alias("day"), "n")
 
 
+def _disordered(v: Catalog, source: str, columns: str) -> None:
+    """Events in six files, about by time: within a file in no order, with rows of up to two days
+    before the files so far, a third of all rows twice, and one row far behind at the end."""
+    events = v.table("events").select(*columns.split()).withColumn("ts", F.col("ts").cast("timestamp"))
+    late = events.withColumn("_at", F.unix_seconds("ts") - F.col("event_id") % 49 * 3600)
+    first, last = late.agg(F.min("_at"), F.max("_at")).first()
+    cut = late.withColumn("_file", F.least(F.lit(5), F.floor((F.col("_at") - first) * 6 / (last - first + 1))))
+    rows = cut.unionByName(cut.filter("event_id % 3 = 0")).orderBy(F.xxhash64("event_id"))
+    for n in range(6):  # files are read in the order in which they are written
+        rows.filter(F.col("_file") == n).drop("_at", "_file").coalesce(2).write.mode("append").parquet(source)
+    end = events.orderBy(F.desc("ts")).limit(1).withColumns({"ts": F.col("ts") + F.expr("INTERVAL 1000 DAYS"), "user_id": F.lit(-1).cast(events.schema["user_id"].dataType)})
+    end.write.mode("append").parquet(source)
+
+
+def _run(stream: DataFrame, out: str, state: str) -> None:
+    stream.writeStream.format("parquet").outputMode("append").option("path", out).option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
+
+
+@query("SELECT event_type, user_id, min_by(event_id, epoch_us(ts)::HUGEINT * 1000000000 + event_id) AS event_id, min(epoch_us(ts)) AS micros FROM events GROUP BY event_type, user_id")
+def T03_first_rows(v: Catalog) -> DataFrame:
+    """Each key's first row by event time, out of files in disorder and with repeats."""
+    source, out = scratch(v.spark, "stream"), scratch(v.spark, "stream-out")
+    _disordered(v, source, "event_type user_id event_id ts")
+    stream = results.read_stream(v.spark, source, "event_type string, user_id bigint, event_id bigint, ts timestamp", 2)
+    first = keyed.first_rows(stream, ["event_type", "user_id"], "ts", "event_id", "3 days")
+    _run(first, out, scratch(v.spark, "stream-state"))
+    return v.spark.read.schema(first.schema).parquet(out).filter("user_id >= 0").select("event_type", "user_id", "event_id", F.unix_micros("ts").alias("micros"))
+
+
+@query("""SELECT user_id, min(epoch_us(ts)) AS start, max(epoch_us(ts)) AS stop, count(*) AS n, count(*) FILTER (good) AS n_good, CASE WHEN bool_and(good) THEN 'SUCCESS' WHEN bool_or(good) THEN 'PARTIAL' ELSE 'FAILED' END AS status FROM (
+  SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts, event_id, c ROWS UNBOUNDED PRECEDING) AS g FROM (
+    SELECT user_id, ts, event_id, c, event_id % 3 > 0 AS good, CASE WHEN epoch_us(ts) - epoch_us(lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id, c)) <= 14400000000 THEN 0 ELSE 1 END AS fresh
+    FROM (SELECT *, 0 AS c FROM events UNION ALL SELECT *, 1 FROM events WHERE event_id % 3 = 0) AS e) AS a) AS b GROUP BY user_id, g""")
+def T04_job_status(v: Catalog) -> DataFrame:
+    """A user's runs of events without a pause of more than four hours, and how each one ended."""
+    source, out = scratch(v.spark, "stream"), scratch(v.spark, "stream-out")
+    _disordered(v, source, "user_id event_id ts")
+    stream = results.read_stream(v.spark, source, "user_id bigint, event_id bigint, ts timestamp", 2)
+    runs = keyed.job_status(stream.withColumn("good", F.col("event_id") % 3 > 0), ["user_id"], "ts", "good", 4 * 3_600_000, "3 days")
+    _run(runs, out, scratch(v.spark, "stream-state"))
+    times = {c: F.unix_micros(c) for c in ("start", "stop")}
+    return v.spark.read.schema(runs.schema).parquet(out).filter("user_id >= 0").withColumns(times)
+
+
 # -- contracts, registries, invariants ------------------------------------------------------
 
 
