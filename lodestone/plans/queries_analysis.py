@@ -201,36 +201,47 @@ def _rounded(df: DataFrame, *columns: str) -> DataFrame:
     return df.withColumns({c: F.round(c, 9) for c in columns})
 
 
-@query(f"""SELECT model, CAST(n AS BIGINT) AS n, w_plus, round((w_plus - n * (n + 1) / 4.0) / sqrt(n * (n + 1) * (2 * n + 1) / 24.0 - t / 48.0), 9) AS z FROM (
+def _two_sided(z: str) -> str:
+    """The normal distribution's two tails as SQL, by the error function's series of positive terms."""
+    term = f"exp(2 * n * ln(abs({z})) - (n + 1) * ln(2) - lgamma(n + 1.5) + 0.5 * ln(pi()))"
+    return f"CASE WHEN abs({z}) < 1e-9 THEN 1.0 WHEN abs({z}) > 12 THEN 0.0 ELSE 1 - sqrt(2 / pi()) * abs({z}) * exp(-({z}) * ({z}) / 2) * list_sum(list_transform(range(0, 200), lambda n: {term})) END"
+
+
+def _chi2_tail(x: str) -> str:
+    """The upper tail with three degrees of freedom."""
+    return f"({_two_sided(f'sqrt({x})')}) + sqrt(2 * ({x}) / pi()) * exp(-({x}) / 2)"
+
+
+@query(f"""SELECT model, n, w_plus, round(z, 9) AS z, round(CASE WHEN z > 0 THEN ({_two_sided("z")}) / 2 ELSE 1 - ({_two_sided("z")}) / 2 END, 9) AS p FROM (SELECT model, CAST(n AS BIGINT) AS n, w_plus, (w_plus - n * (n + 1) / 4.0) / sqrt(n * (n + 1) * (2 * n + 1) / 24.0 - t / 48.0) AS z FROM (
   SELECT model, CAST(count(*) AS DOUBLE) AS n, sum(CASE WHEN diff > 0 THEN r ELSE 0.0 END) AS w_plus, CAST(sum(c * c - 1) AS DOUBLE) AS t FROM (WITH {_D}
-    SELECT *, count(*) OVER (PARTITION BY model, abs(diff)) AS c, CAST(rank() OVER (PARTITION BY model ORDER BY abs(diff)) + (count(*) OVER (PARTITION BY model, abs(diff)) - 1) / 2.0 AS DOUBLE) AS r FROM d WHERE diff <> 0) AS q GROUP BY model) AS s""")
+    SELECT *, count(*) OVER (PARTITION BY model, abs(diff)) AS c, CAST(rank() OVER (PARTITION BY model ORDER BY abs(diff)) + (count(*) OVER (PARTITION BY model, abs(diff)) - 1) / 2.0 AS DOUBLE) AS r FROM d WHERE diff <> 0) AS q GROUP BY model) AS s) AS o""")
 def B02_wilcoxon(v: Catalog) -> DataFrame:
-    return stats.wilcoxon_test(diffs(v), ["model"], "diff").drop("p").withColumn("z", F.round("z", 9))
+    return _rounded(stats.wilcoxon_test(diffs(v), ["model"], "diff"), "z", "p")
 
 
-@query("""SELECT model, n, round(chi2, 9) AS chi2, round(chi2 / (n * 3), 9) AS w FROM (SELECT model, max(n) AS n, (12.0 / (max(n) * 4 * 5) * sum(s * s) - 3 * max(n) * 5) / (1 - sum(t) / (max(n) * 4 * 15.0)) AS chi2 FROM (
+@query(f"""SELECT model, n, round(chi2, 9) AS chi2, round(chi2 / (n * 3), 9) AS w, round({_chi2_tail("chi2")}, 9) AS p FROM (SELECT model, max(n) AS n, (12.0 / (max(n) * 4 * 5) * sum(s * s) - 3 * max(n) * 5) / (1 - sum(t) / (max(n) * 4 * 15.0)) AS chi2 FROM (
   SELECT model, opt, count(*) AS n, sum(r) AS s, sum(c * c - 1) AS t FROM (
     SELECT *, count(*) OVER (PARTITION BY model, fkey, x) AS c, CAST(rank() OVER (PARTITION BY model, fkey ORDER BY x) + (count(*) OVER (PARTITION BY model, fkey, x) - 1) / 2.0 AS DOUBLE) AS r FROM (
       SELECT *, count(*) OVER (PARTITION BY model, fkey) AS k FROM (SELECT model, fkey, opt, avg(f1) AS x FROM pred GROUP BY model, fkey, opt) AS a) AS b WHERE k = 4) AS e GROUP BY model, opt) AS f GROUP BY model) AS g""")
 def B05_friedman(v: Catalog) -> DataFrame:
     t = stats.friedman_test(trajectory.paired_cohort(v("pred"), ["model"], "fkey"), ["model"], "fkey", "opt", "f1")
-    return t.drop("p").withColumns({"chi2": F.round("chi2", 9), "w": F.round("w", 9)})
+    return _rounded(t, "chi2", "w", "p")
 
 
 _KW = """kr AS (SELECT model, opt, CAST(rank() OVER (PARTITION BY model ORDER BY f1) + (count(*) OVER (PARTITION BY model, f1) - 1) / 2.0 AS DOUBLE) AS r, CAST(count(*) OVER (PARTITION BY model, f1) AS DOUBLE) AS c FROM pred),
   kg AS (SELECT model, opt, sum(r) AS s, CAST(count(*) AS DOUBLE) AS m FROM kr GROUP BY model, opt), kn AS (SELECT model, CAST(count(*) AS DOUBLE) AS n, sum(c * c - 1) AS t FROM kr GROUP BY model)"""
 
 
-@query(f"""SELECT model, CAST(n AS BIGINT) AS n, round(h, 9) AS h, round(h / (n - 1), 9) AS epsilon2 FROM (WITH {_KW}
+@query(f"""SELECT model, CAST(n AS BIGINT) AS n, round(h, 9) AS h, round(h / (n - 1), 9) AS epsilon2, round({_chi2_tail("h")}, 9) AS p FROM (WITH {_KW}
   SELECT kg.model, max(n) AS n, (12 / (max(n) * (max(n) + 1)) * sum(s * s / m) - 3 * (max(n) + 1)) / (1 - max(t) / (max(n) * max(n) * max(n) - max(n))) AS h FROM kg JOIN kn ON kg.model = kn.model GROUP BY kg.model) AS q""")
 def B06_kruskal(v: Catalog) -> DataFrame:
-    return stats.kruskal_test(v("pred"), ["model"], "opt", "f1").drop("p").withColumns({"h": F.round("h", 9), "epsilon2": F.round("epsilon2", 9)})
+    return _rounded(stats.kruskal_test(v("pred"), ["model"], "opt", "f1"), "h", "epsilon2", "p")
 
 
-@query(f"""SELECT model, group_a, group_b, round(z, 9) AS z FROM (WITH {_KW}
+@query(f"""SELECT model, group_a, group_b, round(z, 9) AS z, round({_two_sided("z")}, 9) AS p FROM (WITH {_KW}
   SELECT a.model, a.opt AS group_a, b.opt AS group_b, (a.s / a.m - b.s / b.m) / sqrt((n * (n + 1) / 12 - t / (12 * (n - 1))) * (1 / a.m + 1 / b.m)) AS z FROM kg a JOIN kg b ON a.model = b.model AND a.opt < b.opt JOIN kn ON kn.model = a.model) AS q""")
 def B07_dunn(v: Catalog) -> DataFrame:
-    return stats.dunn_test(v("pred"), ["model"], "opt", "f1").drop("p").withColumn("z", F.round("z", 9))
+    return _rounded(stats.dunn_test(v("pred"), ["model"], "opt", "f1"), "z", "p")
 
 
 # -- matrices, answers, sinks ----------------------------------------------------------------
