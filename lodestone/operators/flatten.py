@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import names, parse
 
@@ -16,6 +17,16 @@ def map_columns(rows: DataFrame, column: str, keys: list[str], prefix: str) -> D
     return rows.select("*", *[F.coalesce(F.col(column)[k], F.lit(0)).alias(f"{prefix}{k}") for k in keys]).drop(column)
 
 
+def found_columns(rows: DataFrame, column: str, prefix: str) -> DataFrame:
+    """One column per key that any row's JSON map in ``column`` has, 0 where a row lacks it: the
+    keys are found by one aggregation of the variants' schemas."""
+    parsed = rows.withColumn(column, F.try_parse_json(column))
+    schema = parsed.agg(F.schema_of_variant_agg(column)).first()[0] or ""
+    keys = sorted(T.StructType.fromDDL(schema[len("OBJECT<") : -1]).names) if schema.startswith("OBJECT<") else []
+    at = lambda k: "$['" + k.replace("'", "\\'") + "']"
+    return parsed.select("*", *[F.coalesce(F.try_variant_get(column, at(k), "bigint"), F.lit(0)).alias(f"{prefix}{k}") for k in keys]).drop(column)
+
+
 def flatten_pairs(rows: DataFrame) -> DataFrame:
     """One row per candidate of a pair, or one without; missing names are shown by id."""
     name = names.display_or_anonymous(F.col("name"), F.col("function_id"))

@@ -73,14 +73,20 @@ def collisions(rows: DataFrame, body: str = "body_id") -> DataFrame:
     return per.agg(F.count("*").alias("n_matched"), F.count_if(F.col("n") >= 2).alias("n_multi"), F.coalesce(F.max("n"), F.lit(0)).alias("max_per_body"))
 
 
-def top_collisions(rows: DataFrame, body: str = "body_id", top_n: int = 5) -> DataFrame:
-    """The bodies with most functions (two at least); equal ones by id. Ids are gathered
-    for those bodies only."""
+def top_collisions(rows: DataFrame, body: str = "body_id", top_n: int = 5, shown: int = 20) -> DataFrame:
+    """The bodies with most functions (two at least); equal ones by id. ``n`` counts all their
+    functions, ``ids`` lists the ``shown`` smallest ids; :func:`members` gives all of them."""
     top = rows.filter(F.col(body).isNotNull()).groupBy(body).agg(F.count("*").alias("n")).filter("n >= 2").orderBy(F.desc("n"), body).limit(top_n)
-    mine = rows.join(F.broadcast(top), body)  # at most top_n rows
+    place = F.row_number().over(Window.partitionBy(body).orderBy("function_id"))
+    mine = members(rows, top, body).withColumn("_place", place).filter(F.col("_place") <= shown)  # cut before the shuffle
     return mine.groupBy(body, "n").agg(F.array_join(F.array_sort(F.collect_list(F.col("function_id"))).cast("array<string>"), ",").alias("ids"))
 
 
+def members(rows: DataFrame, top: DataFrame, body: str = "body_id") -> DataFrame:
+    """(body, n, function_id): a row for each function of the bodies in ``top``, a few rows."""
+    return rows.join(F.broadcast(top), body).select(body, "n", "function_id")
+
+
 def histograms(rows: DataFrame, dims: dict[str, Column]) -> DataFrame:
     """(dimension, value, n) for all dimensions, by one aggregation."""
     pairs = F.explode(F.array(*[F.struct(F.lit(d).alias("dimension"), c.cast("string").alias("value")) for d, c in dims.items()]))

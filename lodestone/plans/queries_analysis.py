@@ -260,6 +260,14 @@ def F41_provider(v: Catalog) -> DataFrame:
     return v.table("part").select(model.alias("model")).distinct().withColumn("provider", matrix.provider(F.col("model"), ["economy"]))
 
 
+@query("SELECT p_partkey, f AS refused, CASE f WHEN 'json_schema' THEN 'json_object' WHEN 'json_object' THEN 'none' END AS format, i AS attempt FROM (SELECT p_partkey, unnest(['json_schema', 'json_object', 'none'][1:p_size % 4]) AS f, unnest(range(p_size % 4)) AS i FROM part) AS q WHERE f IS NOT NULL")
+def F41_response_formats(v: Catalog) -> DataFrame:
+    """What is asked for next after each of a part's refusals."""
+    tries = F.expr("transform(sequence(0, int(p_size % 4) - 1, 1), i -> struct(i, element_at(array('json_schema', 'json_object', 'none'), i + 1) AS f))")
+    rows = v.table("part").filter("p_size % 4 > 0").select("p_partkey", F.explode(tries).alias("t"))
+    return rows.select("p_partkey", F.col("t.f").alias("refused"), matrix.next_response_format(F.col("t.f")).alias("format"), F.col("t.i").cast("bigint").alias("attempt"))
+
+
 @query("SELECT o_custkey AS job, CASE WHEN bool_and(o_orderstatus <> 'P') THEN 'SUCCESS' WHEN bool_or(o_orderstatus <> 'P') THEN 'PARTIAL' ELSE 'FAILED' END AS status FROM orders GROUP BY o_custkey")
 def A24_job_status(v: Catalog) -> DataFrame:
     return matrix.job_status(v.table("orders").select(F.col("o_custkey").alias("job"), (F.col("o_orderstatus") != "P").alias("ok")), "job", "ok")

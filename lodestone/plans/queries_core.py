@@ -504,10 +504,10 @@ def A03_variable_stats(v: Catalog) -> DataFrame:
     return lookups.variable_stats(rows, "function_id")
 
 
-@query(f"SELECT bin, count(*) AS n, count(*) FILTER (decompile_status = 'FAIL') AS n_fail, CAST(sum(bb_count) AS BIGINT) AS blocks, median(bb_count) AS median_blocks, count(*) FILTER (starts_with(return_type, 'undefined')) AS n_undefined FROM ({_DEC}) AS d GROUP BY bin")
+@query(f"SELECT bin, count(*) AS n, count(*) FILTER (decompile_status = 'FAIL') AS n_fail, CAST(sum(bb_count) AS BIGINT) AS blocks, round_even(avg(bb_count), 2) AS mean_blocks, median(bb_count) AS median_blocks, count(*) FILTER (starts_with(return_type, 'undefined')) AS n_undefined FROM ({_DEC}) AS d GROUP BY bin")
 def A20_binary_counters(v: Catalog) -> DataFrame:
     dec = v.sql(_DEC)
-    return lookups.binary_counters(dec, "bin").join(dec.groupBy("bin").agg(F.sum("bb_count").alias("blocks")), "bin").drop("mean_blocks")
+    return lookups.binary_counters(dec, "bin").join(dec.groupBy("bin").agg(F.sum("bb_count").alias("blocks")), "bin")
 
 
 @query("SELECT function_id, name, CAST(NULL AS VARCHAR) AS opt, 'x86_64' AS arch FROM fn")

@@ -21,6 +21,13 @@ def P02_reason_columns(v: Catalog) -> DataFrame:
     return flatten.map_columns(maps, "m", _KEYS, "reason_")
 
 
+@query("SELECT test_case, opt, " + ", ".join(f"CAST(coalesce(sum(n) FILTER (reason = '{k}'), 0) AS BIGINT) AS reason_{k}" for k in _KEYS) + " FROM reasons GROUP BY test_case, opt")
+def P02_found_columns(v: Catalog) -> DataFrame:
+    """The same out of JSON whose keys are not known before."""
+    maps = v("reasons").groupBy("test_case", "opt").agg(F.to_json(F.map_from_entries(F.collect_list(F.struct("reason", "n")))).alias("m"))
+    return flatten.found_columns(maps, "m", "reason_")
+
+
 @query("SELECT o_custkey AS job_id, CAST(o_orderkey AS VARCHAR) AS opt, CASE WHEN o_orderstatus <> 'F' THEN CAST(o_orderkey % 97 AS BIGINT) END AS size_bytes, CASE WHEN o_orderstatus = 'O' THEN o_orderkey % 2 = 0 ELSE false END AS has_debug FROM orders")
 def P01_receipt_builds(v: Catalog) -> DataFrame:
     artifact = F.when(F.col("o_orderstatus") != "F", F.struct(F.md5(F.col("o_orderkey").cast("string")).alias("sha256"), (F.col("o_orderkey") % 97).alias("size_bytes"), F.when(F.col("o_orderstatus") == "O", F.col("o_orderkey") % 2 == 0).alias("has_debug")))

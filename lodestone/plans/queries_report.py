@@ -66,7 +66,7 @@ def A14_collisions(v: Catalog) -> DataFrame:
     return report.collisions(v("joined_raw"))
 
 
-@query("SELECT body_id, count(*) AS n, string_agg(CAST(function_id AS VARCHAR), ',' ORDER BY function_id) AS ids FROM joined_raw WHERE body_id IS NOT NULL GROUP BY body_id HAVING count(*) >= 2 ORDER BY n DESC, body_id LIMIT 5")
+@query("SELECT body_id, n, string_agg(CAST(function_id AS VARCHAR), ',' ORDER BY function_id) AS ids FROM (SELECT body_id, function_id, count(*) OVER (PARTITION BY body_id) AS n, row_number() OVER (PARTITION BY body_id ORDER BY function_id) AS place FROM joined_raw WHERE body_id IS NOT NULL) AS q WHERE place <= 20 AND n >= 2 GROUP BY body_id, n ORDER BY n DESC, body_id LIMIT 5")
 def A14_top_collisions(v: Catalog) -> DataFrame:
     return report.top_collisions(v("joined_raw"))
 
