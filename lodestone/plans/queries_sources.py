@@ -9,9 +9,10 @@ from pyspark.sql import functions as F
 from ..functions import decompiled, names
 from ..operators import flatten, invariants, lookups, matrix, rates, trajectory
 from ..operators.flatten import DISTRIBUTIONS, EXCLUSIONS, PERCENTILES
-from ..sources import artifacts, binaries, readers, sinks
+from ..sources import artifacts, binaries, pages, readers, remote, sinks
 from ..sources.scratch import scratch
 from ..streaming import keyed, results
+from . import served
 from .registry import query
 from .views import Catalog
 
@@ -250,15 +251,49 @@ def S13_hash_errors(v: Catalog) -> DataFrame:
     return artifacts.hash_errors(cells).withColumn("sides", F.array_join("sides", ","))
 
 
-@query("SELECT p.job, p.predicted, p.model, m.provider FROM pred p JOIN (SELECT concat('m', s) AS model, CASE WHEN s % 2 = 0 THEN 'acme' ELSE 'globex' END AS provider FROM (SELECT unnest(range(0, 6)) AS s) AS q) m ON m.model = p.model")
+@query("SELECT job, predicted, model, CASE WHEN CAST(substring(model, 2) AS INTEGER) % 2 = 0 THEN 'acme' ELSE 'globex' END AS provider FROM pred")
 def S14_scored_rows(v: Catalog) -> DataFrame:
     """Stored results with their experiment's registry entry; results of none are left out."""
     path = scratch(v.spark, "scored")
     v("pred").select("job", "predicted", "model").write.json(path, compression="gzip")
-    registry = v.spark.createDataFrame([(f"m{k}", "acme" if k % 2 == 0 else "globex") for k in range(6)], "model string, provider string")
+    number = F.substring("model", 2, 9).cast("int")
+    registry = v("pred").select("model").distinct().withColumn("provider", F.when(number % 2 == 0, "acme").otherwise("globex"))
     return readers.json_lines(v.spark, path, "job bigint, predicted string, model string").join(registry, "model")
 
 
+def _served(v: Catalog, model: str | None) -> DataFrame:
+    """Scored rows by way of a local endpoint."""
+    rows = v("pred").select("job", "model", "predicted", "f1")
+    path = scratch(v.spark, "served")
+    pages.write_pages(rows if model is None else rows.filter(F.col("model") == model), path, ["job"])
+    server = served.serve(v.spark, {model: path})
+    host, port = server.server_address
+    got = remote.read_pages(v.spark, f"http://{host}:{port}/results", "job bigint, model string, predicted string, f1 double", 4000)
+    kept = scratch(v.spark, "received")
+    (got if model is None else got.filter(F.col("model") == model)).write.parquet(kept)
+    server.shutdown()
+    server.server_close()
+    return v.spark.read.schema(got.schema).parquet(kept)
+
+
+@query("SELECT job, model, predicted, f1 FROM pred")
+def S14_remote_rows(v: Catalog) -> DataFrame:
+    return _served(v, None)
+
+
+@query("SELECT job, model, predicted, f1 FROM pred WHERE model = 'm3'")
+def S14_remote_model(v: Catalog) -> DataFrame:
+    """The filter goes to the endpoint, which has this model's table only under its name."""
+    return _served(v, "m3")
+
+
+@query("SELECT l_orderkey, l_linenumber, l_quantity FROM lineitem ORDER BY l_orderkey, l_linenumber LIMIT 50 OFFSET (SELECT count(*) - 70 FROM lineitem)")
+def P11_page_by_index(v: Catalog) -> DataFrame:
+    path = scratch(v.spark, "pages")
+    pages.write_pages(v.table("lineitem").select("l_orderkey", "l_linenumber", "l_quantity"), path, ["l_orderkey", "l_linenumber"])
+    return pages.page(v.spark, path, pages.n_rows(v.spark, path) - 70, 50).drop("row_number")
+
+
 _ELF = "concat('7F454C46', CASE WHEN p_size % 2 = 0 THEN '0201' ELSE '0102' END, '01', repeat('00', 9), CASE WHEN p_size % 2 = 0 THEN '02003E00' ELSE '00030028' END, repeat('00', 44))"
 
 
