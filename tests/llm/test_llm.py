@@ -895,3 +895,16 @@ def test_runs_delete_their_own_tables_only(spark):
     [t.start() for t in threads]
     [t.join() for t in threads]
     assert [o[0].count() for o in outs] == [100, 0] and kept.count() == 5 and new_path(spark, "x")
+
+
+def test_own_encoding_equals_the_library_on_random_texts(codec):
+    """Random mixes of the vocabulary's own tokens, Latin-1, controls and other scripts."""
+    from tokenizers import Tokenizer
+
+    tokenizer, rng = Tokenizer.from_file(bpe.vocabulary_path()), random.Random(17)
+    pieces = [tokenizer.decode([i], skip_special_tokens=False) for i in rng.sample(range(tokenizer.get_vocab_size()), 6000)]
+    other = ["é", "Ü", "ß", "\x00", "\x7f", "\xa0", "\xad", " ", "  ", "\n", "\t", "日本", "🙂", "á", "ﬁ", "<|endoftext|>", "1234567", "don't", "—"]
+    texts = ["".join(rng.choice(pieces) if rng.random() < 0.7 else rng.choice(other) for _ in range(rng.randint(0, 60))) for _ in range(4000)]
+    flat, bounds = codec.encode_arrow(pa.array([t.encode() for t in texts], pa.binary()))
+    for t, a, z in zip(texts, bounds.tolist(), bounds[1:].tolist(), strict=False):
+        assert flat[a:z].tolist() == tokenizer.encode(t, add_special_tokens=False).ids, t
