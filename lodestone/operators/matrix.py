@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from hashlib import sha256
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -58,6 +62,23 @@ def job_status(jobs: DataFrame, by: str, ok: str) -> DataFrame:
 
 
 def snapshot_hash(files: DataFrame, by: str, path: str, content: str) -> DataFrame:
-    """One hash over a job's files in path order."""
-    parts = F.array_sort(F.collect_list(F.struct(F.col(path).alias("p"), F.sha2(F.col(content).cast("binary"), 256).alias("h"))))
-    return files.groupBy(by).agg(F.sha2(F.array_join(F.transform(parts, lambda f: F.concat(f["p"], F.lit(":"), f["h"])), "\n"), 256).alias("snapshot"))
+    """One hash over a job's files in path order. Files are hashed where they lie; a job's lines
+    come to its task in order and are hashed as they pass, none of them kept."""
+    lines = files.select(by, F.col(path).alias("_path"), F.concat(F.col(path), F.lit(":"), F.sha2(F.col(content).cast("binary"), 256)).alias("_line"))
+    ordered = lines.repartition(by).sortWithinPartitions(by, "_path")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, hashed, done = [], None, []
+        for b in batches:
+            for key, line in zip(b.column(0), b.column(1).to_pylist(), strict=True):
+                if not keys or key != keys[-1]:
+                    done += [hashed.hexdigest()] if hashed else []
+                    keys.append(key)
+                    hashed = sha256(line.encode())
+                else:
+                    hashed.update(b"\n" + line.encode())
+        if keys:
+            yield pa.RecordBatch.from_arrays([pa.array([k.as_py() for k in keys], keys[0].type), pa.array([*done, hashed.hexdigest()])], names=[by, "snapshot"])
+
+    return ordered.select(by, "_line").mapInArrow(run, f"`{by}` {files.schema[by].dataType.simpleString()}, snapshot string")
+
