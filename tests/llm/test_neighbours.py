@@ -88,3 +88,17 @@ def test_windows_narrow_where_vectors_cluster(spark):
 @pytest.mark.parametrize("rows", [[], [(20, [1.0, 0.0])], [(1, [1.0]), (2, [2.0])]])
 def test_little_or_nothing(spark, rows):
     assert neighbours.nearest(table(spark, rows), F.col("vec_id") % 20 == 0).count() == 0
+
+
+def test_query_against_comparing_all_pairs(spark):
+    from lodestone.llm import registry
+
+    sf = "/root/testdata/sf0.001"
+    got = found(registry.op13_neighbours(spark, sf))
+    want = brute([(r.vec_id, list(r.embedding)) for r in spark.read.parquet(f"{sf}/embeddings.parquet").collect()])
+    assert got.keys() == want.keys() and all(len(v) == 20 for v in got.values())
+    hits = sum(len({i for i, _ in got[q]} & {i for i, _ in want[q]}) for q in want)
+    assert hits >= 0.9 * sum(map(len, want.values()))
+    for q, v in got.items():
+        scores = dict(want[q])
+        assert all(abs(s - scores[i]) < 1e-12 for i, s in v if i in scores) and v == sorted(v, key=lambda x: (-x[1], x[0]))
