@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import os
+import time
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -96,6 +100,49 @@ def cascade(parents: DataFrame, gone: DataFrame, key: list[str], children: dict[
     return without(parents, gone, key), left
 
 
+@contextmanager
+def locked(spark: SparkSession, path: str, wait: float = 60.0, lasts: float = 3600.0) -> Iterator[None]:
+    """One writer of a table at a time: a file beside it that only one of several can create
+    (HDFS and local folders keep that promise). One older than ``lasts`` seconds is of a
+    writer that is gone. TimeoutError if it is not free within ``wait`` seconds."""
+    fs, make = _files(spark, path)
+    name, until = f"{path.rstrip('/')}.lock", time.time() + wait
+    while not _create(fs, make(name)):
+        try:
+            age = time.time() - fs.getFileStatus(make(name)).getModificationTime() / 1000
+        except Py4JJavaError:  # given back just now
+            continue
+        if age > lasts:
+            fs.delete(make(name), False)
+        elif time.time() > until:
+            raise TimeoutError(f"{name} is held by another writer")
+        else:
+            time.sleep(0.1)
+    try:
+        yield
+    finally:
+        fs.delete(make(name), False)
+
+
+def _create(fs, at) -> bool:
+    """Whether the file is new; among several that try, of one only."""
+    if fs.getScheme() == "file":
+        local = at.toUri().getPath()
+        os.makedirs(os.path.dirname(local), exist_ok=True)
+        try:
+            os.close(os.open(local, os.O_CREAT | os.O_EXCL))
+        except FileExistsError:
+            return False
+        return True
+    try:
+        fs.create(at, False).close()
+    except Py4JJavaError as e:
+        if "AlreadyExists" in e.java_exception.getClass().getName() or fs.exists(at):
+            return False
+        raise
+    return True
+
+
 def new_rows(batch: DataFrame, stored: DataFrame | None, key: list[str], position: str) -> DataFrame:
     """Of a batch, the first row of each key that isn't stored yet."""
     w = Window.partitionBy(*key).orderBy(position)
@@ -105,30 +152,32 @@ def new_rows(batch: DataFrame, stored: DataFrame | None, key: list[str], positio
 
 def append_one(spark: SparkSession, row: DataFrame, path: str, key: list[str]) -> bool:
     """Append a single row unless its key is stored; whether it was written."""
-    stored = spark.read.parquet(path) if exists(spark, path) else None
-    fresh = row if stored is None else row.join(stored.select(*key), key, "left_anti")
-    given = fresh.limit(2).collect()
-    if len(given) > 1:
-        raise ValueError("one row at a time")
-    if given:
-        spark.createDataFrame(given, row.schema).write.mode("append").parquet(path)
-    return bool(given)
+    with locked(spark, path):
+        stored = spark.read.parquet(path) if exists(spark, path) else None
+        fresh = row if stored is None else row.join(stored.select(*key), key, "left_anti")
+        given = fresh.limit(2).collect()
+        if len(given) > 1:
+            raise ValueError("one row at a time")
+        if given:
+            spark.createDataFrame(given, row.schema).write.mode("append").parquet(path)
+        return bool(given)
 
 
 def append_new(spark: SparkSession, batch: DataFrame, path: str, key: list[str], position: str, scope: str = "experiment_id") -> tuple[int, int]:
-    """(written, skipped); an empty batch or one of several scopes is an error. One
-    writer at a time, as for any plain files."""
+    """(written, skipped); an empty batch or one of several scopes is an error. Several
+    writers take turns, so none of their rows is lost or doubled."""
     given, scopes = batch.agg(F.count("*"), F.count_distinct(scope)).first()
     if not given:
         raise ValueError("the batch is empty")
     if scopes != 1:
         raise ValueError(f"the batch has several values of {scope}")
-    stored = spark.read.parquet(path) if exists(spark, path) else None
-    fresh = new_rows(batch, stored, key, position).cache()
-    written = fresh.count()
-    if written:
-        fresh.write.mode("append").parquet(path)
-    fresh.unpersist()
+    with locked(spark, path):
+        stored = spark.read.parquet(path) if exists(spark, path) else None
+        fresh = new_rows(batch, stored, key, position).cache()
+        written = fresh.count()
+        if written:
+            fresh.write.mode("append").parquet(path)
+        fresh.unpersist()
     return written, given - written
 
 
@@ -195,17 +244,19 @@ class RunRegistry:
         rewrite(self.spark, upserted(self.all(), one, ["run_id"]), self.path)
 
     def create(self, run_id: str) -> None:
-        if self.get(run_id):
-            raise ValueError(f"run {run_id} is there already")
-        self._put({"run_id": run_id, "status": "RUNNING", "completed": 0, "errors": []})
+        with locked(self.spark, self.path):
+            if self.get(run_id):
+                raise ValueError(f"run {run_id} is there already")
+            self._put({"run_id": run_id, "status": "RUNNING", "completed": 0, "errors": []})
 
     def patch(self, run_id: str, status: str | None = None, completed: int | None = None, increment: int | None = None, error: str | None = None) -> dict:
         """An increment wins over a set number."""
-        row = self.get(run_id)
-        if row is None:
-            raise KeyError(run_id)
-        row["status"] = status or row["status"]
-        row["completed"] = row["completed"] + increment if increment is not None else row["completed"] if completed is None else completed
-        row["errors"] = [*row["errors"], *([error] if error else [])]
-        self._put(row)
-        return row
+        with locked(self.spark, self.path):
+            row = self.get(run_id)
+            if row is None:
+                raise KeyError(run_id)
+            row["status"] = status or row["status"]
+            row["completed"] = row["completed"] + increment if increment is not None else row["completed"] if completed is None else completed
+            row["errors"] = [*row["errors"], *([error] if error else [])]
+            self._put(row)
+            return row
