@@ -81,7 +81,9 @@ def slope(y: Column, x: Column) -> Column:
 
 
 def cohens_d(diff: Column) -> Column:
-    return F.avg(diff) / F.stddev_samp(diff)
+    """Mean over spread as IEEE divides them: infinite, or NaN for a mean of 0, without spread."""
+    mean, spread = F.avg(diff), F.stddev_samp(diff)
+    return F.when(spread == 0, mean * float("inf")).otherwise(F.try_divide(mean, spread))
 
 
 def gamma_upper(a: float, x: float) -> float:
