@@ -39,3 +39,9 @@ def test_effect_size_without_spread(spark):
     got = {r.g: r.d for r in rows.groupBy("g").agg(stats.cohens_d(F.col("d")).alias("d")).collect()}
     assert math.isnan(got.pop("zero"))
     assert got == {"up": math.inf, "down": -math.inf, "one": None, "both": 2 / math.sqrt(2)}
+
+
+def test_wilcoxon_without_differences(spark, tmp_path):
+    # every quantity is one, so no difference is left
+    got, want = both(spark, linked(tmp_path, lineitem="SELECT * REPLACE (1.0 AS l_quantity) FROM {t}"), "B02_wilcoxon")
+    assert got == want == []
