@@ -73,12 +73,11 @@ def collisions(rows: DataFrame, body: str = "body_id") -> DataFrame:
     return per.agg(F.count("*").alias("n_matched"), F.count_if(F.col("n") >= 2).alias("n_multi"), F.coalesce(F.max("n"), F.lit(0)).alias("max_per_body"))
 
 
-def top_collisions(rows: DataFrame, body: str = "body_id", top_n: int = 5, shown: int = 20) -> DataFrame:
+def top_collisions(rows: DataFrame, body: str = "body_id", top_n: int = 5) -> DataFrame:
     """The bodies with most functions (two at least); equal ones by id. ``n`` counts all their
-    functions, ``ids`` lists the ``shown`` smallest ids; :func:`members` gives all of them."""
+    functions, ``ids`` lists all their ids; :func:`members` gives them as rows."""
     top = rows.filter(F.col(body).isNotNull()).groupBy(body).agg(F.count("*").alias("n")).filter("n >= 2").orderBy(F.desc("n"), body).limit(top_n)
-    place = F.row_number().over(Window.partitionBy(body).orderBy("function_id"))
-    mine = members(rows, top, body).withColumn("_place", place).filter(F.col("_place") <= shown)  # cut before the shuffle
+    mine = members(rows, top, body)  # of at most top_n bodies
     return mine.groupBy(body, "n").agg(F.array_join(F.array_sort(F.collect_list(F.col("function_id"))).cast("array<string>"), ",").alias("ids"))
 
 

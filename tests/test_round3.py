@@ -45,3 +45,9 @@ def test_wilcoxon_without_differences(spark, tmp_path):
     # every quantity is one, so no difference is left
     got, want = both(spark, linked(tmp_path, lineitem="SELECT * REPLACE (1.0 AS l_quantity) FROM {t}"), "B02_wilcoxon")
     assert got == want == []
+
+
+def test_top_collisions_list_all_ids(spark):
+    rows = spark.range(100).select(F.when(F.col("id") < 70, "a").when(F.col("id") < 98, "b").alias("body_id"), F.col("id").alias("function_id"))
+    got = {r.body_id: (r.n, r.ids) for r in report.top_collisions(rows).collect()}
+    assert got == {"a": (70, ",".join(map(str, range(70)))), "b": (28, ",".join(map(str, range(70, 98))))}
