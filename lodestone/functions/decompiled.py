@@ -87,8 +87,13 @@ def instruction_ratio(instructions: Column, lines: Column) -> Column:
     return F.when(lines > 0, F.bround(instructions / F.greatest(lines, F.lit(1)), 4)).otherwise(F.lit(0.0))
 
 
+def word_count(text: Column, word: str) -> Column:
+    """How often a word of ASCII letters, digits or underscores occurs; other characters bound it."""
+    return F.regexp_count(text, F.lit(f"(?<![0-9A-Za-z_]){word}(?![0-9A-Za-z_])"))
+
+
 def goto_count(c_text: Column) -> Column:
-    return F.regexp_count(F.coalesce(c_text, F.lit("")), F.lit(r"\bgoto\b"))
+    return word_count(F.coalesce(c_text, F.lit("")), "goto")
 
 
 def is_undefined_type(kind: Column) -> Column:

@@ -51,3 +51,10 @@ def test_top_collisions_list_all_ids(spark):
     rows = spark.range(100).select(F.when(F.col("id") < 70, "a").when(F.col("id") < 98, "b").alias("body_id"), F.col("id").alias("function_id"))
     got = {r.body_id: (r.n, r.ids) for r in report.top_collisions(rows).collect()}
     assert got == {"a": (70, ",".join(map(str, range(70)))), "b": (28, ",".join(map(str, range(70, 98))))}
+
+
+def test_words_and_lines_of_odd_texts(spark, tmp_path):
+    texts = "SELECT i AS doc_id, ['cède de', 'goto de goto', chr(9) || chr(10) || '  ' || chr(10) || 'de', NULL, '', 'deé _de de'][i] AS text, 'fr' AS lang, 'web' AS source, 1 AS n_chars FROM range(1, 7) AS r(i)"
+    got, want = both(spark, linked(tmp_path, documents=texts), "F16_line_counts")
+    assert got == want
+    assert [r.n for r in spark.createDataFrame([("gotoé goto _goto",)], "t string").select(decompiled.goto_count(F.col("t")).alias("n")).collect()] == [2]
