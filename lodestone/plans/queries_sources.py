@@ -290,7 +290,7 @@ def S14_remote_model(v: Catalog) -> DataFrame:
 @query("SELECT l_orderkey, l_linenumber, l_quantity FROM lineitem ORDER BY l_orderkey, l_linenumber LIMIT 50 OFFSET (SELECT count(*) - 70 FROM lineitem)")
 def P11_page_by_index(v: Catalog) -> DataFrame:
     path = scratch(v.spark, "pages")
-    pages.write_pages(v.table("lineitem").select("l_orderkey", "l_linenumber", "l_quantity"), path, ["l_orderkey", "l_linenumber"])
+    pages.write_pages(v.table("lineitem").select("l_orderkey", "l_linenumber", "l_quantity"), path, ["l_orderkey", "l_linenumber", "l_quantity"])
     return pages.page(v.spark, path, pages.n_rows(v.spark, path) - 70, 50).drop("row_number")
 
 
