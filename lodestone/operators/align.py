@@ -8,6 +8,9 @@ header's function that many units include is one row in the join, however many c
 meet. Pairs are formed of classes; candidates, near ties and repeated contexts are counted by
 class sizes, so all counts are those of all pairs. Lines that more than ``split`` function
 classes share are dealt to several tasks.
+
+All joins but those with hot lines are hinted as sort-merge joins: each side grows with the input,
+and the planner takes packed columns of small files for tables that the driver could broadcast.
 """
 
 from __future__ import annotations
@@ -39,7 +42,7 @@ def evidence(line_rows: DataFrame) -> DataFrame:
 def span_origins(spans: DataFrame, origins: DataFrame) -> DataFrame:
     """(ts_id, file, line), distinct: the origins of a source function's lines."""
     lines = spans.select("ts_id", "tu", F.explode(F.sequence("start_line", "end_line")).alias("i_line"))
-    return lines.join(origins, ["tu", "i_line"]).select("ts_id", "file", "line").distinct()
+    return lines.join(origins.hint("merge"), ["tu", "i_line"]).select("ts_id", "file", "line").distinct()
 
 
 def _classed(rows: DataFrame, of: str, key: str, columns: list[str]) -> tuple[DataFrame, DataFrame]:
@@ -56,16 +59,16 @@ def classes(ev: DataFrame, spans: DataFrame, origins: DataFrame, split: int = SP
     hot = lines.groupBy(*at).agg(F.count("*").alias("_n")).filter(F.col("_n") > split).select(*at, F.ceil(F.col("_n") / split).cast("int").alias("_pieces"))
     left = lines.join(hot, at, "left").withColumn("_piece", F.coalesce(F.pmod(F.xxhash64("fkey"), F.col("_pieces")).cast("int"), F.lit(0))).drop("_pieces")
     right = places.join(hot, at, "left").withColumn("_piece", F.explode(F.sequence(F.lit(0), F.coalesce("_pieces", F.lit(1)) - 1))).drop("_pieces")
-    shared = left.join(right, [*at, "_piece"]).groupBy("fkey", "ckey").agg(F.sum("cnt").alias("overlap"))
+    shared = left.join(right.hint("merge"), [*at, "_piece"]).groupBy("fkey", "ckey").agg(F.sum("cnt").alias("overlap"))
     totals = lines.groupBy("fkey").agg(F.sum("cnt").alias("total"))
     meta = spans.select("ts_id", "tu", "start_byte", (F.col("end_byte") - F.col("start_byte")).alias("span"), "context_hash")
-    return Classes(functions, members.join(meta, "ts_id"), shared.join(totals, "fkey").withColumn("ratio", F.bround(F.col("overlap") / F.col("total"), 6)).withColumn("gap", F.col("total") - F.col("overlap")))
+    return Classes(functions, members.join(meta.hint("merge"), "ts_id"), shared.join(totals.hint("merge"), "fkey").withColumn("ratio", F.bround(F.col("overlap") / F.col("total"), 6)).withColumn("gap", F.col("total") - F.col("overlap")))
 
 
 def candidates(c: Classes) -> DataFrame:
     """(function_id, ts_id, overlap, total, ratio, ...) of all pairs that share a line: as many
     rows as there are pairs. What follows works on classes."""
-    return c.pairs.join(c.functions, "fkey").join(c.spans, "ckey").drop("fkey", "ckey")
+    return c.pairs.join(c.functions.hint("merge"), "fkey").join(c.spans.hint("merge"), "ckey").drop("fkey", "ckey")
 
 
 def rank(c: Classes, p: Profile = PROFILE) -> DataFrame:
@@ -77,22 +80,22 @@ def rank(c: Classes, p: Profile = PROFILE) -> DataFrame:
     copies = c.spans.groupBy(F.col("ckey").alias("_ckey"), F.col("context_hash").alias("_hash")).agg(F.min("tu").alias("_low"), F.max("tu").alias("_high"))
     w = Window.partitionBy("fkey").orderBy(F.desc("ratio"), F.desc("overlap"), *[F.col(f"m.{x}") for x in member[:4]])
     whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    ranked = c.pairs.join(sizes, "ckey").withColumns({"rn": F.row_number().over(w), "best": F.first("ratio").over(whole), "bm": F.first("m").over(whole)})
-    met = ranked.join(copies, (F.col("ckey") == F.col("_ckey")) & (F.col("bm.context_hash") == F.col("_hash")), "left")
+    ranked = c.pairs.join(sizes.hint("merge"), "ckey").withColumns({"rn": F.row_number().over(w), "best": F.first("ratio").over(whole), "bm": F.first("m").over(whole)})
+    met = ranked.join(copies.hint("merge"), (F.col("ckey") == F.col("_ckey")) & (F.col("bm.context_hash") == F.col("_hash")), "left")
     tie = F.abs(F.col("ratio") - F.col("best")) <= p.tie_epsilon
     copy = tie & ((F.col("_low") != F.col("bm.tu")) | (F.col("_high") != F.col("bm.tu")))
     tops = met.groupBy("fkey").agg(
         F.min_by(F.struct(F.col("m.ts_id").alias("ts_id"), F.col("m.tu").alias("tu"), "overlap", "ratio", "gap"), "rn").alias("b"), F.sum("_n").alias("n_candidates"),
         (F.sum(F.when(tie, F.col("_n")).otherwise(0)) - 1).alias("n_ties"), F.coalesce(F.bool_or(copy), F.lit(False)).alias("replicated"),
     )
-    return c.functions.join(tops, "fkey").drop("fkey")
+    return c.functions.join(tops.hint("merge"), "fkey").drop("fkey")
 
 
 def align(targets: DataFrame, ev: DataFrame, spans: DataFrame, origins: DataFrame, p: Profile = PROFILE) -> DataFrame:
     """Verdict and reasons for each target (function_id, multi_file); one row each."""
     totals = ev.groupBy("function_id").agg(F.sum("cnt").alias("_total"))
     best = rank(classes(ev, spans, origins), p)
-    rows = targets.join(totals, "function_id", "left").join(best, "function_id", "left")
+    rows = targets.join(totals.hint("merge"), "function_id", "left").join(best.hint("merge"), "function_id", "left")
     found = F.coalesce(F.col("b.overlap") >= p.min_overlap_lines, F.lit(False))
     low = found & (F.col("b.ratio") < p.overlap_threshold)
     ties = found & (F.col("n_ties") > 0)

@@ -66,3 +66,10 @@ def test_pages_tell_all_rows_apart(spark, tmp_path):
     got = sorted(r.l_quantity for r in registry.queries()["P11_page_by_index"](spark, str(folder)).collect())
     sizes = sorted(r[0] for r in duckdb.connect().execute(f"SELECT l_quantity FROM '{folder}/lineitem.parquet'").fetchall())
     assert got == sizes[-70:-20]
+
+
+def test_alignment_broadcasts_nothing_that_grows(spark):
+    # by file sizes all of these tables pass for small; only joins with hot lines, at most two a query, are left to the planner
+    for name in ("F29_align", "W01_hot_line", "J01_line_overlap", "P14_align_report", "W18_reason_counts"):
+        plan = registry.queries()[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("BroadcastExchange") <= 2, name
