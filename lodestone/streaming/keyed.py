@@ -1,4 +1,4 @@
-"""Streams with state of their own for each key, in event time.
+"""Streams with state for each key, in event time.
 
 State lives in the store of the stream's checkpoint and is looked up for a batch's keys only,
 so a batch costs what its rows cost, however long the stream has run, and a restart goes on
@@ -74,51 +74,6 @@ class FirstRow(StatefulProcessor):
         pass
 
 
-class Sessions(StatefulProcessor):
-    """Stretches of a key's rows without a pause longer than ``gap_ms``: start, end, rows, good
-    rows. What is open is kept as merged stretches, not as rows."""
-
-    def __init__(self, ts: str, good: str, keys: list[str], gap_ms: int):
-        self.ts, self.good, self.keys, self.gap_ms = ts, good, keys, gap_ms
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.open = handle.getListState("open", "start bigint, stop bigint, n bigint, good bigint")
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        given = [tuple(map(int, s)) for s in self.open.get()] if self.open.exists() else []
-        for batch in rows:
-            at = _micros(batch[self.ts])
-            given += [(int(a), int(a), 1, int(g)) for a, g in zip(at, batch[self.good], strict=True)]
-        merged: list[tuple[int, int, int, int]] = []
-        for s in sorted(given):
-            if merged and s[0] - merged[-1][1] <= self.gap_ms * 1000:
-                last = merged[-1]
-                merged[-1] = (last[0], max(last[1], s[1]), last[2] + s[2], last[3] + s[3])
-            else:
-                merged.append(s)
-        self.open.put(merged)
-        for s in merged:
-            self.handle.registerTimer(_timer(s[1]) + self.gap_ms)
-        return iter(())
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        now = expiredTimerInfo.getExpiryTimeInMs()
-        held = [tuple(map(int, s)) for s in self.open.get()] if self.open.exists() else []
-        over = [s for s in held if _timer(s[1]) + self.gap_ms <= now]
-        left = [s for s in held if _timer(s[1]) + self.gap_ms > now]
-        if left:
-            self.open.put(left)
-        else:
-            self.open.clear()
-        if over:
-            key = key if isinstance(key, tuple) else (key,)
-            yield pd.DataFrame([(*key, pd.Timestamp(s[0], unit="us"), pd.Timestamp(s[1], unit="us"), s[2], s[3]) for s in over], columns=[*self.keys, "start", "stop", "n", "n_good"])
-
-    def close(self) -> None:
-        pass
-
-
 def _with_state(stream: DataFrame) -> None:
     """Timers need this store; the setting counts when a stream starts."""
     stream.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
@@ -134,10 +89,10 @@ def first_rows(stream: DataFrame, key: list[str], ts: str, position: str, delay:
 
 def job_status(stream: DataFrame, key: list[str], ts: str, good: str, gap_ms: int, delay: str) -> DataFrame:
     """Each key's runs, one row a run: start, stop, n, n_good and status: SUCCESS if all rows are
-    good, FAILED if none is, else PARTIAL."""
+    good, FAILED if none is, else PARTIAL. Runs are session windows: what is open is kept as merged
+    stretches, and no row or timer leaves the JVM."""
     _with_state(stream)
-    types = {f.name: f.dataType.simpleString() for f in stream.schema.fields}
-    head = ", ".join(f"`{k}` {types[k]}" for k in key)
-    out = stream.withWatermark(ts, delay).groupBy(*key).transformWithStateInPandas(Sessions(ts, good, key, gap_ms), f"{head}, start timestamp, stop timestamp, n bigint, n_good bigint", "Append", "EventTime")
+    run = F.session_window(ts, f"{gap_ms} milliseconds").alias("_run")
+    rows = stream.withWatermark(ts, delay).groupBy(*key, run).agg(F.min(ts).alias("start"), F.max(ts).alias("stop"), F.count("*").alias("n"), F.count_if(good).alias("n_good"))
     status = F.when(F.col("n_good") == F.col("n"), "SUCCESS").when(F.col("n_good") == 0, "FAILED").otherwise("PARTIAL")
-    return out.withColumn("status", status)
+    return rows.select(*key, "start", "stop", "n", "n_good", status.alias("status"))

@@ -10,6 +10,7 @@ from lodestone.functions import decompiled
 from lodestone.operators import address, report, stats
 from lodestone.plans import registry
 from lodestone.plans.views import TABLES
+from lodestone.streaming import keyed, results
 
 SF = "/root/testdata/sf0.001"
 
@@ -88,3 +89,11 @@ def test_sharing_counts_functions_without_pairs(spark):
     # the plan forms no pairs of ranges and bodies: a thousand endless ranges over a thousand bodies
     r, b = spark.range(1000).selectExpr("id AS function_id", "0L AS bin", "id AS lo", "id + 1099511627776 AS hi"), spark.range(1000).selectExpr("concat('b', id) AS body_id", "0L AS bin", "2000 + id * 4 AS start", "2004 + id * 4 AS end")
     assert {x.n_sharing for x in address.sharing(r, b).collect()} == {1000}
+
+
+def test_runs_need_no_call_for_each_key(spark, tmp_path):
+    spark.createDataFrame([(1, None)], "user_id bigint, ts timestamp").write.parquet(str(tmp_path / "in"))
+    stream = results.read_stream(spark, str(tmp_path / "in"), "user_id bigint, ts timestamp")
+    runs = keyed.job_status(stream.withColumn("good", F.col("user_id") > 0), ["user_id"], "ts", "good", 1000, "1 day")
+    plan = runs._jdf.queryExecution().analyzed().toString()
+    assert "session_window" in plan and "TransformWithState" not in plan
