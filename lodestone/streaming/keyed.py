@@ -11,8 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
@@ -20,55 +19,44 @@ ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvide
 DAY_MS = 86_400_000
 
 
-def _micros(ts: pd.Series) -> pd.Series:
-    return ts.astype("datetime64[us]").astype("int64")
-
-
 def _timer(micros: int) -> int:
     """Timers have milliseconds: the first that is not before."""
     return -(-micros // 1000)
 
 
 class FirstRow(StatefulProcessor):
-    """The first row of a key by time, then by ``position``. What has been written is remembered
-    for ``keep_ms``, without it for good."""
+    """The first row of a key by time, then by ``position``; both come in front of the other columns.
+    What has been written is remembered for ``keep_ms``, without it for good. All that a key needs
+    is one value of state, so a batch reads a key's state once and writes it only for a new first row."""
 
-    def __init__(self, ts: str, position: str, columns: list[str], types: list[str], keep_ms: int | None):
-        self.ts, self.position, self.columns, self.types, self.keep_ms = ts, position, columns, types, keep_ms
+    def __init__(self, names: list[str], types: list[str], keep_ms: int | None):
+        self.names, self.keep_ms = names, keep_ms
+        self.schema = ", ".join(f"{n} {t}" for n, t in zip(names, types, strict=True))
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        fields = ", ".join(f"field{n} {t}" for n, t in enumerate(self.types))
-        self.best = handle.getValueState("best", f"at bigint, place bigint, {fields}")
-        self.written = handle.getValueState("written", "at bigint")
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        if not self.written.exists():
-            old = self.best.get() if self.best.exists() else None
-            new = old
-            for batch in rows:
-                at = _micros(batch[self.ts])
-                n = pd.DataFrame({"a": at, "p": batch[self.position]}).sort_values(["a", "p"]).index[0]
-                found = (int(at[n]), int(batch[self.position][n]))
-                if new is None or found < tuple(new[:2]):
-                    new = (*found, *(batch[c][n] for c in self.columns))
-            if new is not old:
+        self.held = handle.getValueState("held", f"written boolean, {self.schema}")
+
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        old = self.held.get()
+        if old is None or not old[0]:
+            new = min((tuple(r) for r in rows if r[0] is not None), key=lambda r: r[:2], default=None)
+            if new is not None and (old is None or new[:2] < tuple(old[1:3])):
                 if old is not None:
-                    self.handle.deleteTimer(_timer(int(old[0])))
-                self.best.update(new)
-                self.handle.registerTimer(_timer(int(new[0])))
+                    self.handle.deleteTimer(_timer(old[1]))
+                self.held.update((False, *new))
+                self.handle.registerTimer(_timer(new[0]))
         return iter(())
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        if self.best.exists():
-            row = self.best.get()
-            self.best.clear()
-            self.written.update((int(row[0]),))
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        held = self.held.get()
+        if held[0]:
+            self.held.clear()
+        else:
+            self.held.update((True, *held[1:3], *[None] * (len(self.names) - 2)))
             if self.keep_ms is not None:
                 self.handle.registerTimer(expiredTimerInfo.getExpiryTimeInMs() + self.keep_ms)
-            yield pd.DataFrame([tuple(row[2:])], columns=self.columns)
-        else:
-            self.written.clear()
+            yield Row(**dict(zip(self.names, held[1:], strict=True)))
 
     def close(self) -> None:
         pass
@@ -82,9 +70,14 @@ def _with_state(stream: DataFrame) -> None:
 def first_rows(stream: DataFrame, key: list[str], ts: str, position: str, delay: str, keep_days: int | None = None) -> DataFrame:
     """The first row of each key by event time, once."""
     _with_state(stream)
-    fields = [f for f in stream.schema.fields]
-    processor = FirstRow(ts, position, [f.name for f in fields], [f.dataType.simpleString() for f in fields], None if keep_days is None else keep_days * DAY_MS)
-    return stream.withWatermark(ts, delay).groupBy(*key).transformWithStateInPandas(processor, stream.schema, "Append", "EventTime")
+    others = [f for f in stream.schema.fields if f.name != ts]
+    names = [f"field{n}" for n in range(len(others))]
+    processor = FirstRow(["_at", "_place", *names], ["bigint", "bigint", *[f.dataType.simpleString() for f in others]], None if keep_days is None else keep_days * DAY_MS)
+    # the time goes as a number, so that no time zone of a worker counts; named columns come back by place
+    given = stream.withWatermark(ts, delay).select(F.unix_micros(ts).alias("_at"), F.col(position).cast("long").alias("_place"), *[F.col(f.name).alias(n) for n, f in zip(names, others, strict=True)], ts)
+    named = {f.name: n for n, f in zip(names, others, strict=True)}
+    out = given.groupBy(*[named[k] for k in key]).transformWithState(processor, processor.schema, "Append", "EventTime")
+    return out.select(*[F.timestamp_micros("_at").alias(c) if c == ts else F.col(named[c]).alias(c) for c in stream.columns])
 
 
 def job_status(stream: DataFrame, key: list[str], ts: str, good: str, gap_ms: int, delay: str) -> DataFrame:

@@ -97,3 +97,37 @@ def test_runs_need_no_call_for_each_key(spark, tmp_path):
     runs = keyed.job_status(stream.withColumn("good", F.col("user_id") > 0), ["user_id"], "ts", "good", 1000, "1 day")
     plan = runs._jdf.queryExecution().analyzed().toString()
     assert "session_window" in plan and "TransformWithState" not in plan
+
+
+def test_a_key_has_one_value_of_state():
+    # a batch asks once for what a key has, and writes only for a new first row
+    asked = []
+
+    class Held:
+        value = None
+
+        def get(self):
+            asked.append("get")
+            return self.value
+
+        def update(self, new):
+            asked.append("update")
+            self.value = new
+
+    class Handle:
+        def getValueState(self, name, schema):
+            return Held()
+
+        def registerTimer(self, at):
+            asked.append(at)
+
+        def deleteTimer(self, at):
+            asked.append(-at)
+
+    first = keyed.FirstRow(["_at", "_place", "field0"], ["bigint", "bigint", "string"], None)
+    first.init(Handle())
+    for rows, want in (([(5001, 2, "b"), (5001, 1, "a")], ["get", "update", 6]), ([(5001, 3, "c")], ["get"]), ([(4000, 9, "d")], ["get", -6, "update", 4])):
+        asked.clear()
+        assert list(first.handleInputRows(("k",), iter(rows), None)) == []
+        assert asked == want
+    assert [tuple(r) for r in first.handleExpiredTimer(("k",), None, None)] == [(4000, 9, "d")]
