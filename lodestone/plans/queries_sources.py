@@ -207,7 +207,7 @@ def P04_join_reports(v: Catalog) -> DataFrame:
 @query("SELECT concat('d', doc_id, '.i') AS tu, sha256(coalesce(text, '')) AS hash FROM documents")
 def S09_unit_texts(v: Catalog) -> DataFrame:
     root = scratch(v.spark, "units")
-    files = v.table("documents").select(F.concat(F.lit(f"{root}/d"), "doc_id", F.lit(".i")).alias("path"), F.coalesce("text", F.lit("")).alias("content"))
+    files = v.table("documents").select(F.concat(F.lit(f"{root}/"), F.floor(F.col("doc_id") / 1000), F.lit("/d"), "doc_id", F.lit(".i")).alias("path"), F.coalesce("text", F.lit("")).alias("content"))
     sinks.write_files(files).count()
     return readers.texts(v.spark, root).select("tu", F.sha2("text", 256).alias("hash"))
 
@@ -300,7 +300,8 @@ _ELF = "concat('7F454C46', CASE WHEN p_size % 2 = 0 THEN '0201' ELSE '0102' END,
 @query(f"SELECT concat('b', p_partkey) AS file, CAST(64 AS BIGINT) AS size, sha256(unhex({_ELF})) AS sha256, CASE WHEN p_size % 2 = 0 THEN 'EXEC' ELSE 'DYN' END AS type, CASE WHEN p_size % 2 = 0 THEN 'x86_64' ELSE 'arm' END AS arch, false AS has_debug FROM part")
 def S15_binaries(v: Catalog) -> DataFrame:
     root = scratch(v.spark, "binaries")
-    sinks.write_files(v.table("part").select(F.concat(F.lit(f"{root}/b"), "p_partkey").alias("path"), F.unhex(F.expr(_ELF)).alias("content"))).count()
+    files = v.table("part").select(F.concat(F.lit(f"{root}/"), F.floor(F.col("p_partkey") / 1000), F.lit("/b"), "p_partkey").alias("path"), F.unhex(F.expr(_ELF)).alias("content"))
+    sinks.write_files(files.repartition(int(v.spark.conf.get("spark.sql.shuffle.partitions")), "path")).count()
     return binaries.scan_binaries(v.spark, root).select("file", "size", "sha256", "elf.type", "elf.arch", "elf.has_debug")
 
 

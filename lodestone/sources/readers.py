@@ -3,13 +3,18 @@
 from __future__ import annotations
 
 import logging
+from collections.abc import Iterator
 
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 log = logging.getLogger(__name__)
 
+#: Files of a run or a batch, bytes of a batch, tasks of a read of whole files.
+FILES, HELD_BYTES, TASKS = 1000, 8 << 20, 10_000
 #: root/<test_case>/<opt>/<variant>/<stage>/file
 TREE = r".*/([^/]+)/([^/]+)/([^/]+)/[^/]+/[^/]+$"
 
@@ -100,10 +105,55 @@ def last_summary(summaries: DataFrame, by: list[str], position: str) -> DataFram
     return summaries.groupBy(*by).agg(F.max_by(F.struct(*fields), position).alias("s")).select(*by, "s.*")
 
 
+def _system(path: str) -> tuple[fs.FileSystem, str]:
+    return fs.FileSystem.from_uri(path) if ":/" in path else (fs.LocalFileSystem(), path)
+
+
+def whole_files(spark: SparkSession, path: str) -> DataFrame:
+    """(file, size, content) of all files below a folder, or of one file, but for those whose name, or whose folder's, begins
+    with . or _. The driver lists the folder itself only; folders in it, and runs of its own files, are listed and
+    read by tasks, so millions of small files cost a task what they hold and the planner nothing."""
+    system, at = _system(path)
+    info = system.get_file_info(at)
+    found = [info] if info.type == fs.FileType.File else system.get_file_info(fs.FileSelector(at))
+    shown = [f for f in found if f.base_name[:1] not in (".", "_")]
+    own = sorted(f.path for f in shown if f.type == fs.FileType.File)
+    dealt = [([f.path], True) for f in shown if f.type == fs.FileType.Directory] + [(own[n : n + FILES], False) for n in range(0, len(own), FILES)]
+
+    def below(here: fs.FileSystem, folder: str) -> Iterator[str]:
+        for f in here.get_file_info(fs.FileSelector(folder)):
+            if f.base_name[:1] not in (".", "_"):
+                if f.type == fs.FileType.Directory:
+                    yield from below(here, f.path)
+                else:
+                    yield f.path
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        (here, _), names, contents, held = _system(path), [], [], 0
+
+        def full() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(map(len, contents), pa.int64()), pa.array(contents, pa.binary())], names=["file", "size", "content"])
+
+        for b in batches:
+            for paths, folder in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                for file in below(here, paths[0]) if folder else paths:
+                    with here.open_input_stream(file, compression=None) as source:
+                        contents.append(source.read())
+                    names.append(file.rpartition("/")[2])
+                    held += len(contents[-1])
+                    if held >= HELD_BYTES or len(names) >= FILES:
+                        yield full()
+                        names, contents, held = [], [], 0
+        if names:
+            yield full()
+
+    rows = spark.createDataFrame(dealt, "paths array<string>, folder boolean").repartition(max(1, min(len(dealt), TASKS)))
+    return rows.mapInArrow(run, "file string, size bigint, content binary")
+
+
 def texts(spark: SparkSession, path: str) -> DataFrame:
     """(tu, text): whole files, keyed by file name."""
-    rows = spark.read.text(path, wholetext=True)
-    return rows.select(F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1).alias("tu"), F.col("value").alias("text"))
+    return whole_files(spark, path).select(F.col("file").alias("tu"), F.col("content").cast("string").alias("text"))
 
 
 def discover(spark: SparkSession, root: str) -> list[str]:

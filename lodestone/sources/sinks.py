@@ -6,11 +6,14 @@ import os
 import time
 import uuid
 from collections.abc import Iterator
-from contextlib import contextmanager
+from contextlib import ExitStack, contextmanager
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from py4j.protocol import Py4JJavaError
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyarrow import fs
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .readers import exists
@@ -66,25 +69,63 @@ def json_bundle(rows: DataFrame, by: list[str], order: list[str], lines: bool =
     return rows.groupBy(*by).agg(content.alias("content"))
 
 
+@contextmanager
+def _aside(path: str, made: set[str]) -> Iterator[pa.NativeFile]:
+    """A new file beside ``path``, moved there at the end; ``made``: folders known to be there."""
+    system, at = fs.FileSystem.from_uri(path) if ":/" in path else (fs.LocalFileSystem(), path)
+    folder = at.rpartition("/")[0]
+    if folder not in made:
+        system.create_dir(folder, recursive=True)
+        made.add(folder)
+    aside = f"{folder}/.{uuid.uuid4().hex}"
+    with system.open_output_stream(aside, compression=None) as out:
+        yield out
+    system.move(aside, at)
+
+
+def write_lines(rows: DataFrame, path: Column, by: list[str], order: list[str]) -> DataFrame:
+    """Write rows as JSON lines, all columns but ``by``, to the folder ``path`` of their group, as files that
+    follow one another in ``order``; return (path, size) of the files. Rows are dealt by range over group and
+    order and go from batch to file, so no group is gathered, however large."""
+    one = F.to_json(F.struct(*[F.col(c) for c in rows.columns if c not in by]), {"ignoreNullFields": "false"})
+    sorted_rows = rows.repartitionByRange(*by, *order).sortWithinPartitions(*by, *order)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        name, made, at, out, size = f"part-{TaskContext.get().partitionId():05d}", set(), None, ExitStack(), 0
+        for b in batches:
+            ends = pc.run_end_encode(b.column(0))
+            first = 0
+            for folder, last in zip(ends.values.to_pylist(), ends.run_ends.to_pylist(), strict=True):
+                if folder != at:
+                    out.close()
+                    if at is not None:
+                        yield pa.RecordBatch.from_pydict({"path": [f"{at}/{name}"], "size": [size]})
+                    at, size = folder, 0
+                    stream = out.enter_context(_aside(f"{at}/{name}", made))
+                text = ("\n".join(b.column(1).slice(first, last - first).to_pylist()) + "\n").encode()
+                stream.write(text)
+                size, first = size + len(text), last
+        out.close()
+        if at is not None:
+            yield pa.RecordBatch.from_pydict({"path": [f"{at}/{name}"], "size": [size]})
+
+    return sorted_rows.select(path.alias("path"), one.alias("line")).mapInArrow(run, "path string, size bigint")
+
+
 def write_files(files: DataFrame) -> DataFrame:
     """Write each row's ``content`` to the file ``path`` and return (path, size). A file is
     written aside and moved, so a task that runs again leaves the same file. Any file
     system that Arrow knows by its scheme."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyarrow import fs
-
+        made: set[str] = set()
         for b in batches:
             sizes = []
-            for path, content in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                system, at = fs.FileSystem.from_uri(path) if ":/" in path else (fs.LocalFileSystem(), path)
-                system.create_dir(at.rpartition("/")[0], recursive=True)
-                aside = f"{at.rpartition('/')[0]}/.{uuid.uuid4().hex}"
-                raw = content if isinstance(content, bytes) else content.encode()
-                with system.open_output_stream(aside, compression=None) as out:
+            for path, content in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                raw = content.as_buffer()  # no copy of it
+                with _aside(path, made) as out:
                     out.write(raw)
-                system.move(aside, at)
-                sizes.append(len(raw))
+                sizes.append(raw.size)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sizes, pa.int64())], names=["path", "size"])
 
     return files.select("path", "content").mapInArrow(run, "path string, size bigint")

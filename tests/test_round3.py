@@ -10,6 +10,7 @@ from lodestone.functions import decompiled
 from lodestone.operators import address, report, stats
 from lodestone.plans import registry
 from lodestone.plans.views import TABLES
+from lodestone.sources import binaries, readers
 from lodestone.streaming import keyed, results
 
 SF = "/root/testdata/sf0.001"
@@ -131,3 +132,18 @@ def test_a_key_has_one_value_of_state():
         assert list(first.handleInputRows(("k",), iter(rows), None)) == []
         assert asked == want
     assert [tuple(r) for r in first.handleExpiredTimer(("k",), None, None)] == [(4000, 9, "d")]
+
+
+def test_small_files_are_read_by_the_folder(spark, tmp_path):
+    for n in range(2500):
+        folder = tmp_path / str(n % 4)
+        folder.mkdir(exist_ok=True)
+        (folder / f"f{n}").write_bytes(b"x" * (n % 3))
+    (tmp_path / "own").write_bytes(b"\xff")
+    (tmp_path / ".hidden").write_bytes(b"h")
+    (tmp_path / "0" / "_aside").write_bytes(b"h")
+    for path in (str(tmp_path), f"file://{tmp_path}"):
+        got = readers.whole_files(spark, path)
+        assert got.rdd.getNumPartitions() <= 5  # four folders and one run of own files
+        assert sorted((r.file, r.size, bytes(r.content)) for r in got.collect()) == sorted([(f"f{n}", n % 3, b"x" * (n % 3)) for n in range(2500)] + [("own", 1, b"\xff")])
+    assert binaries.scan_binaries(spark, str(tmp_path)).count() == sum(n % 3 > 0 for n in range(2500)) + 1
