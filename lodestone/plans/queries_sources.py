@@ -370,18 +370,17 @@ def K09_cascade(v: Catalog) -> DataFrame:
 
 @query("SELECT row_number() OVER (ORDER BY quantity, job) AS place, job, quantity FROM pred")
 def W15_sorted_output(v: Catalog) -> DataFrame:
-    """Files follow each other in the order: the place counts rows of the files before."""
+    """Files follow each other in the order: the place counts rows of the files before, and those before in its file."""
     path = scratch(v.spark, "sorted")
     sinks.write_sorted(v("pred").select("job", "quantity"), path, ["quantity", "job"])
-    rows = v.spark.read.parquet(path).select("job", "quantity", F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1).alias("file"), F.col("_metadata.file_block_start").alias("at"))
+    rows = v.spark.read.parquet(path).select("job", "quantity", F.col("_metadata.file_name").alias("file"), F.col("_metadata.row_index").alias("i"))
     files = rows.groupBy("file").agg(F.count("*").alias("n"), F.min(F.struct("quantity", "job")).alias("first"), F.max(F.struct("quantity", "job")).alias("last"))
     from pyspark.sql import Window
 
     w = Window.orderBy("file")  # one row a file
     before = files.select("file", (F.sum("n").over(w) - F.col("n")).alias("before"), F.coalesce(F.lag("last").over(w) < F.col("first"), F.lit(True)).alias("follows"))
-    inside = F.row_number().over(Window.partitionBy("file").orderBy("quantity", "job"))
-    placed = rows.withColumn("i", inside).join(before, "file")
-    return placed.select(F.when(F.col("follows"), F.col("before") + F.col("i")).alias("place"), "job", "quantity")
+    placed = rows.join(F.broadcast(before), "file")
+    return placed.select(F.when(F.col("follows"), F.col("before") + F.col("i") + 1).alias("place"), "job", "quantity")
 
 
 @query("SELECT i, line FROM (SELECT i, lines[CAST(i AS BIGINT) + 1] AS line FROM (SELECT string_split(string_agg(CASE WHEN o_orderkey % 4 = 0 THEN ' ' ELSE concat('row', o_orderkey) END, chr(10) ORDER BY o_orderkey), chr(10)) AS lines, unnest(range(0, count(*))) AS i FROM orders) AS q) AS r WHERE i >= 10 AND trim(line) <> '' ORDER BY i LIMIT 40")
