@@ -17,12 +17,22 @@ from .registry import query
 from .views import Catalog
 
 _CELL = ["test_case", "opt"]
+#: Function ids of a document of pairs.
+_PIECE = 100_000
+
+
+def _at(root: str, kind: str, variant: str) -> Column:
+    return F.concat(F.lit(f"{root}/"), F.col("test_case"), F.lit("/"), F.col("opt"), F.lit(f"/{variant}/{artifacts.PLACES[kind]}"))
 
 
 def _put(v: Catalog, rows: DataFrame, root: str, kind: str, variant: str = "debug") -> None:
     """Write (test_case, opt, content) rows to their places."""
-    path = F.concat(F.lit(f"{root}/"), F.col("test_case"), F.lit("/"), F.col("opt"), F.lit(f"/{variant}/{artifacts.PLACES[kind]}"))
-    sinks.write_files(rows.select(path.alias("path"), "content")).count()
+    sinks.write_files(rows.select(_at(root, kind, variant).alias("path"), "content")).count()
+
+
+def _put_lines(rows: DataFrame, order: list[str], root: str, kind: str, variant: str) -> None:
+    """Write rows as lines to their cells' places, each a folder of files that follow one another."""
+    sinks.write_lines(rows, _at(root, kind, variant), _CELL, order).count()
 
 
 def _document(cells: DataFrame, *fields: Column) -> DataFrame:
@@ -119,8 +129,10 @@ def _dataset(v: Catalog) -> artifacts.Dataset:
     pair = F.struct(*identity, F.col("name").alias("dwarf_function_name"), F.col("oracle_verdict").alias("dwarf_verdict"), "verdict", F.col("overlap").alias("overlap_ratio"), F.col("gap").alias("gap_count"), F.when(F.col("gap") % 2 == 0, F.concat(F.lit("f"), "gap")).alias("best_ts_func_id"))
     other = F.struct(*identity, "name", F.col("oracle_verdict").alias("dwarf_verdict"))
     out = F.col("verdict") == "NON_TARGET"
-    packed = f.groupBy(*_CELL).agg(F.collect_list(F.when(~out, pair)).alias("pairs"), F.collect_list(F.when(out, other)).alias("non_targets"))
-    _put(v, _document(packed, "pairs", "non_targets"), root, "alignment_pairs")
+    # a cell's pairs are a folder of documents, each of a run of functions, so that no document grows with the table
+    packed = f.groupBy(*_CELL, F.floor(F.col("function_id") / _PIECE).alias("piece")).agg(F.collect_list(F.when(~out, pair)).alias("pairs"), F.collect_list(F.when(out, other)).alias("non_targets"))
+    content = F.to_json(F.struct("pairs", "non_targets")).alias("content")
+    sinks.write_files(packed.select(F.concat(_at(root, "alignment_pairs", "debug"), F.lit("/"), "piece", F.lit(".json")).alias("path"), content)).count()
     build = F.struct(F.col("opt").alias("optimization"), F.lit("debug").alias("variant"), F.lit("SUCCESS").alias("status"), F.when(F.col("match") % 2 == 0, F.struct(F.md5(F.concat_ws("/", *_CELL)).alias("sha256"), F.col("match").alias("size_bytes"))).alias("artifact"))
     receipt = reports.groupBy("test_case").agg(F.to_json(F.struct(F.struct(F.first("test_case").alias("job_id")).alias("job"), F.array_sort(F.collect_list(build)).alias("builds"))).alias("content"))
     sinks.write_files(receipt.select(F.concat(F.lit(f"{root}/"), "test_case", F.lit("/build_receipt.json")).alias("path"), "content")).count()
@@ -158,7 +170,7 @@ _FUNNEL, _JOIN_WARNINGS, _WARNINGS, _YIELDS = ["n_eligible_for_gold", "n_high_co
 def _join_dataset(v: Catalog) -> artifacts.JoinDataset:
     """Joined functions of all cells; reports of all but t2's."""
     root, rows = scratch(v.spark, "tree"), v("joined_raw")
-    _put(v, _lines(rows.select(*_CELL, "function_id", "name", "bb_count"), ["function_id"]), root, "joined_functions", "stripped")
+    _put_lines(rows.select(*_CELL, "function_id", "name", "bb_count"), ["function_id"], root, "joined_functions", "stripped")
     n, c = F.count("*"), F.col
     of = lambda **m: F.map_from_entries(F.array(*[F.struct(F.lit(k), x) for k, x in m.items()]))
     match, gold, ties, bb = F.count_if(c("align_verdict") == "MATCH"), F.count_if(c("oracle_verdict") == "ACCEPT"), F.count_if(c("n_near_ties") > 0), F.max("bb_count").cast("double")
@@ -230,10 +242,10 @@ def S11_resolve_builds(v: Catalog) -> DataFrame:
 def S12_decompile_bundle(v: Catalog) -> DataFrame:
     root = scratch(v.spark, "tree")
     f = v("fn")
-    _put(v, _lines(f.select(*_CELL, "function_id"), ["function_id"]), root, "ghidra_functions", "stripped")
+    _put_lines(f.select(*_CELL, "function_id"), ["function_id"], root, "ghidra_functions", "stripped")
     inner = v("vars").join(f.select(*_CELL, "function_id"), "function_id")
     for kind, least in (("variables", 0), ("cfg", 3), ("calls", 5)):
-        _put(v, _lines(inner.filter(F.col("pos") > least).select(*_CELL, "function_id", "pos", "part"), ["function_id", "pos", "part"]), root, f"ghidra_{kind}", "stripped")
+        _put_lines(inner.filter(F.col("pos") > least).select(*_CELL, "function_id", "pos", "part"), ["function_id", "pos", "part"], root, f"ghidra_{kind}", "stripped")
     _put(v, _document(v("reports"), F.col("accept").alias("function_id")), root, "ghidra_report", "stripped")
     bundle = artifacts.load_decompiled(v.spark, root, dict.fromkeys(("report", "functions", "variables", "cfg", "calls"), "function_id bigint"))
     out = None
