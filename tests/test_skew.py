@@ -111,3 +111,37 @@ def test_one_header_line_of_50_000_functions(spark):
     got = align.rank(classes)
     assert got.agg(F.count("*"), F.min("n_candidates"), F.max("n_candidates"), F.sum("n_ties")).first() == (n, units + 1, units + 1, 0)
     assert got.filter("b.ts_id = concat('s', function_id % 400)").count() == n
+
+
+def test_overlap_pairs_are_not_shuffled(spark, tmp_path):
+    """Ranges of 2^40 over all bodies: a result of 400,000 pairs, of which the join hands on each as it
+    finds it, from several tasks; only pairs that several ranges make are summed."""
+    left = spark.range(200).selectExpr("id AS function_id", "0 AS bin", "id AS lo", "id + 1099511627776 AS hi")
+    left = left.unionByName(spark.range(200).selectExpr("id AS function_id", "0 AS bin", "id * 7 + 3 AS lo", "id * 7 + 5 AS hi"))
+    right = spark.range(2000).selectExpr("concat('b', id) AS body_id", "0 AS bin", "id * 64 AS start", "id * 64 + 50 AS end")
+    got = address.overlaps(left, right, split=100)
+    got.write.parquet(str(tmp_path / "pairs"))
+    written = spark.read.parquet(str(tmp_path / "pairs"))
+    rows = {(r.function_id, r.body_id): r.bytes for r in written.collect()}
+    overlap = lambda a, z, n: max(0, min(z, n * 64 + 50) - max(a, n * 64))
+    assert rows == {(f, f"b{n}"): b for f in range(200) for n in range(2000) if (b := overlap(f, f + (1 << 40), n) + overlap(f * 7 + 3, f * 7 + 5, n))}
+    assert written.count() == len(rows) and len(written.inputFiles()) > 1
+    # no aggregation over the pairs that the join of segments makes
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.lstrip().startswith("Union")
+
+
+def test_overlaps_of_many_ranges_and_bodies_of_several_intervals(spark):
+    rng = random.Random(12)
+    ranges = [(rng.choice([1, 2, 3, None]), rng.randint(0, 1), a := rng.randint(0, 400), a + rng.choice([0, 1, 5, 90, 1 << 20])) for _ in range(120)]
+    bodies = [(f"b{rng.randint(0, 40)}", rng.randint(0, 1), a := rng.randint(0, 400), a + rng.choice([0, 1, 8, 70])) for _ in range(60)]
+    want = defaultdict(int)
+    for f, b, lo, hi in ranges:
+        for i, c, s, e in bodies:
+            if b == c and lo < e and s < hi and hi > lo and e > s:
+                want[f, i] += min(hi, e) - max(lo, s)
+    left = spark.createDataFrame(ranges, "function_id int, bin int, lo bigint, hi bigint")
+    right = spark.createDataFrame(bodies, "body_id string, bin int, start bigint, end bigint")
+    for split, most in ((3, 1000), (address.SPLIT, 15)):
+        got = address.overlaps(left, right, split, most).collect()
+        assert {(r.function_id, r.body_id): r.bytes for r in got} == want and len(got) == len(want)
