@@ -145,3 +145,12 @@ def test_overlaps_of_many_ranges_and_bodies_of_several_intervals(spark):
     for split, most in ((3, 1000), (address.SPLIT, 15)):
         got = address.overlaps(left, right, split, most).collect()
         assert {(r.function_id, r.body_id): r.bytes for r in got} == want and len(got) == len(want)
+
+
+def test_merge_ranges_of_small_groups_deals_rows_once(spark):
+    rng = random.Random(14)
+    ranges = [(rng.choice(["a", "b", "c", None]), a := rng.randint(0, 900), a + rng.randint(0, 9)) for _ in range(400)] + [("big", a := rng.randint(0, 9000), a + rng.randint(0, 9)) for _ in range(900)]
+    rows = spark.createDataFrame(ranges, "g string, lo bigint, hi bigint").repartition(5)
+    one, both = scan.merge_ranges(rows, ["g"]), scan.merge_ranges(rows, ["g"], most=500)
+    assert one._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+    assert sorted(map(repr, one.collect())) == sorted(map(repr, both.collect()))
