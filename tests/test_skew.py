@@ -154,3 +154,14 @@ def test_merge_ranges_of_small_groups_deals_rows_once(spark):
     one, both = scan.merge_ranges(rows, ["g"]), scan.merge_ranges(rows, ["g"], most=500)
     assert one._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
     assert sorted(map(repr, one.collect())) == sorted(map(repr, both.collect()))
+
+
+def test_shared_bodies_are_worked_out_once(spark):
+    """The counts of a body and the rows that they are joined to come from one stored table."""
+    bodies = spark.createDataFrame([("a", 0, 0, 100, 0, False, False), ("b", 0, 90, 200, 90, False, False)], "body_id string, bin int, start bigint, end bigint, entry bigint, is_thunk boolean, is_external boolean")
+    ranges = spark.createDataFrame([(1, 0, 0, 95), (2, 0, 5, 20), (3, 0, 150, 160), (3, 0, 155, 170), (4, 1, 0, 9)], "function_id int, bin int, lo bigint, hi bigint")
+    best = address.best_bodies(spark.createDataFrame([(n, 0) for n in range(1, 5)], "function_id int, low_pc bigint"), ranges, bodies)
+    assert {(r.function_id, r.body_id, r.overlap_bytes) for r in best.collect()} == {(1, "a", 95), (2, "a", 15), (3, "b", 25), (4, None, 0)}
+    got = address.many_to_one(best.select("function_id", "body_id"))
+    assert {(r.function_id, r.n_sharing, r.is_shared) for r in got.collect()} == {(1, 2, True), (2, 2, True), (3, 1, False), (4, None, False)}
+    assert "Window" not in got._jdf.queryExecution().optimizedPlan().toString()
