@@ -277,7 +277,7 @@ def _served(v: Catalog, model: str | None) -> DataFrame:
     """Scored rows by way of a local endpoint."""
     rows = v("pred").select("job", "model", "predicted", "f1")
     path = scratch(v.spark, "served")
-    pages.write_pages(rows if model is None else rows.filter(F.col("model") == model), path, ["job"])
+    served.store(rows if model is None else rows.filter(F.col("model") == model), path, ["job"])
     server = served.serve(v.spark, {model: path})
     host, port = server.server_address
     got = remote.read_pages(v.spark, f"http://{host}:{port}/results", "job bigint, model string, predicted string, f1 double", 4000)

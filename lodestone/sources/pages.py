@@ -13,11 +13,11 @@ from pyspark.sql import functions as F
 MOST_ROWS = 1_000_000
 
 
-def write_pages(rows: DataFrame, path: str, order: list[str], files: int | None = None) -> None:
-    """Write ``rows`` in ``order``, which should tell them apart, and the index."""
+def write_pages(rows: DataFrame, path: str, order: list[str], files: int | None = None, options: dict[str, str] | None = None) -> None:
+    """Write ``rows`` in ``order``, which should tell them apart, and the index; ``options`` are the writer's."""
     spark = rows.sparkSession
     n = files or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows.repartitionByRange(n, *order).sortWithinPartitions(*order).write.parquet(f"{path}/rows")
+    rows.repartitionByRange(n, *order).sortWithinPartitions(*order).write.options(**options or {}).parquet(f"{path}/rows")
     counts = spark.read.parquet(f"{path}/rows").groupBy(F.col("_metadata.file_name").alias("file")).agg(F.count("*").alias("n_rows"))
     # names begin with the number of the range; there are as many rows as files
     first = F.expr("coalesce(sum(n_rows) OVER (ORDER BY file ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)")

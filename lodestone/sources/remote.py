@@ -4,9 +4,9 @@
     spark.read.format("paged").schema("job bigint, model string").option("url", url).load()
 
 The endpoint answers ``GET url?offset=&limit=&column=value`` with ``{"total": n, "rows": [...]}``.
-The driver asks once for the total; each page is a partition that a task asks for, again if it
-fails, so pages come in parallel and a lost executor's pages are asked for anew. Equality
-filters on columns go along. A page with fewer rows than the total says, or another total
+The driver asks once for the total; tasks ask for pages, again if one fails, so pages come in
+parallel and a lost executor's pages are asked for anew. A partition is a page, or a run of them
+where there are more than MOST_TASKS. Equality filters on columns go along. A page with fewer rows than the total says, or another total
 than at first, is an error: rows were added or lost meanwhile.
 """
 
@@ -19,13 +19,15 @@ from urllib.error import URLError
 from urllib.parse import urlencode
 from urllib.request import urlopen
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, InputPartition
+from pyspark.sql.pandas.types import to_arrow_schema
 
-PAGE_ROWS, RETRIES, TIMEOUT = 10_000, 4, 30.0
+PAGE_ROWS, RETRIES, TIMEOUT, MOST_TASKS = 10_000, 4, 30.0, 2_000
 
 
-class Page(InputPartition):
+class Pages(InputPartition):
     def __init__(self, offset: int, n: int, total: int):
         self.offset, self.n, self.total = offset, n, total
 
@@ -41,12 +43,12 @@ class Paged(DataSource):
         raise ValueError("name the columns with .schema(...)")
 
     def reader(self, schema) -> PagedReader:
-        return PagedReader(self.options, schema.names)
+        return PagedReader(self.options, to_arrow_schema(schema))
 
 
 class PagedReader(DataSourceReader):
-    def __init__(self, options, names: list[str]):
-        self.url, self.names, self.asked = options["url"], names, {}
+    def __init__(self, options, schema: pa.Schema):
+        self.url, self.schema, self.asked = options["url"], schema, {}
         self.page_rows, self.retries = int(options.get("pageRows", PAGE_ROWS)), int(options.get("retries", RETRIES))
 
     def pushFilters(self, filters: list[Filter]) -> Iterable[Filter]:
@@ -68,18 +70,19 @@ class PagedReader(DataSourceReader):
                 time.sleep(0.1 * 2**attempt)
         raise AssertionError
 
-    def partitions(self) -> list[Page]:
+    def partitions(self) -> list[Pages]:
         total = self._get(0, 0)["total"]
-        return [Page(at, min(self.page_rows, total - at), total) for at in range(0, total, self.page_rows)] or [Page(0, 0, 0)]
-
-    def read(self, partition: Page) -> Iterator[tuple]:
-        if not partition.n:
-            return
-        got = self._get(partition.offset, partition.n)
-        if got["total"] != partition.total or len(got["rows"]) != partition.n:
-            raise ValueError(f"page at {partition.offset}: {len(got['rows'])} of {partition.n} rows, total {got['total']}, at first {partition.total}")
-        for row in got["rows"]:
-            yield tuple(row.get(c) for c in self.names)
+        run = self.page_rows * max(1, -(-total // (self.page_rows * MOST_TASKS)))
+        return [Pages(at, min(run, total - at), total) for at in range(0, total, run)] or [Pages(0, 0, 0)]
+
+    def read(self, partition: Pages) -> Iterator[pa.RecordBatch]:
+        end = partition.offset + partition.n
+        for offset in range(partition.offset, end, self.page_rows):
+            n = min(self.page_rows, end - offset)
+            got = self._get(offset, n)
+            if got["total"] != partition.total or len(got["rows"]) != n:
+                raise ValueError(f"page at {offset}: {len(got['rows'])} of {n} rows, total {got['total']}, at first {partition.total}")
+            yield pa.RecordBatch.from_arrays([pa.array([row.get(f.name) for row in got["rows"]], f.type) for f in self.schema], schema=self.schema)
 
 
 def read_pages(spark: SparkSession, url: str, schema: str, page_rows: int = PAGE_ROWS) -> DataFrame:

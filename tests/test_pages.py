@@ -8,6 +8,7 @@ from urllib.parse import parse_qsl, urlsplit
 import pytest
 from pyspark.sql import functions as F
 
+from lodestone.plans import served
 from lodestone.sources import pages, remote
 
 SCHEMA = "id bigint, model string, note string"
@@ -90,3 +91,30 @@ def test_a_page_opens_its_files_only(spark, tmp_path):
 def test_pages_of_nothing(spark, tmp_path):
     pages.write_pages(spark.range(0), str(tmp_path), ["id"])
     assert pages.page(spark, str(tmp_path), 0, 10).count() == 0 == pages.n_rows(spark, str(tmp_path))
+
+
+def test_many_pages_are_runs_of_a_bounded_number_of_tasks(spark, endpoint):
+    endpoint["fail"] = 1
+    got = remote.read_pages(spark, endpoint["url"], SCHEMA, 10)
+    reader = remote.PagedReader({"url": endpoint["url"], "pageRows": "10"}, None)
+    most, remote.MOST_TASKS = remote.MOST_TASKS, 9
+    try:
+        runs = reader.partitions()
+    finally:
+        remote.MOST_TASKS = most
+    assert [(p.offset, p.n) for p in runs] == [(at, min(30, 257 - at)) for at in range(0, 257, 30)]
+    assert sorted((r.id, r.note) for r in got.collect()) == [(n, None if n % 5 else "x") for n in range(257)]
+
+
+def test_a_served_page_reads_its_row_groups_only(spark, tmp_path, monkeypatch):
+    path = str(tmp_path)
+    rows = spark.range(30_000).select(F.col("id").alias("job"), F.when(F.col("id") % 3 > 0, F.concat(F.lit('q"'), "id")).alias("note"))
+    served.store(rows, path, ["job"])
+    table, read = served.Rows(path), []
+    whole = served.pq.ParquetFile.read_row_groups
+    monkeypatch.setattr(served.pq.ParquetFile, "read_row_groups", lambda self, groups, **how: read.append(sum(self.metadata.row_group(g).num_rows for g in groups)) or whole(self, groups, **how))
+    for offset, limit in ((0, 10), (7_495, 4000), (29_990, 50), (12_345, 1), (30_000, 5), (0, 30_000)):
+        read.clear()
+        got = json.loads(f"[{table.page(offset, limit)}]")
+        assert [(r["job"], r.get("note")) for r in got] == [(n, f'q"{n}' if n % 3 else None) for n in range(offset, min(offset + limit, 30_000))]
+        assert sum(read) <= limit + 4 * served.GROUP_ROWS
