@@ -6,8 +6,13 @@ mapped to their origins once, then joined with the evidence on (file, line).
 Spans with the same origins are one class, and so are functions with the same evidence: a
 header's function that many units include is one row in the join, however many copies of it
 meet. Pairs are formed of classes; candidates, near ties and repeated contexts are counted by
-class sizes, so all counts are those of all pairs. Lines that more than ``split`` function
-classes share are dealt to several tasks.
+class sizes, so all counts are those of all pairs. Lines that more than ``split`` rows of a
+side share are dealt to several tasks.
+
+Evidence is shuffled by function, by its digest, by line and, once joined, by class again, as
+plain numbers: a class of functions goes by its smallest id, and a class of spans by its place
+in the order of ranking, so that pairs carry nothing else of their spans. Names and contexts are
+joined to a function's best class and its near ties only.
 
 All joins but those with hot lines are hinted as sort-merge joins: each side grows with the input,
 and the planner takes packed columns of small files for tables that the driver could broadcast.
@@ -17,20 +22,25 @@ from __future__ import annotations
 
 from typing import NamedTuple
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.policy import PROFILE, Profile
+from ..sources.scratch import kept
+from . import scan
+from .address import join_dealt
 
 SPLIT = 100_000
 
 
 class Classes(NamedTuple):
-    """functions: function_id, fkey; spans: ts_id, ckey, tu, start_byte, span, context_hash; pairs:
-    fkey, ckey, overlap, total, of all classes that share a line."""
+    """functions: function_id, fkey, total; spans: ts_id, ckey, tu, start_byte, span, context_hash; best:
+    ckey, n, ts_id, tu, context_hash of a class's first span; pairs: fkey, ckey, n, overlap, total, of all
+    classes that share a line. ckey follows the order of first spans."""
 
     functions: DataFrame
     spans: DataFrame
+    best: DataFrame
     pairs: DataFrame
 
 
@@ -45,56 +55,76 @@ def span_origins(spans: DataFrame, origins: DataFrame) -> DataFrame:
     return lines.join(origins.hint("merge"), ["tu", "i_line"]).select("ts_id", "file", "line").distinct()
 
 
-def _classed(rows: DataFrame, of: str, key: str, columns: list[str]) -> tuple[DataFrame, DataFrame]:
-    """(of, key): the class of each one, by the digest of all its rows; and (key, *columns): a
-    class's rows. One function's or span's rows meet in a list, never those of several."""
-    lists = rows.groupBy(of).agg(F.sort_array(F.collect_list(F.struct(*columns))).alias("_rows")).withColumn(key, F.sha2(F.to_json("_rows"), 256))
-    return lists.select(of, key), lists.groupBy(key).agg(F.first("_rows").alias("_rows")).select(key, F.inline("_rows"))
+def _digest(rows: str) -> Column:
+    return F.unhex(F.sha2(F.to_json(rows), 256))
+
+
+def _listed(rows: DataFrame, of: str, columns: list[str], *more: Column) -> DataFrame:
+    """(of, _rows, _digest, *more): the rows of each one. One function's or span's rows meet in a list, never those of several."""
+    return rows.repartition(of).groupBy(of).agg(F.sort_array(F.collect_list(F.struct(*columns))).alias("_rows"), *more).withColumn("_digest", _digest("_rows"))
 
 
 def classes(ev: DataFrame, spans: DataFrame, origins: DataFrame, split: int = SPLIT) -> Classes:
-    functions, lines = _classed(ev.filter("cnt > 0"), "function_id", "fkey", ["file", "line", "cnt"])
-    members, places = _classed(span_origins(spans, origins), "ts_id", "ckey", ["file", "line"])
-    at = ["file", "line"]
-    hot = lines.groupBy(*at).agg(F.count("*").alias("_n")).filter(F.col("_n") > split).select(*at, F.ceil(F.col("_n") / split).cast("int").alias("_pieces"))
-    left = lines.join(hot, at, "left").withColumn("_piece", F.coalesce(F.pmod(F.xxhash64("fkey"), F.col("_pieces")).cast("int"), F.lit(0))).drop("_pieces")
-    right = places.join(hot, at, "left").withColumn("_piece", F.explode(F.sequence(F.lit(0), F.coalesce("_pieces", F.lit(1)) - 1))).drop("_pieces")
-    shared = left.join(right.hint("merge"), [*at, "_piece"]).groupBy("fkey", "ckey").agg(F.sum("cnt").alias("overlap"))
-    totals = lines.groupBy("fkey").agg(F.sum("cnt").alias("total"))
+    # a class's rows stay with its smallest id
+    listed = _listed(ev.filter("cnt > 0 AND function_id IS NOT NULL"), "function_id", ["file", "line", "cnt"], F.sum("cnt").alias("total"))
+    least = listed.withColumn("fkey", F.min("function_id").over(Window.partitionBy("_digest")))
+    functions = kept(least.select("function_id", "fkey", "total", F.when(F.col("function_id") == F.col("fkey"), F.col("_rows")).alias("_rows")), "functions")
+    firsts = functions.filter("_rows IS NOT NULL")
+    lines = firsts.select("fkey", F.inline("_rows"))
+
+    member = ["span", "tu", "start_byte", "ts_id", "context_hash"]
     meta = spans.select("ts_id", "tu", "start_byte", (F.col("end_byte") - F.col("start_byte")).alias("span"), "context_hash")
-    return Classes(functions, members.join(meta.hint("merge"), "ts_id"), shared.join(totals.hint("merge"), "fkey").withColumn("ratio", F.bround(F.col("overlap") / F.col("total"), 6)).withColumn("gap", F.col("total") - F.col("overlap")))
+    placed = kept(meta.join(_listed(span_origins(spans, origins), "ts_id", ["file", "line"]).hint("merge"), "ts_id"), "spans")
+    first = placed.groupBy("_digest").agg(F.count("*").alias("n"), F.min(F.struct(*member)).alias("m"), F.first("_rows").alias("_rows")).select("_digest", "n", "m.*", "_rows")
+    best = scan.running(scan.dealt(first, [], member[:4]), [], member[:4], {"ckey": ("sum", F.lit(1))})
+    places = best.select("ckey", "n", F.inline("_rows"))
+
+    # a function's pairs meet in one task, for their sums, the totals and the ranking
+    shared = join_dealt(lines, places, ["file", "line"], split).select("fkey", "ckey", "n", "cnt").repartition("fkey").groupBy("fkey", "ckey", "n").agg(F.sum("cnt").alias("overlap"))
+    pairs = shared.join(firsts.select("fkey", "total").hint("merge"), "fkey")
+    return Classes(functions.drop("_rows"), placed.join(best.select("_digest", "ckey").hint("merge"), "_digest").drop("_digest", "_rows"), best.select("ckey", "n", "ts_id", "tu", "context_hash"), pairs)
+
+
+def _measured(pairs: DataFrame) -> DataFrame:
+    return pairs.withColumn("ratio", F.bround(F.col("overlap") / F.col("total"), 6)).withColumn("gap", F.col("total") - F.col("overlap"))
 
 
 def candidates(c: Classes) -> DataFrame:
     """(function_id, ts_id, overlap, total, ratio, ...) of all pairs that share a line: as many
     rows as there are pairs. What follows works on classes."""
-    return c.pairs.join(c.functions.hint("merge"), "fkey").join(c.spans.hint("merge"), "ckey").drop("fkey", "ckey")
+    pairs = c.pairs.drop("n", "total").join(c.functions.hint("merge"), "fkey").drop("fkey")
+    return _measured(pairs.join(c.spans.hint("merge"), "ckey").drop("ckey"))
 
 
 def rank(c: Classes, p: Profile = PROFILE) -> DataFrame:
     """Best candidate per function: higher ratio, more evidence, shorter span, then unit
-    and place. With n_candidates, n_ties (within the tolerance of the best ratio) and
-    whether a tie repeats the best one's context in another unit."""
-    member = ["span", "tu", "start_byte", "ts_id", "context_hash"]
-    sizes = c.spans.groupBy("ckey").agg(F.count("*").alias("_n"), F.min(F.struct(*member)).alias("m"))
-    copies = c.spans.groupBy(F.col("ckey").alias("_ckey"), F.col("context_hash").alias("_hash")).agg(F.min("tu").alias("_low"), F.max("tu").alias("_high"))
-    w = Window.partitionBy("fkey").orderBy(F.desc("ratio"), F.desc("overlap"), *[F.col(f"m.{x}") for x in member[:4]])
-    whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    ranked = c.pairs.join(sizes.hint("merge"), "ckey").withColumns({"rn": F.row_number().over(w), "best": F.first("ratio").over(whole), "bm": F.first("m").over(whole)})
-    met = ranked.join(copies.hint("merge"), (F.col("ckey") == F.col("_ckey")) & (F.col("bm.context_hash") == F.col("_hash")), "left")
-    tie = F.abs(F.col("ratio") - F.col("best")) <= p.tie_epsilon
-    copy = tie & ((F.col("_low") != F.col("bm.tu")) | (F.col("_high") != F.col("bm.tu")))
-    tops = met.groupBy("fkey").agg(
-        F.min_by(F.struct(F.col("m.ts_id").alias("ts_id"), F.col("m.tu").alias("tu"), "overlap", "ratio", "gap"), "rn").alias("b"), F.sum("_n").alias("n_candidates"),
-        (F.sum(F.when(tie, F.col("_n")).otherwise(0)) - 1).alias("n_ties"), F.coalesce(F.bool_or(copy), F.lit(False)).alias("replicated"),
-    )
-    return c.functions.join(tops.hint("merge"), "fkey").drop("fkey")
+    and place. With the function's total, n_candidates, n_ties (within the tolerance of the best
+    ratio) and whether a tie repeats the best one's context in another unit."""
+    w = Window.partitionBy("fkey").orderBy(F.desc("ratio"), F.desc("overlap"), "ckey")
+    ranked = _measured(c.pairs).withColumn("b", F.first(F.struct("ckey", "overlap", "ratio", "gap")).over(w))
+    tie = F.abs(F.col("ratio") - F.col("b.ratio")) <= p.tie_epsilon
+    other = tie & ((F.col("ckey") != F.col("b.ckey")) | (F.col("n") > 1))
+    tops = ranked.groupBy("fkey").agg(
+        F.first("b").alias("b"), F.sum("n").alias("n_candidates"), (F.sum(F.when(tie, F.col("n")).otherwise(0)) - 1).alias("n_ties"), F.collect_list(F.when(other, F.col("ckey"))).alias("_ties")
+    )
+    tops = kept(tops.select("fkey", F.col("b.ckey").alias("_best"), "b.overlap", "b.ratio", "b.gap", "n_candidates", "n_ties", "_ties"), "tops")
+    # whether a class repeats the best one's context depends on the two classes only
+    ties = tops.select("fkey", "_best", F.explode("_ties").alias("ckey"))
+    copies = c.spans.groupBy("ckey", "context_hash").agg(F.min("tu").alias("_low"), F.max("tu").alias("_high"))
+    own = c.best.select(F.col("ckey").alias("_best"), F.col("tu").alias("_tu"), "context_hash")
+    met = ties.select("_best", "ckey").distinct().join(own.hint("merge"), "_best").join(copies.hint("merge"), ["ckey", "context_hash"])
+    copied = met.filter("_low <> _tu OR _high <> _tu").select("_best", "ckey")
+    replicated = ties.join(copied.hint("merge"), ["_best", "ckey"]).select("fkey").distinct().withColumn("replicated", F.lit(True))
+    named = tops.drop("_ties").join(c.best.select(F.col("ckey").alias("_best"), "ts_id", "tu").hint("merge"), "_best")
+    rows = c.functions.join(named.hint("merge"), "fkey").join(replicated.hint("merge"), "fkey", "left")
+    return rows.select("function_id", "total", F.struct("ts_id", "tu", "overlap", "ratio", "gap").alias("b"), "n_candidates", "n_ties", F.coalesce("replicated", F.lit(False)).alias("replicated"))
 
 
 def align(targets: DataFrame, ev: DataFrame, spans: DataFrame, origins: DataFrame, p: Profile = PROFILE) -> DataFrame:
     """Verdict and reasons for each target (function_id, multi_file); one row each."""
-    totals = ev.groupBy("function_id").agg(F.sum("cnt").alias("_total"))
-    best = rank(classes(ev, spans, origins), p)
+    c = classes(ev, spans, origins)
+    totals = c.functions.select("function_id", F.col("total").alias("_total"))
+    best = rank(c, p).drop("total")
     rows = targets.join(totals.hint("merge"), "function_id", "left").join(best.hint("merge"), "function_id", "left")
     found = F.coalesce(F.col("b.overlap") >= p.min_overlap_lines, F.lit(False))
     low = found & (F.col("b.ratio") < p.overlap_threshold)
