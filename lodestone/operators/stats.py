@@ -107,11 +107,11 @@ def normal_tail(z: float) -> float:
     return 0.5 * math.erfc(z / math.sqrt(2))
 
 
-def signed_rank_tail(n: int, w: float, tie_term: float, greater: bool = True) -> float:
-    """One-sided p of a signed-rank sum."""
+def signed_rank_tail(n: int, w: float, tie_term: float, greater: bool = True, exact: bool = True) -> float:
+    """One-sided p of a signed-rank sum: by all signs for few ranks without ties, if ``exact``, else by the normal distribution."""
     if not n:
         return math.nan
-    if n <= 25 and not tie_term:
+    if exact and n <= 25 and not tie_term:
         ways = np.zeros(n * (n + 1) // 2 + 1)
         ways[0] = 1
         for k in range(1, n + 1):
@@ -134,12 +134,12 @@ def two_sided_p(z: pd.Series) -> pd.Series:
     return pd.Series([2 * normal_tail(abs(float(v))) for v in z], dtype=float)
 
 
-def wilcoxon_test(rows: DataFrame, by: list[str], diff: str, greater: bool = True) -> DataFrame:
-    """(by, n, w_plus, z, p): one-sided; z is null where ties make no spread."""
+def wilcoxon_test(rows: DataFrame, by: list[str], diff: str, greater: bool = True, exact: bool = True) -> DataFrame:
+    """(by, n, w_plus, z, p): one-sided; z is null where ties make no spread. Without ``exact``, p is always that of z."""
 
     @F.pandas_udf(T.DoubleType())
     def tail(n: pd.Series, w: pd.Series, t: pd.Series) -> pd.Series:
-        return pd.Series([signed_rank_tail(int(a), float(b), float(c), greater) for a, b, c in zip(n, w, t, strict=True)], dtype=float)
+        return pd.Series([signed_rank_tail(int(a), float(b), float(c), greater, exact) for a, b, c in zip(n, w, t, strict=True)], dtype=float)
 
     sums = rows.select(*by).distinct().join(signed_ranks(rows, by, diff), by, "left").na.fill(0, ["n", "tie_term"])
     n = F.col("n").cast("double")

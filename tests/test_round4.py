@@ -6,7 +6,8 @@ from collections import defaultdict
 import pytest
 from pyspark.sql import functions as F
 
-from lodestone.operators import align
+from lodestone.operators import align, stats
+from tests.test_round3 import both, linked
 
 
 @pytest.fixture(scope="module")
@@ -62,3 +63,12 @@ def test_F1_pairs_carry_numbers_only(spark, alignment):
     targets = frames[0].select("function_id").distinct().withColumn("multi_file", F.lit(False))
     plan = align.align(targets, *frames)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("sum(cnt") == 0
+
+
+def test_F8_wilcoxon_of_one_difference(spark, tmp_path):
+    """The SQL's p is that of z for any number of differences; the operator's is exact for few."""
+    changed = linked(tmp_path, lineitem="SELECT * REPLACE (CASE WHEN l_orderkey % 4 = 0 AND l_partkey % 300 = 5 THEN 2.0 ELSE 1.0 END AS l_quantity) FROM {t}")
+    got, want = both(spark, changed, "B02_wilcoxon")
+    assert got == want and got and all(", 1, 1.0, 1.0, 0.158655254" in row for row in got)
+    rows = spark.createDataFrame([("g", 1)], "g string, d long")
+    assert stats.wilcoxon_test(rows, ["g"], "d").first().p == 0.5
