@@ -6,7 +6,7 @@ from collections import defaultdict
 import pytest
 from pyspark.sql import functions as F
 
-from lodestone.operators import align, stats
+from lodestone.operators import address, align, stats
 from tests.test_round3 import both, linked
 
 
@@ -72,3 +72,31 @@ def test_F8_wilcoxon_of_one_difference(spark, tmp_path):
     assert got == want and got and all(", 1, 1.0, 1.0, 0.158655254" in row for row in got)
     rows = spark.createDataFrame([("g", 1)], "g string, d long")
     assert stats.wilcoxon_test(rows, ["g"], "d").first().p == 0.5
+
+
+def test_F11_only_rows_that_can_meet_are_shuffled(spark):
+    """Ranges of one byte climb to bodies of 64; no body climbs to them, so they are not in cells of their own."""
+    left = spark.range(100).selectExpr("id AS lo", "id + 1 AS hi").withColumn("_own", F.expr(address._LEVEL))
+    right = spark.range(10).selectExpr("64 * id AS lo", "64 * id + 64 AS hi").withColumn("_own", F.expr(address._LEVEL))
+    assert address._cells(left, 1, [6], 0, ">=").count() == 100
+    assert address._cells(right, 0, [0], 1, ">").count() == 10
+    assert address._cells(left, 1, [], 0, ">=").count() == 0
+
+
+def test_F11_neighbours_beyond_reach_are_left_out(spark):
+    rng = random.Random(43)
+    ranges = [(f, 0, a := rng.randint(0, 3000), a + rng.choice([1, 8, 40, 1 << 20])) for f in range(60) for _ in range(4)]
+    bodies = [(f"b{n}", 0, a := rng.randint(0, 3000), a + rng.choice([4, 16, 50])) for n in range(150)]
+    left = spark.createDataFrame(ranges, "function_id int, bin int, lo bigint, hi bigint")
+    cut = address._segments(left)
+    near = address._in_reach(cut, 50)
+    assert near.count() == cut.count()
+    assert near.filter("before <= lo - 50 OR after.lo >= hi + 50").count() == 0
+    assert near.filter("before IS NOT NULL").count() < cut.filter("before IS NOT NULL").count()
+    want = defaultdict(int)
+    for f, _, lo, hi in ranges:
+        for body, _, start, end in bodies:
+            if lo < end and start < hi:
+                want[f, body] += min(hi, end) - max(lo, start)
+    got = address.overlaps(left, spark.createDataFrame(bodies, "body_id string, bin int, start bigint, end bigint")).collect()
+    assert {(r.function_id, r.body_id): r.bytes for r in got} == want and len(got) == len(want)
